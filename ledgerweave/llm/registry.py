@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .jaccard import op4_jaccard
 from .packing import op3_packing
 
 QUERIES = {
     "op3_packing": op3_packing,
+    "op4_jaccard": op4_jaccard,
     "op7_bpe": op7_bpe,
 }
 
