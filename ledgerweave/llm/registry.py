@@ -6,11 +6,13 @@ from .bpe import op7_bpe
 from .jaccard import op4_jaccard
 from .langid import op10_langid
 from .packing import op3_packing
+from .pii import op5_pii
 from .secrets import op6_secrets
 
 QUERIES = {
     "op3_packing": op3_packing,
     "op4_jaccard": op4_jaccard,
+    "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
     "op7_bpe": op7_bpe,
     "op10_langid": op10_langid,
