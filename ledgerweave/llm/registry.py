@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .flac import op9_flac
 from .jaccard import op4_jaccard
 from .langid import op10_langid
 from .packing import op3_packing
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
     "op7_bpe": op7_bpe,
+    "op9_flac": op9_flac,
     "op10_langid": op10_langid,
 }
 
