@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .bpe import op7_bpe
+from .chat import op8_chat
+from .fingerprints import op2_fingerprints
 from .flac import op9_flac
 from .jaccard import op4_jaccard
 from .langid import op10_langid
@@ -11,11 +13,13 @@ from .pii import op5_pii
 from .secrets import op6_secrets
 
 QUERIES = {
+    "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op4_jaccard": op4_jaccard,
     "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
     "op7_bpe": op7_bpe,
+    "op8_chat": op8_chat,
     "op9_flac": op9_flac,
     "op10_langid": op10_langid,
 }
