@@ -211,3 +211,21 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
 def op10_langid(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return predict(docs, train(docs))
+
+
+def keep_known(docs: DataFrame, network: Network | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and whose best label scores ``least`` at least."""
+    at = docs.columns.index(text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(network)
+
+    def run(batches):
+        network = sent.value
+        for whole in batches:
+            for b in slices(whole, at, 1 << 20):
+                texts = b.column(at).cast(pa.binary()).to_pylist()
+                keep = [True] * len(texts)
+                if network:
+                    keep = (network.documents(texts).max(1) >= least).tolist()
+                yield b.filter(pa.array(keep))
+
+    return docs.where(has_letter(text_col)).mapInArrow(run, docs.schema)

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from . import licenses
 from .bpe import op7_bpe
 from .chat import op8_chat
 from .fingerprints import op2_fingerprints
 from .flac import op9_flac
 from .jaccard import op4_jaccard
 from .langid import op10_langid
+from .licenses import op1_licenses
 from .packing import op3_packing
 from .pii import op5_pii
 from .secrets import op6_secrets
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
     "op2_fingerprints": op2_fingerprints,
     "op3_packing": op3_packing,
     "op4_jaccard": op4_jaccard,
@@ -24,4 +27,4 @@ QUERIES = {
     "op10_langid": op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.ORACLE_SQL}
