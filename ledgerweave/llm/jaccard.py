@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -139,18 +139,45 @@ def _batches(batches, text: int):
         yield from slices(whole, text, 1 << 20)
 
 
-def _common(docs: DataFrame, rule: Rule) -> DataFrame:
-    """(key int, df long) of n-grams that are in many hash-ordered prefixes; key: the upper half of the hash."""
+def _common(docs: DataFrame, rule: Rule, known: np.ndarray | None = None) -> DataFrame:
+    """(key int, df long) of common n-grams; key: the upper half of the hash.
+
+    Without known keys, those in many hash-ordered prefixes.  With them, those that are in many of the documents whose
+    hash-ordered prefix holds a known key: what stands beside a common n-gram is often as common, but not yet counted.
+    A document without known keys keeps its prefix, in which every n-gram is in few prefixes.
+    """
     n, num, den = rule.n, rule.num, rule.den
+    sent = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches):
+        keys = sent.value if sent else None
         for b in _batches(batches, 0):
-            parts = [s[: _prefix(len(s), num, den)] for s in ngram_sets(b.column(0), n)]
-            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate([*parts, np.zeros(0, np.int64)]) >> 32).astype(np.int32))], names=["key"])
+            parts = [np.zeros(0, np.int32)]
+            for s in ngram_sets(b.column(0), n):
+                k = (s >> 32).astype(np.int32)
+                p = _prefix(len(s), num, den)
+                if keys is None:
+                    parts.append(k[:p])
+                elif _within(k[:p], keys).any():
+                    parts.append(k[~_within(k, keys)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], names=["key"])
 
     return docs.select("text").mapInArrow(run, "key int").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") > COMMON)
 
 
+def _within(k: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of k are among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(k), bool)
+    return keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k
+
+
+def _table(common: DataFrame) -> np.ndarray:
+    """Rows (key, df), sorted by key."""
+    t = np.array([tuple(r) for r in common.collect()], np.int64).reshape(-1, 2)
+    return t[np.argsort(t[:, 0])]
+
+
 def _described(docs: DataFrame, rule: Rule, keys: np.ndarray | None, df: np.ndarray | None) -> DataFrame:
     """(doc_id, n, sig, grams): the final prefix in order, or with keys None all n-grams."""
     n, num, den = rule.n, rule.num, rule.den
@@ -334,18 +361,24 @@ def jaccard_components(df: DataFrame, words: int = 4, num: int = 85, den: int =
     tables = Tables(spark, "jaccard")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     common = tables.write(_common(docs, rule))
-    if common.count() <= BROADCAST_ROWS:
-        found = np.array([tuple(r) for r in common.orderBy("key").collect()], np.int64).reshape(-1, 2)
+    small = common.count() <= BROADCAST_ROWS
+    if small:
+        found = _table(common)
+        beside = tables.write(_common(docs, rule, found[:, 0].astype(np.int32)))
+        small = len(found) + beside.count() <= BROADCAST_ROWS
+    if small:
+        found = np.concatenate((found, _table(beside)))
+        found = found[np.argsort(found[:, 0])]
         base = tables.write(_described(docs, rule, found[:, 0].astype(np.int32), found[:, 1]))
     else:
         base = tables.write(_described(docs, rule, None, None))
     classes = tables.write(base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
     reps = base.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id", "sig"])
     rows = reps.select(F.col("doc_id").alias("node"), "n", F.posexplode("grams").alias("pos", "gram"))
-    if common.count() > BROADCAST_ROWS:
-        from pyspark.sql import Window
-
-        ranked = rows.withColumn("key", F.shiftright("gram", 32).cast("int")).join(common, "key", "left")
+    if not small:  # the same order by joins
+        keyed = rows.withColumn("key", F.shiftright("gram", 32).cast("int"))
+        common = keyed.groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") > COMMON)
+        ranked = keyed.join(common, "key", "left")
         rows = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("node", "n").orderBy(F.coalesce("df", F.lit(0)), "gram")) - 1)
         rows = rows.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("node", "n", "pos", "gram")
     postings = tables.write(_postings(rows.select("gram", "node", "n", "pos")))
