@@ -36,6 +36,9 @@ from .common import Tables
 
 #: N-grams in more prefixes than this get a frequency class.
 COMMON = 20
+#: Places on either side of a known common n-gram in which more are looked for; where one n-gram in seven is known, a
+#: common passage has no longer gap.
+REACH = 64
 #: A set of common n-grams, or of documents to verify, up to this size is broadcast; a larger one is joined.
 BROADCAST_ROWS = 1 << 20
 #: Members of a posting that are compared in one block.
@@ -71,6 +74,13 @@ _BREAK[[32, *range(9, 14)]] = True
 
 def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes (int64) of each text's word n-grams."""
+    for s in ngram_lists(column, n):
+        s = np.sort(s)
+        yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+
+
+def ngram_lists(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """64-bit hashes (int64) of each text's word n-grams, in text order."""
     texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
     flat = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)] if texts else np.zeros(0, np.uint8)
     gap = _BREAK[flat]
@@ -87,8 +97,7 @@ def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     first = np.searchsorted(begin, starts)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= n:
-            s = np.sort(gram[a : b - n + 1])
-            yield s[np.concatenate(([True], s[1:] != s[:-1]))]
+            yield gram[a : b - n + 1]
         elif b > a:
             h = np.uint64(b - a)
             with np.errstate(over="ignore"):
@@ -142,9 +151,9 @@ def _batches(batches, text: int):
 def _common(docs: DataFrame, rule: Rule, known: np.ndarray | None = None) -> DataFrame:
     """(key int, df long) of common n-grams; key: the upper half of the hash.
 
-    Without known keys, those in many hash-ordered prefixes.  With them, those that are in many of the documents whose
-    hash-ordered prefix holds a known key: what stands beside a common n-gram is often as common, but not yet counted.
-    A document without known keys keeps its prefix, in which every n-gram is in few prefixes.
+    Without known keys, those in many hash-ordered prefixes.  With them, those that stand in many documents within
+    ``REACH`` places of a known key of the hash-ordered prefix: what is beside a common n-gram is often as common, but
+    not yet counted.  A document without known keys keeps its prefix, in which every n-gram is in few prefixes.
     """
     n, num, den = rule.n, rule.num, rule.den
     sent = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
@@ -153,13 +162,20 @@ def _common(docs: DataFrame, rule: Rule, known: np.ndarray | None = None) -> Dat
         keys = sent.value if sent else None
         for b in _batches(batches, 0):
             parts = [np.zeros(0, np.int32)]
-            for s in ngram_sets(b.column(0), n):
-                k = (s >> 32).astype(np.int32)
-                p = _prefix(len(s), num, den)
-                if keys is None:
-                    parts.append(k[:p])
-                elif _within(k[:p], keys).any():
-                    parts.append(k[~_within(k, keys)])
+            if keys is None:
+                for s in ngram_sets(b.column(0), n):
+                    parts.append((s[: _prefix(len(s), num, den)] >> 32).astype(np.int32))
+            else:
+                for s in ngram_lists(b.column(0), n):
+                    k = (s >> 32).astype(np.int32)
+                    known = _within(k, keys)
+                    if known.any():
+                        p = _prefix(len(s), num, den)
+                        at = np.flatnonzero(known & (s <= np.partition(s, p - 1)[p - 1]))
+                        step = np.zeros(len(s) + 1, np.int32)
+                        np.add.at(step, np.maximum(at - REACH, 0), 1)
+                        np.add.at(step, np.minimum(at + REACH + 1, len(s)), -1)
+                        parts.append(np.unique(k[(np.cumsum(step)[:-1] > 0) & ~known]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], names=["key"])
 
     return docs.select("text").mapInArrow(run, "key int").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") > COMMON)
