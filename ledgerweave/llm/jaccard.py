@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
@@ -302,30 +302,30 @@ def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
-    """(node, root): root is the smallest node of the component.  Alternating large-star and small-star steps; each ends in a table."""
-
-    def digest(e: DataFrame):
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("h")).first()
-        return r["n"], r["h"]
-
-    e = tables.write(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).where("x <> y").distinct())
-    before = digest(e)
+    """(node, root): root is the smallest node of the component.  Alternating large-star and small-star steps; each round is one table."""
+    e, before = _rooted(edges.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")), tables)
     while before[0]:
         both = e.select(F.col("x").alias("u"), F.col("y").alias("v")).union(e.select(F.col("y").alias("u"), F.col("x").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
-        large = tables.write(large)
         small = large.groupBy("x").agg(F.min("y").alias("m"))
-        new = large.join(small, "x").select(F.greatest("y", "m").alias("x"), F.least("y", "m").alias("y")).where("x <> y").union(small.select("x", F.col("m").alias("y"))).distinct()
-        new = tables.write(new)
-        tables.drop(e, large)
-        e, now = new, digest(new)
+        new, now = _rooted(large.join(small, "x").select(F.greatest("y", "m").alias("x"), F.least("y", "m").alias("y")).union(small.select("x", F.col("m").alias("y"))), tables)
+        tables.drop(e)
+        e = new
         if now == before:
             break
         before = now
     return e.select(F.col("x").alias("node"), F.col("y").alias("root"))
 
 
+def _rooted(edges: DataFrame, tables: Tables) -> tuple[DataFrame, tuple]:
+    """The distinct edges as a table, and (count, sum of hashes) of them, gathered while it is written."""
+    seen = Observation()
+    marks = (F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)")).alias("h"))
+    out = tables.write(edges.where("x <> y").distinct().observe(seen, *marks))
+    return out, (seen.get["n"], seen.get["h"])
+
+
 def _split_pairs(postings: DataFrame, stars: DataFrame, rule: Rule) -> DataFrame:
     """Feasible pairs (a, b) of one posting whose members are in different components."""
     rows = postings.select("gram", "node", "n", "pos").join(stars, "node", "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
