@@ -91,7 +91,7 @@ def _ranged(docs: DataFrame) -> DataFrame:
     many = 4 * shuffle_partitions(docs.sparkSession)
     ids = docs.select("doc_id")
     cuts = ids.agg(F.percentile_approx("doc_id", [k / many for k in range(1, many)], 20 * many)).first()[0] or []
-    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [float("-inf"), *(sorted({float(c) for c in cuts}) or [0.0]), float("inf")]
     place = lambda d: Bucketizer(splits=splits, inputCol="at", outputCol="range_no", handleInvalid="keep").transform(d.withColumn("at", F.col("doc_id").cast("double"))).withColumn("range_no", F.when(F.col("doc_id").isNull(), -1).otherwise(F.col("range_no")).cast("int")).drop("at")
     heads = place(ids).groupBy("range_no").agg(F.max("doc_id").alias("head")).orderBy(F.desc("range_no")).collect()  # a row per range
     hosts = [(heads[k]["head"], heads[k - 1]["range_no"]) for k in range(len(heads))]  # the first range's head is the last one's guest
