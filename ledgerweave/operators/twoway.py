@@ -115,7 +115,9 @@ def two_way(payloads: DataFrame, policy: MatchPolicy = TWO_WAY, rates: dict[str,
     if "ledger" not in payloads.columns:
         payloads = payloads.withColumn("ledger", F.lit(None).cast(PRIOR))
     inv = F.col("invoice")
-    df = payloads.withColumn("pos", F.coalesce("pos", F.array().cast(f"array<{ORDER}>"))).withColumn("ladder", order_ladder(inv, F.col("pos"), policy))
+    df = payloads.withColumn("pos", F.coalesce("pos", F.array().cast(f"array<{ORDER}>")))
+    if "ladder" not in payloads.columns:  # else the chain was found by joins
+        df = df.withColumn("ladder", order_ladder(inv, F.col("pos"), policy))
     matched, n = F.col("ladder.matched"), F.size("ladder.matched")
     lump = (n == 1) & ~F.coalesce(F.get(matched, F.lit(0))["po_itemized"], F.lit(True))
     df = df.withColumns({"po_sum": F.aggregate(matched, F.lit(0.0), lambda a, p: a + F.coalesce(p["total"], F.lit(0.0))), "lump_sum": lump})
@@ -167,6 +169,7 @@ def two_way(payloads: DataFrame, policy: MatchPolicy = TWO_WAY, rates: dict[str,
             F.when(found, quantity_within(line["quantity"], po["quantity"])).alias("qty_ok"),
             code_valid(hsn).alias("hsn_valid"),
             percents_equal(line["gst_rate"], rate_of(hsn, rates, policy.rate_by_heading), policy.pct_abs).alias("gst_correct"),
+            F.when(found, po["description"]).alias("po_description"), F.when(found, po["po_number"]).alias("po_number"),
         )
 
     df = df.withColumn("lines", F.zip_with("_bill", "_pairs", checked))
