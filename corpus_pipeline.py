@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerweave.llm import langid, packing, secrets
-from ledgerweave.llm.common import Tables
+from ledgerweave.llm.common import Tables, documents, small_batches
 from ledgerweave.llm.jaccard import jaccard_components
 
 #: Least score of the best language; any of four languages scores 0.25 by chance.
@@ -23,6 +23,7 @@ WORDS, SIMILARITY = 5, (80, 100)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return langid.keep_known(docs, langid.train(docs), LEAST_SCORE)
 
 
@@ -57,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Tables(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
         docs = tables.write(stage(spark, docs, sf_dir))
     return tables.write(STAGES[-1][1](spark, docs, sf_dir))

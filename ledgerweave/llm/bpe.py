@@ -28,6 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import documents
+
 #: Words that one process remembers; when full, it starts anew.
 CACHE_WORDS = 400_000
 #: Words longer than this (in bytes) are encoded but not remembered.
@@ -300,4 +302,4 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:
-    return encode_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return encode_decode(documents(spark, sf_dir))

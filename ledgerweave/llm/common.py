@@ -45,3 +45,20 @@ class Tables:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows that an Arrow batch holds at most, where texts go to Python.
+BATCH_ROWS = 1000
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts may be long: batches of fewer rows keep little of them in the workers' and the JVM's memory at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

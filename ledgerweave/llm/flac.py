@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .common import documents
 
 UNIT = 192
 #: Samples in a frame: a multiple of UNIT with a code of its own in the header.
@@ -503,4 +504,4 @@ def described(streams: DataFrame) -> DataFrame:
 
 
 def op9_flac(spark, sf_dir: str) -> DataFrame:
-    return described(media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return described(media(documents(spark, sf_dir)))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Tables
+from .common import Tables, documents
 
 #: N-grams in more prefixes than this get a frequency class.
 COMMON = 20
@@ -412,4 +412,4 @@ def jaccard_components(df: DataFrame, words: int = 4, num: int = 85, den: int =
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return jaccard_components(documents(spark, sf_dir))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .common import documents
 
 #: Rows that the network is trained on at most.
 SAMPLE_ROWS = 2000
@@ -209,7 +210,7 @@ def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", te
 
 
 def op10_langid(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return predict(docs, train(docs))
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_vocabulary, slices
-from .common import Tables, shuffle_partitions
+from .common import Tables, documents, shuffle_partitions
 
 CAPACITY = 2048
 END_ID = 0
@@ -231,4 +231,4 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(documents(spark, sf_dir))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
+from .common import documents
 
 #: Strings that one exact set may hold before it becomes a query.
 MOST_STRINGS = 64
@@ -253,7 +254,36 @@ def joined(spans):
 
 
 def op6_secrets(spark, sf_dir: str) -> DataFrame:
-    found = secret_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = secret_spans(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("found", lambda x: x["kind"].isin(*BASE))
     return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
+
+
+def _sql() -> str:
+    """The same spans by plain expressions: offsets are the lengths of what lies between matches, and of the matches, added up."""
+    either = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    words = "|".join(map(either, ("password", "passwd", "secret", "token"))) + "|" + either("api") + "_?" + either("key")
+    plain = {"assign": rf"""({words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""}
+    columns, lists = [], []
+    for k, r in enumerate(rules()):
+        pattern = plain.get(r.kind, r.pattern.pattern.decode()).replace("'", "''")
+        columns.append(f"regexp_extract_all(t, '{pattern}') AS m{k}, regexp_extract_all(t, '{pattern}', {r.group}) AS c{k}, string_split_regex(t, '{pattern}') AS g{k}")
+        lists.append(
+            f"list_filter(list_transform(range(1, len(m{k}) + 1), lambda i: {{'a': CAST(list_sum(list_transform(g{k}[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m{k}[1:i - 1], lambda x: length(x))), 0) AS BIGINT), "
+            f"'k': {k}, 'n': length(m{k}[i]), 'c': length(c{k}[i]), 'kind': '{r.kind}'}}), lambda x: x.c >= {r.least})"
+        )
+    text = lambda spans: f"array_to_string(list_transform({spans}, lambda x: x.kind || ':' || x.a || ':' || (x.a + x.n)), ',')"
+    count = ", ".join(f"CAST(len(list_filter(found, lambda x: x.kind = '{b}')) AS BIGINT) AS n_{b}" for b in BASE)
+    both = lists[0]
+    for x in lists[1:]:
+        both = f"list_concat({both}, {x})"
+    return f"""
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, {', '.join(columns)} FROM d),
+s AS (SELECT doc_id, list_sort({both}) AS found FROM m)
+SELECT doc_id, {count}, sha256(coalesce({text(f"list_filter(found, lambda x: x.k < {len(BASE)})")}, '')) AS base_sha256, coalesce({text('found')}, '') AS spans FROM s
+"""
+
+
+ORACLE_SQL = _sql()
