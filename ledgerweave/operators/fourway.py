@@ -152,6 +152,11 @@ def four_way(register: DataFrame, invoices: DataFrame, orders: DataFrame, grns:
     )
 
 
+def item_match(findings: DataFrame) -> DataFrame:
+    """Adds item_match per line: true when invoice, order and receipt all have the item, null while one side is unknown."""
+    return findings.withColumn("items", F.transform("quantities", lambda q: F.struct(q["line_no"].alias("line_no"), F.when(q["received"].isNotNull() & q["po_number"].isNotNull(), True).when(F.size("ladder.matched") > 0, F.when(q["po_number"].isNull(), False)).alias("item_match"))))
+
+
 def coverage_counts(findings: DataFrame) -> DataFrame:
     """(chain_basis, n, n_over_billed)."""
     over = F.size(F.filter("quantities", lambda q: ~q["over_billing_ok"])) > 0

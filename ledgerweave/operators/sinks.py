@@ -43,13 +43,33 @@ def shown(value: Column, found: Column) -> Column:
     return F.when(found, F.coalesce(sheet_safe(value.cast("string")), F.lit(DASH)))
 
 
-def augmented_register(register: DataFrame, findings: DataFrame, bands: dict[str, list[Column]]) -> DataFrame:
-    """The register's own columns, then the bands; postings without an invoice stay blank.  Overwrites by register_row, so it can run again."""
+def augmented_register(register: DataFrame, findings: DataFrame, bands: dict[str, dict[str, Column]]) -> DataFrame:
+    """The register's own columns, then the bands (band -> title -> value); postings without an invoice stay blank.
+
+    Rows are keyed by register_row, so a second run overwrites the first one's.
+    """
     found = F.col("result") != ""
-    cols = [shown(c, found).alias(f"{band}: {c._jc.toString().split(' AS ')[-1]}") for band, cs in bands.items() for c in cs]
+    cols = [shown(c, found).alias(f"{band} {title}") for band, titles in bands.items() for title, c in titles.items()]
     return register.join(findings.select("register_row", "result", *cols), "register_row", "left").orderBy("register_row")
 
 
+def chain_bands() -> dict[str, dict[str, Column]]:
+    """Columns of a four-way finding by band: several orders or receipts are listed with their count, totals are sums, dates the earliest."""
+    listed = lambda c, f: F.concat(F.array_join(F.transform(c, lambda x: x[f]), ", "), F.when(F.size(c) > 1, F.format_string(" (%d)", F.size(c))).otherwise(""))
+    pos = F.col("ladder.matched")
+    itemized = F.transform(pos, lambda p: F.coalesce(p["po_itemized"], F.lit(False)))
+    kind = F.when(F.size(pos) == 0, None).when(F.forall(itemized, lambda x: x), "Itemized").when(F.forall(itemized, lambda x: ~x), "Lump-sum").otherwise("Mixed")
+    state = lambda c: F.when(F.col(c), "✓").when(~F.col(c), "✗")
+    checks = ("vendor_match", "total_match", "dates_fy", "register_taxable", "register_gst", "register_total", "po_num_consistent", "date_order", "receipt_after_order", "receipt_before_invoice", "booked_after_invoice", "site_consistent")
+    i = F.col("invoice")
+    return {
+        "INVOICE": {"Inv No": i["invoice_number"], "Date": i["invoice_date"], "Vendor": i["vendor_name"], "Tax id": i["vendor_gstin"], "Taxable": i["taxable_total"], "Tax": i["tax_total"], "Total": i["total"]},
+        "PO": {"No": listed(pos, "po_number"), "Date": F.array_min(F.transform(pos, lambda p: p["requisition_date"])), "Total": F.col("po_sum"), "Type": kind, "Basis": F.col("chain_basis"), "Confidence": F.col("chain_confidence")},
+        "GRN": {"No": listed(F.col("grns"), "grn_number"), "First": F.col("first_receipt"), "Lines": F.size(F.filter("quantities", lambda q: q["received"].isNotNull())), "Flow": F.array_join(F.array_distinct(F.transform("quantities", lambda q: q["flow"])), "; ")},
+        "CHECKS": {"Result": F.col("result"), **{c: state(c) for c in checks}, "Reason": F.col("reason"), "Flags": F.array_join("flags", "; ")},
+    }
+
+
 def line_sheet(findings: DataFrame) -> DataFrame:
     """A row per receipt of a line; the line's own cells stand on its first row alone."""
     rows = findings.select("register_row", F.explode("quantities").alias("q"), "grns")

@@ -184,6 +184,7 @@ def two_way(payloads: DataFrame, policy: MatchPolicy = TWO_WAY, rates: dict[str,
         near = F.coalesce(amounts_equal(inv["total"], e["total"], policy.amount_pct, policy.amount_floor) & (e["invoice_date"] == inv["invoice_date"]), F.lit(False))
         return F.when(same & number, F.concat(F.lit("EXACT DUPLICATE of already-processed invoice "), e["invoice_number"])).when(same & near, F.concat(F.lit("Possible duplicate: same vendor/amount/date as "), e["invoice_number"], F.lit(" (diff number)")))
 
+    # fixed values: the report's texts
     flags = F.array(
         said(F.col("ladder.confidence") == "none", "No PO matched (PO checks unverified)"),
         said(F.col("ladder.confidence") == "low", "Possible match only (GSTIN, total off)"),

@@ -215,3 +215,8 @@ def route(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sample requests, uploads)."""
     sample = F.coalesce(F.col("mode"), F.lit("")) == "sample"
     return requests.where(sample), requests.where(~sample)
+
+
+def findings(spark: SparkSession, path: str, schema: str, key: str = "findings") -> DataFrame:
+    """Rows of a JSON object's array under a fixed top-level key."""
+    return spark.read.schema(f"{key} array<{schema}>").json(path, multiLine=True).select(F.explode(key).alias("f")).select("f.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.operators.fourway import INVOICE, ORDER, RECEIPT_LINE, REGISTER, consolidated, coverage_counts, four_way, invoices_not_booked, postings, vouch
 from ledgerweave.operators.matching import covered_once, diagnostics, document_segments
-from ledgerweave.operators.sinks import line_sheet, workpaper
+from ledgerweave.operators.sinks import augmented_register, chain_bands, line_sheet, workpaper
 from ledgerweave.sources.readers import pages, register, register_cells
 
 G = "27AAAAA1111A1Z1"
@@ -62,6 +62,8 @@ def test_chains(tables):
     assert sum(r["n"] for r in coverage_counts(found).collect()) == 5
     sheet = line_sheet(found.where("register_row = 1")).orderBy("place").collect()
     assert [(r["grn_number"], r["billed"]) for r in sheet] == [("G1", 10.0), ("G2", None)]
+    wide = {r["register_row"]: r for r in augmented_register(tables[0], found, chain_bands()).collect()}
+    assert (wide[1]["INVOICE Inv No"], wide[1]["GRN No"], wide[1]["PO Type"], wide[3]["INVOICE Inv No"]) == ("inv 001", "G1, G2 (2)", "Itemized", None)
     assert covered_once(tables[0], found, "register_row").count() == 0
 
 
