@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date
 from ..functions.money import parse_money, to_cents
 from ..functions.names import clean_order, order_key, reference_key, vendor_name
-from ..functions.text import currency_of, set_jaccard
-from ..operators.extraction import ingest_quality, labelled_id, non_empty_lines
+from ..functions.text import code_valid, currency_of, page_kind, set_jaccard
+from ..operators.extraction import extract, ingest, ingest_quality, labelled_id, non_empty_lines
 from ..operators.findings import decide, finding, listed
-from ..operators.invoices import amount_finding, cumulative_finding, plausible, similar_names
+from ..operators.invoices import amount_finding, cumulative_finding, decide_invoices, plausible, similar_names
 from ..operators.matching import count_phrase, coverage, duplicate_pairs, fan_out, first_by, flow_phrase, ladder, only_unique, pivot_cells, row_type, segments
-from ..operators.twoway import all_agree, state_text
-from ..policy import HOLD, OK, REJECT, REVIEW
+from ..operators.twoway import INVOICE, ORDER, all_agree, state_text, two_way
+from ..policy import HOLD, OK, REJECT, REVIEW, MatchPolicy
+from ..sources.readers import ledger_defaults, order_defaults, vendor_defaults
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -369,3 +370,54 @@ _KINDS = ("click", "view", "purchase")
 @query("pivot_cells", "SELECT user_id, " + ", ".join(f"max(CASE WHEN event_type = '{k}' THEN event_id END) AS \"{k}\"" for k in _KINDS) + " FROM events GROUP BY user_id")
 def pivot_cells_query(spark, d):
     return pivot_cells(_read(spark, d, "events").select("user_id", "event_type", "event_id", F.col("event_id").alias("pos")), ["user_id"], "event_type", "event_id", list(_KINDS))
+
+
+@query("invoice_decisions_from_text", f"""WITH {_WHOLE}, v AS (SELECT w.*, s.s_suppkey AS vendor, CASE WHEN status = 'closed' THEN 5 ELSE 0 END AS closed,
+CASE WHEN partial THEN CASE WHEN cents - po_cents <= 5 THEN 0 WHEN cents - po_cents <= {_BAND} THEN 3 ELSE 5 END ELSE {_SEVERITY} END AS amount FROM w JOIN supplier s ON s.s_suppkey = w.cust % (SELECT count(*) FROM supplier)),
+z AS (SELECT *, greatest(closed, amount) AS worst FROM v)
+SELECT 'INV-' || order_id AS invoice_number, cents AS total_cents, {_OUTCOME} AS outcome, CASE worst WHEN 5 THEN 0.95 WHEN 3 THEN 0.75 ELSE 0.93 END::DOUBLE AS confidence, 'explicit-reference' AS basis FROM z""")
+def invoice_decisions_from_text(spark, d):
+    """Invoice texts made of orders and bills, read, matched, checked and decided."""
+    w, firms = _whole(spark, d), _read(spark, d, "supplier").count()
+    last = bills(spark, d).groupBy("order_id").agg(F.max("bill_date").alias("bill_date"))
+    firm = lambda n: F.concat(F.lit("Firm "), n.cast("string"), F.lit(" Trading"))
+    number = F.col("order_id").cast("string")
+    text = F.concat_ws("\n", firm(F.col("cust") % firms), F.concat(F.lit("Invoice Number: INV-"), number), F.concat(F.lit("Invoice Date: "), F.date_format("bill_date", "yyyy-MM-dd")), F.concat(F.lit("PO Number: PO-"), number), F.concat(F.lit("Total Due: $"), F.format_number(_money("cents"), 2)))
+    docs = w.join(last, "order_id").select(F.col("order_id").alias("doc_id"), text.alias("raw_text"))
+    vendors = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_suppkey").cast("string").alias("vendor_id"), firm(F.col("s_suppkey")).alias("name"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(True).alias("approved"), F.lit(None).cast("string").alias("payment_terms"))
+    none = F.lit(None).cast("string")
+    po = orders(spark, d).select(F.col("order_id").alias("seq"), F.concat(F.lit("PO-"), number).alias("po_number"), (F.col("cust") % firms).cast("string").alias("vendor_id"), _money("po_cents").alias("total_amount"), none.alias("currency"), "status", F.col("partial").alias("allow_partial"), none.alias("description"))
+    ledger = spark.createDataFrame([], "seq int, invoice_number string, vendor_id string, po_number string, total string, invoice_date string, amount_applied string, decision string")
+    out = decide_invoices(extract(ingest(docs)).persist(), vendor_defaults(vendors), order_defaults(po), ledger_defaults(ledger))
+    return out.select("invoice_number", (F.col("total") * 100).cast("bigint").alias("total_cents"), "decision.outcome", "decision.confidence", F.col("match_basis").alias("basis"))
+
+
+_TIE = "abs(cents - po_cents) <= greatest(100, 0.005 * po_cents)"
+
+
+@query("two_way_match", f"""WITH {_WHOLE}, l AS (SELECT order_id, max(bill_date) AS bill_date FROM b GROUP BY ALL), z AS (SELECT w.*, bill_date, CASE WHEN order_id % 3 = 0 THEN 1 WHEN order_id % 5 > 0 AND {_TIE} THEN 2 WHEN order_id % 5 > 0 THEN 3 ELSE 4 END AS rung,
+bill_date BETWEEN DATE '1994-04-01' AND DATE '1997-03-31' AS bill_in, po_date BETWEEN DATE '1994-04-01' AND DATE '1997-03-31' AS po_in FROM w JOIN l USING (order_id))
+SELECT order_id, CAST(rung AS INTEGER) AS rung, CASE WHEN (rung < 4 AND NOT ({_TIE})) OR NOT bill_in OR (rung < 4 AND NOT po_in) THEN 'No match' ELSE 'Match' END AS result, CASE WHEN rung < 4 THEN bill_date >= po_date END AS date_order FROM z""")
+def two_way_match(spark, d):
+    last = bills(spark, d).groupBy("order_id").agg(F.max("bill_date").alias("bill_date"))
+    w = _whole(spark, d).join(last, "order_id")
+    number, name = F.col("order_id").cast("string"), F.concat(F.lit("Firm "), F.col("cust").cast("string"))
+    tax = F.concat(F.lit("27AAAAA"), F.lpad(F.col("cust").cast("string"), 8, "0"))
+    none = F.lit(None).cast("string")
+    amount = lambda c: (F.col(c) / 100).cast("double")
+    cited = F.when(F.col("order_id") % 3 == 0, F.array(F.struct(F.concat(F.lit("po "), number).alias("value"), F.lit("buyer_pr_po").alias("kind"), F.lit(False).alias("handwritten"))))
+    lines_of = INVOICE.split("lines:")[1][:-1]
+    invoice = F.struct(F.concat(F.lit("INV-"), number), F.col("bill_date").cast("string"), name, F.when(F.col("order_id") % 5 > 0, tax), none, cited, F.lit(None).cast("double"), F.lit(None).cast("double"), amount("cents"), F.lit(None).cast(lines_of)).cast(INVOICE)
+    po = F.struct(F.concat(F.lit("PO"), number), none, name, tax, none, F.col("po_date").cast("string"), none, amount("po_cents"), F.lit(True), F.lit(None).cast(lines_of)).cast(ORDER)
+    out = two_way(w.select("order_id", invoice.alias("invoice"), F.array(po).alias("pos")), MatchPolicy(fy_start="1994-04-01", fy_end="1997-03-31"))
+    return out.select("order_id", "ladder.rung", "result", "date_order")
+
+
+@query("code_validity", "SELECT p_partkey AS part, length(CAST(p_partkey * 37 AS VARCHAR)) IN (4, 6, 8) AS valid FROM part")
+def code_validity(spark, d):
+    return _read(spark, d, "part").select(F.col("p_partkey").alias("part"), code_valid((F.col("p_partkey") * 37).cast("string")).alias("valid"))
+
+
+@query("page_titles", r"SELECT page_id, CASE WHEN regexp_matches(upper(html), '\b(TAX INVOICE|INVOICE|BILL OF SUPPLY|CREDIT NOTE|DEBIT NOTE)\b') THEN 'invoice' WHEN regexp_matches(upper(html), '\b(GOODS RECEIPT|GRN|MATERIAL RECEIPT|GOODS RECEIVED)\b') THEN 'grn' WHEN regexp_matches(upper(html), '\b(PURCHASE ORDER|WORK ORDER|SERVICE ORDER|PURCHASE REQUISITION)\b') THEN 'po' ELSE 'continuation' END AS kind FROM pages WHERE html IS NOT NULL")
+def page_titles(spark, d):
+    return _read(spark, d, "pages").where("html is not null").select("page_id", page_kind(F.col("html")).alias("kind"))
