@@ -1,11 +1,17 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, each sentence is normalised (lower case, words
-only) and mapped to the identifier of a known licence sentence; the sequence of
-identifiers is matched against ordered licence rules, the longer ones first.  A
-rule that matches takes its identifiers, so that a shorter one does not match
-them again.  Sentences that speak of licensing without being known count as
-unmatched.
+A text is cut at sentence ends and line ends, the parts are normalised (lower
+case, words only), and runs of parts that are a known licence sentence are
+mapped to its identifier; the sequence of identifiers is matched against ordered
+licence rules, the longer ones first.  A rule that matches takes its
+identifiers, so that a shorter one does not match them again.  Parts that speak
+of licensing without being known count as unmatched.
+
+A known sentence begins and ends at a cut.  Inside it lines may break anywhere,
+and comment signs are no words; an open end (a final ``.*``) runs on over line
+ends and semicolons to the end of the sentence, a blank line or the next known
+sentence, but those of ``BY_LINE`` end with their line.  ``ORACLE_SQL`` knows no
+sentences over several parts: on texts without them it computes the same.
 
 Only DataFrame functions.  Defined results: null text is the empty text and has
 no sentences; A-Z alone are lowered, every other character that is no letter
@@ -21,7 +27,6 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Every known sentence holds one of these.
 TRIGGER = "licen[sc]e|copyright|warrant|permission|redistribut|reserved"
-BREAK = "[.!?;]+[ \\t\\r\\n]+|[\\r\\n]+"
 #: Identifier -> expression of the whole normalised sentence (fixed values, after the licences' own words).
 SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software .*",
@@ -72,13 +77,55 @@ RULES = [
     ("Proprietary", ("reserved",)),
 ]
 
+#: Cuts, as capitals that no lowered text holds: P blank line, D end of a sentence, S semicolon, L end of a line.  Of adjacent cuts the first of these stays.
+CUTS = [
+    ("\\r\\n?", "\n"),
+    ("\\n[^a-z0-9\\n]*+\\n[^a-z0-9]*+", " P "),
+    ("(?<![.!?])[.!?]++[ \\t\\n]++|:[ \\t]*+\\n", " D "),
+    ("(?<!;);++[ \\t\\n]++", " S "),
+    ("\\n", " L "),
+    ("[^a-z0-9PDSL]+", " "),
+    ("(?<![PDSL ])[DSL ]*+P[PDSL ]*+", " P "),
+    ("(?<![DSL ])[SL ]*+D[DSL ]*+", " D "),
+    ("(?<![SL ])[L ]*+S[SL ]*+", " S "),
+    ("(?<![L ]) L[L ]*+", " L "),
+]
+#: Sentences whose open end is the rest of the line.
+BY_LINE = ("spdx", "copyright")
+#: Cuts that stand in known sentences, besides line ends.
+INNER = {"software you": "software (?:[LS] )?you", "v 2": "v (?:[LD] )?2", "(v )?": "(v (?:[LD] )?)?", "at.*": "at(?: [PDSL])?(?: http [a-z0-9 ]*)?[a-z0-9 LS]*"}
+
+
+def _over_lines(name: str, pattern: str) -> str:
+    """The expression of a known sentence in a text with cuts."""
+    for a, b in INNER.items():
+        pattern = pattern.replace(a, b.replace(" ", "\0"))
+    pattern = pattern.replace(" ", " (?:L )?").replace("\0", " ")
+    if pattern.endswith(".*"):
+        pattern = pattern[:-2] + ("[a-z0-9 ]*" if name in BY_LINE else "[a-z0-9 LS]*")
+    return pattern.replace(".*", "[a-z0-9 LS]*?")
+
+
+def _open(pattern: str) -> bool:
+    return pattern.endswith(".*")
+
+
+def _parts(low: Column) -> Column:
+    """The parts of a lowered text; a known sentence is K and its name."""
+    out = low
+    for pattern, cut in CUTS:
+        out = F.regexp_replace(out, pattern, cut)
+    out = F.concat(F.lit("P "), F.trim(out), F.lit(" P"))
+    heads = "|".join(f"{_over_lines(n, p[:-2])}" for n, p in SENTENCES.items() if _open(p))
+    out = F.regexp_replace(out, f"[LS] (?={heads})", "D ")  # an open end does not run into the next known sentence
+    for name in sorted(SENTENCES, key=lambda n: _open(SENTENCES[n])):
+        out = F.regexp_replace(out, f"([PDSL]) (?:{_over_lines(name, SENTENCES[name])})(?= [PDSL])", f"$1 K{name}")
+    return F.transform(F.split(out, "[PDSL]"), lambda s: F.trim(s))
+
 
-def _identifier(sentence: Column) -> Column:
-    """The first known sentence that it is; "?" for other talk of licences, else null."""
-    out = F.when(~sentence.rlike(TRIGGER), None)
-    for name, pattern in SENTENCES.items():
-        out = out.when(sentence.rlike(f"^(?:{pattern})$"), name)
-    return out.otherwise("?")
+def _identifier(part: Column) -> Column:
+    """The known sentence that it is; "?" for other talk of licences, else null."""
+    return F.when(part.startswith("K"), F.substring(part, 2, 64)).when(part.rlike(TRIGGER), "?")
 
 
 def _after(n: int) -> str:
@@ -90,8 +137,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """(doc_id, sentence_ids, licenses, n_licenses, n_unmatched) of every row."""
     low = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), low.alias("low"))
-    sentence = lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
-    found = F.filter(F.transform(F.filter(F.transform(F.split("low", BREAK), sentence), lambda s: s.rlike(TRIGGER)), _identifier), lambda x: x.isNotNull())
+    found = F.filter(F.transform(_parts(F.col("low")), _identifier), lambda x: x.isNotNull())
     rows = rows.select("doc_id", F.when(F.col("low").rlike(TRIGGER), found).otherwise(F.array().cast("array<string>")).alias("ids"))
     # each identifier stands between two commas; a taken one becomes #
     rows = rows.withColumn(_after(0), F.concat(F.lit(","), F.array_join(F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(","))), ""), F.lit(",")))
