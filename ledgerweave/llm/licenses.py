@@ -11,7 +11,8 @@ A known sentence begins and ends at a cut.  Inside it lines may break anywhere,
 and comment signs are no words; an open end (a final ``.*``) runs on over line
 ends and semicolons to the end of the sentence, a blank line or the next known
 sentence, but those of ``BY_LINE`` end with their line.  ``ORACLE_SQL`` knows no
-sentences over several parts: on texts without them it computes the same.
+sentences over several parts and, without a word of ``TRIGGER``, no Creative
+Commons lines: on texts without them it computes the same.
 
 Only DataFrame functions.  Defined results: null text is the empty text and has
 no sentences; A-Z alone are lowered, every other character that is no letter
@@ -25,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Every known sentence holds one of these.
 TRIGGER = "licen[sc]e|copyright|warrant|permission|redistribut|reserved"
+#: Every known sentence holds one of these, as it stands in a lowered text or normalised, with L for a line's end.
+TALK = TRIGGER + "|\\bcc[^a-z0-9]+(?:L )?by\\b|creative[^a-z0-9]+(?:L )?commons"
 #: Identifier -> expression of the whole normalised sentence (fixed values, after the licences' own words).
 SENTENCES = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software .*",
@@ -125,7 +127,7 @@ def _parts(low: Column) -> Column:
 
 def _identifier(part: Column) -> Column:
     """The known sentence that it is; "?" for other talk of licences, else null."""
-    return F.when(part.startswith("K"), F.substring(part, 2, 64)).when(part.rlike(TRIGGER), "?")
+    return F.when(part.startswith("K"), F.substring(part, 2, 64)).when(part.rlike(TALK), "?")
 
 
 def _after(n: int) -> str:
@@ -138,7 +140,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     low = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), low.alias("low"))
     found = F.filter(F.transform(_parts(F.col("low")), _identifier), lambda x: x.isNotNull())
-    rows = rows.select("doc_id", F.when(F.col("low").rlike(TRIGGER), found).otherwise(F.array().cast("array<string>")).alias("ids"))
+    rows = rows.select("doc_id", F.when(F.col("low").rlike(TALK), found).otherwise(F.array().cast("array<string>")).alias("ids"))
     # each identifier stands between two commas; a taken one becomes #
     rows = rows.withColumn(_after(0), F.concat(F.lit(","), F.array_join(F.transform("ids", lambda x: F.concat(F.lit(","), x, F.lit(","))), ""), F.lit(",")))
     for n, (_, sequence) in enumerate(RULES):

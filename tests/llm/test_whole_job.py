@@ -1,6 +1,8 @@
 """Cases in which an operator once did less than the whole job."""
 
+import re
 import textwrap
+from re import _constants, _parser
 
 import pytest
 
@@ -37,3 +39,39 @@ def test_open_ends_stop_at_known_sentences(spark):
     got = scanned(spark, ["Copyright (c) 2020 Foo\n" + MIT.replace("\n\n", "\n").replace(":\nThe", "\nThe").replace(".\nTHE", "\nTHE"), "Released under the\nMIT license\nAll rights reserved\nA licence of\nour own", "; " * 100000 + "licence" + "\n" * 100000])
     assert got[0]["sentence_ids"] == "copyright,mit-grant,mit-notice,mit-asis"
     assert got[1]["sentence_ids"] == "mit-line,reserved,?" and got[2]["sentence_ids"] == "?"
+
+
+def shortest(items):
+    """A shortest string that a parsed expression matches."""
+    out = ""
+    for op, value in items:
+        if op is _constants.LITERAL:
+            out += chr(value)
+        elif op is _constants.IN:
+            out += chr(value[0][1][0] if value[0][0] is _constants.RANGE else value[0][1])
+        elif op is _constants.ANY:
+            out += "x"
+        elif op is _constants.SUBPATTERN:
+            out += shortest(value[3])
+        elif op is _constants.BRANCH:
+            out += min(map(shortest, value[1]), key=len)
+        else:
+            assert op is _constants.MAX_REPEAT, op
+            out += shortest(value[2]) * value[0]
+    return out
+
+
+def test_every_known_sentence_is_looked_at(spark):
+    least = {name: shortest(_parser.parse(pattern.replace(" .*", " x").replace(".*", ""))) for name, pattern in licenses.SENTENCES.items()}
+    assert all(re.search(licenses.TALK, s) for s in least.values())
+    texts = [*least.values(), *(s.replace(" ", "\n") for s in least.values())]
+    found = scanned(spark, texts)
+    for k, name in enumerate([*least, *least]):
+        if k >= len(least) and name in licenses.BY_LINE:
+            continue  # ends with its line
+        assert found[k]["sentence_ids"] == name, (name, texts[k], found[k])
+
+
+def test_creative_commons(spark):
+    got = scanned(spark, ["Released under CC BY 4.0.", "Distributed under CC BY-SA 4.0.", "Released under Creative Commons\nAttribution 4.0 International.", "Some words on creative commons.", "released under pressure"])
+    assert [(got[k]["licenses"], got[k]["n_unmatched"]) for k in range(5)] == [("CC-BY", 0), ("CC-BY-SA", 0), ("CC-BY", 0), ("", 1), ("", 0)]
