@@ -17,14 +17,14 @@ from ledgerweave.llm import langid, packing, secrets
 from ledgerweave.llm.common import Tables, documents, small_batches
 from ledgerweave.llm.jaccard import jaccard_components
 
-#: Least score of the best language; any of four languages scores 0.25 by chance.
+#: Least score of the best language; noise and foreign text are the network's label ``und``, which goes whatever it scores.
 LEAST_SCORE = 0.3
 WORDS, SIMILARITY = 5, (80, 100)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return langid.keep_known(docs, langid.train(docs), LEAST_SCORE)
+    return langid.keep_known(docs, langid.train(docs, other=True), LEAST_SCORE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

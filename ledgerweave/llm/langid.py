@@ -173,8 +173,35 @@ class Network:
         return np.add.reduceat(sums, ends - lanes, axis=0) / sizes[:, None]
 
 
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Network | None:
-    """A network fitted on at most ``rows`` labelled rows (and ties of the hash) that are not held out; None without any."""
+#: First and last letters of scripts of which text in no learned language is made.
+SCRIPTS = [(0xC0, 0xFF), (0x100, 0x17F), (0x391, 0x3C9), (0x410, 0x44F), (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x64A), (0x905, 0x939), (0xE01, 0xE2E), (0x10D0, 0x10F0), (0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+SIGNS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdef"]
+
+
+def foreign(texts: list[str], each: int = 40, seed: int = 5) -> list[str]:
+    """Random letters: encodings, noise, and scripts that are under a hundredth of the letters of the texts."""
+    rng = np.random.default_rng(seed)
+    points = np.concatenate([np.frombuffer(t[:5000].encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts])
+    letters = points[(points >= 0x41) & ((points >= 0xC0) | np.isin(points & ~np.uint32(32), np.arange(0x41, 0x5B)))]
+    share = lambda a, b: ((letters >= a) & (letters <= b)).sum() / max(len(letters), 1)
+    pools = [*SIGNS, *("".join(map(chr, range(a, b + 1))) for a, b in SCRIPTS if share(a, b) < 0.01), "".join(map(chr, [*range(0x61, 0x7B), *range(0xC0, 0x100)]))]
+    out = []
+    for pool in pools:
+        signs = np.array(list(pool))
+        for k in range(each):
+            text = "".join(rng.choice(signs, 300))
+            if k % 2:  # in words
+                cuts = np.cumsum(rng.integers(2, 11, 60))
+                text = " ".join(text[a:b] for a, b in zip([0, *cuts], cuts) if a < len(text))
+            out.append(text)
+    return out
+
+
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", other: bool = False) -> Network | None:
+    """A network fitted on at most ``rows`` labelled rows (and ties of the hash) that are not held out; None without any.
+
+    With ``other`` one more label, ``und``, is learned from ``foreign`` text.
+    """
     order = F.xxhash64(id_col)
     known = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col) & has_letter(text_col))
     ids = docs.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(order.alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
@@ -184,8 +211,11 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text
     sample = sorted(sample, key=lambda r: (r["h"], r["label"], r["text"]))
     if not sample:
         return None
-    labels = sorted({r["label"] for r in sample})
-    return Network(labels).fit([r["text"].encode() for r in sample], [r["label"] for r in sample])
+    texts, own = [r["text"] for r in sample], [r["label"] for r in sample]
+    if other:
+        more = foreign(texts)
+        texts, own = texts + more, own + [UNKNOWN] * len(more)
+    return Network(sorted(set(own))).fit([t.encode() for t in texts], own)
 
 
 def predict(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,7 +245,7 @@ def op10_langid(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, network: Network | None, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a letter and whose best label scores ``least`` at least."""
+    """The rows, with all their columns, whose text has a letter and whose best label is a language and scores ``least`` at least; none without a network."""
     at = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
@@ -224,9 +254,11 @@ def keep_known(docs: DataFrame, network: Network | None, least: float, text_col:
         for whole in batches:
             for b in slices(whole, at, 1 << 20):
                 texts = b.column(at).cast(pa.binary()).to_pylist()
-                keep = [True] * len(texts)
+                keep = [False] * len(texts)
                 if network:
-                    keep = (network.documents(texts).max(1) >= least).tolist()
-                yield b.filter(pa.array(keep))
+                    p = network.documents(texts)
+                    language = np.array([x != UNKNOWN for x in network.labels])
+                    keep = ((p.max(1) >= least) & language[p.argmax(1)]).tolist()
+                yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.where(has_letter(text_col)).mapInArrow(run, docs.schema)

@@ -1,12 +1,14 @@
 """Cases in which an operator once did less than the whole job."""
 
+import random
 import re
 import textwrap
 from re import _constants, _parser
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerweave.llm import licenses
+from ledgerweave.llm import langid, licenses
 
 MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 BSD2 = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
@@ -75,3 +77,19 @@ def test_every_known_sentence_is_looked_at(spark):
 def test_creative_commons(spark):
     got = scanned(spark, ["Released under CC BY 4.0.", "Distributed under CC BY-SA 4.0.", "Released under Creative Commons\nAttribution 4.0 International.", "Some words on creative commons.", "released under pressure"])
     assert [(got[k]["licenses"], got[k]["n_unmatched"]) for k in range(5)] == [("CC-BY", 0), ("CC-BY-SA", 0), ("CC-BY", 0), ("", 1), ("", 0)]
+
+
+def test_junk_is_no_language(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    make = {"aa": "etaoinshr", "bb": "äöüßgkzwe", "cc": "éèêçoiuae"}
+    words = {x: ["".join(rng.choice(s) for _ in range(rng.randint(2, 8))) for _ in range(150)] for x, s in make.items()}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(rng.randint(8, 60))), x) for i, x in enumerate(rng.choice(list(make)) for _ in range(300))]
+    say = lambda signs, n, gap="": gap.join("".join(rng.choice(signs) for _ in range(7)) for _ in range(n))
+    span = lambda a, b: [chr(c) for c in range(a, b)]
+    junk = [say(langid.SIGNS[0], 40) for _ in range(20)] + [say(span(0x410, 0x450), 30, " ") for _ in range(20)] + [say(span(0x4E00, 0x9000), 20) for _ in range(20)] + [say(langid.SIGNS[2], 30, " ") for _ in range(20)]
+    docs = spark.createDataFrame(rows + [(1000 + k, t, None) for k, t in enumerate(junk)], "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in cp.language_id(spark, docs, "").collect()}
+    assert len(kept & set(range(300))) >= 297 and len(kept - set(range(300))) <= 1
+    assert cp.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect() == []
