@@ -122,6 +122,21 @@ def rules() -> list[Rule]:
     ]
 
 
+#: A whole key: from its header to its END line, which is looked for up to the next header; or its header, fields and base64 body when END is missing.
+#: Signs of quoting, comments and escaped line ends may stand between the lines.
+_GAP = rb"""(?:\\[nrt]|(?!-----)[\s"'\\,;+#*>|/-])*+"""
+_FIELD = rb"""(?:[A-Za-z][A-Za-z-]*:\x20[^\r\n\\]*+)"""
+KEY = (
+    rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S]){0,32768}?-----END [A-Z ]*PRIVATE KEY-----"
+    rb"|(?:" + _GAP + _FIELD + rb")*+(?:" + _GAP + rb"[A-Za-z0-9+/]{16,}+={0,2})++(?:" + _GAP + rb"[A-Za-z0-9+/]++={0,2})?+(?:" + _GAP + rb"-----END [A-Z ]*PRIVATE KEY-----)?+)?"
+)
+
+
+def redacted() -> list[Rule]:
+    """The rules by which texts are cleaned: a private key is a secret from its first line to its last, not its header alone."""
+    return [Rule(r.kind, KEY) if r.kind == "private_key" else r for r in rules()]
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -200,13 +215,13 @@ class Scanner:
         return out
 
 
-_SCANNER: list[Scanner] = []
+_SCANNER: dict[bool, Scanner] = {}
 
 
-def _scanner() -> Scanner:
-    if not _SCANNER:
-        _SCANNER.append(Scanner())
-    return _SCANNER[0]
+def _scanner(clean: bool = False) -> Scanner:
+    if clean not in _SCANNER:
+        _SCANNER[clean] = Scanner(redacted() if clean else rules())
+    return _SCANNER[clean]
 
 
 def secret_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -231,7 +246,7 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
     at = df.columns.index(text_col)
 
     def run(batches):
-        scanner = _scanner()
+        scanner = _scanner(True)
         for whole in batches:
             for b in slices(whole, at, 2 << 20):
                 texts = b.column(at).to_pylist()

@@ -8,7 +8,7 @@ from re import _constants, _parser
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import langid, licenses
+from ledgerweave.llm import langid, licenses, secrets
 
 MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 BSD2 = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
@@ -93,3 +93,20 @@ def test_junk_is_no_language(spark):
     kept = {r["doc_id"] for r in cp.language_id(spark, docs, "").collect()}
     assert len(kept & set(range(300))) >= 297 and len(kept - set(range(300))) <= 1
     assert cp.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect() == []
+
+
+def test_redaction_takes_whole_keys(spark):
+    rng = random.Random(9)
+    sign = langid.SIGNS[0]
+    lines = ["".join(rng.choice(sign) for _ in range(64)) for _ in range(25)] + ["".join(rng.choice(sign) for _ in range(11)) + "="]
+    begin, end, fields = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----", ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    bodies = {"\n": lines, "\r\n": lines, " ": lines, "\\n": lines, "\n# ": lines, '\\n" +\n  "': lines, "\n ": [*fields, *lines]}
+    rows, whole = [], [False, True]
+    for gap, body in bodies.items():
+        rows += ["é before " + gap.join([begin, *body, *([end] * w)]) + "\n\nafter it. " for w in whole]
+    rows += [f"a {begin} b", f"{begin}\n{lines[0]}\n{begin}\n{lines[1]}\n{end} c", f"{begin}\n" + "\n".join(lines[:25] * 40) + f"\n{end} d", f"{begin} x " * 3000]
+    got = [r[1] for r in secrets.redact(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    n = 2 * len(bodies)
+    for k, text in enumerate(got[:n]):
+        assert text.startswith("é before [SECRET]") and text.endswith("after it. ") and "PRIVATE" not in text and not any(x[:8] in text for x in lines), (k, text)
+    assert got[n:] == ["a [SECRET] b", "[SECRET]\n[SECRET] c", "[SECRET] d", "[SECRET] x " * 3000]
