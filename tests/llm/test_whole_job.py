@@ -8,7 +8,7 @@ from re import _constants, _parser
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import langid, licenses, secrets
+from ledgerweave.llm import langid, licenses, pii, secrets
 
 MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 BSD2 = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
@@ -110,3 +110,12 @@ def test_redaction_takes_whole_keys(spark):
     for k, text in enumerate(got[:n]):
         assert text.startswith("é before [SECRET]") and text.endswith("after it. ") and "PRIVATE" not in text and not any(x[:8] in text for x in lines), (k, text)
     assert got[n:] == ["a [SECRET] b", "[SECRET]\n[SECRET] c", "[SECRET] d", "[SECRET] x " * 3000]
+
+
+def test_iban_before_other_words(spark):
+    ibans = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "MT84MALT011000012345MTLCAST001S", "BE68 5390 0754 7034"]
+    rows = [f"IBAN {i}{after}" for i in ibans for after in (" BIC COBADEFFXXX", " EUR 500", " 2024", ", BIC", "", " 12 34")] + ["IBAN DE89370400440532013000 GB82 WEST 1234 5698 7654 32", "DE89370400440532013001 EUR", "DE893704004405320130001"]
+    got = {r["doc_id"]: [x["m"] for x in r["iban"]] for r in pii.personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    for k in range(6 * len(ibans)):
+        assert got[k] == [ibans[k // 6]], rows[k]
+    assert [got[k] for k in range(6 * len(ibans), len(rows))] == [ibans[:2], [], []]
