@@ -6,9 +6,11 @@ vectors are summed modulo powers of two, so that the order of elements is of no
 account and elements can be inserted or deleted by adding or subtracting theirs:
 
 * the identity part sums, per paragraph, 16 lanes modulo 2 ** 32;
-* the likeness part sums, per chunk, 120 lanes of one bit modulo 2 ** 20.  A
-  lane's sum, doubled and less the number of chunks, adds a random sign per
-  chunk: the cosine of two texts' lanes estimates the cosine of their chunk counts.
+* the likeness part sums, per chunk, 120 lanes of one bit.  A lane's sum, doubled
+  and less the number of chunks, adds a random sign per chunk: the cosine of two
+  texts' lanes estimates the cosine of their chunk counts.  Three lanes are summed
+  in one number, in blocks too small for a carry, and blocks' lanes are added apart;
+  the printed fingerprint has them modulo 2 ** 20.
 
 Only DataFrame functions.  The next document comes from a window over ranges of
 doc_id; the first row of each range is copied to the range before it, so no
@@ -32,6 +34,7 @@ CLAUSE = r"[^\n.,;:!?]"
 WORDS = 8  # 64-bit hashes of a paragraph, two lanes of 32 bits each
 SKETCHES = 2  # 64-bit hashes of a chunk, 60 lanes each
 _SHIFTS = range(20)
+BLOCK_BITS = 19  # a block has up to 2 ** 19 elements, so that no lane of 20 bits overflows
 _MASK = (1 << 40) | (1 << 20) | 1
 
 
@@ -50,27 +53,29 @@ def _sums() -> list[Column]:
         out += [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias(f"d{2 * w}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"d{2 * w + 1}")]
     for w in range(SKETCHES):
         h = F.when(F.col("kind") == 1, F.xxhash64(F.lit(WORDS + w), "s"))
-        out += [F.try_sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_MASK))).alias(f"s{w * len(_SHIFTS) + k}") for k in _SHIFTS]
+        out += [F.sum(F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_MASK))).alias(f"s{w * len(_SHIFTS) + k}") for k in _SHIFTS]
     return [*out, F.count(F.when(F.col("kind") == 1, 1)).alias("n")]
 
 
-def _dense() -> Column:
-    return F.array(*(F.coalesce(F.col(f"d{k}"), F.lit(0)) % (1 << 32) for k in range(2 * WORDS)))
-
-
-def _sketch() -> Column:
-    return F.array(*(F.coalesce(F.col(f"s{k}"), F.lit(0)) for k in range(SKETCHES * len(_SHIFTS))))
+def _added() -> list[Column]:
+    """Aggregates over blocks' sums: dense, sketch (a number per lane) and n."""
+    one = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    dense = [one(f"d{k}") % (1 << 32) for k in range(2 * WORDS)]
+    sketch = [one(F.shiftrightunsigned(F.col(f"s{k}"), b).bitwiseAND(F.lit(0xFFFFF))) for k in range(SKETCHES * len(_SHIFTS)) for b in (0, 20, 40)]
+    return [F.array(*dense).alias("dense"), F.array(*sketch).alias("sketch"), F.sum("n").alias("n")]
 
 
 def text_of(dense: Column, sketch: Column) -> Column:
     """The fingerprint as hexadecimal digits: identity lanes, then packed likeness lanes."""
     digits = lambda a, n: F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), n, "0")), "")
-    return F.concat(digits(dense, 8), digits(sketch, 16))
+    lane = lambda k: sketch[k].bitwiseAND(F.lit(0xFFFFF))
+    packed = F.array(*(lane(k).bitwiseOR(F.shiftleft(lane(k + 1), 20)).bitwiseOR(F.shiftleft(lane(k + 2), 40)) for k in range(0, 3 * SKETCHES * len(_SHIFTS), 3)))
+    return F.concat(digits(dense, 8), digits(packed, 16))
 
 
 def lanes(sketch: Column, n: Column) -> Column:
     """Signed likeness lanes."""
-    return F.flatten(F.transform(sketch, lambda x: F.array(*(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(0xFFFFF)) * 2 - n for k in (0, 20, 40))))).cast("array<double>")
+    return F.transform(sketch, lambda x: x * 2 - n).cast("array<double>")
 
 
 def likeness(a: Column, b: Column, equal: Column) -> Column:
@@ -82,8 +87,9 @@ def likeness(a: Column, b: Column, equal: Column) -> Column:
 
 def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, dense, sketch and n of each group of equal keys (each row, if they are unique); no shuffle if the rows are dealt by a key."""
-    one = df.select(*keys, F.explode_outer(elements(F.coalesce(F.col(text_col), F.lit("")))).alias("e")).select(*keys, "e.kind", "e.s")
-    return one.groupBy(*keys).agg(*_sums()).select(*keys, _dense().alias("dense"), _sketch().alias("sketch"), "n")
+    one = df.select(*keys, F.posexplode_outer(elements(F.coalesce(F.col(text_col), F.lit("")))).alias("at", "e"))
+    one = one.select(*keys, F.shiftright(F.coalesce("at", F.lit(0)), BLOCK_BITS).alias("block_no"), "e.kind", "e.s")
+    return one.groupBy(*keys, "block_no").agg(*_sums()).groupBy(*keys).agg(*_added())
 
 
 def _ranged(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from re import _constants, _parser
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import langid, licenses, pii, secrets
+from ledgerweave.llm import fingerprints, langid, licenses, pii, secrets
 
 MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
 BSD2 = 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'
@@ -119,3 +119,12 @@ def test_iban_before_other_words(spark):
     for k in range(6 * len(ibans)):
         assert got[k] == [ibans[k // 6]], rows[k]
     assert [got[k] for k in range(6 * len(ibans), len(rows))] == [ibans[:2], [], []]
+
+
+def test_fingerprints_of_many_chunks(spark):
+    n = (1 << 20) + 5
+    docs = spark.createDataFrame([(1, n), (2, n), (3, 5)], "doc_id long, n int").withColumn("text", F.expr("repeat(doc_id % 2 || ',', n)")).repartition(3)
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs, ["doc_id"]).collect()}
+    assert all(got[k]["n"] == n and set(got[k]["sketch"]) == {0, n} for k in (1, 2))
+    alike = lambda a, b: sum((2 * x - a["n"]) * (2 * y - b["n"]) for x, y in zip(a["sketch"], b["sketch"])) / (120 * a["n"] * b["n"])
+    assert alike(got[1], got[3]) == 1 and abs(alike(got[1], got[2])) < 0.5
