@@ -29,13 +29,13 @@ IBAN = {
 }
 _IBAN = "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN.items())
 _LISTED = "|".join(" ".join(IBAN.values()).split())
-#: kind -> (quick test that every text with a match passes, expression)
+#: kind -> (quick test that every text with a confirmed match passes, expression)
 PATTERNS = {
-    "email": ("@", rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++"),
-    "ip": (r"[0-9]\.[0-9]", r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
-    "card": (r"[0-9][ -]?[0-9]", r"[0-9](?:[ -]?[0-9])++"),
-    "phone": (r"\+[0-9]", r"\+[0-9][ ().0-9-]+[0-9]"),
-    "iban": (r"[A-Z]{2}[0-9]{2}", rf"(?<![A-Za-z0-9])(?:{_IBAN}|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"),
+    "email": (lambda t: t.contains("@"), rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_LABEL}++(?:\.{_LABEL}++)++"),
+    "ip": (lambda t: t.rlike(r"[0-9]\.[0-9]"), r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"),
+    "card": (lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){15}"), r"[0-9](?:[ -]?[0-9])++"),
+    "phone": (lambda t: t.rlike(r"\+[0-9]"), r"\+[0-9][ ().0-9-]+[0-9]"),
+    "iban": (lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}"), rf"(?<![A-Za-z0-9])(?:{_IBAN}|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}})(?![A-Za-z0-9])"),
 }
 #: Words that, shortly before a span, make it more likely.
 CONTEXT = {
@@ -76,45 +76,62 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-_SPAN = "struct<kind:string,start:int,end:int,m:string>"
+#: A proposed match, with the number of characters between it and the one before.
+_ITEMS = "array<struct<gap:int,m:string>>"
 
 
-def _spans(kind: str, text: Column) -> Column:
-    """array<struct<kind, start, end, m>> of the confirmed matches, in order."""
-    quick, pattern = PATTERNS[kind]
-    match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    items = F.zip_with(F.slice(F.split(text, pattern, -1), 1, F.size(match)), match, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
-    none = F.array().cast(f"array<{_SPAN}>")
+def _ends(items: Column) -> Column:
+    """Where each match ends: gaps and lengths added up, in blocks, so that growing the list costs little however many there are."""
     state = lambda pos, out: F.struct(pos.alias("pos"), out.alias("out"))
+    none = F.array().cast("array<int>")
 
     def one(a, x):
-        begin = a["pos"] + x["gap"]
-        end = begin + F.length(x["m"])
-        return state(end, F.concat(a["out"], F.array(F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), x["m"].alias("m")))))
+        end = a["pos"] + x["gap"] + F.length(x["m"])
+        return state(end, F.array_append(a["out"], end))
 
     def block(a, i):
-        # in blocks, so that growing the list costs little however many matches a text has
         inner = F.aggregate(F.slice(items, i * _STEP + 1, F.lit(_STEP)), state(a["pos"], none), one)
         return state(inner["pos"], F.concat(a["out"], inner["out"]))
 
-    blocks = F.sequence(F.lit(0), F.floor((F.size(match) - 1) / F.lit(_STEP)).cast("int"))
-    found = F.aggregate(blocks, state(F.lit(0), none), block)["out"]
-    return F.when(text.rlike(quick) & text.rlike(pattern), F.filter(found, lambda x: confirmed(kind, x["m"]))).otherwise(none)
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / F.lit(_STEP)).cast("int"))
+    return F.aggregate(blocks, state(F.lit(0), none), block)["out"]
+
+
+def _scored(kind: str, text: Column, items: Column, ends: Column) -> Column:
+    """array<struct<kind, start, end, m, score>> of the confirmed matches, in order."""
+    span = lambda x, end: F.struct((end - F.length(x["m"])).alias("start"), end.alias("end"), x["m"].alias("m"))
+    kept = F.filter(F.zip_with(items, ends, span), lambda x: confirmed(kind, x["m"]))
+
+    def one(x):
+        first = F.greatest(x["start"] - CONTEXT_WIDTH, F.lit(0))
+        before = F.lower(F.substring(text, first + 1, x["start"] - first))
+        gain = F.when(before.rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
+        score = (F.lit(SCORE[kind]) + gain).alias("score")
+        return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), score)
+
+    return F.transform(kept, one)
 
 
 def personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, one array of (kind, start, end, m, score) per kind) of every row."""
-    out = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = out.select("doc_id", "text", *(_spans(k, F.col("text")).alias(k) for k in KINDS))
+    """(doc_id, one array of (kind, start, end, m, score) per kind) of every row.
 
-    def scored(kind):
-        def one(x):
-            before = F.lower(F.substring(F.col("text"), F.greatest(x["start"] - CONTEXT_WIDTH, F.lit(0)) + 1, F.least(x["start"], F.lit(CONTEXT_WIDTH))))
-            return F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), (F.lit(SCORE[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)).alias("score"))
+    Each step is a projection of its own whose columns the next one uses more than once, so the optimizer keeps them
+    apart: an expression runs once a text, and the gaps are looked for only in texts with a match.
+    """
+    text = F.col("text")
+    out = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    match = lambda k: F.when(PATTERNS[k][0](text), F.regexp_extract_all(text, F.lit(PATTERNS[k][1]), F.lit(0)))
+    out = out.select("doc_id", "text", *(F.coalesce(match(k), F.array().cast("array<string>")).alias(k) for k in KINDS))
 
-        return F.transform(kind, one).alias(kind)
+    def items(k):
+        gaps = F.slice(F.split(text, PATTERNS[k][1], -1), F.lit(1), F.size(k))
+        both = F.zip_with(gaps, F.col(k), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
+        return F.when(F.size(k) > 0, both).otherwise(F.array().cast(_ITEMS)).alias(k)
 
-    return out.select("doc_id", *map(scored, KINDS))
+    out = out.select("doc_id", "text", *map(items, KINDS))
+    ends = lambda k: F.when(F.size(k) > 0, _ends(F.col(k))).otherwise(F.array().cast("array<int>")).alias(f"{k}_ends")
+    out = out.select("doc_id", "text", *KINDS, *map(ends, KINDS))
+    return out.select("doc_id", *(_scored(k, text, F.col(k), F.col(f"{k}_ends")).alias(k) for k in KINDS))
 
 
 def joined(*spans) -> Column:
@@ -124,5 +141,8 @@ def joined(*spans) -> Column:
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     found = personal_data(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    scores = F.concat_ws(",", *(F.transform(k, lambda x: F.format_number(x["score"], 2)) for k in KINDS))
-    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE), F.sha2(joined(*BASE), 256).alias("base_sha256"), joined(*KINDS).alias("spans"), scores.alias("scores"))
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE]
+    scores = F.concat_ws(",", F.transform("spans", lambda x: F.format_number(x["score"], 2)))
+    found = found.select("doc_id", *counts, F.concat(*BASE).alias("base"), F.concat(*KINDS).alias("spans"))
+    base = F.sha2(joined("base"), 256).alias("base_sha256")
+    return found.select("doc_id", *(f"n_{k}" for k in BASE), base, joined("spans").alias("spans"), scores.alias("scores"))
