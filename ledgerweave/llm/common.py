@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (as in tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else (as in tests) a local one, on one machine alone."""
     from_conf = spark.conf.get("spark.checkpoint.dir", None)
     if from_conf:
         return from_conf.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(shared_dir, "own"):
         shared_dir.own = f"file://{tempfile.mkdtemp(prefix='ledgerweave-')}"
     return shared_dir.own
@@ -35,6 +39,12 @@ class Tables:
         out._table_path = path
         return out
 
+    def counted(self, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
+        """The table, and the number of its rows or the sum of what a row counts, gathered while it is written."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.sum(F.lit(1) if what is None else what).alias("n")))
+        return out, int(seen.get["n"] or 0)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         jvm = self.spark._jvm

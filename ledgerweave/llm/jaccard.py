@@ -3,11 +3,14 @@
 A document is the set of its word n-grams.  Two documents link when
 ``den * |A & B| >= num * |A | B|``.  The steps:
 
-1. Every document's n-grams are ordered by (frequency class, hash).  N-grams
-   that are common among hash-ordered prefixes get a frequency class above 0,
-   so that the final prefixes hold the rarest n-grams.  Any such order that all
-   documents share gives the same links; the classes only keep postings short.
-2. Documents with equal sets form a class with one representative.
+1. One pass over the texts keeps, of every document, its set's size, a digest of
+   the set and the head of the set in the order of hashes.  Documents with equal
+   sets form a class with one representative.
+2. N-grams that stand in the heads of many representatives are common; their
+   frequency class goes before the hash in the order that all documents share, so
+   that the prefixes hold the rarest n-grams.  Any shared order gives the same
+   links; the classes only keep postings short.  A document whose head holds too
+   few n-grams that are not common is looked up with its whole set.
 3. Representatives meet at the n-grams of their prefixes.  Pairs pass a length
    filter, a positional filter and, before the sets are compared, a suffix filter.
 4. First, each posting's most central member is verified against the others;
@@ -16,48 +19,53 @@ A document is the set of its word n-grams.  Two documents link when
    verification a member, and no link between two components is lost.
    Long postings are compared block by block.
 
+Of a join on a key that many rows may share (a common n-gram, the centre of a
+group), the side with one row a key is broadcast up to ``BROADCAST_ROWS`` rows;
+beyond, a key's rows are dealt over ``SALTS`` tasks.  Sets travel in parts of some
+``PART`` n-grams, so that neither a long document nor a large group is held at once.
+
 Defined results: null text, or text without words, is the empty set, which
 links with nothing; fewer words than n are one n-gram; rows that share a doc_id
-count as one document for linking and keep their own rows.
+count as one document for linking and keep their own rows; a null doc_id links
+with nothing.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import Tables, documents
 
-#: N-grams in more prefixes than this get a frequency class.
+#: N-grams in more heads than this get a frequency class.
 COMMON = 20
-#: Places on either side of a known common n-gram in which more are looked for; where one n-gram in seven is known, a
-#: common passage has no longer gap.
-REACH = 64
-#: A set of common n-grams, or of documents to verify, up to this size is broadcast; a larger one is joined.
-BROADCAST_ROWS = 1 << 20
+#: A side of a join with up to so many rows of a few numbers each is broadcast; a larger one is shuffled.
+BROADCAST_ROWS = 1 << 18
 #: Members of a posting that are compared in one block.
 BLOCK = 1024
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_POWERS: list[np.ndarray] = []
-
+#: Tasks among which the rows of one key are dealt.
+SALTS = 16
+#: Partners of a document that are verified in one group, and sets that one reading of a text sends.
+FAN = 256
+#: N-grams in a part of a set, about.
+PART = 4096
+#: Bytes of text that are hashed, and of sets that are sent, at once.
+BYTES = 1 << 20
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i modulo 2 ** 64, for i up to n at least."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        base = 0x2545F4914F6CDD1D
-        inverse = pow(base, -1, 1 << 64)
-        _POWERS.clear()
-        for b in (base, inverse):
-            factors = np.full(max(n, 1 << 20) + 1, b, np.uint64)
-            factors[0] = 1
-            _POWERS.append(np.multiply.accumulate(factors))
-    return _POWERS[0], _POWERS[1]
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+_BREAK = np.zeros(256, bool)
+_BREAK[[32, *range(9, 14)]] = True
+_LOW_BYTES = np.array([*((1 << (8 * k)) - 1 for k in range(8)), (1 << 64) - 1], np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,29 +74,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BREAK = np.zeros(256, bool)
-_BREAK[[32, *range(9, 14)]] = True
+def _blocks(raw: bytes) -> Iterator[tuple[int, bytes]]:
+    """Parts of about ``BYTES`` bytes that end between words, and where they begin."""
+    at = 0
+    while at < len(raw):
+        cut = _SPACE.search(raw, at + BYTES)
+        end = cut.start() if cut else len(raw)
+        yield at, raw[at:end]
+        at = end
 
 
-def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """Sorted distinct 64-bit hashes (int64) of each text's word n-grams."""
-    for s in ngram_lists(column, n):
-        s = np.sort(s)
-        yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, 64-bit hash) of every word, in order.
 
+    Eight bytes at a time go through a mixing step that is not linear, so no two words collide by their make-up; long
+    words are hashed by xxh3.
+    """
+    starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for offset, block in _blocks(raw):
+        flat = np.frombuffer(block.lower() + b" " * 8, np.uint8)
+        gap = _BREAK[flat]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        if not gap[0]:
+            edge = np.concatenate(([0], edge))
+        begin, end = edge[::2], edge[1::2]
+        size = end - begin
+        eight = np.lib.stride_tricks.as_strided(flat, (len(flat) - 7, 8), (1, 1))
+        chunk = lambda at, left: np.ascontiguousarray(eight[at]).view("<u8")[:, 0] & _LOW_BYTES[np.minimum(left, 8)]  # noqa: B023, E731
+        h = _mix(size.astype(np.uint64) * _MULTIPLIER ^ chunk(begin, size))
+        own, k = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+        while len(own):
+            h[own] = _mix(h[own] ^ chunk(begin[own] + k, size[own] - k)) * _MULTIPLIER
+            k += 8
+            own = own[size[own] > k]
+        for w in np.flatnonzero(size > LONG_WORD).tolist():
+            h[w] = xxhash.xxh3_64_intdigest(flat[begin[w] : end[w]].tobytes())
+        starts.append(begin + offset)
+        hashes.append(h)
+    return np.concatenate(starts), np.concatenate(hashes)
 
-def ngram_lists(column: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """64-bit hashes (int64) of each text's word n-grams, in text order."""
+
+def ngram_sets(column: pa.Array, n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes (int64) of each text's word n-grams."""
     texts = [t or b"" for t in column.cast(pa.binary()).to_pylist()]
-    flat = _LOWER[np.frombuffer(b" ".join([*texts, b""]), np.uint8)] if texts else np.zeros(0, np.uint8)
-    gap = _BREAK[flat]
-    edge = np.diff(np.concatenate(([True], gap, [True])).astype(np.int8))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power, inverse = _powers(len(flat) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * power[: len(flat)], dtype=np.uint64)))
-    word = _mix((total[end] - total[begin]) * inverse[begin] + (end - begin).astype(np.uint64))
+    begin, word = word_hashes(b" ".join(texts))
     gram = np.zeros(max(len(word) - n + 1, 0), np.uint64)
     for k in range(n):
         gram = gram * _MULTIPLIER + word[k : k + len(gram)]
@@ -97,24 +126,26 @@ def ngram_lists(column: pa.Array, n: int) -> Iterator[np.ndarray]:
     first = np.searchsorted(begin, starts)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= n:
-            yield gram[a : b - n + 1]
+            s = np.sort(gram[a : b - n + 1])
+            yield s[np.concatenate(([True], s[1:] != s[:-1]))]
         elif b > a:
-            h = np.uint64(b - a)
-            with np.errstate(over="ignore"):
-                for w in word[a:b]:
-                    h = h * _MULTIPLIER + w
-            yield _mix(np.array([h])).view(np.int64)
+            h = np.array([b - a], np.uint64)
+            for w in word[a:b]:
+                h = h * _MULTIPLIER + w
+            yield _mix(h).view(np.int64)
         else:
             yield np.zeros(0, np.int64)
 
 
-def _need(size, num: int, den: int):
-    """Least overlap that a set of this size has with a set that it links with."""
-    return -(-num * size // den)
+def _prefix(size, num: int, den: int):
+    """So many n-grams of a set that each set that it links with holds one of them."""
+    return size + (-num * size) // den + 1
 
 
-def _prefix(size: int, num: int, den: int) -> int:
-    return size - _need(size, num, den) + 1 if size else 0
+def _head(size: int, num: int, den: int) -> int:
+    """N-grams of a set, in the order of hashes, among which most documents have their prefix."""
+    p = _prefix(size, num, den)
+    return min(size, p + p // 4 + 8)
 
 
 def _pair_need(a, b, num: int, den: int):
@@ -128,177 +159,203 @@ class Rule:
     def __init__(self, n: int, num: int, den: int):
         self.n, self.num, self.den = n, num, den
 
-    def links(self, a: np.ndarray, b: np.ndarray) -> bool:
-        if not self._suffixes_may(a, b):
-            return False
-        i = int(np.isin(a, b, assume_unique=True).sum()) if len(a) < len(b) else int(np.isin(b, a, assume_unique=True).sum())
-        return len(a) > 0 and len(b) > 0 and self.den * i >= self.num * (len(a) + len(b) - i)
-
-    def _suffixes_may(self, a: np.ndarray, b: np.ndarray, cells: int = 16) -> bool:
-        """Both sets are cut at the same hashes; what one has more of in a cell, the other lacks."""
-        if not len(a) or not len(b):
-            return False
-        at = np.array([k * (2**64 // cells) - 2**63 for k in range(1, cells)], np.int64)
-        ca, cb = (np.diff(np.concatenate(([0], np.searchsorted(s, at), [len(s)]))) for s in (a, b))
-        return int(np.minimum(ca, cb).sum()) >= _pair_need(len(a), len(b), self.num, self.den)
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> int:
+        """Equal n-grams of two sets; 0 where the suffix filter shows that they are too few."""
+        if len(a) > len(b):
+            a, b = b, a
+        most = len(a) + len(b) - 2 * _pair_need(len(a), len(b), self.num, self.den)
+        if most < 0 or self._differ(a, b, most, 4) > most:
+            return 0
+        return common(a, b)
+
+    def _differ(self, a: np.ndarray, b: np.ndarray, most: int, depth: int) -> int:
+        """The suffix filter: at least so many n-grams are in one set alone.  Both are cut at the middle of b, again and again."""
+        least = abs(len(a) - len(b))
+        if not depth or least > most or len(a) < 8 or len(b) < 8:
+            return least
+        k = len(b) // 2
+        j = int(np.searchsorted(a, b[k]))
+        left = self._differ(a[:j], b[:k], most - abs(len(a) - j - len(b) + k), depth - 1)
+        return left + self._differ(a[j:], b[k:], most - left, depth - 1)
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Equal numbers of two sorted sets, the first not the longer one."""
+    if not len(a) or not len(b):
+        return 0
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return int((b[at] == a).sum())
 
 
 def _batches(batches, text: int):
     for whole in batches:
-        yield from slices(whole, text, 1 << 20)
-
+        yield from slices(whole, text, BYTES)
 
-def _common(docs: DataFrame, rule: Rule, known: np.ndarray | None = None) -> DataFrame:
-    """(key int, df long) of common n-grams; key: the upper half of the hash.
 
-    Without known keys, those in many hash-ordered prefixes.  With them, those that stand in many documents within
-    ``REACH`` places of a known key of the hash-ordered prefix: what is beside a common n-gram is often as common, but
-    not yet counted.  A document without known keys keeps its prefix, in which every n-gram is in few prefixes.
-    """
+def _described(docs: DataFrame, rule: Rule, whole: bool) -> DataFrame:
+    """(doc_id, n, sig, grams) of every row; grams: the whole set or its head, in the order of hashes."""
     n, num, den = rule.n, rule.num, rule.den
-    sent = docs.sparkSession.sparkContext.broadcast(known) if known is not None else None
 
     def run(batches):
-        keys = sent.value if sent else None
-        for b in _batches(batches, 0):
-            parts = [np.zeros(0, np.int32)]
-            if keys is None:
-                for s in ngram_sets(b.column(0), n):
-                    parts.append((s[: _prefix(len(s), num, den)] >> 32).astype(np.int32))
-            else:
-                for s in ngram_lists(b.column(0), n):
-                    k = (s >> 32).astype(np.int32)
-                    known = _within(k, keys)
-                    if known.any():
-                        p = _prefix(len(s), num, den)
-                        at = np.flatnonzero(known & (s <= np.partition(s, p - 1)[p - 1]))
-                        step = np.zeros(len(s) + 1, np.int32)
-                        np.add.at(step, np.maximum(at - REACH, 0), 1)
-                        np.add.at(step, np.minimum(at + REACH + 1, len(s)), -1)
-                        parts.append(np.unique(k[(np.cumsum(step)[:-1] > 0) & ~known]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts))], names=["key"])
-
-    return docs.select("text").mapInArrow(run, "key int").groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") > COMMON)
-
-
-def _within(k: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Which of k are among the sorted keys."""
-    if not len(keys):
-        return np.zeros(len(k), bool)
-    return keys[np.minimum(np.searchsorted(keys, k), len(keys) - 1)] == k
-
-
-def _table(common: DataFrame) -> np.ndarray:
-    """Rows (key, df), sorted by key."""
-    t = np.array([tuple(r) for r in common.collect()], np.int64).reshape(-1, 2)
-    return t[np.argsort(t[:, 0])]
-
-
-def _described(docs: DataFrame, rule: Rule, keys: np.ndarray | None, df: np.ndarray | None) -> DataFrame:
-    """(doc_id, n, sig, grams): the final prefix in order, or with keys None all n-grams."""
-    n, num, den = rule.n, rule.num, rule.den
-    sent = docs.sparkSession.sparkContext.broadcast((keys, df)) if keys is not None else None
-
-    def run(batches):
-        keys, df = sent.value if sent else (None, None)
         for b in _batches(batches, 1):
             size, sig, grams, ends = [], [], [], [0]
             for s in ngram_sets(b.column(1), n):
                 size.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                if keys is not None:
-                    p = _prefix(len(s), num, den)
-                    if len(keys):
-                        k = (s >> 32).astype(np.int32)
-                        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                        rank = np.where(keys[at] == k, df[at], 0)
-                        s = s[np.argsort(rank, kind="stable")[:p]] if rank.any() else s[:p]
-                    else:
-                        s = s[:p]
-                grams.append(s)
-                ends.append(ends[-1] + len(s))
-            flat = np.concatenate([*grams, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                names=["doc_id", "n", "sig", "grams"],
-            )
+                grams.append(s if whole else s[: _head(len(s), num, den)])
+                ends.append(ends[-1] + len(grams[-1]))
+            flat = pa.array(np.concatenate([*grams, np.zeros(0, np.int64)]))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            columns = [b.column(0), pa.array(size, pa.int32()), pa.array(sig, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sig", "grams"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, sig binary, grams array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, sig binary, grams array<long>")
 
 
-def _postings(rows: DataFrame) -> DataFrame:
-    """Rows (gram, node, n, pos) of n-grams that two nodes have at least, with the first (most central) member of each."""
-    schema = "gram long, node long, n int, pos int, hub long, hub_n int, hub_pos int"
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """Broadcast where so few rows allow it."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def _dealt(rows: DataFrame, keyed: DataFrame, many: int, key: str, by: str) -> DataFrame:
+    """rows joined to a table of so many rows, one a key.  If it is too large to broadcast, the rows of a key are dealt by another column."""
+    if many <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed), key)
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    right = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
+def _frequent(sets: DataFrame) -> DataFrame:
+    """(gram, df) of n-grams of more than ``COMMON`` sets."""
+    return sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") > COMMON)
+
+
+def _marked(reps: DataFrame, classes: DataFrame, rows: int) -> DataFrame:
+    """reps, with the common ones of their grams as ``marks``."""
+    seen = reps.select("rid", F.explode("grams").alias("gram")).join(_small(classes, rows), "gram")
+    marks = seen.groupBy("rid").agg(F.collect_list(F.struct("gram", "df")).alias("marks"))
+    return reps.join(marks, "rid", "left")
+
+
+def _wanting(reps: DataFrame, classes: DataFrame, rows: int, rule: Rule) -> DataFrame:
+    """node of those whose head, which is not the whole set, holds fewer n-grams that are not common than the prefix has."""
+    one = reps.select("rid", "node", "n", F.size("grams").alias("head"), F.explode("grams").alias("gram"))
+    seen = one.join(_small(classes, rows), "gram").groupBy("rid", "node", "n", "head").agg(F.count("*").alias("c"))
+    prefix = F.col("n") - F.ceil(F.col("n") * rule.num / rule.den) + 1
+    return seen.where((F.col("head") < F.col("n")) & (F.col("head") - F.col("c") < prefix)).select("node").distinct()
+
+
+def _prefixes(marked: DataFrame, rule: Rule) -> DataFrame:
+    """(gram, node, n, pos): the prefix in the order (class, hash); nothing of those that ``_wanting`` names."""
+    num, den = rule.num, rule.den
 
     def run(batches):
-        names = ["gram", "node", "n", "pos", "hub", "hub_n", "hub_pos"]
-        hub: np.ndarray | None = None  # the first member of the run that the last batch ended in
-        told = True
         for b in batches:
-            t = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(4)], 1)
-            if not len(t):
-                continue
-            if hub is not None:
-                t = np.concatenate((hub[None], t))
-            start = np.concatenate(([True], t[1:, 0] != t[:-1, 0]))
-            first = np.maximum.accumulate(np.where(start, np.arange(len(t)), 0))
-            more = ~start | np.concatenate((~start[1:], [False]))
-            if hub is not None and told:
-                more[0] = False
-            h = t[first]
-            out = np.concatenate((t, h[:, 1:]), 1)[more]
-            kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, k].astype(kinds[k])) for k in range(7)], names=names)
-            same = hub is not None and first[-1] == 0
-            told = bool(more[first[-1]]) or (same and told)
-            hub = t[first[-1]].copy()
-
-    return rows.repartition("gram").sortWithinPartitions("gram", "pos", "node").mapInArrow(run, schema)
+            node, size = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy()
+            grams, marks = b.column(2), b.column(3)
+            flat, ends = grams.flatten().to_numpy(), np.concatenate(([0], np.cumsum(grams.value_lengths().to_numpy())))
+            common_flat = marks.flatten()
+            key, df = common_flat.field(0).to_numpy(), common_flat.field(1).to_numpy()
+            stops = np.concatenate(([0], np.cumsum(np.nan_to_num(marks.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))))
+            out = []
+            for k in range(len(node)):
+                s, p = flat[ends[k] : ends[k + 1]], _prefix(int(size[k]), num, den)
+                if stops[k + 1] > stops[k]:
+                    rank = np.zeros(len(s), np.int64)
+                    rank[np.searchsorted(s, key[stops[k] : stops[k + 1]])] = df[stops[k] : stops[k + 1]]
+                    if len(s) < size[k] and (rank == 0).sum() < p:
+                        s = s[:0]
+                    else:
+                        s = s[np.argsort(rank, kind="stable")]
+                out.append(s[:p])
+            many = np.array([len(s) for s in out], np.int64)
+            pos = np.concatenate([np.arange(m) for m in many] or [np.zeros(0)]).astype(np.int32)
+            columns = [np.concatenate([*out, np.zeros(0, np.int64)]), np.repeat(node, many), np.repeat(size, many), pos]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n", "pos"])
+
+    return marked.where("node is not null").select("node", "n", "grams", "marks").mapInArrow(run, "gram long, node long, n int, pos int")
 
 
 def _feasible(a_n, a_pos, b_n, b_pos, rule: Rule):
-    """Length and positional filter of a pair that meets at positions a_pos and b_pos of its prefixes (Column or array)."""
+    """Length and positional filter of a pair that meets at positions a_pos and b_pos of its prefixes."""
     low, high = (F.least(a_n, b_n), F.greatest(a_n, b_n))
     rest = F.least(a_n - a_pos, b_n - b_pos)
     return (low * rule.den >= high * rule.num) & (rest * (rule.num + rule.den) >= (a_n + b_n) * rule.num)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs (a, b) that link.  Each set travels once per partner key; a key with many partners is salted."""
+def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
+    """The pairs (a, b) that link; pairs: (a, b, n) with the size of a's set.
+
+    Both sets go to the key (a, salt, part); a document with many partners has several salts, and a long set several parts,
+    which are cut at the same hashes for a and b.  A text is read once for up to ``FAN`` keys.
+    """
     n = rule.n
-    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("parts"))
-    partner = pairs.join(fan, "a").select(F.col("b").alias("node"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
-    own = fan.select(F.col("a").alias("node"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    need = partner.union(own).groupBy("node").agg(F.collect_list(F.struct("key", "salt")).alias("keys"))
-    tables = Tables(docs.sparkSession, "verify")
-    need = tables.write(need)
-    wanted = docs.join(F.broadcast(need) if need.count() <= BROADCAST_ROWS else need, F.col("doc_id") == F.col("node")).select("node", "text", F.col("keys.key").alias("keys"), F.col("keys.salt").alias("salts"))
+    fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"), F.max("n").alias("n"))
+    fan = fan.select("a", "fan", F.greatest(F.ceil(F.log2(F.col("n") / PART)), F.lit(0)).cast("int").alias("bits"))
+    fan, many = tables.counted(fan)
+    salt = F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt")
+    partner = _dealt(pairs.select("a", "b"), fan, many, "a", "b").select(F.col("b").alias("node"), F.col("a").alias("key"), salt, "bits")
+    every = F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt")
+    sending = tables.write(partner.union(fan.select(F.col("a").alias("node"), F.col("a").alias("key"), every, "bits")))
+    turns = sending.groupBy("node").agg(F.ceil(F.count("*") / FAN).cast("int").alias("turns"))
+    dealt = sending.join(turns, "node").withColumn("turn", F.pmod(F.xxhash64("key", "salt"), F.col("turns")))
+    need, rows = tables.counted(dealt.groupBy("node", "turn").agg(F.collect_list(F.struct("key", "salt", "bits")).alias("keys")), F.size("keys"))
+    wanted = docs.join(_small(need, rows), F.col("doc_id") == F.col("node")).select("node", "text", *(F.col(f"keys.{c}").alias(c) for c in ("key", "salt", "bits")))
+    names = ["key", "salt", "part", "other", "node", "n", "version", "grams"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def sets(batches):
         for b in _batches(batches, 1):
-            rows = []
-            for node, s, keys, salts in zip(b.column(0).to_pylist(), ngram_sets(b.column(1), n), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                raw = s.tobytes()
-                rows += [(k, x, int(k != node), node, raw) for k, x in zip(keys, salts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["key", "salt", "other", "node", "grams"])
+            rows, held = [], 0
+            keys, salts, bits = (b.column(k).to_pylist() for k in (2, 3, 4))
+            for node, s, own, salt, bit in zip(b.column(0).to_pylist(), ngram_sets(b.column(1), n), keys, salts, bits):
+                version = xxhash.xxh3_64_intdigest(s.tobytes()) >> 1
+                cuts: dict[int, list[bytes]] = {}
+                for r in set(bit):
+                    at = np.array([(k << (64 - r)) - (1 << 63) for k in range(1, 1 << r)], np.int64)
+                    edges = [0, *np.searchsorted(s, at).tolist(), len(s)]
+                    cuts[r] = [s[x:y].tobytes() for x, y in zip(edges, edges[1:])]
+                for k, x, r in zip(own, salt, bit):
+                    for part, raw in enumerate(cuts[r]):
+                        rows.append((k, x, part, int(k != node), node, len(s), version, raw))
+                        held += len(raw) + 64
+                        if held > 2 * BYTES:
+                            yield batch(rows)
+                            rows, held = [], 0
+            if rows:
+                yield batch(rows)
 
     def compare(batches):
         at, mine = None, []
         for b in batches:
-            a_out, b_out = [], []
-            for key, salt, other, node, raw in zip(*(c.to_pylist() for c in b.columns)):
-                if (key, salt) != at:
-                    at, mine = (key, salt), []
+            out = []
+            for key, salt, part, other, node, size, version, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, salt, part) != at:
+                    at, mine = (key, salt, part), []
                 s = np.frombuffer(raw, np.int64)
                 if not other:
-                    mine.append(s)
-                elif any(rule.links(m, s) for m in mine):
-                    a_out.append(key)
-                    b_out.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                    mine.append((size, version, s))
+                    continue
+                for own_size, own_version, own in mine:
+                    if len(own) == own_size and len(s) == size:
+                        i = rule.overlap(own, s)
+                    else:
+                        i = common(own, s) if len(own) <= len(s) else common(s, own)
+                    if i:
+                        out.append((key, node, own_version, version, own_size, size, i))
+            columns = [pa.array(c, pa.int64()) for c in zip(*out)] or [pa.array([], pa.int64())] * 7
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "va", "vb", "na", "nb", "i"])
 
-    sent = wanted.mapInArrow(sets, "key long, salt int, other int, node long, grams binary")
-    return sent.repartition("key", "salt").sortWithinPartitions("key", "salt", "other").mapInArrow(compare, "a long, b long").distinct()
+    sent = wanted.mapInArrow(sets, "key long, salt int, part int, other int, node long, n int, version long, grams binary")
+    dealt = sent.repartition("key", "salt", "part").sortWithinPartitions("key", "salt", "part", "other")
+    found = dealt.mapInArrow(compare, "a long, b long, va long, vb long, na long, nb long, i long")
+    found = found.groupBy("a", "b", "va", "vb").agg(F.sum("i").alias("i"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return found.where(F.col("i") * rule.den >= (F.col("na") + F.col("nb") - F.col("i")) * rule.num).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
@@ -307,9 +364,10 @@ def components(edges: DataFrame, tables: Tables) -> DataFrame:
     while before[0]:
         both = e.select(F.col("x").alias("u"), F.col("y").alias("v")).union(e.select(F.col("y").alias("u"), F.col("x").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
+        large = both.where("v > u").join(_small(least, 2 * before[0]), "u").select(F.col("v").alias("x"), F.col("m").alias("y")).where("x <> y").distinct()
         small = large.groupBy("x").agg(F.min("y").alias("m"))
-        new, now = _rooted(large.join(small, "x").select(F.greatest("y", "m").alias("x"), F.least("y", "m").alias("y")).union(small.select("x", F.col("m").alias("y"))), tables)
+        joined = large.join(_small(small, 2 * before[0]), "x").select(F.greatest("y", "m").alias("x"), F.least("y", "m").alias("y"))
+        new, now = _rooted(joined.union(small.select("x", F.col("m").alias("y"))), tables)
         tables.drop(e)
         e = new
         if now == before:
@@ -326,35 +384,42 @@ def _rooted(edges: DataFrame, tables: Tables) -> tuple[DataFrame, tuple]:
     return out, (seen.get["n"], seen.get["h"])
 
 
-def _split_pairs(postings: DataFrame, stars: DataFrame, rule: Rule) -> DataFrame:
-    """Feasible pairs (a, b) of one posting whose members are in different components."""
-    rows = postings.select("gram", "node", "n", "pos").join(stars, "node", "left").select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    mixed = rows.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("df")).where("r0 <> r1").select("gram", F.ceil(F.col("df") / BLOCK).cast("int").alias("parts"))
-    rows = rows.join(mixed, "gram").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    rows = rows.select("gram", "node", "n", "pos", "root", "part", other.alias("other")).select("gram", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "n", "pos", "root")
+def _split_pairs(postings: DataFrame, stars: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
+    """Feasible pairs (a, b, n) of one posting whose members are in different components."""
+    rows = postings.select("gram", "node", "n", "pos").join(stars, "node", "left")
+    rows = rows.select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    mixed = rows.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("df"))
+    mixed, many = tables.counted(mixed.where("r0 <> r1").select("gram", F.ceil(F.col("df") / BLOCK).cast("int").alias("parts")))
+    rows = _dealt(rows, mixed, many, "gram", "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("gram", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "n", "pos", "root")
     num, den = rule.num, rule.den
 
     def pairs(g: np.ndarray):
-        """g: rows (node, n, pos, root) of a block pair, sorted by n."""
-        n = g[:, 1]
+        """g: rows (node, n, pos, root) of a block pair, sorted by n; arrays (a, b, n of a), some thousands at once."""
+        n, held, many = g[:, 1], [], 0
         for i in range(len(g)):
             j = np.arange(i + 1, np.searchsorted(n, n[i] * den // num, "right"))
             if len(j):
                 rest = np.minimum(n[i] - g[i, 2], n[j] - g[j, 2])
-                j = j[(g[j, 3] != g[i, 3]) & (rest * (num + den) >= (n[i] + n[j]) * num)]
-                for k in j.tolist():
-                    a, b = int(g[i, 0]), int(g[k, 0])
-                    if a != b:
-                        yield (a, b) if a < b else (b, a)
+                j = j[(g[j, 3] != g[i, 3]) & (g[j, 0] != g[i, 0]) & (rest * (num + den) >= (n[i] + n[j]) * num)]
+            if len(j):
+                a, b = np.minimum(g[j, 0], g[i, 0]), np.maximum(g[j, 0], g[i, 0])
+                held.append(np.stack((a, b, np.where(a == g[i, 0], n[i], n[j]))))
+                many += len(j)
+                if many > 1 << 16:
+                    yield np.concatenate(held, 1)
+                    held, many = [], 0
+        if held:
+            yield np.concatenate(held, 1)
 
     def run(batches):
         held: list[np.ndarray] = []
         at = None
 
         def flush():
-            found = list(dict.fromkeys(pairs(np.concatenate(held)))) if held and sum(map(len, held)) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            for t in pairs(np.concatenate(held)) if sum(map(len, held)) > 1 else ():
+                yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), pa.array(t[2].astype(np.int32))], names=["a", "b", "n"])
 
         for b in batches:
             t = np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1)
@@ -362,53 +427,60 @@ def _split_pairs(postings: DataFrame, stars: DataFrame, rule: Rule) -> DataFrame
             for a, z in zip(cut, [*cut[1:], len(t)]):
                 key = tuple(t[a, :3])
                 if key != at:
-                    yield flush()
+                    yield from flush()
                     at, held = key, []
                 held.append(t[a:z, 3:])
-        yield flush()
-
-    return rows.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "n").mapInArrow(run, "a long, b long").distinct()
-
-
-def jaccard_components(df: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        yield from flush()
+
+    dealt = rows.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "n")
+    return dealt.mapInArrow(run, "a long, b long, n int").groupBy("a", "b").agg(F.max("n").alias("n"))
+
+
+def _ranked(docs: DataFrame, reps: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
+    """(gram, node, n, pos): the representatives' prefixes, rarest n-grams first."""
+    whole = lambda few: _described(docs.join(_small(*few), F.col("doc_id") == F.col("node"), "left_semi"), rule, True).where("n > 0")
+    classes, many = tables.counted(_frequent(reps))
+    few = tables.counted(_wanting(reps, classes, many, rule))
+    if few[1]:
+        # n-grams beyond the heads are as common, but were not counted yet
+        both = classes.union(_frequent(whole(few))).groupBy("gram").agg(F.max("df").alias("df"))
+        classes, many = tables.counted(both)
+        few = tables.counted(_wanting(reps, classes, many, rule))
+    rows = _prefixes(_marked(reps, classes, many), rule)
+    if few[1]:
+        named = tables.write(whole(few).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("node"), "n", "grams"))
+        rows = rows.union(_prefixes(_marked(named, classes, many), rule))
+    return rows
+
+
+def jaccard_components(
+    df: DataFrame, words: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: its set's size and the smallest doc_id that links reach."""
-    spark = df.sparkSession
     rule = Rule(words, num, den)
-    tables = Tables(spark, "jaccard")
+    tables = Tables(df.sparkSession, "jaccard")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    common = tables.write(_common(docs, rule))
-    small = common.count() <= BROADCAST_ROWS
-    if small:
-        found = _table(common)
-        beside = tables.write(_common(docs, rule, found[:, 0].astype(np.int32)))
-        small = len(found) + beside.count() <= BROADCAST_ROWS
-    if small:
-        found = np.concatenate((found, _table(beside)))
-        found = found[np.argsort(found[:, 0])]
-        base = tables.write(_described(docs, rule, found[:, 0].astype(np.int32), found[:, 1]))
-    else:
-        base = tables.write(_described(docs, rule, None, None))
-    classes = tables.write(base.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("rep")))
-    reps = base.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id", "sig"])
-    rows = reps.select(F.col("doc_id").alias("node"), "n", F.posexplode("grams").alias("pos", "gram"))
-    if not small:  # the same order by joins
-        keyed = rows.withColumn("key", F.shiftright("gram", 32).cast("int"))
-        common = keyed.groupBy("key").agg(F.count("*").alias("df")).where(F.col("df") > COMMON)
-        ranked = keyed.join(common, "key", "left")
-        rows = ranked.withColumn("pos", F.row_number().over(Window.partitionBy("node", "n").orderBy(F.coalesce("df", F.lit(0)), "gram")) - 1)
-        rows = rows.where(F.col("pos") < F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("node", "n", "pos", "gram")
-    postings = tables.write(_postings(rows.select("gram", "node", "n", "pos")))
-    near = postings.where((F.col("hub") != F.col("node")) & _feasible(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), rule))
-    first = tables.write(near.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    stars = components(_verify(docs, first, rule), tables)
-    stars = tables.write(stars)
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = tables.write(_split_pairs(postings, stars, rule).join(tried, ["a", "b"], "left_anti"))
-    edges = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verify(docs, second, rule))
-    stars = components(edges, tables)
-    whole = base.select("doc_id", "n", "sig").where("n > 0").join(classes, "sig").join(stars, F.col("rep") == F.col("node"), "left")
-    out = whole.select("doc_id", "n", F.coalesce("root", "rep").alias("component_id")).union(base.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
+    base = tables.write(_described(docs, rule, False).withColumn("rid", F.monotonically_increasing_id()))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    classes = tables.write(base.where("n > 0").groupBy("sig").agg(first).select("sig", F.col("first.doc_id").alias("rep"), "first.rid"))
+    reps = tables.write(base.join(classes.select("rid"), "rid", "left_semi").select("rid", F.col("doc_id").alias("node"), "n", "grams"))
+    rows = tables.write(_ranked(docs, reps, rule, tables))
+    hub = rows.groupBy("gram").agg(F.min(F.struct("pos", "node", "n")).alias("hub"), F.count("*").alias("df")).where("df > 1")
+    met = rows.join(hub.select("gram", "hub"), "gram")  # a posting that is too long for a task is split by the adaptive join
+    postings = tables.write(met.select("gram", "node", "n", "pos", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("pos", "node", "n"))))
+    tables.drop(reps, rows)
+    meet = _feasible(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), rule)
+    near = postings.where((F.col("hub_node") != F.col("node")) & meet)
+    tried = tables.write(near.groupBy(F.col("hub_node").alias("a"), F.col("node").alias("b")).agg(F.max("hub_n").alias("n")))
+    stars = components(_verify(docs, tried, rule, tables), tables)
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = tables.write(_split_pairs(postings, stars, rule, tables).join(done, ["a", "b"], "left_anti"))
+    edges = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verify(docs, second, rule, tables))
+    found = components(edges, tables)
+    some = base.where("n > 0").select("doc_id", "n", "sig").join(classes.select("sig", "rep"), "sig")
+    some = some.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "rep").alias("component_id"))
+    none = base.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return some.union(none).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -199,10 +199,12 @@ def brute_components(rows, n, num, den):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("common, block, limit, n, num", [(20, 1024, 1 << 20, 4, 85), (3, 16, 1 << 20, 5, 80), (3, 16, 4, 4, 85)])
-def test_components(spark, monkeypatch, common, block, limit, n, num):
+@pytest.mark.parametrize("common, block, limit, part, n, num", [(20, 1024, 1 << 18, 4096, 4, 85), (3, 16, 1 << 18, 8, 5, 80), (3, 16, 4, 4096, 4, 85)])
+def test_components(spark, monkeypatch, common, block, limit, part, n, num):
     monkeypatch.setattr(jaccard, "COMMON", common)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "FAN", block)
+    monkeypatch.setattr(jaccard, "PART", part)
     monkeypatch.setattr(jaccard, "BROADCAST_ROWS", limit)
     rng = random.Random(n)
     words = [f"w{k}" for k in range(40)]
@@ -221,6 +223,37 @@ def test_components(spark, monkeypatch, common, block, limit, n, num):
     assert got == brute_components(rows, n, num, 100)
 
 
+def test_words_of_equal_polynomials(spark):
+    """Two words that any polynomial of their bytes modulo 2 ** 64 takes for one, and words about the lengths of a step."""
+    thue = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = thue.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{thue} x y z"), (2, f"{other} x y z"), (3, f"{thue.upper()} X y\tz")]
+    got = {r[0]: r[2] for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    words = [b"w" * k + bytes([c]) for k in range(70) for c in b"xyz"] + [b"\xc3\xa9", b"\xf0\x9f\x98\x80" * 3, b"A" * 9]
+    _, one = jaccard.word_hashes(b" ".join(words))
+    _, far = jaccard.word_hashes(b"\n\t ".join([b"q", *reversed(words)]))
+    assert len(set(one.tolist())) == len(words) and far[1:].tolist() == one[::-1].tolist()
+
+
+def test_long_texts_in_blocks(monkeypatch):
+    raw = b" ".join(b"%d" % (k * k) for k in range(20000))
+    begin, one = jaccard.word_hashes(raw)
+    monkeypatch.setattr(jaccard, "BYTES", 1000)
+    at, parts = jaccard.word_hashes(raw)
+    assert (at == begin).all() and (one == parts).all() and raw[at[77] :].startswith(b"5929 ")
+
+
+def test_suffix_filter():
+    rng, rule = np.random.default_rng(3), jaccard.Rule(4, 85, 100)
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 1 << 40, rng.integers(1, 200)))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.choice([0.5, 0.9, 0.95, 1])], rng.integers(0, 1 << 40, rng.integers(0, 25)))))
+        i = len(np.intersect1d(a, b))
+        assert rule._differ(a, b, 1 << 60, 4) <= len(a) + len(b) - 2 * i
+        assert rule.overlap(a, b) == i or (rule.overlap(a, b) == 0 and 100 * i < 85 * (len(a) + len(b) - i))
+
+
 # -- 5 personal data, 6 secrets -----------------------------------------------
 
 
