@@ -21,7 +21,8 @@ bucket, doc_id, piece and copy.
 
 from __future__ import annotations
 
-import base64
+import json
+import re
 import zlib
 from bisect import bisect_left, insort
 from functools import lru_cache
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import default_vocabulary, slices
+from .bpe import byte_alphabet, default_vocabulary, slices
 from .common import Tables, documents, shuffle_partitions
 
 CAPACITY = 2048
@@ -42,24 +43,42 @@ SMALL_SHARE = 0.4
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Runs in a text that only the vocabulary's own library encodes in bounded time and stack.
+_LONG_RUN = re.compile(r"\s{1000}|\S{10000}")
+
+
 @lru_cache(maxsize=2)
-def fast_encoder(json_path: str):
-    """The library encoder over the rank file beside the vocabulary, or the vocabulary's own library without one."""
-    import os
-
-    ranks_path = json_path.removesuffix(".json") + ".tiktoken"
-    if os.path.exists(ranks_path):
-        import public_tokenizers
-        import tiktoken
-
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks_path, "rb"))}
-        special = {"<|endoftext|>": len(ranks)}
-        enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return lambda text: enc.encode(text, allowed_special="all") if "<|endoftext|>" in text else enc.encode_ordinary(text)
+def encoder(json_path: str):
+    """text -> ids as the vocabulary's own library, tokenizers, gives them.
+
+    Where a token's id tells its merge's rank, a quicker library gives the same ids; texts with a long run go to the
+    vocabulary's own.
+    """
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(json_path)
-    return lambda text: tok.encode(text, add_special_tokens=False).ids
+    library = Tokenizer.from_file(json_path)
+    library.no_truncation()
+    library.no_padding()
+    by_library = lambda text: library.encode(text, add_special_tokens=False).ids
+    spec = json.load(open(json_path, encoding="utf-8"))
+    vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    plain = {token: i for token, i in vocab.items() if token not in special}
+    if merged != sorted(merged) or any(c not in alphabet for token in plain for c in token):
+        return by_library
+    import public_tokenizers
+    import tiktoken
+
+    ranks = {bytes(alphabet[c] for c in token): i for token, i in plain.items()}
+    quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(text: str) -> list[int]:
+        if _LONG_RUN.search(text):
+            return by_library(text)
+        return quick.encode(text, allowed_special="all") if any(x in text for x in special) else quick.encode_ordinary(text)
+
+    return encode
 
 
 def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
@@ -67,7 +86,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     path = vocabulary or default_vocabulary()
 
     def run(batches):
-        encode = fast_encoder(path)
+        encode = encoder(path)
         for whole in batches:
             for batch in slices(whole, 1):
                 rows = []

@@ -174,6 +174,19 @@ def test_pieces_match_the_tokenizer(docs):
         assert [o for o, _ in sorted(parts)] == list(np.cumsum([0, *(n for _, n in sorted(parts))])[:-1])
 
 
+def test_long_runs(spark):
+    """White space of a megabyte and more, and a word of five megabytes."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(1)
+    rows = [(1, " " * 2_000_000), (2, " \n\t\r" * 300_000 + "end"), (3, "".join(rng.choice("abcdefg") for _ in range(5_000_000))), (4, "\x85\xa0" * 5000)]
+    tok = Tokenizer.from_file(bpe.default_vocabulary())
+    by = defaultdict(int)
+    for r in packing.pieces(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        by[r["doc_id"]] += r["length"]
+    assert dict(by) == {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+
+
 # -- 4 n-gram join ------------------------------------------------------------
 
 
@@ -327,7 +340,8 @@ def test_encoding_equals_the_library():
     tok, own = Tokenizer.from_file(bpe.default_vocabulary()), bpe.tokenizer(bpe.default_vocabulary())
     bits = ["a", "b", " ", "\n", "\t", "'s", "'", "é", "ß", "1", "²", "½", "中", "😀", "́", "\x1c", "\xa0", " ", "<|endoftext|>", "!", "_", ".", "٠", "ª", "\x85", "I", "\r"]
     rows = [t for _, t in pieces_of(2, bits, 2000)] + ["", "a" * 3000, " " * 50, "the " * 5000]
-    fast = packing.fast_encoder(bpe.default_vocabulary())
+    rows += [" " * 3000 + "x", "ab" * 6000, "\t\n " * 900]
+    fast = packing.encoder(bpe.default_vocabulary())
     for t, ids in zip(rows, own.encode_batch(rows)):
         want = tok.encode(t, add_special_tokens=False).ids
         assert ids.tolist() == want == list(fast(t)), t
