@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -51,6 +52,12 @@ class Tables:
         for t in tables:
             path = jvm.org.apache.hadoop.fs.Path(t._table_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.release()
+
+    def release(self) -> None:
+        """Spark deletes the shuffle files of finished steps when the driver's plans are collected as garbage; this asks for it."""
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -50,6 +50,8 @@ COMMON = 20
 BROADCAST_ROWS = 1 << 18
 #: Members of a posting that are compared in one block.
 BLOCK = 1024
+#: The rows of an n-gram that is in more sets are not sorted in one task.
+HOT = 4 * BLOCK
 #: Tasks among which the rows of one key are dealt.
 SALTS = 16
 #: Partners of a document that are verified in one group, and sets that one reading of a text sends.
@@ -248,7 +250,7 @@ def _wanting(reps: DataFrame, classes: DataFrame, rows: int, rule: Rule) -> Data
 
 
 def _prefixes(marked: DataFrame, rule: Rule) -> DataFrame:
-    """(gram, node, n, pos): the prefix in the order (class, hash); nothing of those that ``_wanting`` names."""
+    """(gram, node, n, pos, df): the prefix in the order (class, hash); nothing of those that ``_wanting`` names."""
     num, den = rule.num, rule.den
 
     def run(batches):
@@ -259,23 +261,62 @@ def _prefixes(marked: DataFrame, rule: Rule) -> DataFrame:
             common_flat = marks.flatten()
             key, df = common_flat.field(0).to_numpy(), common_flat.field(1).to_numpy()
             stops = np.concatenate(([0], np.cumsum(np.nan_to_num(marks.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))))
-            out = []
+            out, ranks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for k in range(len(node)):
                 s, p = flat[ends[k] : ends[k + 1]], _prefix(int(size[k]), num, den)
+                rank = np.zeros(len(s), np.int64)
                 if stops[k + 1] > stops[k]:
-                    rank = np.zeros(len(s), np.int64)
                     rank[np.searchsorted(s, key[stops[k] : stops[k + 1]])] = df[stops[k] : stops[k + 1]]
                     if len(s) < size[k] and (rank == 0).sum() < p:
-                        s = s[:0]
-                    else:
-                        s = s[np.argsort(rank, kind="stable")]
+                        p = 0
+                    order = np.argsort(rank, kind="stable")
+                    s, rank = s[order], rank[order]
                 out.append(s[:p])
-            many = np.array([len(s) for s in out], np.int64)
+                ranks.append(rank[:p])
+            many = np.array([len(s) for s in out[1:]], np.int64)
             pos = np.concatenate([np.arange(m) for m in many] or [np.zeros(0)]).astype(np.int32)
-            columns = [np.concatenate([*out, np.zeros(0, np.int64)]), np.repeat(node, many), np.repeat(size, many), pos]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n", "pos"])
+            columns = [np.concatenate(out), np.repeat(node, many), np.repeat(size, many), pos, np.concatenate(ranks)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["gram", "node", "n", "pos", "df"])
+
+    return marked.where("node is not null").select("node", "n", "grams", "marks").mapInArrow(run, "gram long, node long, n int, pos int, df long")
+
+
+def _postings(rows: DataFrame, tables: Tables) -> DataFrame:
+    """(gram, node, n, pos, hub, hub_n, hub_pos) of n-grams that two nodes have at least, with the first (most central) member of each.
 
-    return marked.where("node is not null").select("node", "n", "grams", "marks").mapInArrow(run, "gram long, node long, n int, pos int")
+    A gram's rows are sorted together; those of grams that stand in very many sets are not brought together, their first
+    member is found by an aggregate.
+    """
+    schema = "gram long, node long, n int, pos int, hub long, hub_n int, hub_pos int"
+
+    def run(batches):
+        names = ["gram", "node", "n", "pos", "hub", "hub_n", "hub_pos"]
+        kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32)
+        hub: np.ndarray | None = None  # the first member of the run that the last batch ended in
+        told = True
+        for b in batches:
+            t = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(4)], 1)
+            if not len(t):
+                continue
+            if hub is not None:
+                t = np.concatenate((hub[None], t))
+            start = np.concatenate(([True], t[1:, 0] != t[:-1, 0]))
+            first = np.maximum.accumulate(np.where(start, np.arange(len(t)), 0))
+            more = ~start | np.concatenate((~start[1:], [False]))
+            if hub is not None and told:
+                more[0] = False
+            out = np.concatenate((t, t[first][:, 1:]), 1)[more]
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, k].astype(kinds[k])) for k in range(7)], names=names)
+            same = hub is not None and first[-1] == 0
+            told = bool(more[first[-1]]) or (same and told)
+            hub = t[first[-1]].copy()
+
+    rare = rows.where(F.col("df") <= HOT).select("gram", "node", "n", "pos")
+    rare = rare.repartition("gram").sortWithinPartitions("gram", "pos", "node").mapInArrow(run, schema)
+    hot = rows.where(F.col("df") > HOT).select("gram", "node", "n", "pos")
+    hubs = hot.groupBy("gram").agg(F.min(F.struct("pos", "node", "n")).alias("first"), F.count("*").alias("many")).where("many > 1")
+    hubs, many = tables.counted(hubs.select("gram", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("first.pos").alias("hub_pos")))
+    return rare.union(_dealt(hot, hubs, many, "gram", "node").select("gram", "node", "n", "pos", "hub", "hub_n", "hub_pos"))
 
 
 def _feasible(a_n, a_pos, b_n, b_pos, rule: Rule):
@@ -460,21 +501,25 @@ def jaccard_components(
     rule = Rule(words, num, den)
     tables = Tables(df.sparkSession, "jaccard")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = tables.write(_described(docs, rule, False).withColumn("rid", F.monotonically_increasing_id()))
+    heads = tables.write(_described(docs, rule, False).withColumn("rid", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
-    classes = tables.write(base.where("n > 0").groupBy("sig").agg(first).select("sig", F.col("first.doc_id").alias("rep"), "first.rid"))
-    reps = tables.write(base.join(classes.select("rid"), "rid", "left_semi").select("rid", F.col("doc_id").alias("node"), "n", "grams"))
+    classes = heads.where("n > 0").groupBy("sig").agg(first).select("sig", F.col("first.doc_id").alias("rep"), "first.rid")
+    classes = tables.write(classes)
+    base = tables.write(heads.select("doc_id", "n", "sig"))
+    reps = tables.write(heads.join(classes.select("rid"), "rid", "left_semi").select("rid", F.col("doc_id").alias("node"), "n", "grams"))
+    tables.drop(heads)
     rows = tables.write(_ranked(docs, reps, rule, tables))
-    hub = rows.groupBy("gram").agg(F.min(F.struct("pos", "node", "n")).alias("hub"), F.count("*").alias("df")).where("df > 1")
-    met = rows.join(hub.select("gram", "hub"), "gram")  # a posting that is too long for a task is split by the adaptive join
-    postings = tables.write(met.select("gram", "node", "n", "pos", *(F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("pos", "node", "n"))))
-    tables.drop(reps, rows)
+    tables.drop(reps)
+    postings = tables.write(_postings(rows, tables))
+    tables.drop(rows)
     meet = _feasible(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), rule)
-    near = postings.where((F.col("hub_node") != F.col("node")) & meet)
-    tried = tables.write(near.groupBy(F.col("hub_node").alias("a"), F.col("node").alias("b")).agg(F.max("hub_n").alias("n")))
+    near = postings.where((F.col("hub") != F.col("node")) & meet)
+    tried = tables.write(near.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("hub_n").alias("n")))
     stars = components(_verify(docs, tried, rule, tables), tables)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    tables.release()
     second = tables.write(_split_pairs(postings, stars, rule, tables).join(done, ["a", "b"], "left_anti"))
+    tables.drop(postings)
     edges = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verify(docs, second, rule, tables))
     found = components(edges, tables)
     some = base.where("n > 0").select("doc_id", "n", "sig").join(classes.select("sig", "rep"), "sig")
