@@ -1,21 +1,25 @@
 """A media column: bytes as 8-bit mono FLAC, decoded again with all frame checks.
 
-Frames of many rows are coded side by side in numpy.  The encoder takes, per
-frame, the shortest of a constant, verbatim or fixed-predictor subframe (orders
-0 to 4, one Rice partition); the decoder reads those and quantised linear
-predictors, partitioned Rice residuals with escapes, and wasted bits.  Every
-frame's CRC-8 and CRC-16 and the stream's MD5 are verified.  Lanes keep one
-frame each, so a long row is many lanes and none is cut short.
+Frames of many rows are coded side by side in numpy, ``RUN`` at once, so that a
+long row takes no more memory than its bytes and one run.  The encoder takes,
+per frame, the shortest of a constant, verbatim, fixed-predictor (orders 0 to 4)
+or linear-predictor subframe (order ``ORDER``), with one Rice partition or
+``PARTS``.  The decoder finds frames by their sync codes, numbers and checks, so
+that it needs no seek points and believes none; it also reads escapes, wasted
+bits and frames of other sizes.  Every frame's CRC-8 and CRC-16 and the stream's
+MD5 are verified.  Seek points only speed up ``samples_at``.
 
 Defined results: null is the empty text; the payload is padded with bytes 32 to
 a positive multiple of ``UNIT``; equal payloads have equal streams; a damaged
-stream raises ValueError.
+stream, or one that is not 8-bit mono, raises ValueError.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +34,15 @@ UNIT = 192
 #: Samples in a frame: a multiple of UNIT with a code of its own in the header.
 BLOCK = 1152
 RATE = 8000
-_HEAD = 7  # bytes of a frame header at most, before the coded frame number
+#: Frames that are coded at once.
+RUN = 1024
+#: Coefficients of the linear predictor, and their bits.
+ORDER, PRECISION = 6, 12
+#: Rice partitions of a frame, as the power of two that the stream says.
+PART_POWER = 3
+PARTS = 1 << PART_POWER
+_SIGNED = bytes(b ^ 0x80 for b in range(256))
+_SYNC = re.compile(rb"\xff[\xf8\xf9]")
 
 
 @lru_cache(maxsize=4)
@@ -101,112 +113,168 @@ def _stream_head(samples: int, frames: list[int], md5: bytes) -> bytes:
     return b"fLaC" + b"\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table).to_bytes(3, "big") + table
 
 
-def _zigzag(x: np.ndarray) -> np.ndarray:
-    return np.where(x >= 0, 2 * x, -2 * x - 1)
-
-
 def encode(payloads: list[bytes]) -> list[bytes]:
     """One FLAC stream for each payload (none empty)."""
-    sizes = np.array([len(p) for p in payloads], np.int64)
-    frames = -(-sizes // BLOCK)
-    ends = np.cumsum(frames)
-    number = _ranges(np.zeros(len(sizes), np.int64), frames)
-    count = np.full(len(number), BLOCK, np.int64)
-    count[ends - 1] = sizes - (frames - 1) * BLOCK
-    flat = np.zeros(len(number) * BLOCK, np.int16)
-    for p, e, k in zip(payloads, ends.tolist(), frames.tolist()):
-        flat[(e - k) * BLOCK : (e - k) * BLOCK + len(p)] = np.frombuffer(p, np.uint8)
-    x = flat.reshape(-1, BLOCK)
-    x -= 128
+    frames = -(-np.array([len(p) for p in payloads], np.int64) // BLOCK)
+    owner = np.repeat(np.arange(len(payloads)), frames)
+    number = _ranges(np.zeros(len(frames), np.int64), frames)
+    coded: list[list[bytes]] = [[] for _ in payloads]
+    for a in range(0, len(owner), RUN):
+        own, at = owner[a : a + RUN].tolist(), number[a : a + RUN].tolist()
+        parts = [payloads[i][k * BLOCK : (k + 1) * BLOCK] for i, k in zip(own, at)]
+        x = np.zeros((len(parts), BLOCK), np.int32)
+        for row, part in zip(x, parts):
+            row[: len(part)] = np.frombuffer(part, np.uint8)
+        x -= 128
+        for i, raw in zip(own, _coded_frames(x, np.array([len(part) for part in parts]), at)):
+            coded[i].append(raw)
+    return [_stream_head(len(p), list(map(len, own)), hashlib.md5(p.translate(_SIGNED)).digest()) + b"".join(own) for p, own in zip(payloads, coded)]
+
+
+class _Choice:
+    """Zigzag residuals of all frames under one kind of predictor, and the cheapest Rice parameters for them."""
+
+    def __init__(self, res: np.ndarray, order: np.ndarray, count: np.ndarray, head: np.ndarray):
+        """order: samples that are kept as they are; head: bits before the residuals."""
+        self.order, self.head = order, head
+        at = np.arange(BLOCK)
+        self.body = (at >= order[:, None]) & (at < count[:, None])
+        self.coded = np.where(self.body, (res << 1) ^ (res >> 31), 0)
+        one, k_one = self._parameters(1)
+        full = count == BLOCK
+        many, k_many = self._parameters(PARTS)
+        self.parts = np.where(full & (many < one), PARTS, 1)
+        self.cost = np.where(self.parts == 1, one, many) + head
+        self.k = np.where((self.parts == 1)[:, None], k_one, k_many)
+
+    def _parameters(self, parts: int) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of the residuals, and the parameter of each of ``PARTS`` partitions."""
+        cells = self.coded.reshape(len(self.coded), parts, -1)
+        n = self.body.reshape(cells.shape).sum(2)
+        # the best parameter is beside the binary logarithm of the mean
+        guess = np.log2(np.maximum(cells.sum(2, dtype=np.int64) / np.maximum(n, 1), 1)).astype(np.int32)
+        best, chosen = None, None
+        for step in (-1, 0, 1):
+            k = np.clip(guess + step, 0, 14)
+            bits = (cells >> k[:, :, None]).sum(2, dtype=np.int64) + n * (1 + k)
+            if best is None:
+                best, chosen = bits, k
+            else:
+                better = bits < best
+                best, chosen = np.where(better, bits, best), np.where(better, k, chosen)
+        return best.sum(1) + 4 * parts, np.broadcast_to(chosen, (len(chosen), parts)) if parts == PARTS else np.repeat(chosen, PARTS, 1)
+
+
+def _fixed(x: np.ndarray, count: np.ndarray) -> _Choice:
+    """The fixed predictor whose residuals are the smallest."""
     inside = np.arange(BLOCK) < count[:, None]
-    # the cheapest order, then the cheapest Rice parameter, of every frame; unused samples repeat nothing and cost nothing
-    order_cost = np.full((5, len(x)), np.iinfo(np.int64).max)
-    res = x.copy()
+    cost, res = [], x
     for order in range(5):
         if order:
-            res = np.diff(res, axis=1, prepend=np.int16(0))
-        cost = np.abs(res, dtype=np.int16)
-        cost[~inside] = 0
-        cost[:, :order] = 0
-        total = cost.sum(1, dtype=np.int64)
-        order_cost[order] = np.where(count > order, total, np.iinfo(np.int64).max)
-    order = order_cost.argmin(0)
-    res = x.astype(np.int32)
-    coded = np.empty(x.shape, np.int32)
-    for o in range(5):
-        if o:
             res = np.diff(res, axis=1, prepend=0)
-        coded[order == o] = _zigzag(res[order == o])
-    body = inside & (np.arange(BLOCK) >= order[:, None])
-    n = body.sum(1)
-    coded[~body] = 0
-    # the best Rice parameter is beside the binary logarithm of the mean
-    guess = np.log2(np.maximum(coded.sum(1, dtype=np.int64) / np.maximum(n, 1), 1)).astype(np.int64)
-    tried = np.clip(guess + np.array([[-1], [0], [1]]), 0, 14)
-    bits = np.stack([(coded >> k[:, None].astype(np.int32)).sum(1, dtype=np.int64) + n * (1 + k) for k in tried])
-    best = bits.argmin(0)
-    rice, cost = tried[best, np.arange(len(x))], bits.min(0) + 8 * order + 2 + 4 + 4
-    constant = (x == x[:, :1]).all(1) | ((x == x[:, :1]) | ~inside).all(1)
-    kind = np.where(constant, 0, np.where(cost < 8 * count, 2, 1))  # constant, verbatim, fixed
-    verbatim = np.flatnonzero(kind == 1)
-    fixed = np.flatnonzero(kind == 2)
-    inner: list[bytes | None] = [None] * len(x)
-    for f in np.flatnonzero(kind == 0).tolist():
-        inner[f] = bytes([0, int(x[f, 0]) & 0xFF])
-    for f in verbatim.tolist():
-        inner[f] = b"\x02" + x[f, : count[f]].astype(np.int8).tobytes()
-    if len(fixed):
-        for f, raw in zip(fixed.tolist(), _rice_bytes(x, coded, body, order, rice, fixed)):
-            inner[f] = raw
-    body_of = []
-    for f in range(len(x)):
-        body_of.append(_frame_header(int(number[f]), int(count[f])) + inner[f])
-    joined = np.frombuffer(b"".join(body_of), np.uint8)
-    stop = np.cumsum([len(b) for b in body_of])
-    crc = _crc(joined, stop - [len(b) for b in body_of], stop, 0x8005, 16)
-    out = []
-    for p, e, k in zip(payloads, ends.tolist(), frames.tolist()):
-        own = [body_of[f] + int(crc[f]).to_bytes(2, "big") for f in range(e - k, e)]
-        signed = (np.frombuffer(p, np.uint8) ^ 0x80).tobytes()
-        out.append(_stream_head(len(p), [len(b) for b in own], hashlib.md5(signed).digest()) + b"".join(own))
-    return out
+        size = np.abs(res)
+        size[~inside] = 0
+        size[:, :order] = 0
+        cost.append(size.sum(1))
+    order = np.stack(cost).argmin(0)
+    res, out = x, x.copy()
+    for o in range(1, 5):
+        res = np.diff(res, axis=1, prepend=0)
+        own = order == o
+        out[own] = res[own]
+    return _Choice(out, order, count, 14 + 8 * order)
+
+
+def _linear(x: np.ndarray, count: np.ndarray) -> tuple[_Choice, np.ndarray, np.ndarray]:
+    """Linear predictors by the autocorrelation method: the choice, the coefficients (frames, ORDER) and their shifts."""
+    f = x.astype(np.float32)
+    r = np.stack([np.einsum("ft,ft->f", f[:, j:], f[:, : BLOCK - j]) for j in range(ORDER + 1)], 1).astype(np.float64)
+    r[:, 0] = r[:, 0] * 1.0001 + 1
+    a, error = np.zeros((len(x), ORDER)), r[:, 0].copy()
+    for i in range(ORDER):
+        k = (r[:, i + 1] - (a[:, :i] * r[:, i:0:-1]).sum(1)) / error
+        a[:, :i] -= k[:, None] * a[:, :i][:, ::-1]
+        a[:, i] = k
+        error *= 1 - k * k
+    top = np.maximum(np.abs(a).max(1), 1e-6)
+    shift = np.clip(PRECISION - 2 - np.floor(np.log2(top)), 0, 15).astype(np.int32)
+    most = (1 << (PRECISION - 1)) - 1
+    coef = np.clip(np.rint(a * (1 << shift)[:, None]), -most, most).astype(np.int32)
+    guess = np.zeros((len(x), BLOCK - ORDER), np.int32)
+    for j in range(ORDER):
+        guess += coef[:, j, None] * x[:, ORDER - 1 - j : BLOCK - 1 - j]
+    res = x.copy()
+    res[:, ORDER:] -= guess >> shift[:, None]
+    order = np.full(len(x), ORDER)
+    return _Choice(res, order, count, 14 + 8 * order + 9 + PRECISION * ORDER), coef, shift
 
 
-def _rice_bytes(x, coded, body, order, rice, fixed) -> list[bytes]:
-    """Subframes of the fixed predictors: header, warm-up samples, one Rice partition, padded to bytes."""
-    o, k = order[fixed], rice[fixed]
-    own = body[fixed]
-    value = coded[fixed][own].astype(np.int64)
-    per = own.sum(1)
-    kk = np.repeat(k, per)
-    q = value >> kk
-    length = q + 1 + kk
-    head = 8 + 8 * o + 2 + 4 + 4
+def _coded_frames(x: np.ndarray, count: np.ndarray, number: list[int]) -> list[bytes]:
+    """Whole frames, with header and checks."""
+    fixed, (linear, coef, shift) = _fixed(x, count), _linear(x, count)
+    inside = np.arange(BLOCK) < count[:, None]
+    constant = ((x == x[:, :1]) | ~inside).all(1)
+    cost = np.stack([np.where(constant, 0, 8 * count), fixed.cost, linear.cost])
+    kind = cost.argmin(0)
+    inner: list[bytes] = [b""] * len(x)
+    for f in np.flatnonzero(kind == 0).tolist():
+        own = x[f, : 1 if constant[f] else count[f]].astype(np.int8).tobytes()
+        inner[f] = (b"\x00" if constant[f] else b"\x02") + own
+    for which, choice in ((1, fixed), (2, linear)):
+        rows = np.flatnonzero(kind == which)
+        if len(rows):
+            heads = []
+            for f in rows.tolist():
+                o = int(choice.order[f])
+                head = (8 + o if which == 1 else 32 + o - 1) << 1
+                for v in x[f, :o].tolist():
+                    head = head << 8 | v & 0xFF
+                if which == 2:
+                    head = (head << 4 | PRECISION - 1) << 5 | int(shift[f])
+                    for c in coef[f].tolist():
+                        head = head << PRECISION | c & ((1 << PRECISION) - 1)
+                heads.append(head << 6 | (PART_POWER if choice.parts[f] > 1 else 0))
+            for f, raw in zip(rows.tolist(), _rice_bytes(choice, rows, count, heads)):
+                inner[f] = raw
+    body = [_frame_header(k, int(n)) + raw for k, n, raw in zip(number, count, inner)]
+    size = np.array([len(b) for b in body])
+    stop = np.cumsum(size)
+    crc = _crc(np.frombuffer(b"".join(body), np.uint8), stop - size, stop, 0x8005, 16)
+    return [b + int(c).to_bytes(2, "big") for b, c in zip(body, crc.tolist())]
+
+
+def _rice_bytes(choice: _Choice, rows: np.ndarray, count: np.ndarray, heads: list[int]) -> list[bytes]:
+    """Subframes: the head's bits, then by partition a parameter and the codes of its residuals, padded to bytes."""
+    own, order = choice.body[rows], choice.order[rows]
+    value = choice.coded[rows][own].astype(np.int64)
+    frame, at = np.nonzero(own)
+    wide = (count // choice.parts)[rows][frame]
+    part = at // wide
+    first = at == np.maximum(order[frame], part * wide)
+    k = choice.k[rows][frame, part].astype(np.int64)
+    q = value >> k
+    length = q + 1 + k + 4 * first
     begin = np.cumsum(length) - length
+    per = own.sum(1)
     firsts = np.cumsum(per) - per
-    total = np.add.reduceat(length, firsts) + head
-    nbytes = -(-total // 8)
-    byte_start = np.cumsum(nbytes) - nbytes
-    shift = 8 * byte_start + head - begin[firsts]
-    at = begin + np.repeat(shift, per)
-    bits = np.zeros(int(nbytes.sum()) * 8, np.uint8)
-    stop = at + q
+    head = choice.head[rows]
+    size = -(-(np.add.reduceat(length, firsts) + head) // 8)
+    starts = np.cumsum(size) - size
+    begin += np.repeat(8 * starts + head - begin[firsts], per)
+    bits = np.zeros(int(size.sum()) * 8, np.uint8)
+    for j in range(4):
+        bits[begin[first] + 3 - j] = (k[first] >> j) & 1
+    stop = begin + 4 * first + q
     bits[stop] = 1
-    for j in range(int(k.max()) if len(k) else 0):
-        low = kk > j  # bit j from the right
-        bits[(stop + kk - j)[low]] = (value[low] >> j) & 1
-    raw = np.packbits(bits)
+    for j in range(int(k.max())):
+        low = k > j  # bit j from the right
+        bits[(stop + k - j)[low]] = (value[low] >> j) & 1
+    raw = np.packbits(bits).tobytes()
     out = []
-    for i, f in enumerate(fixed.tolist()):
-        piece = bytearray(raw[byte_start[i] : byte_start[i] + nbytes[i]].tobytes())
-        n, w = 8 + 8 * int(o[i]) + 10, int(o[i])
-        warm = x[f, :w].astype(np.int8).tobytes()
-        prefix = (int.from_bytes(bytes([(8 | w) << 1]) + warm, "big") << 10) | (int(k[i]) << 0)
-        pad = -n % 8
-        head_bytes = (prefix << pad).to_bytes((n + pad) // 8, "big")
-        piece[: len(head_bytes) - 1] = head_bytes[:-1]
-        piece[len(head_bytes) - 1] |= head_bytes[-1]
-        out.append(bytes(piece))
+    for a, n, h, value_of in zip(starts.tolist(), size.tolist(), head.tolist(), heads):
+        pad = -h % 8
+        top = (value_of << pad).to_bytes((h + pad) // 8, "big")
+        out.append(top[:-1] + bytes([top[-1] | raw[a + len(top) - 1]]) + raw[a + len(top) : a + n])
     return out
 
 
@@ -266,59 +334,173 @@ def _subframe(raw: bytes, at: int, size: int) -> _Subframe:
     return s
 
 
-def decode(streams: list[bytes]) -> list[bytes]:
-    """The payloads; all frames of all streams run side by side."""
-    flat_raw = b"".join(streams)
-    base = 0
-    frames: list[tuple[int, _Subframe, int, int]] = []  # stream, subframe, first sample, first byte
-    ends_of: list[int] = []
-    infos = []
-    for i, raw in enumerate(streams):
+class _Stream:
+    """Where a stream's frames are: first byte, first byte after the header, end, first sample, samples."""
+
+    def __init__(self, raw: bytes):
+        self.raw = raw
+        try:
+            self._metadata()
+        except IndexError as e:
+            raise ValueError("the stream is cut off") from e
+
+    def _metadata(self) -> None:
+        raw = self.raw
         if raw[:4] != b"fLaC":
             raise ValueError("no stream marker")
-        at, last, info, seek = 4, False, None, None
+        at, last, info, self.points = 4, False, None, []
         while not last:
             last, kind, n = bool(raw[at] & 0x80), raw[at] & 0x7F, int.from_bytes(raw[at + 1 : at + 4], "big")
             part = raw[at + 4 : at + 4 + n]
-            info, seek = (part if kind == 0 else info), (part if kind == 3 else seek)
+            if kind == 0:
+                info = part
+            elif kind == 3:
+                self.points = [(int.from_bytes(part[k : k + 8], "big"), int.from_bytes(part[k + 8 : k + 16], "big")) for k in range(0, n - 17, 18)]
             at += 4 + n
+        if info is None or len(info) != 34:
+            raise ValueError("no stream information")
         word = int.from_bytes(info[10:18], "big")
-        samples = word & ((1 << 36) - 1)
-        infos.append((samples, info[18:34]))
-        offsets = [int.from_bytes(seek[k + 8 : k + 16], "big") for k in range(0, len(seek), 18)]
-        firsts = [int.from_bytes(seek[k : k + 8], "big") for k in range(0, len(seek), 18)]
-        for k, (o, f) in enumerate(zip(offsets, firsts)):
-            a = at + o
-            z = at + offsets[k + 1] if k + 1 < len(offsets) else len(raw)
-            if raw[a] != 0xFF or raw[a + 1] != 0xF8:
-                raise ValueError("lost the frame sync")
-            code = raw[a + 2] >> 4
-            width = 1 if raw[a + 4] < 0x80 else 8 - (~raw[a + 4] & 0xFF).bit_length()
+        if word >> 41 & 7 or (word >> 36 & 31) != 7:
+            raise ValueError("not 8-bit mono")
+        self.begin, self.total, self.md5, self.block = at, word & ((1 << 36) - 1), info[18:34], int.from_bytes(info[:2], "big")
+
+    def _header(self, a: int) -> tuple[int, int, int] | None:
+        """(first sample, samples, first byte after the header) of a frame at byte a; None if there is none."""
+        raw = self.raw
+        try:
+            code, rate, lead = raw[a + 2] >> 4, raw[a + 2] & 15, raw[a + 4]
+            if raw[a] != 0xFF or raw[a + 1] & 0xFE != 0xF8 or not code or rate == 15 or raw[a + 3] & 0xF1 or raw[a + 3] >> 1 & 7 > 1 or 0x80 <= lead < 0xC0 or lead == 0xFF:
+                return None
+            width = 1 if lead < 0x80 else 8 - (~lead & 0xFF).bit_length()
+            number = lead if width == 1 else lead & ((1 << (7 - width)) - 1)
+            for k in range(1, width):
+                if raw[a + 4 + k] >> 6 != 2:
+                    return None
+                number = number << 6 | raw[a + 4 + k] & 0x3F
             h = a + 4 + width
-            size = BLOCK if code == 3 else int.from_bytes(raw[h : h + 2], "big") + 1 if code == 7 else _block_size(code, raw[h])
-            h += {6: 1, 7: 2}.get(code, 0)
+            size = int.from_bytes(raw[h : h + 2], "big") + 1 if code == 7 else _block_size(code, raw[h])
+            h += {6: 1, 7: 2}.get(code, 0) + {12: 1, 13: 2, 14: 2}.get(rate, 0)
             if _frame_header_crc(raw[a:h]) != raw[h]:
-                raise ValueError("frame header check failed")
-            s = _subframe(raw, 8 * (h + 1), size)
-            s.at += 8 * base
-            frames.append((i, s, f, base + a))
-            ends_of.append(base + z)
-        base += len(raw)
-    raw = np.frombuffer(flat_raw, np.uint8)
-    start, end = np.array([f[3] for f in frames]), np.array(ends_of)
-    if _crc(raw, start, end, 0x8005, 16).any():
+                return None
+        except IndexError:
+            return None
+        return number if raw[a + 1] & 1 else number * self.block, size, h + 1
+
+    def walk(self, at: int, careful: bool) -> Iterator[tuple[int, int, int, int, int]]:
+        """Frames from byte ``at`` on.  A frame ends where the next sync has a header for the next sample; careful: and its check holds."""
+        raw, head, expected = self.raw, self._header(at), None
+        while True:
+            if head is None or (expected is not None and head[0] != expected):
+                raise ValueError("lost the frame sync")
+            first, size, inner = head
+            expected, end, head = first + size, len(raw), None
+            if not self.total or expected < self.total:
+                k = inner
+                while m := _SYNC.search(raw, k):
+                    k = m.start() + 1
+                    found = self._header(m.start())
+                    if found and found[0] == expected and not (careful and _one_crc(raw[at : m.start()])):
+                        end, head = m.start(), found
+                        break
+            yield at, inner, end, first, size
+            if end == len(raw):
+                if self.total and expected < self.total:
+                    raise ValueError("frames are missing")
+                return
+            at = end
+
+    def frames(self) -> list[tuple[int, int, int, int, int]]:
+        """All frames, their checks verified.  One whose bytes look like a next frame's header is found by the careful walk."""
+        for careful in (False, True):
+            try:
+                found = list(self.walk(self.begin, careful))
+                if all(not self._bad(found[a : a + RUN]) for a in range(0, len(found), RUN)):
+                    return found
+            except ValueError:
+                if careful:
+                    raise
         raise ValueError("frame check failed")
-    samples = _samples(raw, flat_raw, [f[1] for f in frames])
-    out: list[list[bytes]] = [[] for _ in streams]
-    for (i, s, _, _), row in zip(frames, samples):
-        out[i].append(row[: s.size].tobytes())
-    payloads = []
-    for parts, (n, md5) in zip(out, infos):
-        signed = b"".join(parts)
-        if len(signed) != n or hashlib.md5(signed).digest() != md5:
+
+    def _bad(self, frames: list[tuple]) -> bool:
+        a, z = frames[0][0], frames[-1][2]
+        start, end = np.array([f[0] for f in frames]) - a, np.array([f[2] for f in frames]) - a
+        return bool(_crc(np.frombuffer(self.raw[a:z], np.uint8), start, end, 0x8005, 16).any())
+
+
+def _one_crc(raw: bytes) -> int:
+    return int(_crc(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]), 0x8005, 16)[0])
+
+
+def _decoded(frames: list[tuple[bytes, int]]) -> list[bytes]:
+    """Samples of some frames (bytes from the header's end on, samples), side by side."""
+    flat = b"".join(raw for raw, _ in frames)
+    subs, base = [], 0
+    for raw, size in frames:
+        sub = _subframe(raw, 0, size)
+        sub.at += 8 * base
+        subs.append(sub)
+        base += len(raw)
+    return [row[: s.size].tobytes() for s, row in zip(subs, _samples(np.frombuffer(flat, np.uint8), flat, subs))]
+
+
+def blocks(streams: list[bytes]) -> Iterator[tuple[int, int, bytes]]:
+    """(stream, sample offset, PCM) of every frame of all streams, in order; a run of frames is decoded at once."""
+    run: list[tuple[int, int, bytes, int]] = []
+    digests = {}
+
+    def flush():
+        try:
+            decoded = _decoded([(raw, size) for _, _, raw, size in run])
+        except IndexError as e:
+            raise ValueError("the stream is cut off") from e
+        for (i, first, _, _), samples in zip(run, decoded):
+            stream, digest, _ = digests[i]
+            digest.update(samples)
+            digests[i][2] += len(samples)
+            if digests[i][2] == stream.total and digest.digest() != stream.md5:
+                raise ValueError("stream check failed")
+            yield i, first, samples.translate(_SIGNED)
+
+    for i, raw in enumerate(streams):
+        stream = _Stream(raw)
+        found = stream.frames()
+        stream.total = stream.total or found[-1][3] + found[-1][4]
+        if found[0][3] or found[-1][3] + found[-1][4] != stream.total:
             raise ValueError("stream check failed")
-        payloads.append((np.frombuffer(signed, np.uint8) ^ 0x80).tobytes())
-    return payloads
+        digests[i] = [stream, hashlib.md5(), 0]
+        for _, inner, end, first, size in found:
+            run.append((i, first, raw[inner : end - 2] + bytes(8), size))
+            if len(run) == RUN:
+                yield from flush()
+                run.clear()
+    if run:
+        yield from flush()
+
+
+def decode(streams: list[bytes]) -> list[bytes]:
+    """The payloads."""
+    out = [bytearray() for _ in streams]
+    for i, _, pcm in blocks(streams):
+        out[i] += pcm
+    return [bytes(x) for x in out]
+
+
+def samples_at(raw: bytes, first: int, n: int) -> bytes:
+    """n samples from one on.  A seek point is believed if a frame for its sample stands there; else frames are walked from the first on."""
+    stream = _Stream(raw)
+    at = stream.begin
+    for sample, offset in stream.points:
+        head = stream._header(stream.begin + offset) if sample <= first else None
+        if head and head[0] == sample:
+            at = max(at, stream.begin + offset)
+    out, begin = b"", None
+    for _, inner, end, place, size in stream.walk(at, True):
+        if place + size > first:
+            begin = place if begin is None else begin
+            out += _decoded([(raw[inner : end - 2] + bytes(8), size)])[0]
+        if place + size >= first + n:
+            break
+    return out.translate(_SIGNED)[first - (begin or 0) :][:n]
 
 
 @lru_cache(maxsize=1 << 14)
@@ -349,26 +531,31 @@ def _samples(raw: np.ndarray, flat: bytes, subs: list[_Subframe]) -> list[np.nda
         else:
             lanes.append(k)
     if lanes:
-        width = max(subs[k].size for k in lanes)
-        residual = _residuals(raw, flat, [subs[k] for k in lanes], width)
-        for key in {(subs[k].order, subs[k].shift, tuple(subs[k].coef)) for k in lanes}:
-            own = [j for j, k in enumerate(lanes) if (subs[k].order, subs[k].shift, tuple(subs[k].coef)) == key]
-            restored = _restore(residual[:, own], [subs[lanes[j]] for j in own], *key)
-            for j, row in zip(own, restored):
-                out[lanes[j]] = row << subs[lanes[j]].wasted if subs[lanes[j]].wasted else row
+        residual = _residuals(raw, flat, [subs[k] for k in lanes], max(subs[k].size for k in lanes))
+        for k, row in zip(lanes, _restore(residual, [subs[k] for k in lanes])):
+            out[k] = row << subs[k].wasted if subs[k].wasted else row
     return out
 
 
-def _restore(res: np.ndarray, subs: list[_Subframe], order: int, shift: int, coef: tuple) -> np.ndarray:
-    """res (samples, lanes) holds the residuals from ``order`` on; adds the prediction and returns int8 rows by lane."""
-    for j in range(order):
-        res[j] = [s.warm[j] for s in subs]
-    if order:
-        for t in range(order, len(res)):
-            guess = res[t - 1] * coef[0]
-            for j in range(1, order):
-                guess = guess + res[t - 1 - j] * coef[j]
-            res[t] += guess >> shift if shift >= 0 else guess << -shift
+def _restore(res: np.ndarray, subs: list[_Subframe]) -> np.ndarray:
+    """res (samples, lanes) holds the residuals from each lane's order on; adds the predictions and returns int8 rows by lane."""
+    order = np.array([s.order for s in subs])
+    shift = np.array([s.shift for s in subs])
+    if (shift < 0).any():
+        raise ValueError("negative predictor shift")
+    most = int(order.max())
+    coef = np.zeros((most, len(subs)), res.dtype)  # of the sample most before, ..., of the one just before
+    for k, s in enumerate(subs):
+        res[: s.order, k] = s.warm
+        if s.order:
+            coef[most - s.order :, k] = s.coef[::-1]
+    shift = shift.astype(res.dtype)
+    for t in range(int(order[order > 0].min()) if most else len(res), len(res)):
+        if t >= most:
+            res[t] += (coef * res[t - most : t]).sum(0, dtype=res.dtype) >> shift
+        else:
+            guess = (coef[most - t :] * res[:t]).sum(0, dtype=res.dtype) >> shift
+            res[t] += np.where(order <= t, guess, 0)
     return np.ascontiguousarray(res.T.astype(np.int8))
 
 
@@ -455,10 +642,14 @@ def payload(text: bytes | None) -> bytes:
 
 def feature(samples: bytes) -> str:
     """Of the decoded samples: blocks, mean level, mean step between neighbours, sign changes around the mean."""
-    x = np.frombuffer(samples, np.uint8).astype(np.int32)
-    mean = x.mean()
-    side = x > mean
-    return f"{-(-len(x) // BLOCK)}:{mean:.3f}:{np.abs(np.diff(x)).mean():.3f}:{int((side[1:] != side[:-1]).sum())}"
+    x = np.frombuffer(samples, np.uint8)
+    mean, steps, changes = x.mean(), 0, 0
+    for a in range(0, len(x) - 1, 1 << 20):
+        part = x[a : a + (1 << 20) + 1].astype(np.int16)
+        side = part > mean
+        steps += int(np.abs(np.diff(part)).sum(dtype=np.int64))
+        changes += int((side[1:] != side[:-1]).sum())
+    return f"{-(-len(x) // BLOCK)}:{mean:.3f}:{steps / (len(x) - 1):.3f}:{changes}"
 
 
 def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -468,36 +659,50 @@ def media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
         for whole in batches:
             for b in slices(whole, 1, 1 << 20):
                 texts = b.column(1).cast(pa.binary()).to_pylist()
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(encode([payload(t) for t in texts]), pa.binary())], names=["doc_id", "n_bytes", "media"])
+                sizes = pa.array([len(t or b"") for t in texts], pa.int64())
+                streams = pa.array(encode([payload(t) for t in texts]), pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0), sizes, streams], names=["doc_id", "n_bytes", "media"])
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
 def pcm_blocks(streams: DataFrame) -> DataFrame:
-    """(doc_id, block, sample_offset, pcm): the decoded samples in blocks of BLOCK, to be read from any offset."""
+    """(doc_id, block, sample_offset, pcm): the decoded samples in blocks, to be read from any offset."""
 
     def run(batches):
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "block", "sample_offset", "pcm"])
+
         for whole in batches:
             for b in slices(whole, 1, 1 << 20):
-                rows = [(d, a // BLOCK, a, pcm[a : a + BLOCK]) for d, pcm in zip(b.column(0).to_pylist(), decode(b.column(1).to_pylist())) for a in range(0, len(pcm), BLOCK)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["doc_id", "block", "sample_offset", "pcm"])
+                docs, rows = b.column(0).to_pylist(), []
+                for i, first, pcm in blocks(b.column(1).to_pylist()):
+                    rows.append((docs[i], first // BLOCK, first, pcm))
+                    if len(rows) == RUN:
+                        yield batch(rows)
+                        rows = []
+                if rows:
+                    yield batch(rows)
 
     return streams.select("doc_id", "media").mapInArrow(run, "doc_id long, block long, sample_offset long, pcm binary")
 
 
 def described(streams: DataFrame) -> DataFrame:
-    """Digests of what is read back from the stored streams, and features of it."""
+    """Digests of what is read back from the stored streams, block by block, and features of it."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches):
         for whole in batches:
             for b in slices(whole, 2, 1 << 20):
-                stored = b.column(2).to_pylist()
-                rows = []
-                for d, n, s, pcm in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), stored, decode(stored)):
-                    rows.append((d, n, len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-16:]), len(s), hashlib.sha256(s).hexdigest(), feature(pcm)))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-                names = [c.split()[0] for c in schema.split(", ")]
+                stored, rows = b.column(2).to_pylist(), []
+                docs, sizes = b.column(0).to_pylist(), b.column(1).to_pylist()
+                for i, pcm in enumerate(decode(stored)):
+                    s = stored[i]
+                    rows.append((docs[i], sizes[i], len(pcm), hashlib.sha256(pcm).hexdigest(), zlib.crc32(pcm[-16:]), len(s), hashlib.sha256(s).hexdigest(), feature(pcm)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return streams.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
