@@ -436,7 +436,7 @@ def test_linear_prediction_is_used():
     (raw,) = flac.encode([noisy])
     kinds = [flac._subframe(raw[f[1] : f[2]] + bytes(8), 0, f[4]) for f in flac._Stream(raw).frames()]
     assert kinds[0].order == flac.ORDER and flac.decode([raw]) == [noisy]
-    calm = flac.encode([flac.payload(b"\x80" * 500 + bytes(random.Random(2).randrange(256) for _ in range(600)) + b"\x80" * 52)])[0]
+    calm = flac.encode([flac.payload(b"\x80" * 500 + random.Random(2).randbytes(600) + b"\x80" * 52)])[0]
     assert flac._subframe(calm[flac._Stream(calm).frames()[0][1] :] + bytes(8), 0, 1152).rice[1] == flac.PART_POWER
 
 
