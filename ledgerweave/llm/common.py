@@ -31,8 +31,9 @@ class Tables:
         self.root = f"{shared_dir(spark)}/ledgerweave-{tag}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Cuts the lineage: the rows come from files that outlive any executor."""
+    def write(self, df: DataFrame, small: bool = False) -> DataFrame:
+        """Cuts the lineage: the rows come from files that outlive any executor.  small: much less comes out of the tasks than goes in, so few files do."""
+        df = df.hint("rebalance") if small else df
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
@@ -43,7 +44,7 @@ class Tables:
     def counted(self, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
         """The table, and the number of its rows or the sum of what a row counts, gathered while it is written."""
         seen = Observation()
-        out = self.write(df.observe(seen, F.sum(F.lit(1) if what is None else what).alias("n")))
+        out = self.write(df.observe(seen, F.sum(F.lit(1) if what is None else what).alias("n")), small=True)
         return out, int(seen.get["n"] or 0)
 
     def drop(self, *tables: DataFrame) -> None:

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import Tables, documents
+from .common import Tables, documents, shuffle_partitions
 
 #: N-grams in more heads than this get a frequency class.
 COMMON = 20
@@ -50,7 +50,7 @@ COMMON = 20
 BROADCAST_ROWS = 1 << 18
 #: Members of a posting that are compared in one block.
 BLOCK = 1024
-#: The rows of an n-gram that is in more sets are not sorted in one task.
+#: The rows of an n-gram that is in more sets are dealt over blocks.
 HOT = 4 * BLOCK
 #: Tasks among which the rows of one key are dealt.
 SALTS = 16
@@ -281,42 +281,50 @@ def _prefixes(marked: DataFrame, rule: Rule) -> DataFrame:
     return marked.where("node is not null").select("node", "n", "grams", "marks").mapInArrow(run, "gram long, node long, n int, pos int, df long")
 
 
-def _postings(rows: DataFrame, tables: Tables) -> DataFrame:
-    """(gram, node, n, pos, hub, hub_n, hub_pos) of n-grams that two nodes have at least, with the first (most central) member of each.
+def _postings(rows: DataFrame) -> DataFrame:
+    """(gram, node, n, pos, df, hub, hub_n, hub_pos) of n-grams that two nodes have at least, with the first (most central) member of each.
 
-    A gram's rows are sorted together; those of grams that stand in very many sets are not brought together, their first
-    member is found by an aggregate.
+    The rows of an n-gram that stands in very many sets are dealt over blocks, each with a hub of its own.
     """
-    schema = "gram long, node long, n int, pos int, hub long, hub_n int, hub_pos int"
+    schema = "gram long, node long, n int, pos int, df long, hub long, hub_n int, hub_pos int"
+    kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int64, np.int32, np.int32)
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        names = ["gram", "node", "n", "pos", "hub", "hub_n", "hub_pos"]
-        kinds = (np.int64, np.int64, np.int32, np.int32, np.int64, np.int32, np.int32)
         hub: np.ndarray | None = None  # the first member of the run that the last batch ended in
         told = True
         for b in batches:
-            t = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(4)], 1)
+            t = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(6)], 1)  # with the block as the last column
             if not len(t):
                 continue
             if hub is not None:
                 t = np.concatenate((hub[None], t))
-            start = np.concatenate(([True], t[1:, 0] != t[:-1, 0]))
+            start = np.concatenate(([True], (t[1:, [0, 5]] != t[:-1, [0, 5]]).any(1)))
             first = np.maximum.accumulate(np.where(start, np.arange(len(t)), 0))
-            more = ~start | np.concatenate((~start[1:], [False]))
+            more = ~start | np.concatenate((~start[1:], [False])) | (start & (t[:, 4] > HOT))
             if hub is not None and told:
                 more[0] = False
-            out = np.concatenate((t, t[first][:, 1:]), 1)[more]
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, k].astype(kinds[k])) for k in range(7)], names=names)
+            out = np.concatenate((t[:, :5], t[first][:, 1:4]), 1)[more]
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, k].astype(kinds[k])) for k in range(8)], names=names)
             same = hub is not None and first[-1] == 0
             told = bool(more[first[-1]]) or (same and told)
             hub = t[first[-1]].copy()
 
-    rare = rows.where(F.col("df") <= HOT).select("gram", "node", "n", "pos")
-    rare = rare.repartition("gram").sortWithinPartitions("gram", "pos", "node").mapInArrow(run, schema)
-    hot = rows.where(F.col("df") > HOT).select("gram", "node", "n", "pos")
-    hubs = hot.groupBy("gram").agg(F.min(F.struct("pos", "node", "n")).alias("first"), F.count("*").alias("many")).where("many > 1")
-    hubs, many = tables.counted(hubs.select("gram", F.col("first.node").alias("hub"), F.col("first.n").alias("hub_n"), F.col("first.pos").alias("hub_pos")))
-    return rare.union(_dealt(hot, hubs, many, "gram", "node").select("gram", "node", "n", "pos", "hub", "hub_n", "hub_pos"))
+    block = F.when(F.col("df") > HOT, F.pmod(F.xxhash64("node"), F.ceil(F.col("df") / BLOCK))).otherwise(0).alias("block")
+    dealt = rows.select("gram", "node", "n", "pos", "df", block).repartition("gram", "block").sortWithinPartitions("gram", "block", "pos", "node")
+    return dealt.mapInArrow(run, schema)
+
+
+def _meetings(postings: DataFrame, rule: Rule) -> DataFrame:
+    """Feasible pairs (a, b, n of a): the hub of a posting or block and each of its members, and the hubs of an n-gram's blocks."""
+    of = lambda c: F.struct(*(F.col(f"{c}{x}").alias(x) for x in ("node", "n", "pos")))
+    own = postings.select(F.struct(F.col("hub").alias("node"), F.col("hub_n").alias("n"), F.col("hub_pos").alias("pos")).alias("a"), of("").alias("b"))
+    hubs = postings.where((F.col("df") > HOT) & (F.col("hub") == F.col("node"))).select("gram", F.struct("pos", "node", "n").alias("b"))
+    first = hubs.groupBy("gram").agg(F.min("b").alias("a"))
+    more = hubs.join(first, "gram").select(*(F.struct(*(F.col(f"{x}.{c}").alias(c) for c in ("node", "n", "pos"))).alias(x) for x in "ab"))
+    both = own.union(more).where(F.col("a.node") != F.col("b.node"))
+    both = both.where(_feasible(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), rule))
+    return both.groupBy(F.col("a.node").alias("a"), F.col("b.node").alias("b")).agg(F.max("a.n").alias("n"))
 
 
 def _feasible(a_n, a_pos, b_n, b_pos, rule: Rule):
@@ -436,44 +444,47 @@ def _split_pairs(postings: DataFrame, stars: DataFrame, rule: Rule, tables: Tabl
     rows = rows.select("gram", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "n", "pos", "root")
     num, den = rule.num, rule.den
 
-    def pairs(g: np.ndarray):
-        """g: rows (node, n, pos, root) of a block pair, sorted by n; arrays (a, b, n of a), some thousands at once."""
-        n, held, many = g[:, 1], [], 0
-        for i in range(len(g)):
-            j = np.arange(i + 1, np.searchsorted(n, n[i] * den // num, "right"))
-            if len(j):
-                rest = np.minimum(n[i] - g[i, 2], n[j] - g[j, 2])
-                j = j[(g[j, 3] != g[i, 3]) & (g[j, 0] != g[i, 0]) & (rest * (num + den) >= (n[i] + n[j]) * num)]
-            if len(j):
-                a, b = np.minimum(g[j, 0], g[i, 0]), np.maximum(g[j, 0], g[i, 0])
-                held.append(np.stack((a, b, np.where(a == g[i, 0], n[i], n[j]))))
-                many += len(j)
-                if many > 1 << 16:
-                    yield np.concatenate(held, 1)
-                    held, many = [], 0
-        if held:
-            yield np.concatenate(held, 1)
+    def pairs(t: np.ndarray):
+        """t: rows (gram, p, q, node, n, pos, root) of whole blocks, by block and n; arrays (a, b, n of a).
+
+        All rows are paired at once with the row d places on, for d = 1, 2, ..., until blocks end or lengths differ too much.
+        """
+        n = t[:, 4]
+        last = np.flatnonzero(np.concatenate(((t[1:, :3] != t[:-1, :3]).any(1), [True])))
+        end = last[np.searchsorted(last, np.arange(len(t)))] + 1
+        i, d = np.arange(len(t)), 0
+        while len(i):
+            d += 1
+            i = i[i + d < end[i]]
+            i = i[n[i + d] * num <= n[i] * den]
+            j = i + d
+            rest = np.minimum(n[i] - t[i, 5], n[j] - t[j, 5])
+            ok = (t[i, 6] != t[j, 6]) & (t[i, 3] != t[j, 3]) & (rest * (num + den) >= (n[i] + n[j]) * num)
+            x, y = t[i[ok]], t[j[ok]]
+            if len(x):
+                swap = x[:, 3] > y[:, 3]
+                yield np.where(swap, y[:, 3], x[:, 3]), np.where(swap, x[:, 3], y[:, 3]), np.where(swap, y[:, 4], x[:, 4])
 
     def run(batches):
         held: list[np.ndarray] = []
-        at = None
 
-        def flush():
-            for t in pairs(np.concatenate(held)) if sum(map(len, held)) > 1 else ():
-                yield pa.RecordBatch.from_arrays([pa.array(t[0]), pa.array(t[1]), pa.array(t[2].astype(np.int32))], names=["a", "b", "n"])
+        def found(t):
+            for a, b, n in pairs(t):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n.astype(np.int32))], names=["a", "b", "n"])
+
+        for batch in batches:
+            held.append(np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], 1))
+            if sum(map(len, held)) >= 1 << 15:
+                t = np.concatenate(held)
+                cut = np.flatnonzero((t[1:, :3] != t[:-1, :3]).any(1))
+                cut = int(cut[-1]) + 1 if len(cut) else 0  # the last block may go on
+                held = [t[cut:]]
+                yield from found(t[:cut])
+        if held:
+            yield from found(np.concatenate(held))
 
-        for b in batches:
-            t = np.stack([c.to_numpy().astype(np.int64) for c in b.columns], 1)
-            cut = np.flatnonzero(np.concatenate(([True], (t[1:, :3] != t[:-1, :3]).any(1)))) if len(t) else []
-            for a, z in zip(cut, [*cut[1:], len(t)]):
-                key = tuple(t[a, :3])
-                if key != at:
-                    yield from flush()
-                    at, held = key, []
-                held.append(t[a:z, 3:])
-        yield from flush()
-
-    dealt = rows.repartition("gram", "p", "q").sortWithinPartitions("gram", "p", "q", "n")
+    many = shuffle_partitions(postings.sparkSession)  # more work than bytes, so these are not joined to few tasks
+    dealt = rows.repartition(many, "gram", "p", "q").sortWithinPartitions("gram", "p", "q", "n")
     return dealt.mapInArrow(run, "a long, b long, n int").groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
@@ -489,7 +500,8 @@ def _ranked(docs: DataFrame, reps: DataFrame, rule: Rule, tables: Tables) -> Dat
         few = tables.counted(_wanting(reps, classes, many, rule))
     rows = _prefixes(_marked(reps, classes, many), rule)
     if few[1]:
-        named = tables.write(whole(few).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("node"), "n", "grams"))
+        named = whole(few).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("node"), "n", "grams")
+        named = tables.write(named, small=True)
         rows = rows.union(_prefixes(_marked(named, classes, many), rule))
     return rows
 
@@ -505,20 +517,16 @@ def jaccard_components(
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     classes = heads.where("n > 0").groupBy("sig").agg(first).select("sig", F.col("first.doc_id").alias("rep"), "first.rid")
     classes = tables.write(classes)
-    base = tables.write(heads.select("doc_id", "n", "sig"))
+    base = tables.write(heads.select("doc_id", "n", "sig"), small=True)
     reps = tables.write(heads.join(classes.select("rid"), "rid", "left_semi").select("rid", F.col("doc_id").alias("node"), "n", "grams"))
     tables.drop(heads)
-    rows = tables.write(_ranked(docs, reps, rule, tables))
+    postings = tables.write(_postings(_ranked(docs, reps, rule, tables)))
     tables.drop(reps)
-    postings = tables.write(_postings(rows, tables))
-    tables.drop(rows)
-    meet = _feasible(F.col("n"), F.col("pos"), F.col("hub_n"), F.col("hub_pos"), rule)
-    near = postings.where((F.col("hub") != F.col("node")) & meet)
-    tried = tables.write(near.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.max("hub_n").alias("n")))
+    tried = tables.write(_meetings(postings, rule), small=True)
     stars = components(_verify(docs, tried, rule, tables), tables)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tables.release()
-    second = tables.write(_split_pairs(postings, stars, rule, tables).join(done, ["a", "b"], "left_anti"))
+    second = tables.write(_split_pairs(postings, stars, rule, tables).join(done, ["a", "b"], "left_anti"), small=True)
     tables.drop(postings)
     edges = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verify(docs, second, rule, tables))
     found = components(edges, tables)
