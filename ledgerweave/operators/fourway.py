@@ -12,12 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import amounts_equal
+from ..functions.money import DASH, amounts_equal
 from ..functions.names import invoice_key, order_key, party_name, reference_key, tax_id
 from ..functions.text import product_name, same_site
 from ..policy import FOUR_WAY, VOUCHING, MatchPolicy
 from .matching import first_by, flow_phrase, ladder
-from .twoway import INVOICE, ORDER, two_way, vendor_agrees
+from .twoway import INVOICE, ORDER, all_agree, two_way, vendor_agrees
 
 RECEIPT_LINE = "struct<description:string,material_code:string,qty_received:double,qty_ordered:double,unit:string>"
 REGISTER = "register_row int, vendor_name string, vendor_gstin string, invoice_no string, booking_date string, po_no string, site_name string, taxable double, gst_total double, total double"
@@ -31,7 +31,7 @@ def _invoices(invoices: DataFrame) -> DataFrame:
 
 def posting_candidates(register: DataFrame, invoices: DataFrame, policy: MatchPolicy = FOUR_WAY) -> DataFrame:
     """Hop 1: (register_row, inv_id, rung, basis, confidence, n_candidates, vendor_ok, total_ok): number and vendor, number alone, total and vendor within the year."""
-    reg = register.select("register_row", invoice_key(F.col("invoice_no")).alias("number"), tax_id(F.col("vendor_gstin")).alias("id"), party_name(F.col("vendor_name")).alias("name"), "vendor_name", "vendor_gstin", "total")
+    reg = register.select("register_row", invoice_key(F.col("invoice_no")).alias("number"), tax_id(F.col("vendor_gstin")).alias("id"), party_name(F.col("vendor_name")).alias("name"), "vendor_name", "vendor_gstin", "total", "booking_date")
     inv = _invoices(invoices).select("inv_id", "_number", "_id", "_name", "_total", "_date", F.col("invoice.vendor_name").alias("_vn"), F.col("invoice.vendor_gstin").alias("_vg"))
     vendor = vendor_agrees(F.col("vendor_name"), F.col("vendor_gstin"), F.col("_vn"), F.col("_vg"), party_name)
     ties = amounts_equal(F.col("_total"), F.col("total"), policy.register_pct, policy.amount_floor)
@@ -39,7 +39,8 @@ def posting_candidates(register: DataFrame, invoices: DataFrame, policy: MatchPo
     numbered = reg.where("number <> ''").join(inv, F.col("number") == F.col("_number")).select(*cols)
     by_id = reg.join(inv, F.col("id") == F.col("_id"))
     by_name = reg.where("name <> ''").join(inv, (F.col("name") == F.col("_name")) & (F.col("id").isNull() | F.col("_id").isNull()))
-    alike = by_id.unionByName(by_name).where(ties & F.col("_date").between(policy.fy_start, policy.fy_end)).select(*cols)
+    plausible = F.col("_date").between(policy.fy_start, policy.fy_end) & F.coalesce(F.col("booking_date").between(policy.fy_start, policy.fy_end), F.lit(True))
+    alike = by_id.unionByName(by_name).where(ties & plausible).select(*cols)
     return ladder("register_row", ("Inv No + vendor", "high", numbered.where("vendor_ok")), ("Inv No only", "medium", numbered), ("fingerprint", "medium", alike))
 
 
@@ -85,16 +86,42 @@ def order_chain(invoices: DataFrame, orders: DataFrame, policy: MatchPolicy = FO
 
 
 def receipts_by_order(grns: DataFrame, orders: DataFrame) -> DataFrame:
-    """Hop 3: (order key, receipts array in date order, received map from product to quantity, first_receipt) of receipts whose vendor does not disagree."""
+    """Hop 3: (order key, grns in date order, received map from product to quantity, first_receipt, received_in_order) of receipts whose vendor does not disagree.
+
+    Of orders under one key the first po_id counts.  received_in_order: no receipt is older than its own order; null while a date is missing.
+    """
     o = F.col("order")
-    po = orders.select(order_key(o["po_number"]).alias("_key"), o["vendor_name"].alias("_vn"), o["vendor_gstin"].alias("_vg")).dropDuplicates(["_key"])
-    rows = grns.withColumn("_key", order_key(F.col("po_number"))).join(po, "_key").where(F.coalesce(vendor_agrees(F.col("vendor_name"), F.col("vendor_gstin"), F.col("_vn"), F.col("_vg"), party_name), F.lit(True)))
+    fields = (o["vendor_name"].alias("vn"), o["vendor_gstin"].alias("vg"), F.nullif(o["requisition_date"], F.lit("")).alias("day"))
+    first = orders.select(order_key(o["po_number"]).alias("_key"), F.struct("po_id", *fields).alias("p")).groupBy("_key").agg(F.min("p").alias("p"))
+    po = first.select("_key", F.col("p.vn").alias("_vn"), F.col("p.vg").alias("_vg"), F.col("p.day").alias("_day"))
+    same = vendor_agrees(F.col("vendor_name"), F.col("vendor_gstin"), F.col("_vn"), F.col("_vg"), party_name)
+    rows = grns.withColumn("_key", order_key(F.col("po_number"))).join(po, "_key").where(F.coalesce(same, F.lit(True)))
     lines = rows.select("_key", F.explode("lines").alias("x")).groupBy("_key", product_name(F.col("x.description")).alias("product")).agg(F.sum("x.qty_received").alias("q"))
     received = lines.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct("product", "q"))).alias("received"))
-    heads = rows.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("receipt_date", "grn_number", "lines"))).alias("grns"), F.min("receipt_date").alias("first_receipt"))
+    receipt = F.struct("receipt_date", "grn_number", F.col("_key").alias("order_key"), "lines")
+    heads = rows.groupBy("_key").agg(
+        F.array_sort(F.collect_list(receipt)).alias("grns"),
+        F.min("receipt_date").alias("first_receipt"),
+        F.when(F.count_if(F.col("receipt_date") < F.col("_day")) > 0, False).when(F.count_if(F.col("receipt_date").isNull() | F.col("_day").isNull()) > 0, None).otherwise(True).alias("received_in_order"),
+    )
     return heads.join(received, "_key", "left")
 
 
+def flow_summary(quantities: Column, no_order: Column, lump_sum: Column) -> Column:
+    """The quantities of all lines in one phrase; a dash without an order or without a known receipt."""
+    count = lambda field: F.size(F.filter(quantities, lambda q: ~q[field]))
+    total = lambda field: F.regexp_replace(F.aggregate(quantities, F.lit(0.0), lambda a, q: a + F.coalesce(q[field], F.lit(0.0))).cast("string"), r"\.0$", "")
+    over = F.array_compact(
+        F.array(
+            F.when(count("over_billing_ok") > 0, F.format_string("Over-billed %d item(s)", count("over_billing_ok"))),
+            F.when(count("over_receipt_ok") > 0, F.format_string("Over-received %d item(s)", count("over_receipt_ok"))),
+        )
+    )
+    clean = F.concat(F.lit("Ordered "), total("ordered"), F.lit(" / Received "), total("received"), F.lit(" / Billed "), total("billed"), F.lit(" — clean"))
+    known = F.exists(quantities, lambda q: q["received"].isNotNull())
+    return F.when(no_order, DASH).when(lump_sum, "N/A — PO lump-sum").when(F.size(over) > 0, F.array_join(over, "; ")).when(~known, DASH).otherwise(clean)
+
+
 def four_way(register: DataFrame, invoices: DataFrame, orders: DataFrame, grns: DataFrame, policy: MatchPolicy = FOUR_WAY) -> DataFrame:
     """A finding per posting.
 
@@ -110,17 +137,39 @@ def four_way(register: DataFrame, invoices: DataFrame, orders: DataFrame, grns:
     rows = rows.withColumns({"ladder": F.coalesce("ladder", none), "pos": F.array().cast(f"array<{ORDER}>")})
     # receipts of all orders of the chain
     own = rows.select("register_row", F.explode("ladder.matched").alias("p")).select("register_row", order_key(F.col("p.po_number")).alias("_key")).distinct().join(got, "_key")
-    own = own.groupBy("register_row").agg(F.flatten(F.collect_list("grns")).alias("grns"), F.min("first_receipt").alias("first_receipt"), F.map_from_entries(F.flatten(F.collect_list(F.transform(F.map_entries("received"), lambda e: F.struct(F.concat_ws("|", F.col("_key"), e["key"]).alias("key"), e["value"].alias("value")))))).alias("received"))
+    entry = lambda e: F.struct(F.concat_ws("|", F.col("_key"), e["key"]).alias("key"), e["value"].alias("value"))
+    own = own.groupBy("register_row").agg(
+        F.array_sort(F.flatten(F.collect_list("grns"))).alias("grns"),
+        F.min("first_receipt").alias("first_receipt"),
+        F.collect_list(F.struct(F.col("received_in_order").alias("ok"))).alias("_in_order"),
+        F.map_from_entries(F.flatten(F.collect_list(F.transform(F.map_entries("received"), entry)))).alias("received"),
+    )
     rows = two_way(rows.join(own, "register_row", "left"), policy)
+    booked = F.nullif(F.col("booking_date"), F.lit("")).between(policy.fy_start, policy.fy_end)
     i = F.col("invoice")
     tie = lambda a, b: amounts_equal(a, F.col(b), policy.register_pct, policy.amount_floor)
     has = F.col("inv_id").isNotNull()
-    received_of = lambda x: F.try_element_at(F.col("received"), F.concat_ws("|", order_key(x["po_number"]), product_name(x["po_description"])))
+    item = lambda number, text: F.concat_ws("|", order_key(number), product_name(text))
+    received_of = lambda x: F.try_element_at(F.col("received"), item(x["po_number"], x["po_description"]))
+
+    def deliveries(x):
+        """The receipts that hold this line's item, with the quantity of each."""
+        here = lambda g: F.filter(g["lines"], lambda r: F.concat_ws("|", g["order_key"], product_name(r["description"])) == item(x["po_number"], x["po_description"]))
+        one = lambda g: F.struct(g["grn_number"].alias("grn_number"), g["receipt_date"].alias("receipt_date"), F.aggregate(here(g), F.lit(0.0), lambda a, r: a + F.coalesce(r["qty_received"], F.lit(0.0))).alias("qty"))
+        none = F.array().cast("array<struct<grn_number:string,receipt_date:string,qty:double>>")
+        return F.coalesce(F.transform(F.filter("grns", lambda g: F.size(here(g)) > 0), one), none)
 
     def quantities(x):
         r = received_of(x)
-        return F.struct(x["line_no"].alias("line_no"), x["po_number"].alias("po_number"), x["po_qty"].alias("ordered"), r.alias("received"), x["quantity"].alias("billed"), (r <= x["po_qty"] + 1e-9).alias("over_receipt_ok"), (x["quantity"] <= r + 1e-9).alias("over_billing_ok"), flow_phrase(x["po_qty"], r, x["quantity"]).alias("flow"))
-
+        return F.struct(
+            x["line_no"].alias("line_no"), x["po_number"].alias("po_number"), x["po_qty"].alias("ordered"), r.alias("received"), x["quantity"].alias("billed"),
+            (r <= x["po_qty"] + 1e-9).alias("over_receipt_ok"), (x["quantity"] <= r + 1e-9).alias("over_billing_ok"),
+            flow_phrase(x["po_qty"], r, x["quantity"]).alias("flow"), deliveries(x).alias("deliveries"),
+        )
+
+    ordered = F.flatten(F.transform("ladder.matched", lambda p: F.transform(p["lines"], lambda x: item(p["po_number"], x["description"]))))
+    stray = F.filter(F.map_entries("received"), lambda e: ~F.array_contains(ordered, e["key"]))
+    itemized = F.forall("ladder.matched", lambda p: F.coalesce(F.size(p["lines"]) > 0, F.lit(False)))
     rows = rows.withColumns(
         {
             "register_taxable": tie(i["taxable_total"], "taxable"),
@@ -128,26 +177,32 @@ def four_way(register: DataFrame, invoices: DataFrame, orders: DataFrame, grns:
             "register_total": tie(i["total"], "total"),
             "site_consistent": same_site(F.col("site_name"), F.col("invoice_site")) if policy.site_check else F.lit(None).cast("boolean"),
             "receipt_before_invoice": F.col("first_receipt") <= i["invoice_date"],
-            "receipt_after_order": F.col("first_receipt") >= F.col("latest_po_date"),
-            "booked_after_invoice": F.col("booking_date") >= i["invoice_date"],
+            "receipt_after_order": F.when(F.size("_in_order") > 0, all_agree(F.transform("_in_order", lambda x: x["ok"]))),
+            "booked_after_invoice": (F.col("booking_date") >= i["invoice_date"]) & booked,
+            "dates_fy": F.when(has, all_agree(F.array("dates_fy", booked))),
             "quantities": F.transform("lines", quantities),
+            # lines of receipts that are on no order of the chain
+            "grn_only": F.when(itemized, F.transform(stray, lambda e: F.struct(F.element_at(F.split(e["key"], r"\|"), 1).alias("order_key"), F.element_at(F.split(e["key"], r"\|"), 2).alias("product"), e["value"].alias("received")))),
         }
     )
+    rows = rows.withColumn("qty_flow_summary", flow_summary(F.col("quantities"), F.size("ladder.matched") == 0, F.col("lump_sum")))
+    pairs = consolidated(register, invoices, found, policy).groupBy("register_row").agg(F.min(F.struct("inv_a", "inv_b")).alias("two"))
+    rows = rows.join(pairs, "register_row", "left")
     driving = ["vendor_match", "total_match", "dates_fy", "register_taxable", "register_gst", "register_total", "site_consistent"]
     failed = F.array_compact(F.array(*(F.when(~F.col(c), c) for c in driving)))
     count = lambda field, text: F.when(F.size(F.filter("quantities", lambda q: ~q[field])) > 0, text)
-    more = F.array_compact(F.array(F.when(has & (F.size("ladder.matched") > 0) & F.col("grns").isNull(), "No GRN"), count("over_receipt_ok", "Received more than ordered"), count("over_billing_ok", "Billed more than received"), F.when(F.col("off_bundle") & F.col("invoice_bundle").isNotNull(), "PO is from another bundle")))
+    more = F.array_compact(F.array(F.when(has & (F.size("ladder.matched") > 0) & F.col("grns").isNull(), "No GRN"), count("over_receipt_ok", "Received more than ordered"), count("over_billing_ok", "Billed more than received"), F.when(F.size("grn_only") > 0, "Received item not ordered"), F.when(F.col("off_bundle") & F.col("invoice_bundle").isNotNull(), "PO is from another bundle")))
     order = {"high": 3, "medium": 2, "low": 1, "none": 0}
     weight = lambda c: F.try_element_at(F.create_map(*(F.lit(x) for kv in order.items() for x in kv)), c)
     names = F.create_map(*(F.lit(x) for k, v in order.items() for x in (v, k)))
     return rows.withColumns(
         {
-            "result": F.when(~has, "").when(F.size(failed) > 0, "No match").otherwise("Match"),
+            "result": F.when(F.col("two").isNotNull(), "Match").when(~has, "").when(F.size(failed) > 0, "No match").otherwise("Match"),
             "failed_checks": F.when(has, failed).otherwise(F.array().cast("array<string>")),
             "reason": F.when(has & (F.size(failed) > 0), F.array_join(failed, "; ")).otherwise(""),
-            "flags": F.when(has, F.concat("flags", more)).otherwise(F.array(F.lit("No invoice found"))),
-            "chain_basis": F.when(~has, "no invoice").otherwise(F.concat_ws(" → ", F.col("hop1_basis"), F.col("ladder.basis"))),
-            "chain_confidence": F.when(has, F.element_at(names, F.least(weight(F.col("hop1_confidence")), weight(F.col("ladder.confidence"))))),
+            "flags": F.when(F.col("two").isNotNull(), F.array(F.concat(F.lit("Booked for two invoices: "), F.concat_ws(", ", "two.inv_a", "two.inv_b")))).when(has, F.concat("flags", more)).otherwise(F.array(F.lit("No invoice found"))),
+            "chain_basis": F.when(F.col("two").isNotNull(), "Multiple (2)").when(~has, "no invoice").otherwise(F.concat_ws(" → ", F.col("hop1_basis"), F.col("ladder.basis"))),
+            "chain_confidence": F.when(F.col("two").isNotNull(), "low").when(has, F.element_at(names, F.least(weight(F.col("hop1_confidence")), weight(F.col("ladder.confidence"))))),
         }
     )
 
@@ -164,7 +219,8 @@ def coverage_counts(findings: DataFrame) -> DataFrame:
 
 
 def invoices_not_booked(invoices: DataFrame, findings: DataFrame) -> DataFrame:
-    return invoices.join(findings.where("inv_id is not null").select("inv_id"), "inv_id", "left_anti")
+    booked = findings.select(F.explode(F.array("inv_id", "two.inv_a", "two.inv_b")).alias("inv_id"))
+    return invoices.join(booked.where("inv_id is not null"), "inv_id", "left_anti")
 
 
 def vouch(payloads: DataFrame, policy: MatchPolicy = VOUCHING) -> DataFrame:

@@ -71,11 +71,13 @@ def chain_bands() -> dict[str, dict[str, Column]]:
 
 
 def line_sheet(findings: DataFrame) -> DataFrame:
-    """A row per receipt of a line; the line's own cells stand on its first row alone."""
-    rows = findings.select("register_row", F.explode("quantities").alias("q"), "grns")
-    rows = rows.select("register_row", F.col("q.line_no").alias("line_no"), F.col("q.billed").alias("billed"), F.col("q.ordered").alias("ordered"), F.col("q.received").alias("received"), F.col("q.flow").alias("flow"), "grns")
-    out = fan_out(rows, "grns", "billed", "ordered", "received", "flow")
-    return out.select("register_row", "line_no", "place", "billed", "ordered", "received", "flow", F.col("item.grn_number").alias("grn_number"), F.col("item.receipt_date").alias("receipt_date"))
+    """A row per delivery of a line's own item; the line's own cells stand on its first row alone."""
+    rows = findings.select("register_row", F.explode("quantities").alias("q"))
+    cells = ("line_no", "billed", "ordered", "received", "flow", "deliveries")
+    rows = rows.select("register_row", *(F.col(f"q.{c}").alias(c) for c in cells))
+    out = fan_out(rows, "deliveries", "billed", "ordered", "received", "flow")
+    delivered = (F.col("item.grn_number").alias("grn_number"), F.col("item.receipt_date").alias("receipt_date"), F.col("item.qty").alias("delivered"))
+    return out.select("register_row", "line_no", "place", "billed", "ordered", "received", "flow", *delivered)
 
 
 def workpaper(existing: DataFrame | None, results: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -57,9 +57,19 @@ def order_ladder(invoice: Column, orders: Column, policy: MatchPolicy = TWO_WAY)
         (F.lit("GSTIN + total"), F.lit("medium"), lambda p: same_id(p) & ties(p)),
     ]
     if policy.profile == "V":
-        steps.append((F.lit("name + total"), F.lit("medium"), lambda p: named(p) & ties(p)))
+        steps.append((F.lit("name + total"), F.lit("low"), lambda p: named(p) & ties(p)))
     steps.append((F.lit("possible match (GSTIN only)"), F.lit("low"), same_id))
-    rungs = F.array(*(F.struct(F.lit(k).alias("rung"), basis.alias("basis"), sure.alias("confidence"), F.filter(orders, test).alias("matched")) for k, (basis, sure, test) in enumerate(steps, 1)))
+
+    def kept(k, test):
+        """Vouching: of several orders with one fingerprint, the one of the closest period."""
+        found = F.filter(orders, test)
+        if policy.profile != "V" or k not in (2, 3):
+            return found
+        far = lambda p: F.abs(F.datediff(p["requisition_date"].try_cast("date"), invoice["invoice_date"].try_cast("date")))
+        near = F.transform(found, lambda p, i: F.struct(F.coalesce(far(p), F.lit(1 << 30)).alias("days"), i.alias("i")))
+        return F.when(F.size(found) > 1, F.array(F.get(found, F.array_min(near)["i"]))).otherwise(found)
+
+    rungs = F.array(*(F.struct(F.lit(k).alias("rung"), basis.alias("basis"), sure.alias("confidence"), kept(k, test).alias("matched")) for k, (basis, sure, test) in enumerate(steps, 1)))
     none = F.struct(F.lit(len(steps) + 1).alias("rung"), F.lit("No PO found").alias("basis"), F.lit("none").alias("confidence"), F.slice(orders, 1, 0).alias("matched"))
     return F.coalesce(F.get(F.filter(rungs, lambda r: F.size(r["matched"]) > 0), F.lit(0)), none)
 
@@ -111,7 +121,7 @@ def state_text(state: Column) -> Column:
 
 def two_way(payloads: DataFrame, policy: MatchPolicy = TWO_WAY, rates: dict[str, float] | None = None) -> DataFrame:
     """payloads: invoice, pos, and optionally ledger.  Adds the ladder, states, result, reason, flags and checked lines."""
-    rates = {**TAX_RATES, **(rates or {})} if rates is None else rates
+    rates = TAX_RATES if rates is None else rates
     if "ledger" not in payloads.columns:
         payloads = payloads.withColumn("ledger", F.lit(None).cast(PRIOR))
     inv = F.col("invoice")
@@ -148,7 +158,7 @@ def two_way(payloads: DataFrame, policy: MatchPolicy = TWO_WAY, rates: dict[str,
         states += [approved, stamped]
     fails = sum((F.when(s, 0).when(~s, 1).otherwise(0) for s in states), F.lit(0)) > 0
     if policy.no_po_forces_no_match:
-        fails = fails | F.col("ladder.confidence").isin("none", "low")
+        fails = fails | (F.size("ladder.matched") == 0) | F.col("ladder.basis").startswith("possible")
     blank = (F.coalesce(inv["invoice_number"], F.lit("")) == "") & (F.coalesce(inv["total"], F.lit(0.0)) == 0)
     df = df.withColumn("result", F.when(blank, "").when(fails, "No match").otherwise("Match"))
     df = df.withColumn("_po_lines", F.flatten(F.transform(matched, lambda p: F.transform(F.coalesce(p["lines"], F.array().cast(f"array<{LINE}>")), lambda x: F.struct(x["line_no"].alias("line_no"), x["description"].alias("description"), x["hsn_sac"].alias("hsn_sac"), x["quantity"].alias("quantity"), x["unit_price"].alias("unit_price"), p["po_number"].alias("po_number"))))))
@@ -187,7 +197,7 @@ def two_way(payloads: DataFrame, policy: MatchPolicy = TWO_WAY, rates: dict[str,
     # fixed values: the report's texts
     flags = F.array(
         said(F.col("ladder.confidence") == "none", "No PO matched (PO checks unverified)"),
-        said(F.col("ladder.confidence") == "low", "Possible match only (GSTIN, total off)"),
+        said(F.col("ladder.basis").startswith("possible"), "Possible match only (GSTIN, total off)"),
         said(F.col("ladder.basis").contains("handwritten"), "PR/PO reference is handwritten — review"),
         said(n > 1, F.format_string("Invoice spans %d POs (total vs Σ POs)", n)),
         said(F.col("lump_sum"), "PO is lump-sum — per-line checks N/A"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import reconcile_queries  # noqa: F401  (registers its queries)
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -52,13 +52,15 @@ def tables(spark):
 def test_chains(tables):
     found = four_way(*tables).cache()
     rows = {r["register_row"]: r for r in found.collect()}
-    assert {k: r["result"] for k, r in rows.items()} == {1: "Match", 2: "Match", 3: "", 4: "No match", 5: ""}
+    assert {k: r["result"] for k, r in rows.items()} == {1: "Match", 2: "Match", 3: "", 4: "No match", 5: "Match"}
     one, two = rows[1], rows[2]
     assert one["chain_basis"].startswith("Inv No + vendor") and one["chain_confidence"] == "high" and [g["grn_number"] for g in one["grns"]] == ["G1", "G2"]
     assert (one["quantities"][0]["received"], one["quantities"][0]["flow"]) == (10.0, "in full") and len(one["ladder"]["matched"]) == 1
     assert two["quantities"][0]["flow"] == "billed more than received" and "Billed more than received" in two["flags"]
     assert "register_total" in rows[4]["failed_checks"] and rows[3]["vendor_match"] is None and rows[3]["flags"] == ["No invoice found"]
-    assert {r["inv_id"] for r in invoices_not_booked(tables[1], found).collect()} == {"i5", "i6"}
+    assert (rows[5]["chain_basis"], rows[5]["chain_confidence"], rows[5]["flags"]) == ("Multiple (2)", "low", ["Booked for two invoices: i5, i6"])
+    assert (one["qty_flow_summary"], two["qty_flow_summary"], rows[4]["qty_flow_summary"]) == ("Ordered 10 / Received 10 / Billed 10 — clean", "Over-billed 1 item(s)", "—")
+    assert invoices_not_booked(tables[1], found).collect() == []
     assert sum(r["n"] for r in coverage_counts(found).collect()) == 5
     sheet = line_sheet(found.where("register_row = 1")).orderBy("place").collect()
     assert [(r["grn_number"], r["billed"]) for r in sheet] == [("G1", 10.0), ("G2", None)]
@@ -67,6 +69,38 @@ def test_chains(tables):
     assert covered_once(tables[0], found, "register_row").count() == 0
 
 
+def test_two_orders_two_lines_three_receipts(spark):
+    """Receipts stand beside their own order and line, and what no order has is named."""
+    make = lambda rows, ids, col, kind: spark.createDataFrame([(*r[:3], json.dumps(r[3])) for r in rows], f"{ids} string, bundle_id string, site string, j string").select(ids, "bundle_id", "site", F.from_json("j", kind).alias(col))
+    bill = inv("INV-1", "PO-1", 3000.0, [line(1, "PVC elbow", 10.0), line(2, "Cement", 20.0)], invoice_date="2025-08-20")
+    bill["references"].append({"value": "PO-2", "kind": "buyer_pr_po"})
+    late = po("PO-2", 2000.0, [line(1, "Cement", 20.0)])
+    late["requisition_date"] = "2025-08-10"
+    reg = spark.createDataFrame([(1, "Acme", G, "INV-1", "2025-08-25", None, None, 2900.0, 100.0, 3000.0), (2, "Acme", G, "INV-1", "2027-01-01", None, None, 2900.0, 100.0, 3000.0)], REGISTER)
+    orders = make([("p1", None, None, po("PO-1", 1000.0, [line(1, "PVC elbow", 10.0)])), ("p2", None, None, late)], "po_id", "order", ORDER)
+    grn = lambda rows: spark.createDataFrame(rows, f"grn_number string, po_number string, vendor_name string, vendor_gstin string, receipt_date string, lines array<{RECEIPT_LINE}>")
+    got = [("G1", "PO-1", "Acme", G, "2025-08-05", [("PVC elbow", None, 4.0, None, None)]), ("G2", "PO-1", "Acme", G, "2025-08-06", [("PVC elbow", None, 6.0, None, None)]), ("G3", "PO-2", "Acme", G, "2025-08-12", [("Cement", None, 20.0, None, None), ("Sand", None, 3.0, None, None)])]
+    found = four_way(reg, make([("i1", None, None, bill)], "inv_id", "invoice", INVOICE), orders, grn(got)).cache()
+    one, other = found.orderBy("register_row").collect()
+    assert one["receipt_after_order"] is True and one["result"] == "Match" and one["booked_after_invoice"] is True
+    assert [(q["line_no"], [(x["grn_number"], x["qty"]) for x in q["deliveries"]]) for q in one["quantities"]] == [(1, [("G1", 4.0), ("G2", 6.0)]), (2, [("G3", 20.0)])]
+    assert [(x["product"], x["received"]) for x in one["grn_only"]] == [("sand", 3.0)] and "Received item not ordered" in one["flags"]
+    assert (other["booked_after_invoice"], other["dates_fy"], other["result"], other["failed_checks"]) == (False, False, "No match", ["dates_fy"])
+    sheet = line_sheet(found.where("register_row = 1")).orderBy("line_no", "grn_number").collect()
+    assert [(r["grn_number"], r["delivered"]) for r in sheet] == [("G3", 20.0), ("G1", 4.0), ("G2", 6.0)] or {(r["grn_number"], r["delivered"]) for r in sheet} == {("G1", 4.0), ("G2", 6.0), ("G3", 20.0)}
+    early = [("G4", "PO-2", "Acme", G, "2025-08-06", [("Cement", None, 20.0, None, None)])]
+    assert [r["receipt_after_order"] for r in four_way(reg, make([("i1", None, None, bill)], "inv_id", "invoice", INVOICE), orders, grn(early)).collect()] == [False, False]
+
+
+def test_closest_period(spark):
+    near, far = po("PO-8", 1000.0), po("PO-9", 1000.0)
+    far["requisition_date"] = "2025-05-01"
+    row = (json.dumps(inv("V-1", None, 1000.0)), json.dumps([far, near]), [("L1", "Approved")], "yes")
+    df = spark.createDataFrame([row], "i string, p string, approval_levels array<struct<level:string,status:string>>, stamp string")
+    got = vouch(df.select(F.from_json("i", INVOICE).alias("invoice"), F.from_json("p", f"array<{ORDER}>").alias("pos"), "approval_levels", "stamp")).first()
+    assert [p["po_number"] for p in got["ladder"]["matched"]] == ["PO-8"] and got["result"] == "Match"
+
+
 def test_consolidated_booking(tables):
     reg, invs, _, _ = tables
     rows = invs.withColumn("invoice", F.col("invoice").withField("invoice_date", F.lit("2025-08-20")))
