@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,10 +48,17 @@ class Tables:
         out = self.write(df.observe(seen, F.sum(F.lit(1) if what is None else what).alias("n")), small=True)
         return out, int(seen.get["n"] or 0)
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows stay on the executors' disks for later steps; those of a lost executor are worked out again."""
+        return df.persist(StorageLevel.DISK_ONLY)
+
     def drop(self, *tables: DataFrame) -> None:
-        """Deletes tables that no later step reads."""
+        """Deletes what no later step reads."""
         jvm = self.spark._jvm
         for t in tables:
+            if not hasattr(t, "_table_path"):
+                t.unpersist()
+                continue
             path = jvm.org.apache.hadoop.fs.Path(t._table_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
         self.release()

@@ -513,16 +513,15 @@ def jaccard_components(
     rule = Rule(words, num, den)
     tables = Tables(df.sparkSession, "jaccard")
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    heads = tables.write(_described(docs, rule, False).withColumn("rid", F.monotonically_increasing_id()))
+    heads = tables.keep(_described(docs, rule, False).withColumn("rid", F.monotonically_increasing_id()))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     classes = heads.where("n > 0").groupBy("sig").agg(first).select("sig", F.col("first.doc_id").alias("rep"), "first.rid")
-    classes = tables.write(classes)
+    classes = tables.write(classes, small=True)
     base = tables.write(heads.select("doc_id", "n", "sig"), small=True)
-    reps = tables.write(heads.join(classes.select("rid"), "rid", "left_semi").select("rid", F.col("doc_id").alias("node"), "n", "grams"))
-    tables.drop(heads)
-    postings = tables.write(_postings(_ranked(docs, reps, rule, tables)))
-    tables.drop(reps)
+    reps = tables.keep(heads.join(classes.select("rid"), "rid", "left_semi").select("rid", F.col("doc_id").alias("node"), "n", "grams"))
+    postings = tables.keep(_postings(_ranked(docs, reps, rule, tables)))
     tried = tables.write(_meetings(postings, rule), small=True)
+    tables.drop(heads, reps)
     stars = components(_verify(docs, tried, rule, tables), tables)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tables.release()

@@ -25,7 +25,7 @@ import json
 import re
 import zlib
 from bisect import bisect_left, insort
-from functools import lru_cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +54,17 @@ def encoder(json_path: str):
     Where a token's id tells its merge's rank, a quicker library gives the same ids; texts with a long run go to the
     vocabulary's own.
     """
-    from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(json_path)
-    library.no_truncation()
-    library.no_padding()
-    by_library = lambda text: library.encode(text, add_special_tokens=False).ids
+    @cache
+    def library():
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(json_path)
+        own.no_truncation()
+        own.no_padding()
+        return own
+
+    by_library = lambda text: library().encode(text, add_special_tokens=False).ids
     spec = json.load(open(json_path, encoding="utf-8"))
     vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
     merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
