@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,7 @@ class Tables:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/ledgerweave-{tag}-{uuid.uuid4().hex[:12]}"
         self.count = 0
+        self.kept: list[DataFrame] = []
 
     def write(self, df: DataFrame, small: bool = False) -> DataFrame:
         """Cuts the lineage: the rows come from files that outlive any executor.  small: much less comes out of the tasks than goes in, so few files do."""
@@ -43,14 +44,20 @@ class Tables:
         return out
 
     def counted(self, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
-        """The table, and the number of its rows or the sum of what a row counts, gathered while it is written."""
-        seen = Observation()
-        out = self.write(df.observe(seen, F.sum(F.lit(1) if what is None else what).alias("n")), small=True)
-        return out, int(seen.get["n"] or 0)
+        """The rows, kept, and their number or the sum of what a row counts."""
+        out = self.keep(df)
+        return out, int(out.agg(F.sum(F.lit(1) if what is None else what)).first()[0] or 0)
 
     def keep(self, df: DataFrame) -> DataFrame:
         """The rows stay on the executors' disks for later steps; those of a lost executor are worked out again."""
-        return df.persist(StorageLevel.DISK_ONLY)
+        self.kept.append(df.persist(StorageLevel.DISK_ONLY))
+        return self.kept[-1]
+
+    def done(self) -> None:
+        """Nothing that was kept is read any more."""
+        for t in self.kept:
+            t.unpersist()
+        self.release()
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes what no later step reads."""

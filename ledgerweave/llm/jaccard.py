@@ -488,10 +488,10 @@ def _split_pairs(postings: DataFrame, stars: DataFrame, rule: Rule, tables: Tabl
     return dealt.mapInArrow(run, "a long, b long, n int").groupBy("a", "b").agg(F.max("n").alias("n"))
 
 
-def _ranked(docs: DataFrame, reps: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
-    """(gram, node, n, pos): the representatives' prefixes, rarest n-grams first."""
+def _ranked(docs: DataFrame, reps: DataFrame, seen: tuple[DataFrame, int], rule: Rule, tables: Tables) -> DataFrame:
+    """(gram, node, n, pos, df): the representatives' prefixes, rarest n-grams first; seen: the common n-grams of their heads."""
     whole = lambda few: _described(docs.join(_small(*few), F.col("doc_id") == F.col("node"), "left_semi"), rule, True).where("n > 0")
-    classes, many = tables.counted(_frequent(reps))
+    classes, many = seen
     few = tables.counted(_wanting(reps, classes, many, rule))
     if few[1]:
         # n-grams beyond the heads are as common, but were not counted yet
@@ -501,7 +501,7 @@ def _ranked(docs: DataFrame, reps: DataFrame, rule: Rule, tables: Tables) -> Dat
     rows = _prefixes(_marked(reps, classes, many), rule)
     if few[1]:
         named = whole(few).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("node"), "n", "grams")
-        named = tables.write(named, small=True)
+        named = tables.keep(named)
         rows = rows.union(_prefixes(_marked(named, classes, many), rule))
     return rows
 
@@ -519,9 +519,11 @@ def jaccard_components(
     classes = tables.write(classes, small=True)
     base = tables.write(heads.select("doc_id", "n", "sig"), small=True)
     reps = tables.keep(heads.join(classes.select("rid"), "rid", "left_semi").select("rid", F.col("doc_id").alias("node"), "n", "grams"))
-    postings = tables.keep(_postings(_ranked(docs, reps, rule, tables)))
+    seen = tables.counted(_frequent(reps))
+    tables.drop(heads)
+    postings = tables.keep(_postings(_ranked(docs, reps, seen, rule, tables)))
     tried = tables.write(_meetings(postings, rule), small=True)
-    tables.drop(heads, reps)
+    tables.drop(reps)
     stars = components(_verify(docs, tried, rule, tables), tables)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tables.release()
@@ -529,6 +531,7 @@ def jaccard_components(
     tables.drop(postings)
     edges = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verify(docs, second, rule, tables))
     found = components(edges, tables)
+    tables.done()
     some = base.where("n > 0").select("doc_id", "n", "sig").join(classes.select("sig", "rep"), "sig")
     some = some.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n", F.coalesce("root", "rep").alias("component_id"))
     none = base.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
