@@ -178,7 +178,7 @@ def four_way(register: DataFrame, invoices: DataFrame, orders: DataFrame, grns:
             "site_consistent": same_site(F.col("site_name"), F.col("invoice_site")) if policy.site_check else F.lit(None).cast("boolean"),
             "receipt_before_invoice": F.col("first_receipt") <= i["invoice_date"],
             "receipt_after_order": F.when(F.size("_in_order") > 0, all_agree(F.transform("_in_order", lambda x: x["ok"]))),
-            "booked_after_invoice": (F.col("booking_date") >= i["invoice_date"]) & booked,
+            "booked_after_invoice": F.when(has, (F.col("booking_date") >= i["invoice_date"]) & booked),
             "dates_fy": F.when(has, all_agree(F.array("dates_fy", booked))),
             "quantities": F.transform("lines", quantities),
             # lines of receipts that are on no order of the chain

@@ -7,18 +7,20 @@ whole cents, so that results do not depend on the order of additions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.money import parse_money, to_cents
 from ..functions.names import clean_order, order_key, reference_key, vendor_name
 from ..functions.text import code_valid, currency_of, page_kind, set_jaccard
+from ..operators.batch import cross_run_duplicates as repeats_of_earlier_runs
+from ..operators.batch import prior_by_order
 from ..operators.extraction import extract, ingest, ingest_quality, labelled_id, non_empty_lines
 from ..operators.findings import decide, finding, listed
-from ..operators.invoices import amount_finding, cumulative_finding, decide_invoices, plausible, similar_names
+from ..operators.invoices import amount_finding, cumulative_finding, decide_invoices, open_balance, plausible, replay_history, similar_names
 from ..operators.matching import count_phrase, coverage, duplicate_pairs, fan_out, first_by, flow_phrase, ladder, only_unique, pivot_cells, row_type, segments
-from ..operators.twoway import INVOICE, ORDER, all_agree, state_text, two_way
+from ..operators.twoway import INVOICE, ORDER, all_agree, rate_of, state_text, two_way
 from ..policy import HOLD, OK, REJECT, REVIEW, MatchPolicy
 from ..sources.readers import ledger_defaults, order_defaults, vendor_defaults
 
@@ -62,7 +64,8 @@ def lines(spark, d) -> DataFrame:
 def bills(spark, d) -> DataFrame:
     """order_id, vendor, bill_date, cents: lines of one order and supplier with discount and tax."""
     value = F.sum(F.col("ext") * (100 - F.col("disc")) * (100 + F.col("tax")))
-    return lines(spark, d).groupBy("order_id", "vendor").agg(F.max("ship").alias("bill_date"), value.alias("v")).select("order_id", "vendor", "bill_date", F.expr("(v + 5000) div 10000").alias("cents"))
+    dealt = lines(spark, d).repartition("order_id")  # what is grouped or joined by order later needs no further exchange
+    return dealt.groupBy("order_id", "vendor").agg(F.max("ship").alias("bill_date"), value.alias("v")).select("order_id", "vendor", "bill_date", F.expr("(v + 5000) div 10000").alias("cents"))
 
 
 _ORDERS = """o AS (SELECT o_orderkey AS order_id, o_custkey AS cust, CAST(round(o_totalprice * 100) AS BIGINT) AS po_cents, CAST(o_orderdate AS DATE) AS po_date,
@@ -94,16 +97,21 @@ def po_variance_verdict(spark, d):
 @query("po_cumulative_billing", f"""WITH {_ORDERS}, {_BILLS}, r AS (SELECT b.*, po_cents, CAST(coalesce(sum(cents) OVER (PARTITION BY order_id ORDER BY bill_date, vendor ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS billed_before FROM b JOIN o USING (order_id))
 SELECT order_id, vendor, billed_before, cents, CASE WHEN billed_before + cents - po_cents <= 5 THEN 'PARTIAL_BILLING_OK' WHEN billed_before + cents - po_cents <= {_BAND} THEN 'CUMULATIVE_OVERBILL_APPROVABLE' ELSE 'CUMULATIVE_OVERBILL' END AS code FROM r""")
 def po_cumulative_billing(spark, d):
-    w = Window.partitionBy("order_id").orderBy("bill_date", "vendor").rowsBetween(Window.unboundedPreceding, -1)
-    rows = bills(spark, d).join(orders(spark, d).select("order_id", "po_cents"), "order_id").withColumn("billed_before", F.coalesce(F.sum("cents").over(w), F.lit(0)))
-    return rows.select("order_id", "vendor", "billed_before", "cents", cumulative_finding(_money("cents"), _money("billed_before"), _money("po_cents"))["code"].alias("code"))
+    rows = bills(spark, d).withColumn("amount", _money("cents"))
+    rows = replay_history(rows, "order_id", ["bill_date", "vendor"], "amount").join(orders(spark, d).select("order_id", "po_cents"), "order_id")
+    code = cumulative_finding(F.col("amount"), F.col("billed_before"), _money("po_cents"))["code"]
+    return rows.select("order_id", "vendor", (F.col("billed_before") * 100).cast("bigint").alias("billed_before"), "cents", code.alias("code"))
 
 
 @query("po_remaining_balance", f"WITH {_ORDERS}, {_BILLS} SELECT o.order_id, po_cents, coalesce(s.n, 0) AS n_bills, CAST(coalesce(s.cents, 0) AS BIGINT) AS already_billed, CAST(po_cents - coalesce(s.cents, 0) AS BIGINT) AS remaining FROM o LEFT JOIN (SELECT order_id, count(*) AS n, sum(cents) AS cents FROM b GROUP BY ALL) s USING (order_id)")
 def po_remaining_balance(spark, d):
-    b = bills(spark, d).groupBy("order_id").agg(F.count("*").alias("n"), F.sum("cents").alias("c"))
-    billed = F.coalesce("c", F.lit(0))
-    return orders(spark, d).join(b, "order_id", "left").select("order_id", "po_cents", F.coalesce("n", F.lit(0)).alias("n_bills"), billed.alias("already_billed"), (F.col("po_cents") - billed).alias("remaining"))
+    number = F.col("order_id").cast("string").alias("po_number")
+    b = bills(spark, d)
+    ledger = b.select(number, _money("cents").alias("amount_applied"))
+    po = open_balance(orders(spark, d).select("order_id", number, "po_cents", _money("po_cents").alias("total_amount")), ledger)
+    n = b.groupBy("order_id").agg(F.count("*").alias("n"))
+    cents = lambda c: (F.col(c) * 100).cast("bigint").alias(c)
+    return po.join(n, "order_id", "left").select("order_id", "po_cents", F.coalesce("n", F.lit(0)).alias("n_bills"), cents("already_billed"), cents("remaining"))
 
 
 @query("severity_fold_decision", f"""WITH {_WHOLE}, f AS (SELECT order_id, {_SEVERITY} AS a, CASE WHEN status = 'closed' THEN 5 ELSE -1 END AS c, CASE WHEN cents % 7 = 0 THEN 2 ELSE -1 END AS l, CASE WHEN po_date < DATE '1995-01-01' THEN 4 ELSE -1 END AS s FROM w),
@@ -140,7 +148,7 @@ def coverage_invoice_without_open_po(spark, d):
     return lone.select("order_id", "vendor", "cents")
 
 
-_LADDER = f"""{_ORDERS}, {_BILLS}, k AS (SELECT *, order_id * 100000 + vendor AS bill FROM b WHERE vendor % 3 <> 2),
+_LADDER = f"""{_ORDERS}, {_BILLS}, k AS (SELECT *, order_id * 100000 + vendor AS bill FROM b),
 c AS (SELECT bill, o.order_id AS po, 1 AS rung FROM k JOIN o USING (order_id) WHERE vendor % 3 = 0
  UNION ALL SELECT bill, o.order_id, 2 FROM k JOIN o ON o.po_date = k.bill_date AND abs(k.cents - o.po_cents) <= greatest(100, 0.005 * abs(o.po_cents))
  UNION ALL SELECT bill, o.order_id, 3 FROM k JOIN o ON o.po_date = k.bill_date AND o.cust % 97 = k.vendor % 97),
@@ -149,12 +157,13 @@ r AS (SELECT *, min(rung) OVER (PARTITION BY bill) AS first FROM c)"""
 
 def _rungs(spark, d) -> DataFrame:
     o = orders(spark, d)
-    k = bills(spark, d).where("vendor % 3 <> 2").withColumn("bill", F.col("order_id") * 100000 + F.col("vendor"))
+    k = bills(spark, d).withColumn("bill", F.col("order_id") * 100000 + F.col("vendor"))
     po = o.select(F.col("order_id").alias("po"), "po_cents", "po_date", "cust")
     cited = k.where("vendor % 3 = 0").join(po, F.col("order_id") == F.col("po")).select("bill", "po")
     dated = k.join(po, F.col("bill_date") == F.col("po_date"))
     tie = dated.where(F.abs(F.col("cents") - F.col("po_cents")) <= F.greatest(F.lit(100.0), F.abs("po_cents") * 0.005)).select("bill", "po")
-    loose = dated.where("cust % 97 = vendor % 97").select("bill", "po")
+    same = (F.col("bill_date") == F.col("po_date")) & (F.col("vendor") % 97 == F.col("cust") % 97)
+    loose = k.join(po, same).select("bill", "po")
     return ladder("bill", ("PO number", "high", cited), ("date + total", "medium", tie), ("date + group", "low", loose))
 
 
@@ -210,16 +219,15 @@ def fy_window_check(spark, d):
     return orders(spark, d).groupBy(F.year("po_date").alias("year")).agg(F.count("*").alias("n"), F.count_if(inside).alias("n_inside"))
 
 
-_RATES = ((1, 18), (7, 12), (12, 5), (30, 28), (40, 0))
+_RATES = ((3901, 18), (3907, 12), (3912, 5), (3930, 28), (3940, 0))
 
 
-@query("hsn_rate_lookup", f"""WITH r(code, pct) AS (VALUES {', '.join(f'({a}, {b})' for a, b in _RATES)}) SELECT p.p_partkey AS part, CAST(coalesce(e.pct, h.pct) AS INTEGER) AS rate, CASE WHEN e.pct IS NOT NULL THEN 'exact' WHEN h.pct IS NOT NULL THEN 'heading' ELSE 'none' END AS basis
-FROM part p LEFT JOIN r e ON e.code = p.p_size LEFT JOIN r h ON h.code = p.p_size // 10 * 10""")
+@query("hsn_rate_lookup", f"""WITH r(code, pct) AS (VALUES {', '.join(f'({a}, {b})' for a, b in _RATES)}) SELECT p_partkey AS part, CASE WHEN r.code IS NULL THEN NULL ELSE CAST(pct / 100 AS DOUBLE) END AS rate FROM part LEFT JOIN r ON r.code = 3900 + p_size""")
 def hsn_rate_lookup(spark, d):
-    r = spark.createDataFrame(list(_RATES), "code int, pct int")
-    p = _read(spark, d, "part").select(F.col("p_partkey").alias("part"), "p_size", F.expr("p_size div 10 * 10").cast("int").alias("heading"))
-    rows = p.join(F.broadcast(r.withColumnRenamed("pct", "own")), F.col("p_size") == F.col("code"), "left").drop("code").join(F.broadcast(r), F.col("heading") == F.col("code"), "left")
-    return rows.select("part", F.coalesce("own", "pct").alias("rate"), F.when(F.col("own").isNotNull(), "exact").when(F.col("pct").isNotNull(), "heading").otherwise("none").alias("basis"))
+    """Codes of four digits, or of six under the same heading."""
+    code = F.concat((F.col("p_size") + 3900).cast("string"), F.when(F.col("p_partkey") % 2 == 0, "10").otherwise(""))
+    rates = {str(a): float(b) for a, b in _RATES}
+    return _read(spark, d, "part").select(F.col("p_partkey").alias("part"), rate_of(code, rates, True).alias("rate"))
 
 
 _FLOW = f"{_LINES}, f AS (SELECT order_id, vendor, CAST(sum(qty) AS BIGINT) AS ordered, CAST(sum(CASE WHEN flag <> 'N' THEN qty + line_no % 2 END) AS BIGINT) AS received, CAST(sum(CASE WHEN line_no < 4 THEN qty ELSE 0 END) AS BIGINT) AS billed FROM x GROUP BY ALL)"
@@ -246,12 +254,13 @@ def line_pair_rowtype(spark, d):
     return i.join(p, ["order_id", "part"], "full").select("order_id", "part", "billed", "ordered", row_type(F.col("billed"), F.col("ordered"), F.lit(None), F.lit(False)).alias("row_type"))
 
 
-@query("token_jaccard", """WITH t AS (SELECT p_partkey AS part, p_brand AS brand, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part), u AS (SELECT a.part AS a, b.part AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s FROM t a JOIN t b ON a.brand = b.brand AND a.part + 1 = b.part)
+@query("token_jaccard", """WITH t AS (SELECT p_partkey AS part, p_brand AS brand, p_size AS size, list_distinct(string_split(lower(p_name), ' ')) AS w FROM part), u AS (SELECT a.part AS a, b.part AS b, len(list_intersect(a.w, b.w)) AS i, len(a.w) + len(b.w) AS s FROM t a JOIN t b ON a.brand = b.brand AND a.size = b.size AND a.part < b.part)
 SELECT a, b, round(i / (s - i), 6)::DOUBLE AS jaccard FROM u""")
 def token_jaccard(spark, d):
-    t = _read(spark, d, "part").select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("brand"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
-    u = t.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), "brand", F.col("w").alias("v"))
-    return t.join(u, ["a", "brand"]).select("a", "b", F.round(set_jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
+    """Words of all parts of one brand and size, by pairs."""
+    t = _read(spark, d, "part").select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
+    u = t.select(F.col("a").alias("b"), "brand", "size", F.col("w").alias("v"))
+    return t.join(u, ["brand", "size"]).where("a < b").select("a", "b", F.round(set_jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
 
 
 @query("ratio_vendor_match")
@@ -292,21 +301,21 @@ def vendor_name_keys(spark, d):
     return s.select(F.col("s_suppkey").alias("vendor"), vendor_name(F.concat("s_name", form)).alias("key"))
 
 
-@query("ingest_quality_gate", "SELECT doc_id, length(trim(text)) >= 40 AND length(regexp_replace(trim(text), '[^0-9]', '', 'g')) >= 5 AS usable FROM documents WHERE text IS NOT NULL")
+@query("ingest_quality_gate", "SELECT doc_id, length(trim(text)) >= 40 AND length(regexp_replace(trim(text), '[^0-9]', '', 'g')) >= 5 AS usable FROM documents")
 def ingest_quality_gate(spark, d):
-    return _read(spark, d, "documents").where("text is not null").select("doc_id", ingest_quality(F.trim("text")).alias("usable"))
+    return _read(spark, d, "documents").select("doc_id", ingest_quality(F.trim(F.coalesce("text", F.lit("")))).alias("usable"))
 
 
-@query("currency_detect", r"SELECT doc_id, CASE WHEN contains(text, '$') THEN 'USD' WHEN contains(text, '€') THEN 'EUR' WHEN contains(text, '£') THEN 'GBP' WHEN contains(text, '₹') THEN 'INR' ELSE nullif(regexp_extract(text, '\b(USD|EUR|GBP|INR)\b', 1), '') END AS currency FROM documents WHERE text IS NOT NULL")
+@query("currency_detect", r"SELECT doc_id, CASE WHEN contains(text, '$') THEN 'USD' WHEN contains(text, '€') THEN 'EUR' WHEN contains(text, '£') THEN 'GBP' WHEN contains(text, '₹') THEN 'INR' ELSE nullif(regexp_extract(text, '\b(USD|EUR|GBP|INR)\b', 1), '') END AS currency FROM documents")
 def currency_detect(spark, d):
-    return _read(spark, d, "documents").where("text is not null").select("doc_id", currency_of(F.col("text")).alias("currency"))
+    return _read(spark, d, "documents").select("doc_id", currency_of(F.col("text")).alias("currency"))
 
 
-@query("first_labelled_id", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_extract(x, '(?i)(?:token|key|secret|password)[^A-Za-z0-9]{0,4}([A-Za-z0-9][A-Za-z0-9/-]{2,})', 1)), lambda v: regexp_matches(v, '[0-9]')) AS ids FROM documents WHERE text IS NOT NULL)
+@query("first_labelled_id", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(list_filter(list_transform(string_split_regex(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_extract(x, '(?i)(?:token|key|secret|password)[^A-Za-z0-9]{0,4}([A-Za-z0-9][A-Za-z0-9/-]{2,})', 1)), lambda v: regexp_matches(v, '[0-9]')) AS ids FROM documents)
 SELECT doc_id, ids[1] AS id FROM l""")
 def first_labelled_id(spark, d):
     found = labelled_id(non_empty_lines(F.col("text")), ((0.9, "(?i)(?:token|key|secret|password)[^A-Za-z0-9]{0,4}([A-Za-z0-9][A-Za-z0-9/-]{2,})"),))
-    return _read(spark, d, "documents").where("text is not null").select("doc_id", found["value"].alias("id"))
+    return _read(spark, d, "documents").select("doc_id", found["value"].alias("id"))
 
 
 @query("segment_bundles", """WITH s AS (SELECT conv_id, turn, CASE WHEN role = 'user' OR row_number() OVER w = 1 THEN 1 ELSE 0 END AS st FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seg FROM s)
@@ -335,15 +344,22 @@ def _runs(spark, d) -> DataFrame:
 @query("cross_run_cumulative_flags", f"""WITH {_RUNS}, p AS (SELECT user_id, sum(cents) AS s, count(*) AS n FROM e WHERE prior GROUP BY ALL), c AS (SELECT user_id, sum(cents) AS s FROM e WHERE NOT prior GROUP BY ALL)
 SELECT user_id, CAST(p.s AS BIGINT) AS prior_billed, p.n AS prior_count, CAST(c.s AS BIGINT) AS this_batch, CAST(p.s + c.s AS BIGINT) AS cumulative FROM p JOIN c USING (user_id) WHERE p.s <> 0 AND p.s + c.s - 20000 > 2000""")
 def cross_run_cumulative_flags(spark, d):
-    g = _runs(spark, d).groupBy("user_id").agg(F.sum(F.when(F.col("prior"), F.col("cents"))).alias("prior_billed"), F.count_if("prior").alias("prior_count"), F.sum(F.when(~F.col("prior"), F.col("cents"))).alias("this_batch"))
-    return g.withColumn("cumulative", F.col("prior_billed") + F.col("this_batch")).where("prior_billed <> 0 and cumulative - 20000 > 2000")
+    """What earlier runs billed by key, beside this run's bills of the same key."""
+    e, key = _runs(spark, d), F.concat(F.lit("PO-"), F.col("user_id").cast("string"))
+    ledger = e.where("prior").select(F.col("event_id").alias("seq"), key.alias("po_number"), F.col("cents").alias("amount_cents"), F.lit(20000).cast("bigint").alias("po_total_cents"))
+    now = e.where("not prior").groupBy(F.col("user_id").cast("string").alias("po_key"), "user_id").agg(F.sum("cents").alias("this_batch"))
+    rows = now.join(prior_by_order(ledger), "po_key").withColumn("cumulative", F.col("prior_billed") + F.col("this_batch"))
+    return rows.where("prior_billed <> 0 and cumulative - prior_ceiling > 2000").select("user_id", "prior_billed", "prior_count", "this_batch", "cumulative")
 
 
 @query("cross_run_duplicates", f"WITH {_RUNS}, k AS (SELECT user_id, event_type, min(event_id) AS prior_id FROM e WHERE prior GROUP BY ALL) SELECT e.event_id, prior_id FROM e JOIN k USING (user_id, event_type) WHERE NOT prior")
 def cross_run_duplicates(spark, d):
-    e = _runs(spark, d)
-    k = e.where("prior").groupBy("user_id", "event_type").agg(F.min("event_id").alias("prior_id"))
-    return e.where("not prior").join(k, ["user_id", "event_type"]).select("event_id", "prior_id")
+    """The first record of the ledger that a later one repeats, by vendor and number."""
+    e = _runs(spark, d).withColumns({"vendor": F.concat(F.lit("User "), F.col("user_id").cast("string")), "number": F.concat_ws("-", F.col("user_id").cast("string"), "event_type")})
+    none = F.lit(None).cast("string")
+    ledger = e.where("prior").select(F.col("event_id").alias("seq"), "vendor", F.upper("number").alias("invoice_number"), F.col("cents").alias("amount_cents"), none.alias("invoice_date"))
+    bills = e.where("not prior").select(F.lit("b").alias("batch_id"), F.col("event_id").alias("index"), "vendor", F.col("number").alias("invoice_number"), F.col("cents").alias("total_cents"), none.alias("date"))
+    return repeats_of_earlier_runs(bills, ledger).select(F.col("index").alias("event_id"), F.col("prior_seq").alias("prior_id"))
 
 
 @query("summary_counters", f"WITH {_WHOLE}, v AS (SELECT *, {_SEVERITY} AS s FROM w) SELECT count(*) AS matched, count(*) FILTER (WHERE s = 0) AS ok, count(*) FILTER (WHERE s = 3) AS hold, count(*) FILTER (WHERE s = 5) AS reject, count(*) FILTER (WHERE partial) AS partials, count(DISTINCT cust) AS customers FROM v")
@@ -418,6 +434,6 @@ def code_validity(spark, d):
     return _read(spark, d, "part").select(F.col("p_partkey").alias("part"), code_valid((F.col("p_partkey") * 37).cast("string")).alias("valid"))
 
 
-@query("page_titles", r"SELECT page_id, CASE WHEN regexp_matches(upper(html), '\b(TAX INVOICE|INVOICE|BILL OF SUPPLY|CREDIT NOTE|DEBIT NOTE)\b') THEN 'invoice' WHEN regexp_matches(upper(html), '\b(GOODS RECEIPT|GRN|MATERIAL RECEIPT|GOODS RECEIVED)\b') THEN 'grn' WHEN regexp_matches(upper(html), '\b(PURCHASE ORDER|WORK ORDER|SERVICE ORDER|PURCHASE REQUISITION)\b') THEN 'po' ELSE 'continuation' END AS kind FROM pages WHERE html IS NOT NULL")
+@query("page_titles", r"SELECT page_id, CASE WHEN regexp_matches(upper(html), '\b(TAX INVOICE|INVOICE|BILL OF SUPPLY|CREDIT NOTE|DEBIT NOTE)\b') THEN 'invoice' WHEN regexp_matches(upper(html), '\b(GOODS RECEIPT|GRN|MATERIAL RECEIPT|GOODS RECEIVED)\b') THEN 'grn' WHEN regexp_matches(upper(html), '\b(PURCHASE ORDER|WORK ORDER|SERVICE ORDER|PURCHASE REQUISITION)\b') THEN 'po' ELSE 'continuation' END AS kind FROM pages")
 def page_titles(spark, d):
-    return _read(spark, d, "pages").where("html is not null").select("page_id", page_kind(F.col("html")).alias("kind"))
+    return _read(spark, d, "pages").select("page_id", page_kind(F.col("html")).alias("kind"))

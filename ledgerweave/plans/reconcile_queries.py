@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.batch import LEDGER, READER_DOC, canonical, reconcile
-from .queries import _BILLS, _ORDERS, _WHOLE, _cents, _read, bills, orders, query  # noqa: F401
+from ..operators.fourway import RECEIPT_LINE, coverage_counts, four_way, item_match, vouch
+from ..operators.matching import covered_once
+from ..operators.sinks import augmented_register, chain_bands, line_sheet
+from ..operators.twoway import INVOICE, LINE, ORDER
+from ..policy import MatchPolicy
+from .queries import _WHOLE, bills, lines, orders, query
 
 # -- batches -------------------------------------------------------------------
 
@@ -152,3 +157,113 @@ def batch_cumulative_flags(spark, d):
 'PO-' || order_id AS po_number FROM i WHERE k <> 3""")
 def batch_ledger_additions(spark, d):
     return _tables(spark, d)["ledger_additions"].select("batch_id", "invoice_number", "amount_cents", "currency", "po_number")
+
+
+# -- chains ----------------------------------------------------------------------
+
+#: Cases by order number modulo 8: 1 the register names another vendor without a tax id, 2 no invoice, 3 the register's total is
+#: doubled, 4 no order document, 5 no receipt, 6 one unit more received than ordered, 7 received before ordered, else plain.
+_YEARS = ("1994-01-01", "1996-12-31")
+_CHAIN = f"""{_WHOLE}, l AS (SELECT order_id, max(bill_date) AS day FROM b GROUP BY ALL), q AS (SELECT order_id, CAST(sum(qty) AS BIGINT) AS qty FROM x GROUP BY ALL),
+z AS (SELECT w.*, day, qty, order_id % 8 AS k, abs(cents - po_cents) <= greatest(100, 0.005 * po_cents) AS tie, day BETWEEN DATE '{_YEARS[0]}' AND DATE '{_YEARS[1]}' AS bill_in, po_date BETWEEN DATE '{_YEARS[0]}' AND DATE '{_YEARS[1]}' AS po_in FROM w JOIN l USING (order_id) JOIN q USING (order_id)),
+s AS (SELECT *, CASE WHEN k NOT IN (2, 4) THEN tie END AS total_match, CASE WHEN k <> 2 THEN bill_in AND (k = 4 OR po_in) END AS dates_fy, CASE WHEN k <> 2 THEN k <> 3 END AS register_total FROM z)"""
+
+
+def chain_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """register, invoices, orders and receipts: one of each an order, but for the cases."""
+    day = bills(spark, d).groupBy("order_id").agg(F.sum("cents").alias("cents"), F.max("bill_date").cast("string").alias("day"))
+    qty = lines(spark, d).groupBy("order_id").agg(F.sum("qty").cast("double").alias("qty"))
+    rows = orders(spark, d).join(day, "order_id").join(qty, "order_id").withColumn("k", F.expr("order_id % 8"))
+    n, k, none = F.col("order_id").cast("string"), F.col("k"), F.lit(None).cast("string")
+    firm, tax = F.concat(F.lit("Firm "), n), F.concat(F.lit("27AAAAA"), F.lpad(n, 8, "0"))
+    amount = lambda c: (c / 100).cast("double")
+    cents, item = F.col("cents"), F.concat(F.lit("Item "), n)
+    empty = F.lit(None)
+    line = lambda q: F.array(F.struct(F.lit(1), item, none, q, none, empty, empty, empty, empty).cast(LINE))
+    cited = F.when(k != 4, F.array(F.struct(F.concat(F.lit("po "), n).alias("value"), F.lit("buyer_pr_po").alias("kind"), F.lit(False).alias("handwritten"))))
+    register = rows.select(
+        F.col("order_id").cast("int").alias("register_row"), F.when(k == 1, F.concat(F.lit("Other "), n)).otherwise(firm).alias("vendor_name"), F.when(k != 1, tax).alias("vendor_gstin"),
+        F.concat(F.lit("inv 00"), n).alias("invoice_no"), F.col("day").alias("booking_date"), none.alias("po_no"), none.alias("site_name"),
+        amount(cents).alias("taxable"), F.lit(0.0).alias("gst_total"), amount(F.when(k == 3, cents * 2).otherwise(cents)).alias("total"),
+    )
+    invoice = F.struct(F.concat(F.lit("INV-00"), n), F.col("day"), firm, tax, none, cited, amount(cents), F.lit(0.0), amount(cents), line(F.col("qty"))).cast(INVOICE)
+    order = F.struct(F.concat(F.lit("PO"), n), none, firm, tax, none, F.col("po_date").cast("string"), none, amount(F.col("po_cents")), F.lit(True), line(F.col("qty"))).cast(ORDER)
+    place = (none.alias("bundle_id"), none.alias("site"))
+    got = F.array(F.struct(item, none, F.when(k == 6, F.col("qty") + 1).otherwise(F.col("qty")), empty, none).cast(RECEIPT_LINE))
+    when = F.date_add("po_date", F.when(k == 7, -1).otherwise(1)).cast("string")
+    grns = rows.where("k <> 5").select(F.concat(F.lit("G"), n).alias("grn_number"), F.concat(F.lit("PO-"), n).alias("po_number"), firm.alias("vendor_name"), tax.alias("vendor_gstin"), when.alias("receipt_date"), got.alias("lines"))
+    invoices = rows.where("k <> 2").select(F.concat(F.lit("i"), n).alias("inv_id"), *place, invoice.alias("invoice"))
+    return register, invoices, rows.where("k <> 4").select(F.concat(F.lit("p"), n).alias("po_id"), *place, order.alias("order")), grns
+
+
+def _chains(spark, d) -> DataFrame:
+    return four_way(*chain_tables(spark, d), MatchPolicy(profile="F", rate_by_heading=True, fy_start=_YEARS[0], fy_end=_YEARS[1]))
+
+
+_HOP1 = "CASE k WHEN 1 THEN 'Inv No only' ELSE 'Inv No + vendor' END"
+
+
+@query("four_way_findings", f"""WITH {_CHAIN} SELECT CAST(order_id AS INTEGER) AS register_row, CASE WHEN k = 2 THEN '' WHEN total_match IS FALSE OR NOT dates_fy OR NOT register_total THEN 'No match' ELSE 'Match' END AS result,
+CASE WHEN k = 2 THEN 'no invoice' ELSE {_HOP1} || ' → ' || CASE k WHEN 4 THEN 'No PO found' ELSE 'PR/PO number' END END AS chain_basis, CASE k WHEN 2 THEN NULL WHEN 4 THEN 'none' WHEN 1 THEN 'medium' ELSE 'high' END AS chain_confidence,
+CASE WHEN k NOT IN (2, 4) THEN TRUE END AS vendor_match, total_match, dates_fy, register_total, CASE WHEN k NOT IN (2, 4, 5) THEN k <> 7 END AS receipt_after_order,
+CASE WHEN k <> 2 THEN bill_in END AS booked_after_invoice, CASE WHEN k IN (2, 4) THEN NULL ELSE day >= po_date END AS date_order FROM s""")
+def four_way_findings(spark, d):
+    """A finding per posting of the register: invoice, order and receipts found backwards, and the checks."""
+    cols = ("chain_basis", "chain_confidence", "vendor_match", "total_match", "dates_fy", "register_total", "receipt_after_order", "booked_after_invoice", "date_order")
+    return _chains(spark, d).select("register_row", "result", *cols)
+
+
+@query("four_way_quantities", f"""WITH {_CHAIN} SELECT CAST(order_id AS INTEGER) AS register_row, CASE WHEN k IN (2, 4, 5) THEN '—' WHEN k = 6 THEN 'Over-received 1 item(s)' ELSE 'Ordered ' || qty || ' / Received ' || qty || ' / Billed ' || qty || ' — clean' END AS qty_flow_summary,
+CASE WHEN k NOT IN (2, 4, 5) THEN CAST(qty + CASE k WHEN 6 THEN 1 ELSE 0 END AS BIGINT) END AS received, CASE WHEN k NOT IN (2, 4, 5) THEN 'G' || order_id END AS grn, CASE WHEN k NOT IN (2, 4, 5) THEN k <> 6 END AS over_receipt_ok, CASE WHEN k NOT IN (2, 4, 5) THEN TRUE END AS item_match FROM s""")
+def four_way_quantities(spark, d):
+    q = F.get("quantities", F.lit(0))
+    rows = item_match(_chains(spark, d))
+    item = F.get("items", F.lit(0))["item_match"]
+    return rows.select("register_row", "qty_flow_summary", q["received"].cast("bigint").alias("received"), F.get(q["deliveries"], F.lit(0))["grn_number"].alias("grn"), q["over_receipt_ok"].alias("over_receipt_ok"), item.alias("item_match"))
+
+
+@query("four_way_coverage", f"WITH {_CHAIN} SELECT CASE WHEN k = 2 THEN 'no invoice' ELSE {_HOP1} || ' → ' || CASE k WHEN 4 THEN 'No PO found' ELSE 'PR/PO number' END END AS chain_basis, count(*) AS n, CAST(0 AS BIGINT) AS n_over_billed FROM s GROUP BY 1")
+def four_way_coverage(spark, d):
+    return coverage_counts(_chains(spark, d))
+
+
+@query("four_way_line_sheet", f"WITH {_CHAIN} SELECT CAST(order_id AS INTEGER) AS register_row, CASE WHEN k NOT IN (4, 5) THEN 'G' || order_id END AS grn_number, CASE WHEN k NOT IN (4, 5) THEN CAST(qty + CASE k WHEN 6 THEN 1 ELSE 0 END AS BIGINT) END AS delivered, CAST(qty AS BIGINT) AS billed FROM s WHERE k <> 2")
+def four_way_line_sheet(spark, d):
+    return line_sheet(_chains(spark, d)).select("register_row", "grn_number", F.col("delivered").cast("bigint").alias("delivered"), F.col("billed").cast("bigint").alias("billed"))
+
+
+@query("augmented_register_bands", f"""WITH {_CHAIN} SELECT CAST(order_id AS INTEGER) AS register_row, CASE WHEN k <> 2 THEN 'INV-00' || order_id END AS inv_no, CASE WHEN k NOT IN (2, 4) THEN 'PO' || order_id WHEN k = 4 THEN '' END AS po_no,
+CASE WHEN k = 2 THEN NULL WHEN k IN (4, 5) THEN '—' ELSE 'G' || order_id END AS grn_no, CASE WHEN k = 2 THEN NULL WHEN k = 4 THEN '—' ELSE 'Itemized' END AS po_type, CASE WHEN k = 2 THEN NULL WHEN k = 3 THEN '✗' ELSE '✓' END AS register_total FROM s""")
+def augmented_register_bands(spark, d):
+    wide = augmented_register(chain_tables(spark, d)[0], _chains(spark, d), chain_bands())
+    names = {"INVOICE Inv No": "inv_no", "PO No": "po_no", "GRN No": "grn_no", "PO Type": "po_type", "CHECKS register_total": "register_total"}
+    return wide.select("register_row", *(F.col(f"`{a}`").alias(b) for a, b in names.items()))
+
+
+@query("register_coverage", f"WITH {_CHAIN} SELECT CAST(order_id AS VARCHAR) AS k, 'missing' AS problem FROM s WHERE k = 2")
+def register_coverage(spark, d):
+    """Orders in the register whose invoice is missing among the documents."""
+    register, invoices, _, _ = chain_tables(spark, d)
+    expected = register.select(F.col("register_row").cast("string").alias("k"))
+    return covered_once(expected, invoices.select(F.substring("inv_id", 2, 20).alias("k")), "k")
+
+
+@query("vouching", f"""WITH {_CHAIN}, v AS (SELECT *, CASE order_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS approved, CASE order_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS stamped, CASE WHEN order_id % 5 > 0 THEN 1 WHEN tie THEN 3 ELSE 5 END AS rung FROM s)
+SELECT order_id, CAST(rung AS INTEGER) AS rung, approved AS po_approved, stamped AS buyer_stamp, CASE WHEN rung = 5 OR (rung < 5 AND NOT tie) OR NOT bill_in OR (rung < 5 AND NOT po_in) OR approved IS FALSE OR stamped IS FALSE THEN 'No match' ELSE 'Match' END AS result FROM v""")
+def vouching(spark, d):
+    """Single invoices with their order, its approval and the buyer's stamp; every fifth cites nothing and has no tax id."""
+    w = orders(spark, d)
+    day = bills(spark, d).groupBy("order_id").agg(F.sum("cents").alias("cents"), F.max("bill_date").cast("string").alias("day"))
+    n, none = F.col("order_id").cast("string"), F.lit(None).cast("string")
+    firm, tax = F.concat(F.lit("Firm "), n), F.concat(F.lit("27AAAAA"), F.lpad(n, 8, "0"))
+    amount, cites = lambda c: (F.col(c) / 100).cast("double"), F.col("order_id") % 5 > 0
+    cited = F.when(cites, F.array(F.struct(F.concat(F.lit("PO "), n).alias("value"), F.lit("buyer_pr_po").alias("kind"), F.lit(False).alias("handwritten"))))
+    no_lines = F.lit(None).cast(f"array<{LINE}>")
+    invoice = F.struct(F.concat(F.lit("V-"), n), F.col("day"), F.concat(firm, F.lit(" Pvt. Ltd.")), F.when(cites, tax), none, cited, F.lit(None).cast("double"), F.lit(None).cast("double"), amount("cents"), no_lines).cast(INVOICE)
+    order = F.struct(F.concat(F.lit("PO"), n), none, firm, tax, none, F.col("po_date").cast("string"), none, amount("po_cents"), F.lit(True), no_lines).cast(ORDER)
+    level = lambda s: F.struct(F.lit("L1").alias("level"), F.lit(s).alias("status"))
+    levels = F.when(F.col("order_id") % 3 == 0, F.array(level("Approved"), level("Approved"))).when(F.col("order_id") % 3 == 1, F.array(level("Approved"), level("Pending")))
+    stamp = F.element_at(F.array(F.lit("yes"), F.lit("no"), F.lit("unclear"), none), (F.col("order_id") % 4 + 1).cast("int"))
+    rows = w.join(day, "order_id").select("order_id", invoice.alias("invoice"), F.array(order).alias("pos"), levels.alias("approval_levels"), stamp.alias("stamp"))
+    policy = MatchPolicy(profile="V", no_po_forces_no_match=True, approval_drives=True, rate_by_heading=True, fy_start=_YEARS[0], fy_end=_YEARS[1])
+    return vouch(rows, policy).select("order_id", "ladder.rung", "po_approved", "buyer_stamp", "result")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import reconcile_queries  # noqa: F401  (registers its queries)
+from . import reconcile_queries, text_queries  # noqa: F401  (they register their queries)
 from .queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
