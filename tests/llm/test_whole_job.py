@@ -18,7 +18,46 @@ GPL2 = GPL3.replace("software:", "software;").replace("Foundation, either versio
 ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
 APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
 MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy was not distributed with this file, You can obtain one at http://mozilla.org/."
-WHOLE = {"MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "GPL": GPL3, "GPL ": GPL2, "ISC": ISC, "Apache-2.0": APACHE, "MPL-2.0": MPL}
+WHOLE = {"MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "GPL-3.0": GPL3, "GPL-2.0": GPL2, "ISC": ISC, "Apache-2.0": APACHE, "MPL-2.0": MPL}
+
+
+LGPL = GPL2.replace("program", "library").replace("GNU General", "GNU Lesser General")
+AGPL = GPL3.replace("GNU General", "GNU Affero General")
+MORE = {
+    "LGPL": LGPL,
+    "AGPL-3.0": AGPL,
+    "Unlicense": "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software.",
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "BSL-1.0": "Distributed under the Boost Software License, Version 1.0. (See accompanying file.)",
+    "EPL": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which is available elsewhere.",
+    "MIT": "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + MIT + " IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY.",
+    "BSD-3-Clause": "Copyright (c) 2019, Jane Doe\nAll rights reserved.\n\n" + BSD3,
+    "Apache-2.0": "Copyright 2018 Jane Doe\n\n" + APACHE,
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nEveryone is permitted to copy and distribute verbatim copies of this document.",
+    "GPL-2.0": "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Preamble",
+    "LGPL ": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999\n\nPreamble",
+    "ISC": ISC + '\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE.',
+    "MPL-2.0": MPL,
+}
+SPDX = {
+    "MIT": "MIT", "ISC": "ISC", "Zlib": "Zlib", "BSL-1.0": "BSL-1.0", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "GPL-2.0-only": "GPL-2.0", "GPL-3.0-or-later": "GPL-3.0",
+    "LGPL-2.1-or-later": "LGPL", "AGPL-3.0": "AGPL-3.0", "MPL-2.0": "MPL-2.0", "EPL-2.0": "EPL", "Unlicense": "Unlicense", "CC0-1.0": "CC0-1.0", "CC-BY-4.0": "CC-BY", "CC-BY-SA-4.0": "CC-BY-SA", "CC-BY-NC-4.0": "CC-BY-NC", "Foo-1.0": "",
+}
+
+
+def test_more_licenses(spark):
+    laid = lambda text, prefix: "\n".join(prefix + x for line in text.split("\n") for x in (textwrap.wrap(line, 76) or [""]))
+    texts = [f(x) for x in MORE.values() for f in (str, lambda x: laid(x, ""), lambda x: laid(x, " * "))]
+    got = scanned(spark, texts)
+    for k, name in enumerate(n for n in MORE for _ in range(3)):
+        assert got[k]["licenses"] == name.strip(), (name, k % 3, got[k], texts[k])
+
+
+def test_spdx_lines(spark):
+    got = scanned(spark, [f"{c} SPDX-License-Identifier: {x}\nint main;" for x in SPDX for c in ("//", "#", "/*")])
+    assert [got[k]["licenses"] for k in range(3 * len(SPDX))] == [n for n in SPDX.values() for _ in range(3)]
+    assert scanned(spark, ["All rights reserved.", "The MIT License\nAll rights reserved."])[1]["licenses"] == "MIT"
 
 
 def scanned(spark, texts):
@@ -65,7 +104,7 @@ def shortest(items):
 
 def test_every_known_sentence_is_looked_at(spark):
     least = {name: shortest(_parser.parse(pattern.replace(" .*", " x").replace(".*", ""))) for name, pattern in licenses.SENTENCES.items()}
-    assert all(re.search(licenses.TALK, s) for s in least.values())
+    assert [n for n, s in least.items() if not re.search(licenses.TALK, s)] == []
     texts = [*least.values(), *(s.replace(" ", "\n") for s in least.values())]
     found = scanned(spark, texts)
     for k, name in enumerate([*least, *least]):
