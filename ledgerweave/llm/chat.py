@@ -216,8 +216,36 @@ def described(pieces: DataFrame) -> DataFrame:
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
+    """The turns as records of four layouts, by conversation, each found by its fingerprint."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     probe = "\\### Assistant: </turn> ok"
     rows = rows.union(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string"))
-    record = F.to_json(F.struct("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    other = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    layout = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4))
+    record = (
+        F.when(layout == 1, F.to_json(F.struct("conv_id", "turn", role.alias("role"), text.alias("content"))))
+        .when(layout == 2, F.to_json(F.struct("conv_id", F.array(F.struct(role.alias("role"), text.alias("content"))).alias("messages"))))
+        .when(layout == 3, F.to_json(F.struct("conv_id", F.array(F.struct(other.alias("from"), text.alias("value"))).alias("conversations"))))
+        .otherwise(F.to_json(F.struct("conv_id", "turn", role.alias("role"), text.alias("text"))))
+    )
     return described(formatted_turns(canonical_turns(rows.select("conv_id", "turn", record.alias("record")))))
+
+
+def _sql() -> str:
+    """The turns in order, and how long they are with marks and escapes."""
+    escaped = lambda c: f"regexp_replace({c}, '([\\\\#<:\n])', '\\\\\\1', 'g')"
+    names = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in ROLES.items())
+    probe = "\\### Assistant: </turn> ok"
+    return f"""
+WITH r AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '{probe}' UNION ALL SELECT -7, 1, 'assistant', '{probe}'),
+t AS (SELECT conv_id, turn, CASE role {names} ELSE role END AS role, text FROM r),
+p AS (SELECT *, '### ' || {escaped("role")} || ':\n' || {escaped("text")} || '</turn>\n' AS piece FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || '\n' || text || '\n', '' ORDER BY turn NULLS FIRST, piece)) AS turns_sha256,
+CAST(coalesce(sum(length(text)) FILTER (WHERE role = '{LOSS_ROLE}'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, piece) FILTER (WHERE role = '{LOSS_ROLE}'), '')) AS loss_sha256,
+CAST(sum(length(piece)) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id
+"""
+
+
+ORACLE_SQL = _sql()

@@ -5,7 +5,7 @@ document's probabilities are the mean over its positions.  Texts run as lanes
 of ``WINDOW`` bytes side by side, each from a fresh state, so that any text
 takes as many lanes as it needs and none is cut short.  Training is back-
 propagation through time in numpy, on a bounded sample (``SAMPLE_ROWS`` labelled
-rows with the least hash of doc_id; windows at any place of their texts).
+rows with the least hash of doc_id, ``PARTS`` parts at any place of their texts).
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 without any labelled training row every document is ``und``; equal texts have
@@ -24,6 +24,8 @@ from .common import documents
 
 #: Rows that the network is trained on at most.
 SAMPLE_ROWS = 2000
+#: Parts of a row's text that are looked at, and their characters.
+PARTS, PART = 4, 512
 WINDOW = 96
 HIDDEN = 6
 UNKNOWN = "und"
@@ -198,7 +200,7 @@ def foreign(texts: list[str], each: int = 40, seed: int = 5) -> list[str]:
 
 
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", other: bool = False) -> Network | None:
-    """A network fitted on at most ``rows`` labelled rows (and ties of the hash) that are not held out; None without any.
+    """A network fitted on parts of at most ``rows`` labelled rows (twice as many if doc_ids are shared) that are not held out; None without any.
 
     With ``other`` one more label, ``und``, is learned from ``foreign`` text.
     """
@@ -207,11 +209,18 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text
     ids = docs.where(F.col(label_col).isNotNull() & ~held_out(id_col)).select(order.alias("h")).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if ids is None:
         return None
-    sample = known.where(order <= ids).select(order.alias("h"), F.col(label_col).alias("label"), F.col(text_col).alias("text")).limit(2 * rows).collect()
-    sample = sorted(sample, key=lambda r: (r["h"], r["label"], r["text"]))
-    if not sample:
+    # parts of the texts are cut where the texts are; which ones depends on the row alone
+    last = F.greatest(F.length(text_col) - PART + 1, F.lit(1))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.substring(F.col(text_col), (F.pmod(F.xxhash64(F.col(id_col), k), last) + 1).cast("int"), F.lit(PART)))
+    sample = known.where(order <= ids).select(order.alias("h"), F.col(label_col).alias("label"), F.array_distinct(parts).alias("parts"))
+    sample = sample.orderBy("h", "label", "parts").limit(2 * rows).collect()
+    texts, own = [], []
+    for r in sample:
+        some = [p for p in r["parts"] if p]
+        texts += some
+        own += [r["label"]] * len(some)
+    if not texts:
         return None
-    texts, own = [r["text"] for r in sample], [r["label"] for r in sample]
     if other:
         more = foreign(texts)
         texts, own = texts + more, own + [UNKNOWN] * len(more)

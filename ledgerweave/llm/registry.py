@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, secrets
+from . import chat, licenses, secrets
 from .bpe import op7_bpe
 from .chat import op8_chat
 from .fingerprints import op2_fingerprints
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_langid": op10_langid,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.ORACLE_SQL, "op6_secrets": secrets.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.ORACLE_SQL, "op6_secrets": secrets.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}

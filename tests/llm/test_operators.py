@@ -1,6 +1,7 @@
 """The ten operators against brute force, and on nulls, empty and long texts, repeated rows, ties, empty tables and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -84,16 +85,46 @@ def test_fingerprint_sums(spark):
     got = {r["doc_id"]: np.array(r["dense"]) for r in fingerprints.fingerprints(df, ["doc_id"]).collect()}
     assert (got[1] == got[2]).all() and ((got[3] + got[4]) % 2**32 == got[1]).all() and not (got[5] == got[3]).all()
 
-    def lane(p):
-        out = []
-        for w in range(fingerprints.WORDS):
-            seed = xxhash.xxh64_intdigest(w.to_bytes(4, "little"), 42)
-            h = xxhash.xxh64_intdigest(p.encode(), seed)
-            out += [h & 0xFFFFFFFF, h >> 32]
-        return np.array(out)
+    assert (lane_sums([b"c"], fingerprints.WORDS) == got[4]).all() and (lane_sums([b"a", b"b", b"c"], fingerprints.WORDS) == got[1]).all()
 
-    if (lane("c") == got[4]).all():  # the hash of an integer is Spark's own
-        assert (sum(map(lane, "abc")) % 2**32 == got[1]).all()
+
+def hashes(element, first, many):
+    """The 64-bit hashes that the query takes of an element: of a number, then of the bytes with that as the seed."""
+    return [xxhash.xxh64_intdigest(element, xxhash.xxh64_intdigest(w.to_bytes(4, "little"), 42)) for w in range(first, first + many)]
+
+
+def lane_sums(paragraphs, words):
+    out = np.zeros(2 * words, np.int64)
+    for p in paragraphs:
+        out += np.array([x for h in hashes(p, 0, words) for x in (h & 0xFFFFFFFF, h >> 32)])
+    return out % 2**32
+
+
+def brute_fingerprint(t):
+    """(printed fingerprint, signed likeness lanes) by plain loops."""
+    dense = lane_sums([x.encode() for x in t.split("\n") if x], fingerprints.WORDS)
+    chunks = re.findall(r"[^\n.,;:!?]{1,16}", t)
+    bits = np.zeros(60 * fingerprints.SKETCHES, np.int64)
+    for c in chunks:
+        bits += np.array([h >> (k + b) & 1 for h in hashes(c.encode(), fingerprints.WORDS, fingerprints.SKETCHES) for k in range(20) for b in (0, 20, 40)])
+    packed = [int(x) | int(y) << 20 | int(z) << 40 for x, y, z in (bits % 2**20).reshape(-1, 3)]
+    return "".join(f"{x:08x}" for x in dense.tolist()) + "".join(f"{x:016x}" for x in packed), 2.0 * bits - len(chunks)
+
+
+def test_fingerprints_by_brute_force(spark):
+    rng = random.Random(11)
+    words = "alpha beta, gamma. delta\nepsilon é 😀; zeta".split(" ")
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(60)))) for i in range(40)] + [(50, None), (51, "\n\n"), (52, "x" * 40)]
+    rows.append((53, rows[3][1]))
+    got = {r["doc_id"]: r for r in fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    ordered = sorted(rows, key=lambda r: -r[0])
+    like = lambda a, b: 1.0 if a[0] == b[0] else 0.0 if not (a[1] @ a[1]) * (b[1] @ b[1]) else min(max(a[1] @ b[1] / np.sqrt((a[1] @ a[1]) * (b[1] @ b[1])), 0.0), 1.0)
+    for k, (i, t) in enumerate(ordered):
+        t, follower = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        third = len(t) // 3
+        own, changed, after = brute_fingerprint(t), brute_fingerprint(t[: len(t) - third] + follower[:third]), brute_fingerprint(follower)
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (own[0], changed[0])
+        assert got[i]["near_edited"] == pytest.approx(like(own, changed), abs=2e-6) and got[i]["near_next"] == pytest.approx(like(own, after), abs=2e-6)
 
 
 def test_edited_texts(spark):
@@ -349,6 +380,22 @@ def test_encoding_equals_the_library():
         assert own.decode(ids) == tok.decode(want, skip_special_tokens=False)
 
 
+def test_whole_table_equals_the_library(spark):
+    """The query's digests over a whole table."""
+    from tokenizers import Tokenizer
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    tok = Tokenizer.from_file(bpe.default_vocabulary())
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        ids = tok.encode(r["text"] or "", add_special_tokens=False).ids
+        want[r["doc_id"]] = (len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False)))
+    assert {r["doc_id"]: tuple(r)[1:4] for r in bpe.op7_bpe(spark, folder).collect()} == want
+
+
 # -- 8 chat -------------------------------------------------------------------
 
 
@@ -500,6 +547,31 @@ def test_language(spark):
     assert {r["lang_pred"] for r in fit_and_predict(unlabelled).collect()} == {"und"}
 
 
+def test_network_by_plain_loops():
+    """One text, one position and one unit after the other."""
+    net = langid.Network(["x", "y", "z"], hidden=4)
+    text = "plain words é and 😀 more of them, beyond a window of bytes " * 3
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    total, raw = np.zeros(3), text.encode()
+    for a in range(0, len(raw), langid.WINDOW):
+        part, states = raw[a : a + langid.WINDOW], {}
+        for d in "fb":
+            h, out = np.zeros(4), []
+            for byte in part if d == "f" else part[::-1]:
+                x, s = p[f"x{d}"][:, byte], p[f"u{d}"] @ h
+                z, r = sigmoid(x[:4] + s[:4]), sigmoid(x[4:8] + s[4:8])
+                n = np.tanh(x[8:] + r * s[8:])
+                h = (1 - z) * n + z * h
+                out.append(h)
+            states[d] = out if d == "f" else out[::-1]
+        for f, b in zip(states["f"], states["b"]):
+            e = p["w"] @ np.concatenate((f, b)) + p["b"][:, 0]
+            e = np.exp(e - e.max())
+            total += e / e.sum()
+    assert np.allclose(net.documents([b"short", raw])[1], total / len(raw), atol=1e-5)
+
+
 def test_gradients():
     net = langid.Network(["x", "y"], hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
