@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,10 +43,11 @@ class Tables:
         out._table_path = path
         return out
 
-    def counted(self, df: DataFrame, what: Column | None = None) -> tuple[DataFrame, int]:
-        """The rows, kept, and their number or the sum of what a row counts."""
-        out = self.keep(df)
-        return out, int(out.agg(F.sum(F.lit(1) if what is None else what)).first()[0] or 0)
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """A small table, and the number of its rows, gathered while it is written."""
+        seen = Observation()
+        out = self.write(df.observe(seen, F.count(F.lit(1)).alias("n")), small=True)
+        return out, seen.get["n"]
 
     def keep(self, df: DataFrame) -> DataFrame:
         """The rows stay on the executors' disks for later steps; those of a lost executor are worked out again."""

@@ -334,8 +334,8 @@ def _feasible(a_n, a_pos, b_n, b_pos, rule: Rule):
     return (low * rule.den >= high * rule.num) & (rest * (rule.num + rule.den) >= (a_n + b_n) * rule.num)
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
-    """The pairs (a, b) that link; pairs: (a, b, n) with the size of a's set.
+def _verify(docs: DataFrame, pairs: DataFrame, many: int, rule: Rule) -> DataFrame:
+    """The pairs (a, b) that link; pairs: so many rows (a, b, n) with the size of a's set.
 
     Both sets go to the key (a, salt, part); a document with many partners has several salts, and a long set several parts,
     which are cut at the same hashes for a and b.  A text is read once for up to ``FAN`` keys.
@@ -343,14 +343,14 @@ def _verify(docs: DataFrame, pairs: DataFrame, rule: Rule, tables: Tables) -> Da
     n = rule.n
     fan = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fan"), F.max("n").alias("n"))
     fan = fan.select("a", "fan", F.greatest(F.ceil(F.log2(F.col("n") / PART)), F.lit(0)).cast("int").alias("bits"))
-    fan, many = tables.counted(fan)
     salt = F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt")
     partner = _dealt(pairs.select("a", "b"), fan, many, "a", "b").select(F.col("b").alias("node"), F.col("a").alias("key"), salt, "bits")
     every = F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt")
-    sending = tables.write(partner.union(fan.select(F.col("a").alias("node"), F.col("a").alias("key"), every, "bits")))
+    sending = partner.union(fan.select(F.col("a").alias("node"), F.col("a").alias("key"), every, "bits"))
     turns = sending.groupBy("node").agg(F.ceil(F.count("*") / FAN).cast("int").alias("turns"))
     dealt = sending.join(turns, "node").withColumn("turn", F.pmod(F.xxhash64("key", "salt"), F.col("turns")))
-    need, rows = tables.counted(dealt.groupBy("node", "turn").agg(F.collect_list(F.struct("key", "salt", "bits")).alias("keys")), F.size("keys"))
+    need = dealt.groupBy("node", "turn").agg(F.collect_list(F.struct("key", "salt", "bits")).alias("keys"))
+    rows = 2 * many  # no more keys than that in all lists together
     wanted = docs.join(_small(need, rows), F.col("doc_id") == F.col("node")).select("node", "text", *(F.col(f"keys.{c}").alias(c) for c in ("key", "salt", "bits")))
     names = ["key", "salt", "part", "other", "node", "n", "version", "grams"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
@@ -433,13 +433,13 @@ def _rooted(edges: DataFrame, tables: Tables) -> tuple[DataFrame, tuple]:
     return out, (seen.get["n"], seen.get["h"])
 
 
-def _split_pairs(postings: DataFrame, stars: DataFrame, rule: Rule, tables: Tables) -> DataFrame:
+def _split_pairs(postings: DataFrame, stars: DataFrame, rule: Rule) -> DataFrame:
     """Feasible pairs (a, b, n) of one posting whose members are in different components."""
     rows = postings.select("gram", "node", "n", "pos").join(stars, "node", "left")
     rows = rows.select("gram", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     mixed = rows.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("df"))
-    mixed, many = tables.counted(mixed.where("r0 <> r1").select("gram", F.ceil(F.col("df") / BLOCK).cast("int").alias("parts")))
-    rows = _dealt(rows, mixed, many, "gram", "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    mixed = mixed.where("r0 <> r1").select("gram", F.ceil(F.col("df") / BLOCK).cast("int").alias("parts"))
+    rows = rows.join(mixed, "gram").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("gram", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "node", "n", "pos", "root")
     num, den = rule.num, rule.den
@@ -493,6 +493,7 @@ def _ranked(docs: DataFrame, reps: DataFrame, seen: tuple[DataFrame, int], rule:
     whole = lambda few: _described(docs.join(_small(*few), F.col("doc_id") == F.col("node"), "left_semi"), rule, True).where("n > 0")
     classes, many = seen
     few = tables.counted(_wanting(reps, classes, many, rule))
+    tables.release()
     if few[1]:
         # n-grams beyond the heads are as common, but were not counted yet
         both = classes.union(_frequent(whole(few))).groupBy("gram").agg(F.max("df").alias("df"))
@@ -501,7 +502,7 @@ def _ranked(docs: DataFrame, reps: DataFrame, seen: tuple[DataFrame, int], rule:
     rows = _prefixes(_marked(reps, classes, many), rule)
     if few[1]:
         named = whole(few).select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").alias("node"), "n", "grams")
-        named = tables.keep(named)
+        named = tables.write(named, small=True)
         rows = rows.union(_prefixes(_marked(named, classes, many), rule))
     return rows
 
@@ -522,14 +523,14 @@ def jaccard_components(
     seen = tables.counted(_frequent(reps))
     tables.drop(heads)
     postings = tables.keep(_postings(_ranked(docs, reps, seen, rule, tables)))
-    tried = tables.write(_meetings(postings, rule), small=True)
+    tried, many = tables.counted(_meetings(postings, rule))
     tables.drop(reps)
-    stars = components(_verify(docs, tried, rule, tables), tables)
+    stars = components(_verify(docs, tried, many, rule), tables)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tables.release()
-    second = tables.write(_split_pairs(postings, stars, rule, tables).join(done, ["a", "b"], "left_anti"), small=True)
+    second, many = tables.counted(_split_pairs(postings, stars, rule).join(done, ["a", "b"], "left_anti"))
     tables.drop(postings)
-    edges = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verify(docs, second, rule, tables))
+    edges = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verify(docs, second, many, rule))
     found = components(edges, tables)
     tables.done()
     some = base.where("n > 0").select("doc_id", "n", "sig").join(classes.select("sig", "rep"), "sig")
