@@ -245,30 +245,35 @@ def _coded_frames(x: np.ndarray, count: np.ndarray, number: list[int]) -> list[b
 
 def _rice_bytes(choice: _Choice, rows: np.ndarray, count: np.ndarray, heads: list[int]) -> list[bytes]:
     """Subframes: the head's bits, then by partition a parameter and the codes of its residuals, padded to bytes."""
-    own, order = choice.body[rows], choice.order[rows]
-    value = choice.coded[rows][own].astype(np.int64)
-    frame, at = np.nonzero(own)
-    wide = (count // choice.parts)[rows][frame]
-    part = at // wide
-    first = at == np.maximum(order[frame], part * wide)
-    k = choice.k[rows][frame, part].astype(np.int64)
-    q = value >> k
-    length = q + 1 + k + 4 * first
-    begin = np.cumsum(length) - length
-    per = own.sum(1)
+    own, order, per = choice.body[rows], choice.order[rows], choice.body[rows].sum(1)
+    value = choice.coded[rows][own]
+    wide = (count // choice.parts)[rows]
+    # samples at which a partition begins, by frame
+    begins = np.arange(PARTS) * wide[:, None]
+    begins = np.maximum(begins, order[:, None])[np.arange(PARTS) < choice.parts[rows][:, None]]
+    which = np.repeat(np.arange(len(rows)), choice.parts[rows])
     firsts = np.cumsum(per) - per
+    first = firsts[which] + begins - order[which]
+    k = np.repeat(choice.k[rows][np.arange(PARTS) < choice.parts[rows][:, None]].astype(np.int32), np.diff(np.append(first, len(value))))
+    q = value >> k
+    length = q + 1 + k
+    length[first] += 4
     head = choice.head[rows]
-    size = -(-(np.add.reduceat(length, firsts) + head) // 8)
+    size = -(-(np.add.reduceat(length, firsts, dtype=np.int64) + head) // 8)
     starts = np.cumsum(size) - size
+    begin = np.cumsum(length, dtype=np.int64) - length
     begin += np.repeat(8 * starts + head - begin[firsts], per)
     bits = np.zeros(int(size.sum()) * 8, np.uint8)
     for j in range(4):
         bits[begin[first] + 3 - j] = (k[first] >> j) & 1
-    stop = begin + 4 * first + q
+    stop = begin + q
+    stop[first] += 4
     bits[stop] = 1
-    for j in range(int(k.max())):
-        low = k > j  # bit j from the right
-        bits[(stop + k - j)[low]] = (value[low] >> j) & 1
+    for n in np.unique(k[k > 0]).tolist():  # the low bits of all codes with one parameter
+        of = np.flatnonzero(k == n)
+        place, low = stop[of], value[of]
+        for j in range(n):
+            bits[place + (n - j)] = (low >> j) & 1
     raw = np.packbits(bits).tobytes()
     out = []
     for a, n, h, value_of in zip(starts.tolist(), size.tolist(), head.tolist(), heads):
