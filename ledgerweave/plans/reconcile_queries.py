@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.batch import LEDGER, READER_DOC, canonical, reconcile
 from ..operators.fourway import RECEIPT_LINE, coverage_counts, four_way, item_match, vouch
+from ..operators.guards import order_gate, outcome_rows, public_documents, public_ledger, receipt_gate
 from ..operators.matching import covered_once
 from ..operators.sinks import augmented_register, chain_bands, line_sheet
 from ..operators.twoway import INVOICE, LINE, ORDER
@@ -267,3 +268,36 @@ def vouching(spark, d):
     rows = w.join(day, "order_id").select("order_id", invoice.alias("invoice"), F.array(order).alias("pos"), levels.alias("approval_levels"), stamp.alias("stamp"))
     policy = MatchPolicy(profile="V", no_po_forces_no_match=True, approval_drives=True, rate_by_heading=True, fy_start=_YEARS[0], fy_end=_YEARS[1])
     return vouch(rows, policy).select("order_id", "ladder.rung", "po_approved", "buyer_stamp", "result")
+
+
+# -- guards and views ----------------------------------------------------------------
+
+
+@query("batch_outcome_rows", f"WITH {_MATCHED} SELECT CAST(cust AS VARCHAR) AS batch_id, invoice_number, CASE WHEN k = 0 THEN 'PO_MISSING' WHEN k = 2 AND (SELECT max(together) FROM m WHERE m.order_id = i.order_id) - po_cents > {_BATCH_BAND} THEN 'MISMATCH' WHEN k = 2 THEN 'PARTIAL' ELSE {_PAIR} END AS status FROM i WHERE k <> 3")
+def batch_outcome_rows(spark, d):
+    return outcome_rows(_tables(spark, d)).select("batch_id", "invoice_number", "status")
+
+
+@query("batch_public_documents", f"""WITH {_MADE}, every AS (SELECT cust, order_id * 5 + place AS idx, k, invoice_number, CAST(NULL AS VARCHAR) AS po_number, CASE WHEN k IN (5, 6) THEN '' WHEN k = 7 THEN 'PO-' || order_id || ',PO-' || order_id || '9' ELSE 'PO-' || order_id END AS cited, 'invoice' AS doc_type, inv_cents AS cents FROM i
+ UNION ALL SELECT cust, order_id * 5 + 3, k, NULL, 'PO-' || order_id, 'PO-' || order_id, 'po', CASE k WHEN 7 THEN po_cents // 2 ELSE po_cents END FROM c WHERE k <> 0 UNION ALL SELECT cust, order_id * 5 + 4, k, NULL, 'PO-' || order_id || '9', 'PO-' || order_id || '9', 'po', po_cents - po_cents // 2 FROM c WHERE k = 7)
+SELECT CAST(cust AS VARCHAR) AS batch_id, CAST(idx AS INTEGER) AS index, doc_type, invoice_number, cited AS po_numbers, '$' || trim(format('{{:,.2f}}', cents / 100)) AS total, NOT (k = 3 AND doc_type = 'invoice') AS readable FROM every""")
+def batch_public_documents(spark, d):
+    rows = public_documents(canonical(batch_documents(spark, d)))
+    return rows.select("batch_id", "index", "doc_type", "invoice_number", F.array_join("po_numbers", ",").alias("po_numbers"), "total", "readable")
+
+
+@query("ledger_public_view", f"WITH {_WHOLE} SELECT CASE WHEN order_id % 35 = 0 THEN 'inv-' ELSE 'OLD-' END || order_id AS invoice_number, 'PO ' || order_id AS po_number, '$' || trim(format('{{:,.2f}}', po_cents * 2 / 100)) AS amount, '1990-01-01' AS date FROM w WHERE order_id % 7 = 0")
+def ledger_public_view(spark, d):
+    return public_ledger(batch_ledger(spark, d)).select("invoice_number", "po_number", "amount", "date")
+
+
+@query("extraction_gates", f"WITH {_CHAIN} SELECT order_id, order_id % 3 > 0 AND order_id % 5 > 0 AS order_ok, k <> 5 AND order_id % 5 > 0 AS receipt_ok FROM s")
+def extraction_gates(spark, d):
+    """Whether orders and receipts carry what the chain needs of them."""
+    n, k = F.col("order_id"), F.col("order_id") % 8
+    number, vendor = n.cast("string"), F.when(n % 5 > 0, "Firm")
+    none = F.lit(None).cast("string")
+    described = F.array(F.struct(F.lit("Item").alias("description")))
+    rows = bills(spark, d).select("order_id").distinct()
+    order = order_gate(number, F.when(n % 3 > 0, number), vendor, none, described)
+    return rows.select("order_id", order.alias("order_ok"), receipt_gate(F.when(k != 5, number), number, vendor, none, described).alias("receipt_ok"))

@@ -148,7 +148,7 @@ def reader_answers(spark, d):
 _E = "FROM o"
 
 
-@query("number_texts", f"""WITH {_ORDERS} SELECT order_id, CAST(round(po_cents / 100, 2) AS DOUBLE) AS to_number, CAST(NULL AS DOUBLE) AS percent_is_no_number, CAST(-(order_id % 50) AS DOUBLE) AS first_number, CAST(order_id % 28 AS DOUBLE) AS clean_number,
+@query("number_texts", f"""WITH {_ORDERS} SELECT order_id, CAST(round(po_cents / 100, 2) AS DOUBLE) AS to_number, CAST(NULL AS DOUBLE) AS percent_is_no_number, CAST(-(order_id % 50 + 1) AS DOUBLE) AS first_number, CAST(order_id % 28 AS DOUBLE) AS clean_number,
 CAST(order_id % 50 AS DOUBLE) AS number_or_zero, CAST(0 AS DOUBLE) AS zero, CAST(NULL AS DOUBLE) AS nothing, CASE WHEN order_id % 28 > 1 THEN (order_id % 28) / 100 ELSE CAST(order_id % 28 AS DOUBLE) END AS fraction, CAST(floor(po_cents / 100 * 10 + 0.5) / 10 AS DOUBLE) AS tenths,
 printf('%.1f', CAST(order_id % 50 AS DOUBLE) * 100 / 70) AS percent, '—' AS dash, CASE WHEN order_id % 2 = 1 THEN '-$' ELSE '$' END || (order_id % 900) || '.05' AS cents_text {_E}""")
 def number_texts(spark, d):
@@ -158,7 +158,7 @@ def number_texts(spark, d):
     none = F.lit(None).cast("string")
     cents = F.when(k % 2 == 1, -((k % 900) * 100 + 5)).otherwise((k % 900) * 100 + 5)
     return orders(spark, d).select(
-        "order_id", money.to_number(F.concat(F.lit("₹ "), plain)).alias("to_number"), money.to_number(F.lit("18%")).alias("percent_is_no_number"), money.first_number(F.concat(F.lit("about -"), small, F.lit(" of 1,000"))).alias("_first"),
+        "order_id", money.to_number(F.concat(F.lit("₹ "), plain)).alias("to_number"), money.to_number(F.lit("18%")).alias("percent_is_no_number"), money.first_number(F.concat(F.lit("about -"), (k % 50 + 1).cast("string"), F.lit(" of 1,000"))).alias("_first"),
         money.clean_number(F.concat((k % 28).cast("string"), F.lit(" %"))).alias("clean_number"), money.number_or_zero(small).alias("number_or_zero"), money.number_or_zero(F.lit("n/a")).alias("zero"), money.number_or_null(F.lit("")).alias("nothing"),
         money.tax_fraction(F.concat((k % 28).cast("string"), F.lit("%"))).alias("fraction"), money.round_to(F.col("po_cents") / 100, 1).alias("tenths"), money.percent_text(k % 50, F.lit(70)).alias("percent"), money.money_text(none.cast("decimal(18,2)")).alias("dash"), money.cents_text(cents).alias("cents_text"),
     ).withColumnRenamed("_first", "first_number")
