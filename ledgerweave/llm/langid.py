@@ -29,6 +29,8 @@ PARTS, PART = 4, 512
 WINDOW = 96
 HIDDEN = 6
 UNKNOWN = "und"
+#: Least probability of no learned language at which a document goes: short texts full of numbers and keys come near a half.
+SURELY_UNKNOWN = 0.85
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -254,7 +256,7 @@ def op10_langid(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, network: Network | None, least: float, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a letter and whose best label is a language and scores ``least`` at least; none without a network."""
+    """The rows, with all their columns, whose text has a letter, whose best language scores ``least`` at least and that is not surely in none; no row without a network."""
     at = docs.columns.index(text_col)
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
@@ -267,7 +269,8 @@ def keep_known(docs: DataFrame, network: Network | None, least: float, text_col:
                 if network:
                     p = network.documents(texts)
                     language = np.array([x != UNKNOWN for x in network.labels])
-                    keep = ((p.max(1) >= least) & language[p.argmax(1)]).tolist()
-                yield b.filter(pa.array(keep, pa.bool_()))
+                    none = p[:, ~language].sum(1)
+                    keep = (np.where(language, p, 0).max(1) >= least) & (none < SURELY_UNKNOWN)
+                yield b.filter(pa.array(np.asarray(keep, bool)))
 
     return docs.where(has_letter(text_col)).mapInArrow(run, docs.schema)

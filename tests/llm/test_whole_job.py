@@ -167,3 +167,29 @@ def test_fingerprints_of_many_chunks(spark):
     assert all(got[k]["n"] == n and set(got[k]["sketch"]) == {0, n} for k in (1, 2))
     alike = lambda a, b: sum((2 * x - a["n"]) * (2 * y - b["n"]) for x, y in zip(a["sketch"], b["sketch"])) / (120 * a["n"] * b["n"])
     assert alike(got[1], got[3]) == 1 and abs(alike(got[1], got[2])) < 0.5
+
+
+def test_pipeline_on_edge_rows(spark):
+    """Nulls, equal and empty texts, a long one, clashing columns and an empty table, stage by stage."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(200)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [say(40) for _ in range(60)]
+    rows = [(i, t, "en", len(t)) for i, t in enumerate(texts)] + [(None, say(30), "en", 1), (100, None, "en", 0), (101, "", None, 0), (102, " 12 ", "en", 4), (103, texts[5], "en", 9), (5, texts[5], "en", 9), (104, say(60000), "en", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    docs = docs.withColumns({c: F.lit(c) for c in ("n", "sig", "component_id", "found", "length", "bucket", "rid", "node", "score")})
+    stage = dict(cp.STAGES)
+    known = stage["language_id"](spark, docs, "")
+    assert known.columns == docs.columns and {r["doc_id"] for r in known.collect()} == {*range(60), None, 103, 104}
+    one = stage["near_duplicates"](spark, known, "")
+    assert one.columns == docs.columns and sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in one.collect()) == sorted([*range(60), -1, 104])
+    clean = stage["secret_scan"](spark, one, "")
+    assert clean.columns == docs.columns and all(r["n_chars"] == len(r["text"]) for r in clean.collect())
+    packed = stage["best_fit_packing"](spark, clean, "").collect()
+    assert {r["doc_id"] for r in packed} == {*range(60), None, 104} and all(r["length"] <= 2048 for r in packed)
+    rows = docs.limit(0)
+    for name, f in cp.STAGES:
+        rows = f(spark, rows, "")
+        assert rows.collect() == [], name
