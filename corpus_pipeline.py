@@ -5,7 +5,9 @@
 3. Secret scan: secrets in the texts are replaced by a mark, and n_chars follows.
 4. Best-fit packing into sequences of 2048 tokens: a row per piece.
 
-Rows that share a doc_id count as one document; one of them stays.
+Rows that share a doc_id count as one document; one of them stays.  Null text, or text without a letter, goes in the
+first stage; a document with a null doc_id is linked with nothing and stays.  Columns beside text and doc_id are carried
+through, whatever their names; an empty table stays empty through every stage.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from ledgerweave.llm import langid, packing, secrets
 from ledgerweave.llm.common import Tables, documents, small_batches
 from ledgerweave.llm.jaccard import jaccard_components
 
-#: Least score of the best language; noise and foreign text are the network's label ``und``, which goes whatever it scores.
-LEAST_SCORE = 0.3
+#: Least score of the best language; noise and foreign text are the network's label ``und``, and go if that is sure enough.
+LEAST_SCORE = 0.1
 WORDS, SIMILARITY = 5, (80, 100)
 
 
