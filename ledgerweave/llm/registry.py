@@ -13,6 +13,7 @@ from .licenses import op1_licenses
 from .packing import op3_packing
 from .pii import op5_pii
 from .secrets import op6_secrets
+from .slack import op13_slack
 
 QUERIES = {
     "op1_licenses": op1_licenses,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_flac": op9_flac,
     "op10_langid": op10_langid,
+    "op13_slack": op13_slack,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_licenses": licenses.ORACLE_SQL, "op6_secrets": secrets.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}
