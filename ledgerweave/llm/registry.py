@@ -15,6 +15,7 @@ from .phrases import op12_phrases
 from .pii import op5_pii
 from .secrets import op6_secrets
 from .slack import op13_slack
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_licenses": op1_licenses,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_flac": op9_flac,
     "op10_langid": op10_langid,
+    "op11_whitening": op11_whitening,
     "op12_phrases": op12_phrases,
     "op13_slack": op13_slack,
 }
