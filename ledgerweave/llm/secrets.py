@@ -122,12 +122,12 @@ def rules() -> list[Rule]:
     ]
 
 
-#: A whole key: from its header to its END line, which is looked for up to the next header; or its header, fields and base64 body when END is missing.
+#: A whole key: from its header to its END line, however far, which is looked for up to the next header (so each part of a text is read once); or its header, fields and base64 body when END is missing.
 #: Signs of quoting, comments and escaped line ends may stand between the lines.
 _GAP = rb"""(?:\\[nrt]|(?!-----)[\s"'\\,;+#*>|/-])*+"""
 _FIELD = rb"""(?:[A-Za-z][A-Za-z-]*:\x20[^\r\n\\]*+)"""
 KEY = (
-    rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S]){0,32768}?-----END [A-Z ]*PRIVATE KEY-----"
+    rb"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]++|-(?!----(?:BEGIN |END [A-Z ]*PRIVATE KEY-----)))*+-----END [A-Z ]*PRIVATE KEY-----"
     rb"|(?:" + _GAP + _FIELD + rb")*+(?:" + _GAP + rb"[A-Za-z0-9+/]{16,}+={0,2})++(?:" + _GAP + rb"[A-Za-z0-9+/]++={0,2})?+(?:" + _GAP + rb"-----END [A-Z ]*PRIVATE KEY-----)?+)?"
 )
 

@@ -3,6 +3,7 @@
 import random
 import re
 import textwrap
+import time
 from re import _constants, _parser
 
 import pytest
@@ -169,6 +170,24 @@ def test_fingerprints_of_many_chunks(spark):
     assert alike(got[1], got[3]) == 1 and abs(alike(got[1], got[2])) < 0.5
 
 
+@pytest.mark.parametrize("lines", [100, 450, 2000, 40000])
+def test_private_keys_of_any_length(lines):
+    """Header to END goes, with lines that are no base64 among the others; text around it stays."""
+    body = "\n".join("!not base64 - at all!" if k % 3 == 1 else "QUJD" * 16 for k in range(lines))
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    text = f"before {key} between -----BEGIN PRIVATE KEY-----\n{'QUJD' * 10}\nno end -----BEGIN CERTIFICATE----- after {key} last"
+    spans = [(a, b) for kind, a, b in secrets._scanner(True).scan([text.encode()])[0] if kind == "private_key"]
+    left = "".join(text[a:b] for a, b in zip([0] + [b for _, b in spans], [a for a, _ in spans] + [len(text)]))
+    assert left.startswith("before  between ") and left.endswith(" after  last") and "QUJD" not in left and "not base64" not in left
+
+
+def test_private_key_headers_alone_are_read_in_linear_time():
+    text = b"-----BEGIN PRIVATE KEY----- - x " * 60000
+    begin = time.process_time()
+    secrets._scanner(True).scan([text])
+    assert time.process_time() - begin < 20
+
+
 def test_pipeline_on_edge_rows(spark):
     """Nulls, equal and empty texts, a long one, clashing columns and an empty table, stage by stage."""
     import corpus_pipeline as cp
