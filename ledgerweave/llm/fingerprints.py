@@ -9,8 +9,11 @@ account and elements can be inserted or deleted by adding or subtracting theirs:
 * the likeness part sums, per chunk, 120 lanes of one bit.  A lane's sum, doubled
   and less the number of chunks, adds a random sign per chunk: the cosine of two
   texts' lanes estimates the cosine of their chunk counts.  Three lanes are summed
-  in one number, in blocks too small for a carry, and blocks' lanes are added apart;
-  the printed fingerprint has them modulo 2 ** 20.
+  in one number, in blocks too small for a carry, and blocks' lanes are added apart.
+
+The printed fingerprint holds the identity lanes, the number of chunks and the whole
+likeness lanes, so likeness is a function of two fingerprints.  Paragraphs are the
+lines that are not empty: texts that differ in blank lines alone share a fingerprint.
 
 Only DataFrame functions.  The next document comes from a window over ranges of
 doc_id; the first row of each range is copied to the range before it, so no
@@ -39,10 +42,10 @@ _MASK = (1 << 40) | (1 << 20) | 1
 
 
 def elements(text: Column) -> Column:
-    """array<struct<kind, s>>: kind 0 a paragraph, 1 a chunk."""
+    """array<struct<kind, parts>>: kind 0 the paragraphs, 1 the chunks."""
     lines = F.filter(F.split(text, "\n"), lambda s: s != "")
     chunks = F.regexp_extract_all(text, F.lit(CLAUSE + "{1,%d}" % CHUNK), F.lit(0))
-    return F.concat(F.transform(lines, lambda s: F.struct(F.lit(0).alias("kind"), s.alias("s"))), F.transform(chunks, lambda s: F.struct(F.lit(1).alias("kind"), s.alias("s"))))
+    return F.array(F.struct(F.lit(0).alias("kind"), lines.alias("parts")), F.struct(F.lit(1).alias("kind"), chunks.alias("parts")))
 
 
 def _sums() -> list[Column]:
@@ -65,12 +68,10 @@ def _added() -> list[Column]:
     return [F.array(*dense).alias("dense"), F.array(*sketch).alias("sketch"), F.sum("n").alias("n")]
 
 
-def text_of(dense: Column, sketch: Column) -> Column:
-    """The fingerprint as hexadecimal digits: identity lanes, then packed likeness lanes."""
-    digits = lambda a, n: F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), n, "0")), "")
-    lane = lambda k: sketch[k].bitwiseAND(F.lit(0xFFFFF))
-    packed = F.array(*(lane(k).bitwiseOR(F.shiftleft(lane(k + 1), 20)).bitwiseOR(F.shiftleft(lane(k + 2), 40)) for k in range(0, 3 * SKETCHES * len(_SHIFTS), 3)))
-    return F.concat(digits(dense, 8), digits(packed, 16))
+def text_of(dense: Column, sketch: Column, n: Column) -> Column:
+    """The fingerprint as hexadecimal digits: identity lanes (8 each), the number of chunks (16), likeness lanes (as many each as that number has)."""
+    digits = lambda a, width: F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), width, F.lit("0"))), "")
+    return F.concat(digits(dense, F.lit(8)), F.lpad(F.lower(F.hex(n)), F.lit(16), F.lit("0")), digits(sketch, F.length(F.hex(n))))
 
 
 def lanes(sketch: Column, n: Column) -> Column:
@@ -87,8 +88,9 @@ def likeness(a: Column, b: Column, equal: Column) -> Column:
 
 def fingerprints(df: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, dense, sketch and n of each group of equal keys (each row, if they are unique); no shuffle if the rows are dealt by a key."""
-    one = df.select(*keys, F.posexplode_outer(elements(F.coalesce(F.col(text_col), F.lit("")))).alias("at", "e"))
-    one = one.select(*keys, F.shiftright(F.coalesce("at", F.lit(0)), BLOCK_BITS).alias("block_no"), "e.kind", "e.s")
+    one = df.select(*keys, F.explode(elements(F.coalesce(F.col(text_col), F.lit("")))).alias("e"))
+    one = one.select(*keys, F.col("e.kind").alias("kind"), F.posexplode_outer("e.parts").alias("at", "s"))
+    one = one.select(*keys, F.shiftright(F.coalesce("at", F.lit(0)), BLOCK_BITS).alias("block_no"), F.when(F.col("s").isNotNull(), F.col("kind")).alias("kind"), "s")
     return one.groupBy(*keys, "block_no").agg(*_sums()).groupBy(*keys).agg(*_added())
 
 
@@ -120,7 +122,7 @@ def edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     prints = fingerprints(rows, keys).withColumn("fp", F.struct("dense", "sketch", "n"))
     turn = Window.partitionBy("range_no").orderBy("nth", "which")
     prints = prints.select(*keys, "fp", F.lead("fp", 1).over(turn).alias("fp_edited"), F.lead("fp", 2).over(turn).alias("fp_next")).where("guest = 0 and which = 0")
-    prints = prints.select("doc_id", "n_chars", "edited_sha256", *(c for f in ("fp", "fp_edited", "fp_next") for c in (text_of(F.col(f"{f}.dense"), F.col(f"{f}.sketch")).alias(f"{f}_text"), lanes(F.col(f"{f}.sketch"), F.col(f"{f}.n")).alias(f"{f}_lanes"))))
+    prints = prints.select("doc_id", "n_chars", "edited_sha256", *(c for f in ("fp", "fp_edited", "fp_next") for c in (text_of(F.col(f"{f}.dense"), F.col(f"{f}.sketch"), F.col(f"{f}.n")).alias(f"{f}_text"), lanes(F.col(f"{f}.sketch"), F.col(f"{f}.n")).alias(f"{f}_lanes"))))
     like = lambda f: likeness(F.col("fp_lanes"), F.col(f"{f}_lanes"), F.col("fp_text") == F.col(f"{f}_text"))
     return prints.select("doc_id", "n_chars", "edited_sha256", F.col("fp_text").alias("fingerprint"), F.col("fp_edited_text").alias("edited_fingerprint"), like("fp_edited").alias("near_edited"), like("fp_next").alias("near_next"))
 

@@ -101,14 +101,27 @@ def lane_sums(paragraphs, words):
 
 
 def brute_fingerprint(t):
-    """(printed fingerprint, signed likeness lanes) by plain loops."""
+    """The printed fingerprint by plain loops."""
     dense = lane_sums([x.encode() for x in t.split("\n") if x], fingerprints.WORDS)
     chunks = re.findall(r"[^\n.,;:!?]{1,16}", t)
     bits = np.zeros(60 * fingerprints.SKETCHES, np.int64)
     for c in chunks:
         bits += np.array([h >> (k + b) & 1 for h in hashes(c.encode(), fingerprints.WORDS, fingerprints.SKETCHES) for k in range(20) for b in (0, 20, 40)])
-    packed = [int(x) | int(y) << 20 | int(z) << 40 for x, y, z in (bits % 2**20).reshape(-1, 3)]
-    return "".join(f"{x:08x}" for x in dense.tolist()) + "".join(f"{x:016x}" for x in packed), 2.0 * bits - len(chunks)
+    width = len(f"{len(chunks):x}")
+    return "".join(f"{x:08x}" for x in dense.tolist()) + f"{len(chunks):016x}" + "".join(f"{x:0{width}x}" for x in bits.tolist())
+
+
+def lanes_of(printed):
+    """The signed likeness lanes of a printed fingerprint."""
+    n, rest = int(printed[128:144], 16), printed[144:]
+    width = len(rest) // (60 * fingerprints.SKETCHES)
+    return 2.0 * np.array([int(rest[k : k + width], 16) for k in range(0, len(rest), width)]) - n
+
+
+def like(a, b):
+    """The likeness of two printed fingerprints."""
+    x, y = lanes_of(a), lanes_of(b)
+    return 1.0 if a == b else 0.0 if not (x @ x) * (y @ y) else min(max(x @ y / np.sqrt((x @ x) * (y @ y)), 0.0), 1.0)
 
 
 def test_fingerprints_by_brute_force(spark):
@@ -118,12 +131,11 @@ def test_fingerprints_by_brute_force(spark):
     rows.append((53, rows[3][1]))
     got = {r["doc_id"]: r for r in fingerprints.edited(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     ordered = sorted(rows, key=lambda r: -r[0])
-    like = lambda a, b: 1.0 if a[0] == b[0] else 0.0 if not (a[1] @ a[1]) * (b[1] @ b[1]) else min(max(a[1] @ b[1] / np.sqrt((a[1] @ a[1]) * (b[1] @ b[1])), 0.0), 1.0)
     for k, (i, t) in enumerate(ordered):
         t, follower = t or "", ordered[(k + 1) % len(ordered)][1] or ""
         third = len(t) // 3
         own, changed, after = brute_fingerprint(t), brute_fingerprint(t[: len(t) - third] + follower[:third]), brute_fingerprint(follower)
-        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (own[0], changed[0])
+        assert (got[i]["fingerprint"], got[i]["edited_fingerprint"]) == (own, changed)
         assert got[i]["near_edited"] == pytest.approx(like(own, changed), abs=2e-6) and got[i]["near_next"] == pytest.approx(like(own, after), abs=2e-6)
 
 
