@@ -37,8 +37,8 @@ CHUNK = 1 << 20
 SAMPLE_BLOCKS, SAMPLE_KEYS = 32, 2000
 #: Keys that a range holds at most if blocks shared none, in bytes.
 RANGE_BYTES = 32 << 20
-#: Parts in which a language is ranked first.
-SALTS = 64
+#: Parts in which a language is ranked first, and then.
+SALTS = (64, 8)
 
 _BREAKS = b".,;:!?\n\x0b\x0c\r"
 _BREAK = b"."
@@ -117,7 +117,7 @@ def numbered(spark, tables: Tables, words: DataFrame) -> DataFrame:
 
 def radix_order(columns: list[np.ndarray]) -> np.ndarray:
     """Order of the rows by columns, the first one weighs most: 16 bits at a time from the least, by a stable counting sort."""
-    order = np.arange(len(columns[0]))
+    order = np.arange(len(columns[0]), dtype=np.uint32)
     for column in reversed(columns):
         for shift in (0, 16):
             digit = (column >> shift).astype(np.uint16)
@@ -126,16 +126,16 @@ def radix_order(columns: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-def run_lengths(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows in order, and the sum of their counts."""
-    if not len(counts):
-        return columns, counts
+def run_lengths(columns: list[np.ndarray], counts: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in order, and the sum of their counts (none: 1 each)."""
+    if not len(columns[0]):
+        return columns, np.zeros(0, np.int64)
     order = radix_order(columns)
     columns = [c[order] for c in columns]
     new = np.ones(len(order), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
     first = np.flatnonzero(new)
-    return [c[first] for c in columns], np.add.reduceat(counts[order], first)
+    return [c[first] for c in columns], np.diff(first, append=len(order)) if counts is None else np.add.reduceat(counts[order], first)
 
 
 def grams(ids: np.ndarray, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -150,7 +150,7 @@ def grams(ids: np.ndarray, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
         for k in range(longest):
             columns[k].append(ids[at + k] if k < m else np.zeros(len(at), np.uint32))
     flat = [np.concatenate(c) if c else np.zeros(0, np.uint32) for c in columns]
-    return run_lengths(flat, np.ones(len(flat[0]), np.int64))
+    return run_lengths(flat)
 
 
 def keys(columns: list[np.ndarray]) -> np.ndarray:
@@ -259,8 +259,9 @@ def mine(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: i
     candidates = counted(tables, held, local, frequent, longest, least, ranges)
     rows = scored(candidates, frequent, share)
     order = (F.desc("score"), F.desc("a"), "phrase")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
+    for parts in SALTS:
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(parts)))
+        rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= top)
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return rows.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
