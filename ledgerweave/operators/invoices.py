@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import age_days
-from ..functions.fuzzy import ratio
 from ..functions.money import MONEY, at_least, money_text
 from ..functions.names import order_key, vendor_name
 from ..policy import HOLD, OK, REJECT, REVIEW, WARN, InvoicePolicy
 from .findings import NONE, decide, finding, listed
+from .similarity import similar_names
 
 P = InvoicePolicy()
 
@@ -39,36 +39,12 @@ def open_balance(orders: DataFrame, ledger: DataFrame) -> DataFrame:
     return out.withColumn("remaining", (F.col("total_amount") - F.col("already_billed")).cast(MONEY))
 
 
-def _bigrams(key: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(2))))
-
-
-def similar_names(names: DataFrame, candidates: DataFrame, least: float, blank=vendor_name, best_only: bool = False) -> DataFrame:
-    """Pairs (name, candidate columns, ratio) from the ratio ``least`` on.
-
-    Equal keys have ratio 1.  Others meet at two adjacent characters that they share: a ratio of 0.82 leaves so few
-    characters unmatched that some matching block has two (strings of five characters together at least), so this
-    equi-join loses no pair; lengths that cannot reach the ratio are dropped before the similarity is computed.
-    best_only: names that have an equal candidate are not compared with others, since nothing beats it.
-    """
-    left = names.select("name", blank(F.col("name")).alias("_key")).distinct()
-    right = candidates.withColumn("_other", blank(F.col("candidate")))
-    equal = left.join(right, F.col("_key") == F.col("_other")).withColumn("ratio", F.lit(1.0))
-    if best_only:
-        left = left.join(right.select(F.col("_other").alias("_key")).distinct(), "_key", "left_anti").select("name", "_key")
-    short = (F.least(F.length("_key"), F.length("_other")) * 2 >= (F.length("_key") + F.length("_other")) * least) & (F.col("_key") != F.col("_other"))
-    grams = right.select("*", F.explode(_bigrams(F.col("_other"))).alias("_gram"))
-    met = left.select("*", F.explode(_bigrams(F.col("_key"))).alias("_gram")).join(grams, "_gram").where(short).drop("_gram").distinct()
-    alike = met.withColumn("ratio", ratio("_key", "_other")).where(F.col("ratio") >= least)
-    return equal.unionByName(alike).drop("_key", "_other")
-
-
 def resolve_vendors(invoices: DataFrame, vendors: DataFrame, policy: InvoicePolicy = P) -> DataFrame:
     """(vendor_raw, vendor_id, vendor_name, vendor_ratio) of each distinct name that resolves; the first vendor and alias win ties."""
     known = vendors.where(F.coalesce("approved", F.lit(True))) if policy.enforce_approved else vendors
     every = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
     candidates = known.select("vendor_id", F.col("name").alias("vendor_name"), F.col("seq").alias("vendor_seq"), F.posexplode(every).alias("alias_seq", "candidate"))
-    pairs = similar_names(invoices.select(F.col("vendor_raw").alias("name")).where("vendor_raw <> ''"), candidates, policy.vendor_ratio, best_only=True)
+    pairs = similar_names(invoices.select(F.col("vendor_raw").alias("name")).where("vendor_raw <> ''"), candidates, policy.vendor_ratio, vendor_name, best_only=True)
     best = F.min_by(F.struct("vendor_id", "vendor_name", "ratio"), F.struct(-F.col("ratio"), F.col("vendor_seq"), F.col("alias_seq")))
     return pairs.groupBy("name").agg(best.alias("b")).select(F.col("name").alias("vendor_raw"), "b.vendor_id", "b.vendor_name", F.col("b.ratio").alias("vendor_ratio"))
 

@@ -18,8 +18,9 @@ from ..operators.batch import cross_run_duplicates as repeats_of_earlier_runs
 from ..operators.batch import prior_by_order
 from ..operators.extraction import extract, ingest, ingest_quality, labelled_id, non_empty_lines
 from ..operators.findings import decide, finding, listed
-from ..operators.invoices import amount_finding, cumulative_finding, decide_invoices, open_balance, plausible, replay_history, similar_names
+from ..operators.invoices import amount_finding, cumulative_finding, decide_invoices, open_balance, plausible, replay_history, resolve_vendors
 from ..operators.matching import count_phrase, coverage, duplicate_pairs, fan_out, first_by, flow_phrase, ladder, only_unique, pivot_cells, row_type, segments
+from ..operators.similarity import similar_names
 from ..operators.twoway import INVOICE, ORDER, all_agree, rate_of, state_text, two_way
 from ..policy import HOLD, OK, REJECT, REVIEW, MatchPolicy
 from ..sources.readers import ledger_defaults, order_defaults, vendor_defaults
@@ -267,10 +268,36 @@ def token_jaccard(spark, d):
 def ratio_vendor_match(spark, d):
     n = _read(spark, d, "nation")
     names = n.select(F.concat(F.initcap(F.lower("n_name")), F.lit("s Ltd")).alias("name"))
-    pairs = similar_names(names, n.select(F.col("n_name").alias("candidate"), "n_nationkey"), 0.82)
+    pairs = similar_names(names, n.select(F.col("n_name").alias("candidate"), "n_nationkey"), 0.82, vendor_name)
     return pairs.groupBy("name").agg(F.round(F.max("ratio"), 6).alias("ratio"), F.min_by("n_nationkey", F.struct(-F.col("ratio"), "n_nationkey")).alias("vendor"))
 
 
+#: Names of ten letters, and what a customer writes for that of a supplier: by its number modulo 8 the name itself, in capitals with
+#: a legal form, a letter less, another letter, a letter more, two letters swapped with a gap, two letters less, or a name of nobody's.
+_LETTERS = "translate(substr(md5({}), 1, 14), '0123456789', 'ghijklmnop')"
+_TYPED = """CASE k % 8 WHEN 0 THEN s WHEN 1 THEN upper(s) || ', Inc' WHEN 2 THEN substr(s, 1, 6) || substr(s, 8) WHEN 3 THEN substr(s, 1, 4) || 'z' || substr(s, 6)
+WHEN 4 THEN substr(s, 1, 9) || 'q' || substr(s, 10) WHEN 5 THEN 'z' || substr(s, 2, 8) || 'z' || substr(s, 11) WHEN 6 THEN substr(s, 2, 6) || substr(s, 9) ELSE t END"""
+
+
+@query("vendor_resolution", f"""WITH v AS (SELECT s_suppkey AS id, {_LETTERS.format("'v' || s_suppkey")} AS s FROM supplier),
+c AS (SELECT c_custkey AS k, {_LETTERS.format("'v' || (c_custkey % (SELECT count(*) FROM supplier))")} AS s, {_LETTERS.format("'n' || c_custkey")} AS t FROM customer),
+typed AS (SELECT k, regexp_replace(replace(lower({_TYPED}), ',', ''), ' inc$', '') AS name FROM c),
+cut AS (SELECT DISTINCT s, g, n FROM (SELECT name AS s, name AS g, 0 AS n FROM typed UNION ALL SELECT s, s, 0 FROM v
+ UNION ALL SELECT s, substr(s, 1, i - 1) || substr(s, i + 1), 1 FROM (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM (SELECT name AS s FROM typed UNION SELECT s FROM v))
+ UNION ALL SELECT s, substr(s, 1, i - 1) || substr(s, i + 1, j - i - 1) || substr(s, j + 1), 2 FROM (SELECT s, unnest(range(1, length(s) + 1)) AS i, unnest([range(1, length(s) + 1)]) AS js FROM (SELECT name AS s FROM typed UNION SELECT s FROM v)), unnest(js) AS u(j) WHERE i < j)),
+pair AS (SELECT a.s AS name, v.id, max(2.0 * length(a.g) / (length(a.s) + length(b.s))) AS ratio FROM (SELECT * FROM cut WHERE s IN (SELECT name FROM typed)) a JOIN cut b ON a.g = b.g JOIN v ON v.s = b.s GROUP BY a.s, v.id),
+best AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY ratio DESC, id) AS nth FROM pair WHERE ratio >= 0.82)
+SELECT k AS customer, id AS vendor, CAST(round(ratio, 6) AS DOUBLE) AS ratio FROM typed JOIN best USING (name) WHERE nth = 1""")
+def vendor_resolution(spark, d):
+    """Names as customers type them, resolved against the suppliers: the best ratio from 0.82 on, the first supplier wins ties."""
+    vendors = _read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("vendor_id"), F.expr(_LETTERS.format("concat('v', s_suppkey)")).alias("name"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(True).alias("approved"), F.col("s_suppkey").alias("seq"))
+    many = vendors.agg(F.count("*").alias("many"))
+    c = _read(spark, d, "customer").crossJoin(F.broadcast(many)).select(F.col("c_custkey").alias("k"), F.expr(_LETTERS.format("concat('v', c_custkey % many)")).alias("s"), F.expr(_LETTERS.format("concat('n', c_custkey)")).alias("t"))
+    typed = c.select("k", F.expr(_TYPED).alias("vendor_raw"))
+    found = typed.join(resolve_vendors(typed, vendors), "vendor_raw")
+    return found.select(F.col("k").alias("customer"), F.col("vendor_id").cast("bigint").alias("vendor"), F.round("vendor_ratio", 6).alias("ratio"))
+
+
 @query("money_parse_roundtrip", f"WITH {_ORDERS} SELECT order_id, po_cents, CAST(CASE WHEN order_id % 4 = 1 THEN -po_cents ELSE po_cents END AS BIGINT) AS parsed_cents FROM o")
 def money_parse_roundtrip(spark, d):
     plain = F.format_number(_money("po_cents"), 2)
