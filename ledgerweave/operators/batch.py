@@ -18,6 +18,7 @@ from ..functions.money import cents_band, cents_text, cents_tie, number_or_zero,
 from ..functions.names import batch_order_key, clean_order, tax_id, vendor_name
 from ..functions.text import code_valid, long_words, token_jaccard
 from ..policy import HOLD, OK, REJECT, REVIEW, TAX_RATES, BatchPolicy
+from .bands import band_join
 from .findings import finding, listed, worst
 from .twoway import rate_of
 
@@ -101,7 +102,8 @@ def batch_duplicates(invoices: DataFrame, policy: BatchPolicy = B) -> DataFrame:
     later = (F.col("batch_id") == F.col("batch_id_2")) & (F.col("index") < F.col("index_2"))
     same = F.coalesce(F.upper("invoice_number") == F.upper("invoice_number_2"), F.lit(False))
     exact = one.join(other, later & (F.upper("invoice_number") == F.upper("invoice_number_2"))).withColumn("kind", F.lit("EXACT"))
-    near = one.join(other, later & (F.col("date") == F.col("date_2")) & (F.abs(F.col("total_cents") - F.col("total_cents_2")) <= policy.near_amount)).where(~same).withColumn("kind", F.lit("NEAR"))
+    near = band_join(one, other, [("batch_id", "batch_id_2"), ("date", "date_2")], ("total_cents", "total_cents_2"), floor=policy.near_amount)
+    near = near.where(later & (F.abs(F.col("total_cents") - F.col("total_cents_2")) <= policy.near_amount) & ~same).withColumn("kind", F.lit("NEAR"))
     return _alike(exact.unionByName(near), "vendor", "vendor_2", policy).select("batch_id", F.col("index").alias("a"), F.col("index_2").alias("b"), "kind")
 
 
@@ -112,11 +114,13 @@ def candidate_edges(invoices: DataFrame, orders: DataFrame, policy: BatchPolicy
     first = po.where("_key <> ''").groupBy("batch_id", "_key").agg(F.min("po").alias("po"))
     cited = inv.select("batch_id", "inv", F.posexplode("po_numbers").alias("ref", "number")).withColumn("_key", batch_order_key(F.col("number")))
     r1 = cited.join(first, ["batch_id", "_key"]).groupBy("batch_id", "inv", "po").agg(F.min("ref").alias("ref"))
+    # an invoice that cites an order takes it whatever the other rungs would say
+    rest, po = inv.join(r1.select("batch_id", "inv").distinct(), ["batch_id", "inv"], "left_anti"), po.withColumnRenamed("batch_id", "_b")
     tie = cents_tie(F.col("t"), F.col("_t"), policy.tie_pct, policy.tie_floor)
-    here = inv.join(po.withColumnRenamed("batch_id", "_b"), (F.col("batch_id") == F.col("_b")) & (F.col("g") == F.col("_g")))
-    named = inv.where("n <> ''").join(po.withColumnRenamed("batch_id", "_b"), (F.col("batch_id") == F.col("_b")) & (F.col("n") == F.col("_n")))
+    about = lambda rows, a, b: band_join(rows, po, [("batch_id", "_b"), (a, b)], ("t", "_t"), policy.tie_pct, policy.tie_floor).where(tie)
+    here = rest.join(po, (F.col("batch_id") == F.col("_b")) & (F.col("g") == F.col("_g")))
     edge = lambda rows, rung: rows.select("batch_id", "inv", "po", F.lit(rung).alias("rung"), F.lit(0).alias("ref"))
-    return r1.select("batch_id", "inv", "po", F.lit(1).alias("rung"), "ref").union(edge(here.where(tie), 2)).union(edge(named.where(tie), 3)).union(edge(here, 4))
+    return r1.select("batch_id", "inv", "po", F.lit(1).alias("rung"), "ref").union(edge(about(rest, "g", "_g"), 2)).union(edge(about(rest.where("n <> ''"), "n", "_n"), 3)).union(edge(here, 4))
 
 
 BASIS = {2: "fingerprint (GSTIN + total)", 3: "fingerprint (name + total)", 4: "possible (GSTIN only, total off)"}
@@ -242,7 +246,7 @@ def cross_run_duplicates(invoices: DataFrame, ledger: DataFrame, policy: BatchPo
     inv = invoices.select("batch_id", "index", "vendor", F.upper("invoice_number").alias("n"), "total_cents", "date")
     same = F.coalesce(F.col("n") == F.col("_n"), F.lit(False))
     exact = inv.join(led, F.col("n") == F.col("_n")).withColumn("kind", F.lit("EXACT"))
-    near = inv.join(led, F.col("date") == F.col("_d")).where(~same & (F.abs(F.col("total_cents") - F.col("_c")) <= policy.near_amount)).withColumn("kind", F.lit("NEAR"))
+    near = band_join(inv, led, [("date", "_d")], ("total_cents", "_c"), floor=policy.near_amount).where(~same & (F.abs(F.col("total_cents") - F.col("_c")) <= policy.near_amount)).withColumn("kind", F.lit("NEAR"))
     hits = _alike(exact.unionByName(near), "vendor", "vendor_2", policy)
     return hits.groupBy("batch_id", "index").agg(F.min(F.struct("prior_seq", "kind")).alias("h")).select("batch_id", "index", "h.kind", "h.prior_seq")
 

@@ -16,6 +16,7 @@ from ..functions.money import DASH, amounts_equal
 from ..functions.names import invoice_key, order_key, party_name, reference_key, tax_id
 from ..functions.text import product_name, same_site
 from ..policy import FOUR_WAY, VOUCHING, MatchPolicy
+from .bands import band_join, two_sum
 from .matching import first_by, flow_phrase, ladder
 from .twoway import INVOICE, ORDER, all_agree, two_way, vendor_agrees
 
@@ -37,8 +38,9 @@ def posting_candidates(register: DataFrame, invoices: DataFrame, policy: MatchPo
     ties = amounts_equal(F.col("_total"), F.col("total"), policy.register_pct, policy.amount_floor)
     cols = ["register_row", "inv_id", vendor.alias("vendor_ok"), ties.alias("total_ok")]
     numbered = reg.where("number <> ''").join(inv, F.col("number") == F.col("_number")).select(*cols)
-    by_id = reg.join(inv, F.col("id") == F.col("_id"))
-    by_name = reg.where("name <> ''").join(inv, (F.col("name") == F.col("_name")) & (F.col("id").isNull() | F.col("_id").isNull()))
+    about = lambda rows, a, b: band_join(rows, inv, [(a, b)], ("total", "_total"), policy.register_pct, policy.amount_floor)
+    by_id = about(reg.where("id is not null"), "id", "_id")
+    by_name = about(reg.where("name <> ''"), "name", "_name").where("id is null or _id is null")
     plausible = F.col("_date").between(policy.fy_start, policy.fy_end) & F.coalesce(F.col("booking_date").between(policy.fy_start, policy.fy_end), F.lit(True))
     alike = by_id.unionByName(by_name).where(ties & plausible).select(*cols)
     return ladder("register_row", ("Inv No + vendor", "high", numbered.where("vendor_ok")), ("Inv No only", "medium", numbered), ("fingerprint", "medium", alike))
@@ -56,10 +58,10 @@ def postings(register: DataFrame, invoices: DataFrame, policy: MatchPolicy = FOU
 def consolidated(register: DataFrame, invoices: DataFrame, matched: DataFrame, policy: MatchPolicy = FOUR_WAY) -> DataFrame:
     """(register_row, inv_a, inv_b): unmatched postings that two invoices of one vendor and booking month add up to."""
     inv = _invoices(invoices).where("_id is not null").select("inv_id", "_id", "_total", F.substring("_date", 1, 7).alias("_month"))
-    a, b = (inv.select(F.col("inv_id").alias(f"inv_{s}"), "_id", "_month", F.col("_total").alias(f"t_{s}")) for s in "ab")
     reg = register.join(matched.select("register_row"), "register_row", "left_anti").select("register_row", tax_id(F.col("vendor_gstin")).alias("_id"), F.substring("booking_date", 1, 7).alias("_month"), "total")
-    pairs = reg.join(a, ["_id", "_month"]).where(F.col("t_a") < F.col("total")).join(b, ["_id", "_month"]).where("inv_a < inv_b")
-    return pairs.where(amounts_equal(F.col("t_a") + F.col("t_b"), F.col("total"), policy.register_pct, policy.amount_floor)).select("register_row", "inv_a", "inv_b")
+    pairs = two_sum(reg, inv, ["_id", "_month"], "total", "_total", "inv_id", policy.register_pct, policy.amount_floor)
+    ties = amounts_equal(F.col("amount_a") + F.col("amount_b"), F.col("total"), policy.register_pct, policy.amount_floor)
+    return pairs.where(ties & (F.col("amount_a") < F.col("total"))).select("register_row", F.col("a").alias("inv_a"), F.col("b").alias("inv_b"))
 
 
 def order_chain(invoices: DataFrame, orders: DataFrame, policy: MatchPolicy = FOUR_WAY) -> DataFrame:
@@ -69,16 +71,19 @@ def order_chain(invoices: DataFrame, orders: DataFrame, policy: MatchPolicy = FO
     """
     inv = _invoices(invoices)
     o = F.col("order")
-    po = orders.select("po_id", F.col("bundle_id").alias("_pb"), "order", tax_id(o["vendor_gstin"]).alias("_pid"), o["total"].alias("_pt"))
+    po = orders.select("po_id", F.col("bundle_id").alias("_pb"), F.col("order").alias("order"), tax_id(o["vendor_gstin"]).alias("_pid"), o["total"].alias("_pt"))
     keys = po.select("po_id", "_pb", "order", F.explode(F.array_distinct(F.array(reference_key(o["po_number"]), reference_key(o["pr_number"])))).alias("_key")).where("_key <> ''")
     refs = F.filter(F.coalesce("invoice.references", F.array().cast("array<struct<value:string,kind:string,handwritten:boolean>>")), lambda r: r["kind"] == "buyer_pr_po")
     cited = inv.select("inv_id", "bundle_id", F.explode(refs).alias("r")).select("inv_id", "bundle_id", reference_key(F.col("r.value")).alias("_key"), F.coalesce("r.handwritten", F.lit(False)).alias("hand"))
     near = lambda rows: rows.withColumn("near", F.coalesce(F.col("bundle_id") == F.col("_pb"), F.lit(False)))
     r1 = near(cited.join(keys, "_key")).groupBy("inv_id", "po_id").agg(F.first("order").alias("order"), F.max("near").alias("near"), F.max("hand").alias("hand"))
-    ided = near(inv.join(po, F.col("_id") == F.col("_pid")))
+    uncited = inv.join(r1.select("inv_id").distinct(), "inv_id", "left_anti")
     ties = amounts_equal(F.col("_total"), F.col("_pt"), policy.amount_pct, policy.amount_floor)
+    tied = near(band_join(uncited, po, [("_id", "_pid")], ("_total", "_pt"), policy.amount_pct, policy.amount_floor).where(ties))
+    # only what no better rung has found meets all orders of its tax id
+    ided = near(uncited.join(tied.select("inv_id").distinct(), "inv_id", "left_anti").join(po, F.col("_id") == F.col("_pid")))
     plain = lambda rows: rows.select("inv_id", "po_id", "order", "near", F.lit(False).alias("hand"))
-    every = ladder("inv_id", ("PR/PO number", "high", r1.select("inv_id", "po_id", "order", "near", "hand")), ("GSTIN + total", "medium", plain(ided.where(ties))), ("possible match (GSTIN only)", "low", plain(ided)))
+    every = ladder("inv_id", ("PR/PO number", "high", r1.select("inv_id", "po_id", "order", "near", "hand")), ("GSTIN + total", "medium", plain(tied)), ("possible match (GSTIN only)", "low", plain(ided)))
     kept = every.join(every.groupBy("inv_id").agg(F.max("near").alias("some_near")), "inv_id").where("near or not some_near")
     hand = F.max("hand")
     g = kept.groupBy("inv_id").agg(F.min("rung").alias("rung"), F.when(hand, "PR/PO (handwritten, review)").otherwise(F.min("basis")).alias("basis"), F.when(hand, "medium").otherwise(F.min("confidence")).alias("confidence"), F.transform(F.array_sort(F.collect_list(F.struct("po_id", "order"))), lambda x: x["order"]).alias("matched"), (~F.max("some_near")).alias("off_bundle"))

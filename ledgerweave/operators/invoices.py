@@ -9,6 +9,7 @@ from ..functions.dates import age_days
 from ..functions.money import MONEY, at_least, money_text
 from ..functions.names import order_key, vendor_name
 from ..policy import HOLD, OK, REJECT, REVIEW, WARN, InvoicePolicy
+from .bands import band_join
 from .findings import NONE, decide, finding, listed
 from .similarity import similar_names
 
@@ -80,11 +81,12 @@ def ledger_duplicates(invoices: DataFrame, ledger: DataFrame, policy: InvoicePol
     near = (F.abs(F.col("t") - F.col("lt")) <= policy.near_amount) & ~same
     hit = F.struct("seq", F.when(same, "EXACT").otherwise("NEAR").alias("kind"), "prior", F.col("lt").alias("total"), "decision")
     known, unknown = inv.where("v is not null"), inv.where("v is null")
+    about = lambda rows, *equal: band_join(rows, led, [*equal, ("d", "ld")], ("t", "lt"), floor=policy.near_amount).where(near)
     parts = [
         known.join(led, (F.col("v") == F.col("lv")) & (F.col("n") == F.col("ln"))).where(same),
-        known.join(led, (F.col("v") == F.col("lv")) & (F.col("d") == F.col("ld"))).where(near),
+        about(known, ("v", "lv")),
         unknown.join(led, F.col("n") == F.col("ln")).where(same),
-        unknown.join(led, F.col("d") == F.col("ld")).where(near),
+        about(unknown),
     ]
     hits = parts[0].select("doc_id", hit.alias("h"))
     for p in parts[1:]:

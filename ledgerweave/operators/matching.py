@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import page_kind, page_range
+from .bands import band_join
 
 
 def ladder(anchor: str, *rungs: tuple[str, str, DataFrame]) -> DataFrame:
@@ -43,7 +44,7 @@ def duplicate_pairs(rows: DataFrame, id_col: str, vendor: str, number: str, cent
     both = (F.col("v") == F.col("v2")) & (F.col("id") < F.col("id2"))
     same = F.coalesce((F.col("n") == F.col("n2")) & (F.col("n") != ""), F.lit(False))
     exact = one.join(other, both & (F.col("n") == F.col("n2"))).where(same).select(F.col("id").alias("a"), F.col("id2").alias("b"), F.lit("EXACT").alias("kind"))
-    near = one.join(other, both & (F.col("d") == F.col("d2")) & (F.abs(F.col("c") - F.col("c2")) <= tolerance)).where(~same).select(F.col("id").alias("a"), F.col("id2").alias("b"), F.lit("NEAR").alias("kind"))
+    near = band_join(one, other, [("v", "v2"), ("d", "d2")], ("c", "c2"), floor=tolerance).where(both & (F.abs(F.col("c") - F.col("c2")) <= tolerance) & ~same).select(F.col("id").alias("a"), F.col("id2").alias("b"), F.lit("NEAR").alias("kind"))
     return exact.union(near)
 
 

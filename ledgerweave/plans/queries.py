@@ -14,6 +14,7 @@ from ..functions.dates import parse_date
 from ..functions.money import parse_money, to_cents
 from ..functions.names import clean_order, order_key, reference_key, vendor_name
 from ..functions.text import code_valid, currency_of, page_kind, set_jaccard
+from ..operators.bands import band_join
 from ..operators.batch import cross_run_duplicates as repeats_of_earlier_runs
 from ..operators.batch import prior_by_order
 from ..operators.extraction import extract, ingest, ingest_quality, labelled_id, non_empty_lines
@@ -161,8 +162,7 @@ def _rungs(spark, d) -> DataFrame:
     k = bills(spark, d).withColumn("bill", F.col("order_id") * 100000 + F.col("vendor"))
     po = o.select(F.col("order_id").alias("po"), "po_cents", "po_date", "cust")
     cited = k.where("vendor % 3 = 0").join(po, F.col("order_id") == F.col("po")).select("bill", "po")
-    dated = k.join(po, F.col("bill_date") == F.col("po_date"))
-    tie = dated.where(F.abs(F.col("cents") - F.col("po_cents")) <= F.greatest(F.lit(100.0), F.abs("po_cents") * 0.005)).select("bill", "po")
+    tie = band_join(k, po, [("bill_date", "po_date")], ("cents", "po_cents"), 0.005, 100.0).where(F.abs(F.col("cents") - F.col("po_cents")) <= F.greatest(F.lit(100.0), F.abs("po_cents") * 0.005)).select("bill", "po")
     same = (F.col("bill_date") == F.col("po_date")) & (F.col("vendor") % 97 == F.col("cust") % 97)
     loose = k.join(po, same).select("bill", "po")
     return ladder("bill", ("PO number", "high", cited), ("date + total", "medium", tie), ("date + group", "low", loose))
