@@ -1,6 +1,6 @@
 """Phrase collocation mining over a dictionary of frequent words.
 
-1. Texts are cut into words block by block (a block: about a million words of one language); a block keeps its words'
+1. Texts are cut into words block by block (a block: about half a million words of one language); a block keeps its words'
    numbers, and its own dictionary with counts.
 2. Word counts add up over the blocks' dictionaries.  A word of fewer than ``least`` occurrences can be in no candidate:
    the others get ids, which each block fetches for its own dictionary by a join; everywhere else pieces break.
@@ -31,12 +31,12 @@ from .common import Tables, documents, shuffle_partitions
 
 LEAST, LONGEST, TOP, SHARE = 10, 3, 2000, 50
 #: Words of a block.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 #: Bytes of a text that are split at once.
 CHUNK = 1 << 20
 SAMPLE_BLOCKS, SAMPLE_KEYS = 32, 2000
 #: Keys that a range holds at most if blocks shared none, in bytes.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 #: Parts in which a language is ranked first, and then.
 SALTS = (64, 8)
 
