@@ -75,7 +75,7 @@ class Block:
         columns = [
             pa.array([lang], pa.string()),
             pa.array([int(counts[1:].sum())], pa.int64()),
-            pa.array([words.tobytes()], pa.binary()),
+            pa.array([words.view(np.uint8).reshape(-1, 4).T.tobytes()], pa.binary()),
             pa.ListArray.from_arrays(edges, pa.array(list(self.local)[1:], pa.binary())),
             pa.ListArray.from_arrays(edges, pa.array(counts[1:])),
         ]
@@ -83,7 +83,7 @@ class Block:
 
 
 def blocks(df: DataFrame, lang_col: str = "lang", text_col: str = "text", size: int = BLOCK_WORDS) -> DataFrame:
-    """A row per block: lang, n (words), tokens, words, counts."""
+    """A row per block: lang, n (words), tokens (all lowest bytes of its numbers, then the next ones, for such files are compressed), words, counts."""
 
     def run(batches):
         held: dict[str, Block] = defaultdict(Block)
@@ -173,7 +173,7 @@ def unpacked(raw: bytes, longest: int) -> tuple[list[np.ndarray], np.ndarray]:
 
 def block_ids(left: pa.Table, right: pa.Table) -> np.ndarray:
     """A block's words by ids of the dictionary; 0 where a piece or a frequent stretch ends."""
-    tokens = np.frombuffer(left.column("tokens")[0].as_py(), "<u4")
+    tokens = np.frombuffer(left.column("tokens")[0].as_py(), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
     known = np.zeros(int(tokens.max()) + 1, np.uint32)
     known[right.column("local").to_numpy()] = right.column("id").to_numpy()
     return known[tokens]
@@ -254,9 +254,11 @@ def mine(df: DataFrame, lang_col: str = "lang", text_col: str = "text", least: i
     local = held.select("block", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select("block", "lang", (F.col("at") + 1).alias("local"), F.col("w.words").alias("word"), F.col("w.counts").alias("n"))
     frequent = local.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     frequent = numbered(spark, tables, frequent)
+    tables.release()
     words = held.agg(F.sum("n")).first()[0] or 0
     ranges = max(4 * shuffle_partitions(spark), -(-words * (longest - 1) * 4 * (longest + 1) // RANGE_BYTES))
     candidates = counted(tables, held, local, frequent, longest, least, ranges)
+    tables.release()
     rows = scored(candidates, frequent, share)
     order = (F.desc("score"), F.desc("a"), "phrase")
     for parts in SALTS:
