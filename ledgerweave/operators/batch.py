@@ -7,6 +7,8 @@ the claim of orders in upload order runs as a fold, over edges alone.
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +22,12 @@ from ..functions.text import code_valid, long_words, token_jaccard
 from ..policy import HOLD, OK, REJECT, REVIEW, TAX_RATES, BatchPolicy
 from .bands import band_join
 from .findings import finding, listed, worst
+from .tables import Stored, components
 from .twoway import rate_of
 
 B = BatchPolicy()
+#: Waiting invoices that are folded in one group, about; a component is never split.
+FOLD_ROWS = 20_000
 READER_DOC = (
     "struct<doc_type:string,doc_number:string,po_reference:string,po_references:array<string>,vendor_name:string,seller_gstin:string,buyer_gstin:string,"
     "total:string,taxable_total:string,tax_total:string,currency:string,date:string,"
@@ -126,33 +131,54 @@ def candidate_edges(invoices: DataFrame, orders: DataFrame, policy: BatchPolicy
 BASIS = {2: "fingerprint (GSTIN + total)", 3: "fingerprint (name + total)", 4: "possible (GSTIN only, total off)"}
 
 
-def claim(edges: DataFrame) -> DataFrame:
+def claim(edges: DataFrame, tables: Stored) -> DataFrame:
     """(batch_id, inv, po, rung, ref) of the matches.  Invoices claim in upload order: rung 1 takes all its orders whether
     claimed or not; the other rungs see unclaimed orders only and need exactly one.
 
-    A batch in which no order is a candidate of two invoices has no contest and is settled by windows; the fold runs on
-    the other batches' edges.
+    What rung 1 takes depends on nothing else, so it is settled at once, and an order that it takes is struck out for later
+    invoices.  Of the rest, only invoices that share an order have to wait for each other: a component of theirs is one
+    group of the fold, and an invoice that shares none is settled by counting.
     """
-    contested = edges.groupBy("batch_id", "po").agg(F.countDistinct("inv").alias("n")).where("n > 1").select("batch_id").distinct()
-    calm = edges.join(contested, "batch_id", "left_anti")
-    by = calm.groupBy("batch_id", "inv", "rung").agg(F.count("*").alias("n"))
-    ok = by.where("rung = 1 or n = 1").groupBy("batch_id", "inv").agg(F.min("rung").alias("rung"))
-    settled = calm.join(ok, ["batch_id", "inv", "rung"]).select("batch_id", "inv", "po", "rung", "ref")
+    edges = tables.write(edges)
+    cited = edges.where("rung = 1")
+    taken = cited.groupBy("batch_id", "po").agg(F.min("inv").alias("first"))
+    cites = cited.select("batch_id", "inv").distinct()
+    rest = edges.where("rung > 1").join(cites, ["batch_id", "inv"], "left_anti").join(taken, ["batch_id", "po"], "left")
+    rest = tables.write(rest.where("first IS NULL OR first > inv").drop("first").select(edges.columns))
+    shared = rest.groupBy("batch_id", "po").agg(F.countDistinct("inv").alias("n")).where("n > 1").select("batch_id", "po")
+    waits = rest.join(shared, ["batch_id", "po"], "left_semi").select("batch_id", "inv").distinct()
+    alone = rest.join(waits, ["batch_id", "inv"], "left_anti")
+    by = alone.groupBy("batch_id", "inv", "rung").agg(F.count("*").alias("n")).where("n = 1")
+    first = by.groupBy("batch_id", "inv").agg(F.min("rung").alias("rung"))
+    settled = cited.unionByName(alone.join(first, ["batch_id", "inv", "rung"]).select(edges.columns))
+    if waits.isEmpty():
+        return settled
+    # invoices that share an order are linked through the first of them
+    own = rest.join(shared, ["batch_id", "po"], "left_semi").select("batch_id", "inv", "po").distinct()
+    links = own.join(own.groupBy("batch_id", "po").agg(F.min("inv").alias("least")), ["batch_id", "po"]).where("inv <> least")
+    group = components(links.select(F.struct("batch_id", "inv").alias("a"), F.struct("batch_id", F.col("least").alias("inv")).alias("b")), tables)
+    group = group.select("node.batch_id", "node.inv", F.col("component.inv").alias("part"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The components that were dealt to one group, in upload order; no two of them have an order in common."""
         taken: set = set()
-        out = []
-        for inv, own in pdf.sort_values(["inv", "rung", "ref", "po"]).groupby("inv", sort=True):
-            for rung, rows in own.groupby("rung", sort=True):
-                got = rows if rung == 1 else rows[~rows["po"].isin(taken)]
-                if len(got) and (rung == 1 or len(got) == 1):
-                    taken |= set(got["po"])
-                    out.append(got)
+        kept: list[int] = []
+        pdf = pdf.sort_values(["batch_id", "inv", "rung", "ref", "po"], ignore_index=True)
+        rows = zip(range(len(pdf)), pdf["batch_id"].tolist(), pdf["inv"].tolist(), pdf["rung"].tolist(), pdf["po"].tolist())
+        for (batch, _), own in groupby(rows, key=lambda r: r[1:3]):
+            for _, some in groupby(own, key=lambda r: r[3]):
+                free = [r for r in some if (batch, r[4]) not in taken]
+                if len(free) == 1:
+                    taken.add((batch, free[0][4]))
+                    kept.append(free[0][0])
                     break
-        return pd.concat(out) if out else pdf.iloc[:0]
+        return pdf.iloc[kept]
 
-    folded = edges.join(contested, "batch_id", "left_semi").groupBy("batch_id").applyInPandas(fold, edges.schema)
-    return settled.unionByName(folded.select("batch_id", "inv", "po", "rung", "ref"))
+    waiting = rest.join(group, ["batch_id", "inv"])
+    parts = max(4 * int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), waits.count() // FOLD_ROWS)
+    waiting = waiting.withColumn("deal", F.pmod(F.xxhash64("batch_id", "part"), F.lit(parts)))
+    folded = waiting.groupBy("deal").applyInPandas(fold, waiting.schema).select(edges.columns)
+    return settled.unionByName(folded)
 
 
 def pair_findings(inv: Column, po: Column, po_cents: Column, label: Column, similar: Column, policy: BatchPolicy = B) -> Column:
@@ -251,18 +277,45 @@ def cross_run_duplicates(invoices: DataFrame, ledger: DataFrame, policy: BatchPo
     return hits.groupBy("batch_id", "index").agg(F.min(F.struct("prior_seq", "kind")).alias("h")).select("batch_id", "index", "h.kind", "h.prior_seq")
 
 
-def reconcile(docs: DataFrame, ledger: DataFrame | None = None, policy: BatchPolicy = B) -> dict[str, DataFrame]:
+class Report(dict):
+    """The tables of a reconciliation by name, and what they rest on: ``release`` (or the end of a ``with`` block) lets go of it."""
+
+    def __init__(self, tables: Stored):
+        super().__init__()
+        self.stored, self.kept = tables, []
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        self.kept.append(rows.persist())
+        return rows
+
+    def release(self) -> None:
+        for rows in self.kept:
+            rows.unpersist()
+        self.kept = []
+        self.stored.release()
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.release()
+
+
+def reconcile(docs: DataFrame, ledger: DataFrame | None = None, policy: BatchPolicy = B, keep: bool = False) -> Report:
     """The report of all batches as tables: matched, po_missing, invoice_missing, unreadable, duplicates, cross_run_duplicates,
     cumulative_flags, ledger_additions and summary.  Without a ledger, or with an empty one, the memory tables are empty and nothing else changes.
-    What several tables share is persisted (to memory and disk; a lost part is worked out again).
+    keep: what several tables share is persisted (to memory and disk; a lost part is worked out again) until the report is
+    released; for readers of several tables.  The matches' edges are written to the shared folder, so calling this runs them.
     """
     spark = docs.sparkSession
+    report = Report(Stored(spark))
+    kept = report.keep if keep else lambda rows: rows
     ledger = ledger if ledger is not None else spark.createDataFrame([], "seq long, " + LEDGER)
     readable = docs.where("readable")
     invoices, orders = readable.where("doc_type = 'invoice'"), readable.where("doc_type = 'po'")
-    duplicates = batch_duplicates(invoices, policy).persist()
+    duplicates = kept(batch_duplicates(invoices, policy))
     flagged = duplicates.select("batch_id", F.explode(F.array("a", "b")).alias("index")).distinct().withColumn("duplicate", F.lit(True))
-    matches = claim(candidate_edges(invoices, orders, policy).persist()).persist()
+    matches = kept(claim(candidate_edges(invoices, orders, policy), report.stored))
     view = lambda rows, name: rows.select("batch_id", F.col("index").alias(name[:3] if name == "inv" else "po"), F.struct(*rows.columns[1:]).alias(name + "_doc"))
     pairs = matches.join(view(invoices, "inv"), ["batch_id", "inv"]).join(view(orders, "po"), ["batch_id", "po"])
     grouped = pairs.groupBy("batch_id", "inv").agg(F.first("inv_doc").alias("inv_doc"), F.min("rung").alias("rung"), F.array_sort(F.collect_list(F.struct("ref", "po", "po_doc"))).alias("all"))
@@ -301,22 +354,22 @@ def reconcile(docs: DataFrame, ledger: DataFrame | None = None, policy: BatchPol
             "pair_confidence": F.try_element_at(F.create_map(*(F.lit(x) for kv in STATUS_CONFIDENCE.items() for x in kv)), F.col("pre_split_status")),
         }
     )
-    rows = rows.persist()
-    memory = cross_run_duplicates(invoices, ledger, policy).persist()
+    rows = kept(rows)
+    memory = kept(cross_run_duplicates(invoices, ledger, policy))
     # billing of this batch by order beside what earlier runs billed; spanning invoices carry their own verdict
     mine = rows.where("relationship <> 'invoice-spans-POs' and po_doc.po_number is not null").withColumn("po_key", batch_order_key(F.col("po_doc.po_number")))
     now = mine.groupBy("batch_id", "po_key").agg(F.min_by(F.col("po_doc.po_number"), "inv").alias("po_number"), F.sum(F.coalesce("inv_doc.total_cents", F.lit(0))).alias("this_batch"), F.max_by(F.col("po_doc.total_cents"), F.when(F.col("po_doc.total_cents").isNotNull(), F.col("inv"))).alias("own_ceiling"))
     cumulative = now.join(prior_by_order(ledger).where("prior_billed <> 0"), "po_key").withColumn("ceiling", F.coalesce("own_ceiling", "prior_ceiling")).withColumn("cumulative", F.col("prior_billed") + F.col("this_batch")).withColumn("over", F.col("cumulative") - F.col("ceiling"))
-    cumulative = cumulative.where(F.col("over") > cents_band(F.col("ceiling"), policy.band_pct, policy.band_abs)).select("batch_id", "po_key", "po_number", "prior_billed", "prior_count", "this_batch", "cumulative", "ceiling", "over").persist()
+    cumulative = kept(cumulative.where(F.col("over") > cents_band(F.col("ceiling"), policy.band_pct, policy.band_abs)).select("batch_id", "po_key", "po_number", "prior_billed", "prior_count", "this_batch", "cumulative", "ceiling", "over"))
     rows = rows.withColumn("po_key", F.when(F.col("relationship") != "invoice-spans-POs", batch_order_key(F.col("po_doc.po_number"))))
     rows = rows.join(cumulative.select("batch_id", "po_key", F.col("over").alias("cumulative_over")), ["batch_id", "po_key"], "left")
     dup = flagged.withColumnRenamed("index", "inv")
     cross = memory.select("batch_id", F.col("index").alias("inv"), F.col("kind").alias("cross_run"))
-    matched = rows.join(dup, ["batch_id", "inv"], "left").join(cross, ["batch_id", "inv"], "left").select(
+    matched = kept(rows.join(dup, ["batch_id", "inv"], "left").join(cross, ["batch_id", "inv"], "left").select(
         "batch_id", "inv", F.col("inv_doc.invoice_number").alias("invoice_number"), F.col("po_doc.po_number").alias("po_number"), F.transform("pos", lambda p: p["po_number"]).alias("po_numbers"), "relationship", "basis", "status", "pre_split_status",
         F.col("pair_confidence").alias("confidence"), "reasons", F.col("inv_doc.total_cents").alias("invoice_cents"), "po_cents", F.abs(F.col("inv_doc.total_cents") - F.col("po_cents")).alias("delta_cents"), F.col("n_split").alias("split_invoices"), F.col("cumulative").alias("split_cumulative"),
         F.when(F.col("over") > 0, F.col("over")).alias("split_over"), F.coalesce("duplicate", F.lit(False)).alias("duplicate"), "cross_run", "cumulative_over", "line_check", "gst_check", F.col("po_doc.total_cents").alias("po_total_cents"),
-    ).persist()
+    ))
     key = lambda rows: rows.select("batch_id", F.col("inv").alias("index")).distinct()
     lone = invoices.join(key(matches), ["batch_id", "index"], "left_anti").join(flagged, ["batch_id", "index"], "left").join(memory.select("batch_id", "index", F.col("kind").alias("cross_run")), ["batch_id", "index"], "left")
     po_missing = lone.select("batch_id", "index", "invoice_number", F.col("po_number").alias("cited_po"), F.when(F.col("po_number").isNotNull(), F.concat(F.lit("cites an order that is not here: "), F.col("po_number"))).otherwise("cites no order, and nothing else is unique").alias("reason"), F.coalesce("duplicate", F.lit(False)).alias("duplicate"), "cross_run", gst_check(F.struct("line_items", "taxable_cents", "tax_cents", "total_cents"), policy=policy).alias("gst_check"))
@@ -342,4 +395,5 @@ def reconcile(docs: DataFrame, ledger: DataFrame | None = None, policy: BatchPol
     counters = [c for c in summary.columns if c not in ("batch_id", "gst_m", "gst_p")]
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
     summary = summary.select("batch_id", *(zero(c).alias(c) for c in counters), (zero("gst_m") + zero("gst_p")).alias("gst_flags"))
-    return {"matched": matched, "po_missing": po_missing, "invoice_missing": invoice_missing, "unreadable": unreadable, "duplicates": duplicates, "cross_run_duplicates": memory, "cumulative_flags": cumulative, "ledger_additions": additions, "summary": summary}
+    report |= {"matched": matched, "po_missing": po_missing, "invoice_missing": invoice_missing, "unreadable": unreadable, "duplicates": duplicates, "cross_run_duplicates": memory, "cumulative_flags": cumulative, "ledger_additions": additions, "summary": summary}
+    return report

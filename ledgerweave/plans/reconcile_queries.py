@@ -77,15 +77,8 @@ def batch_ledger(spark, d) -> DataFrame:
     return rows.select(F.col("order_id").alias("seq"), *(own.get(c, none).cast(t).alias(c) for c, t in types.items()))
 
 
-_REPORTS: dict[tuple, dict[str, DataFrame]] = {}
-
-
 def _tables(spark, d, memory: bool = False) -> dict[str, DataFrame]:
-    """The report's plans; the queries of one session share them."""
-    key = (spark.sparkContext.applicationId, d, memory)
-    if key not in _REPORTS:
-        _REPORTS[key] = reconcile(canonical(batch_documents(spark, d)), batch_ledger(spark, d) if memory else None)
-    return _REPORTS[key]
+    return reconcile(canonical(batch_documents(spark, d)), batch_ledger(spark, d) if memory else None)
 
 
 _MADE = f"""{_WHOLE}, c AS (SELECT *, order_id % 10 AS k, cents // 3 AS third FROM w),

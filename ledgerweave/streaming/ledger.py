@@ -60,15 +60,14 @@ class LedgerStore:
         return self.read().count()
 
 
-def reconcile_batch(files: DataFrame, store: LedgerStore, epoch: int, report: Callable[[dict[str, DataFrame], int], None] | None = None) -> dict[str, DataFrame]:
-    """One micro-batch: match against what earlier batches left, report, then remember."""
-    tables = reconcile(canonical(files), store.read(before=epoch))
-    if report:
-        report(tables, epoch)
-    store.append(tables["ledger_additions"], epoch)
-    return tables
+def reconcile_batch(files: DataFrame, store: LedgerStore, epoch: int, report: Callable[[dict[str, DataFrame], int], None] | None = None) -> None:
+    """One micro-batch: match against what earlier batches left, report, then remember and let go of its tables."""
+    with reconcile(canonical(files), store.read(before=epoch), keep=True) as tables:
+        if report:
+            report(tables, epoch)
+        store.append(tables["ledger_additions"], epoch)
 
 
 def reconcile_stream(files: DataFrame, store: LedgerStore, checkpoint: str, report: Callable[[dict[str, DataFrame], int], None] | None = None, **trigger):
     """Starts the query over a stream of reader answers (batch_id, index, filename, doc)."""
-    return files.writeStream.foreachBatch(lambda rows, epoch: reconcile_batch(rows, store, epoch, report) and None).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    return files.writeStream.foreachBatch(lambda rows, epoch: reconcile_batch(rows, store, epoch, report)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.batch import LEDGER, READER_DOC, canonical, reconcile
+from ledgerweave.operators.tables import Stored
 
 SURE = {"doc_number": 0.95, "vendor": 0.95, "total": 0.95}
 G1, G2 = "27AAAAA1111A1Z1", "29BBBBB2222B1Z2"
@@ -43,21 +44,22 @@ PRIOR = [(0, "ACME Corp", "i-1", "2025-12-01", 100000, "USD", "PO-1001", 100000,
 def docs(spark):
     rows = [(b, k, f"{b}-{k}.pdf", json.dumps(d)) for b, ds in BATCHES.items() for k, d in enumerate(ds)]
     files = spark.createDataFrame(rows, "batch_id string, index int, filename string, j string").withColumn("doc", F.from_json("j", READER_DOC))
-    return canonical(files).cache()
+    return Stored(spark).write(canonical(files))
 
 
-def collected(report):
-    return {k: [r.asDict(True) for r in v.collect()] for k, v in report.items()}
+def collected(docs, ledger=None):
+    with reconcile(docs, ledger, keep=True) as report:
+        return {k: [r.asDict(True) for r in v.collect()] for k, v in report.items()}
 
 
 @pytest.fixture(scope="module")
 def plain(docs):
-    return collected(reconcile(docs))
+    return collected(docs)
 
 
 @pytest.fixture(scope="module")
 def remembered(spark, docs):
-    return collected(reconcile(docs, spark.createDataFrame(PRIOR, "seq long, " + LEDGER)))
+    return collected(docs, spark.createDataFrame(PRIOR, "seq long, " + LEDGER))
 
 
 def of(report, table, batch):
