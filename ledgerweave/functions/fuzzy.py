@@ -32,3 +32,8 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def ratio_plain(a: pd.Series, b: pd.Series) -> pd.Series:
     """As ratio, without the shortcut for characters that are frequent in long strings."""
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, False).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def alike(a: str | None, b: str | None, least: float) -> bool:
+    """Whether two keys are equal or their plain ratio reaches ``least``; for stateful operators, which meet them one by one."""
+    return bool(a) and bool(b) and (a == b or SequenceMatcher(None, a, b, False).ratio() >= least)
