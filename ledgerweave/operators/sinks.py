@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import DASH
 from ..functions.text import sheet_safe
 from .matching import fan_out
+from .tables import Stored, numbered
 
 
 def json_documents(decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -80,17 +81,13 @@ def line_sheet(findings: DataFrame) -> DataFrame:
     return out.select("register_row", "line_no", "place", "billed", "ordered", "received", "flow", *delivered)
 
 
-def workpaper(existing: DataFrame | None, results: DataFrame, keys: list[str], order: list) -> DataFrame:
+def workpaper(existing: DataFrame | None, results: DataFrame, keys: list[str], order: list, tables: Stored | None = None) -> DataFrame:
     """New rows alone, numbered on from the last, in order; a key that stands there already is skipped."""
-    fresh = results
-    start = F.lit(0)
+    fresh, last = results, 0
     if existing is not None:
         fresh = results.join(existing.select(*keys), keys, "left_anti")
-        last = existing.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("_last"))
-        fresh = fresh.crossJoin(F.broadcast(last))  # a single row
-        start = F.col("_last")
-    out = fresh.withColumn("seq", start + F.row_number().over(Window.orderBy(*order)))
-    return out.drop("_last")
+        last = existing.agg(F.max("seq")).first()[0] or 0
+    return numbered(fresh, order, tables or Stored(results.sparkSession), "seq", last + 1)
 
 
 def formula(state: str, a: str, b: str, tolerance: float, floor: float = 1.0) -> Column:

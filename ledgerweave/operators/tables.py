@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share, and connected components by rounds of joins."""
+"""Intermediate tables in the folder that driver and executors share; numbering in two passes, and connected components by rounds of joins."""
 
 from __future__ import annotations
 
@@ -46,6 +46,20 @@ class Stored:
         self.release()
 
 
+def numbered(rows: DataFrame, order: list, tables: Stored, name: str = "seq", start: int = 1) -> DataFrame:
+    """Adds start, start + 1, ... in order, in two passes: rows are dealt by ranges, sorted and placed within their range as
+    they are written, and each range's place follows from the sizes of those before it (a number a partition)."""
+    placed = tables.write(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    before, total = [], start
+    for r in sorted(placed.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect()):
+        before.append((r["_part"], total))
+        total += r["n"]
+    offsets = rows.sparkSession.createDataFrame(before, "_part long, _before long")
+    out = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_at")
+
+
 def components(edges: DataFrame, tables: Stored) -> DataFrame:
     """(node, component): the smallest node that each node of the edges (a, b) reaches.
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.batch import LEDGER, canonical, reconcile
+from ..operators.tables import Stored, numbered
 
 SCHEMA = "seq long, " + LEDGER
 
@@ -45,9 +46,9 @@ class LedgerStore:
         fresh = first.join(known.select(key.alias("_key")), "_key", "left_anti")
         last = known.agg(F.coalesce(F.max("seq"), F.lit(-1))).first()[0]
         names = [f.split()[0] for f in LEDGER.split(", ")]
-        # one micro-batch's records: numbered in arrival order
-        numbered = fresh.withColumns({"run_at": F.current_timestamp(), "seq": F.lit(last) + F.row_number().over(Window.orderBy(*order))})
-        numbered.select("seq", *names).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
+        with Stored(self.spark) as tables:  # numbered in arrival order
+            rows = numbered(fresh, order, tables, "seq", last + 1).withColumn("run_at", F.current_timestamp())
+            rows.select("seq", *names).write.mode("overwrite").parquet(f"{self.path}/epoch={epoch}")
 
     def reset(self) -> None:
         fs, root, _ = self._fs()

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.batch import claim
-from ledgerweave.operators.tables import Stored, components
+from ledgerweave.operators.tables import Stored, components, numbered
 
 EDGE = "batch_id string, inv int, po int, rung int, ref int"
 
@@ -74,3 +74,14 @@ def test_components(spark):
     with Stored(spark) as tables:
         got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a string, b string"), tables).collect()}
     assert got == {x: find(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def test_numbers_in_order_without_a_single_task(spark, capsys):
+    rows = spark.range(5000).selectExpr("pmod(xxhash64(id), 100000) AS k", "id AS other").repartition(6)
+    with Stored(spark) as tables:
+        out = numbered(rows, ["k", "other"], tables, "seq", 11)
+        got = [(r["k"], r["other"], r["seq"]) for r in out.orderBy("seq").collect()]
+        out.explain("formatted")
+        assert got == [(k, o, 11 + i) for i, (k, o) in enumerate(sorted((k, o) for k, o, _ in got))] and len(got) == 5000
+        assert "SinglePartition" not in capsys.readouterr().out
+        assert numbered(rows.limit(0), ["k"], tables).collect() == []
