@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, money, names, text
 from ..operators.text_layer import RESPONSE, labels_seen, parse_invoices, parse_orders, payloads, recognised
-from ..sources.readers import pages, register, register_cells, tool_input, two_files, upload_batch
+from ..sources.readers import REGISTER_SYNONYMS, pages, register, register_cells, tool_input, two_files, upload_batch
 from ..operators.matching import document_segments
 from .queries import _ORDERS, _WHOLE, _money, _read, _whole, bills, orders, query
 
@@ -104,6 +105,35 @@ def register_sheet(spark, d):
     return register(register_cells(lines)).select("register_row", "vendor_name", "invoice_no", "taxable", "gst_total", "total", "total_derived")
 
 
+#: A sheet a nation: above its header stand as many rows as its number modulo 3; a total column only if the number is even, a
+#: single tax column only if it divides by 3; headers go through all known words.
+@query("register_sheets", """WITH s AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS nth, CAST(s_suppkey % 900 + 100 AS DECIMAL(18, 2)) AS net FROM supplier)
+SELECT 'book ' || s_nationkey % 4 AS workbook, 'sheet ' || s_nationkey AS sheet, CAST(s_nationkey % 3 + nth AS INTEGER) AS register_row, 'Firm ' || s_suppkey AS vendor_name, '27AAAAA' || s_suppkey AS vendor_gstin, 'B-' || s_suppkey AS invoice_no,
+'2025-04-01' AS booking_date, 'PO ' || s_suppkey AS po_no, 'Yard ' || s_nationkey AS site_name, net AS taxable, CAST(18 AS DECIMAL(18, 2)) AS gst_total, CAST(net + 18 AS DECIMAL(18, 2)) AS total, s_nationkey % 2 = 1 AS total_derived FROM s""")
+def register_sheets(spark, d):
+    """Registers of many workbooks at once, each with titles, header words and columns of its own, a total row, and rows after a blank one."""
+    n, k = F.col("n"), F.col("k").cast("string")
+    s = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n"))
+    sheets = s.groupBy("n").agg(F.count("*").alias("many"))
+    spoken = [(f, c, i, w) for c, (f, ws) in enumerate(REGISTER_SYNONYMS.items()) for i, w in enumerate(ws)]
+    words = spark.createDataFrame([(f, c, i, len(REGISTER_SYNONYMS[f]), w.title()) for f, c, i, w in spoken], "field string, col int, i int, of int, word string")
+    split = F.col("field").isin("cgst", "sgst") & (n % 3 > 0) | (F.col("field") == "gst_total") & (n % 3 == 0)
+    used = split | (F.col("field") == "total") & (n % 2 == 0) | ~F.col("field").isin("cgst", "sgst", "igst", "gst_total", "total")
+    header = sheets.join(F.broadcast(words)).where((n % F.col("of") == F.col("i")) & used)
+    line = lambda row, col, value: F.concat_ws(" ", row.cast("string"), col.cast("string"), value).alias("value")
+    head, net = n % 3, (F.col("k") % 900 + 100).cast("string")
+    value = {"vendor_name": F.concat(F.lit("Firm "), k), "vendor_gstin": F.concat(F.lit("27AAAAA"), k), "invoice_no": F.concat(F.lit("B-"), k), "booking_date": F.lit("2025-04-01"), "po_no": F.concat(F.lit("PO "), k), "site_name": F.concat(F.lit("Yard "), n.cast("string")), "taxable": net, "cgst": F.lit("9"), "sgst": F.lit("9.00"), "gst_total": F.lit("₹18.00"), "total": (F.col("k") % 900 + 118).cast("string")}
+    chosen = F.coalesce(*(F.when(F.col("field") == f, v) for f, v in value.items()))
+    nth = F.row_number().over(Window.partitionBy("n").orderBy("k"))
+    body = s.withColumn("nth", nth).join(header.select("n", "field", "col"), "n").select("n", line(head + F.col("nth"), F.col("col"), chosen))
+    end = head + F.col("many") + 1
+    more = sheets.select("n", F.explode(F.array(F.lit("Purchases"), line(end, F.lit(0), F.lit("Grand Total")), line(end, F.lit(6), F.lit("99")), line(end + 2, F.lit(0), F.lit("Late")), line(end + 2, F.lit(2), F.lit("Z-1")))).alias("value"))
+    title = sheets.where(n % 3 > 0).select("n", F.lit("0 0 My company").alias("value"))
+    lines = header.select("n", line(head, F.col("col"), F.col("word"))).union(body).union(more).union(title)
+    lines = lines.select(F.concat(F.lit("book "), (n % 4).cast("string")).alias("workbook"), F.concat(F.lit("sheet "), n.cast("string")).alias("sheet"), "value")
+    return register(register_cells(lines))
+
+
 @query("page_bundles", f"WITH {_ORDERS} SELECT CAST(order_id AS VARCHAR) AS stem, CAST(k AS INTEGER) AS segment_index, CASE k WHEN 0 THEN 'invoice' WHEN 1 THEN 'grn' ELSE 'po' END AS doc_type, CASE k WHEN 0 THEN '1-2' WHEN 1 THEN '3' ELSE '4' END AS pages, TRUE AS is_bundle FROM o, range(3) r(k)")
 def page_bundles(spark, d):
     """Paged texts with four pages: an invoice that goes on, a receipt note and an order."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -144,59 +145,94 @@ def tax_rates(spark: SparkSession, path: str | None = None, override: dict[str,
     return rows
 
 
+#: What names a sheet; cells without these columns are one sheet.
+SHEET = ("workbook", "sheet")
+
+
 def register_cells(text: DataFrame, column: str = "value") -> DataFrame:
-    """Cells of lines "row col value"; other lines are passed over."""
+    """Cells of lines "row col value", beside the columns that name their sheet; other lines are passed over."""
     pattern = r"^\s*(\d+)\s+(\d+)\s?(.*)$"
-    return text.where(F.col(column).rlike(pattern)).select(F.regexp_extract(column, pattern, 1).cast("int").alias("row"), F.regexp_extract(column, pattern, 2).cast("int").alias("col"), F.nullif(F.trim(F.regexp_extract(column, pattern, 3)), F.lit("")).alias("value"))
+    keys = [c for c in SHEET if c in text.columns]
+    return text.where(F.col(column).rlike(pattern)).select(*keys, F.regexp_extract(column, pattern, 1).cast("int").alias("row"), F.regexp_extract(column, pattern, 2).cast("int").alias("col"), F.nullif(F.trim(F.regexp_extract(column, pattern, 3)), F.lit("")).alias("value"))
 
 
-#: Header words of a register's columns (fixed values).
+#: Header words of a register's columns, in their source's order; then words of our own.
 REGISTER_SYNONYMS = {
-    "vendor_name": ("vendor", "vendor name", "supplier", "supplier name", "party", "party name", "particulars"),
-    "vendor_gstin": ("gstin", "vendor gstin", "gst no", "gstin uin", "supplier gstin"),
-    "invoice_no": ("invoice no", "invoice number", "bill no", "bill number", "supplier invoice no", "inv no"),
-    "booking_date": ("date", "booking date", "posting date", "voucher date"),
-    "po_no": ("po no", "po number", "order no", "purchase order"),
-    "site_name": ("site", "site name", "project", "location"),
-    "taxable": ("taxable", "taxable value", "taxable amount", "basic", "basic amount", "net amount"),
-    "gst_total": ("gst", "gst total", "gst amount", "total gst", "tax", "tax amount"),
-    "cgst": ("cgst", "cgst amount", "central tax"),
-    "sgst": ("sgst", "sgst amount", "state tax"),
-    "igst": ("igst", "igst amount", "integrated tax"),
-    "total": ("total", "gross total", "invoice value", "total amount", "gross amount", "bill amount"),
+    "vendor_name": ("vendor", "supplier", "party", "party name", "name", "account", "vendor name", "supplier name", "particulars"),
+    "vendor_gstin": ("gstin", "gst no", "gst number", "gstin/uin", "vendor gstin", "supplier gstin"),
+    "invoice_no": ("invoice no", "inv no", "bill no", "bill #", "voucher no", "document no", "ref no", "invoice number", "bill number", "supplier invoice no"),
+    "booking_date": ("date", "invoice date", "bill date", "voucher date", "posting date", "booking date"),
+    "po_no": ("po no", "po number", "purchase order", "order no"),
+    "site_name": ("site", "site name", "project", "project site", "location"),
+    "taxable": ("taxable", "taxable value", "basic", "net", "net amount", "sub total", "amount", "taxable amount", "basic amount"),
+    "cgst": ("cgst", "central tax", "cgst amount"),
+    "sgst": ("sgst", "state tax", "sgst amount"),
+    "igst": ("igst", "integrated tax", "igst amount"),
+    "gst_total": ("gst", "tax", "tax amount", "total tax", "gst amount", "gst total", "total gst"),
+    "total": ("total", "grand total", "invoice amount", "amount payable", "gross", "net payable", "gross total", "invoice value", "total amount", "gross amount", "bill amount"),
 }
+#: Fields of which a wrong column would spoil every verdict: two columns that claim one are asked about, not guessed.
+REGISTER_MONEY = ("taxable", "cgst", "sgst", "igst", "gst_total", "total")
+
+
+def header_word(text: str) -> str:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).strip()
+
+
+def _sheets(cells: DataFrame) -> DataFrame:
+    """Cells with both columns of SHEET."""
+    return cells.select(*(F.col(c) if c in cells.columns else F.lit("").alias(c) for c in SHEET), "row", "col", "value")
+
 
+def register_columns(cells: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """(workbook, sheet, row of the header, col, field, header, ambiguous), one election a sheet.
 
-def register_columns(cells: DataFrame) -> DataFrame:
-    """(row of the header, col, field, ambiguous): the row with most known words is the header; a field that two columns claim is ambiguous."""
+    The row with most known words is the header (ties: the first).  Of two columns for one field the word that is listed
+    first wins, then the left one; for money both are ambiguous.  forced: (workbook, sheet, field, col) decides instead.
+    """
     spark = cells.sparkSession
-    words = spark.createDataFrame([(w, f) for f, ws in REGISTER_SYNONYMS.items() for w in ws], "word string, field string")
-    bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower("value"), "[^a-z0-9]+", " "), r"\s+", " "))
-    hits = cells.withColumn("word", bare).join(F.broadcast(words), "word")  # a fixed table of a few dozen rows
-    head = hits.groupBy("row").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "row").limit(1)
-    found = hits.join(head.select("row"), "row")
-    return found.withColumn("ambiguous", F.count("*").over(Window.partitionBy("field")) > 1).select("row", "col", "field", "ambiguous")
-
-
-def register(cells: DataFrame) -> DataFrame:
-    """Postings under the header row up to the first blank row, total rows left out; tax from one column or the split ones, total derived if absent."""
-    columns = register_columns(cells)
-    body = cells.join(F.broadcast(columns.where("not ambiguous").select(F.col("row").alias("head"), "col", "field")), "col").where("row > head")
-    fields = list(REGISTER_SYNONYMS)
-    rows = body.groupBy("row").pivot("field", fields).agg(F.first("value"))
+    words = spark.createDataFrame([(header_word(w), f, k) for f, ws in REGISTER_SYNONYMS.items() for k, w in enumerate(ws)], "word string, field string, place int")
+    bare = F.trim(F.regexp_replace(F.lower("value"), "[^a-z0-9]+", " "))
+    hits = _sheets(cells).withColumn("word", bare).join(F.broadcast(words), "word")  # a fixed table of a few dozen rows
+    head = hits.groupBy(*SHEET, "row").agg(F.countDistinct("field").alias("n")).groupBy(*SHEET).agg(F.min(F.struct(-F.col("n"), "row")).alias("best")).select(*SHEET, F.col("best.row").alias("row"))
+    claims = hits.join(head, [*SHEET, "row"]).groupBy(*SHEET, "row", "field").agg(F.array_sort(F.collect_list(F.struct("place", "col", "value"))).alias("every"))
+    if forced is not None:
+        asked = forced.select(*(F.col(c) if c in forced.columns else F.lit("").alias(c) for c in SHEET), "field", F.col("col").alias("own"))
+        heads = _sheets(cells).join(head, [*SHEET, "row"]).select(*SHEET, "row", "col", F.col("value").alias("header"))
+        own = asked.join(heads.withColumnRenamed("col", "own"), [*SHEET, "own"]).select(*SHEET, "row", F.col("own").alias("col"), "field", "header", F.lit(False).alias("ambiguous"))
+        claims = claims.join(asked.select(*SHEET, "field"), [*SHEET, "field"], "left_anti").select(*claims.columns)
+    money = F.col("field").isin(*REGISTER_MONEY) & (F.size("every") > 1)
+    picked = F.when(money, F.col("every")).otherwise(F.slice("every", 1, 1))
+    out = claims.select(*SHEET, "row", "field", money.alias("ambiguous"), F.explode(picked).alias("e")).select(*SHEET, "row", F.col("e.col").alias("col"), "field", F.col("e.value").alias("header"), "ambiguous")
+    return out if forced is None else out.unionByName(own)
+
+
+def register_questions(cells: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """(workbook, sheet, field, candidates array of (header, col)): money columns that somebody has to choose between."""
+    unsure = register_columns(cells, forced).where("ambiguous")
+    return unsure.groupBy(*SHEET, "field").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "header"))), lambda c: F.struct(c["header"].alias("header"), c["col"].alias("col"))).alias("candidates"))
+
+
+def register(cells: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+    """Postings of every sheet under its header row up to its first blank row, total rows left out; tax from one column or the
+    split ones, total derived if absent.  Names of workbook and sheet come along where the cells have them."""
+    keys = [c for c in SHEET if c in cells.columns]
+    columns, every = register_columns(cells, forced), _sheets(cells)
+    heads = columns.groupBy(*SHEET).agg(F.max("row").alias("head"))
     # the first blank row: the places between the header and a row are all filled
-    head = columns.agg(F.max("row").alias("head"))
-    filled = cells.where("value is not null").select("row").distinct().crossJoin(F.broadcast(head)).where("row > head")
-    run = filled.withColumn("gap", F.col("row") - F.col("head") - F.row_number().over(Window.partitionBy("head").orderBy("row"))).where("gap = 0").select("row")
+    filled = every.where("value is not null").select(*SHEET, "row").distinct().join(heads, list(SHEET)).where("row > head")
+    run = filled.withColumn("gap", F.col("row") - F.col("head") - F.row_number().over(Window.partitionBy(*SHEET).orderBy("row"))).where("gap = 0").select(*SHEET, "row")
+    body = every.join(columns.where("not ambiguous").select(*SHEET, F.col("row").alias("head"), "col", "field"), [*SHEET, "col"]).where("row > head")
+    rows = body.groupBy(*SHEET, "row").pivot("field", list(REGISTER_SYNONYMS)).agg(F.first("value"))
     amount = lambda c: F.regexp_replace(c, "[,₹$ ]", "").try_cast(MONEY)
     parts = [F.coalesce(amount(c), F.lit(0).cast(MONEY)) for c in ("cgst", "sgst", "igst")]
     split = F.when(F.coalesce("cgst", "sgst", "igst").isNotNull(), (parts[0] + parts[1] + parts[2]).cast(MONEY))
     tax = F.coalesce(amount("gst_total"), split)
     is_total = F.coalesce(F.lower("vendor_name"), F.lower("invoice_no"), F.lit("total")).rlike(r"^\s*(grand |sub ?)?total")
     return (
-        rows.join(run, "row")
+        rows.join(run, [*SHEET, "row"])
         .where(~(is_total & F.col("invoice_no").isNull()))
-        .select(F.col("row").alias("register_row"), "vendor_name", "vendor_gstin", "invoice_no", "booking_date", "po_no", "site_name", amount("taxable").alias("taxable"), tax.alias("gst_total"), F.coalesce(amount("total"), F.try_add(amount("taxable"), tax).cast(MONEY)).alias("total"), F.col("total").isNull().alias("total_derived"))
+        .select(*keys, F.col("row").alias("register_row"), "vendor_name", "vendor_gstin", "invoice_no", "booking_date", "po_no", "site_name", amount("taxable").alias("taxable"), tax.alias("gst_total"), F.coalesce(amount("total"), F.try_add(amount("taxable"), tax).cast(MONEY)).alias("total"), F.col("total").isNull().alias("total_derived"))
     )
 
 
