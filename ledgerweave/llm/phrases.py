@@ -213,7 +213,7 @@ def counted(tables: Tables, held: DataFrame, local: DataFrame, frequent: DataFra
         return pa.table({"key": pa.array([raw[:n] for raw, n in zip(map(bytes, wide), size.tolist())], pa.binary()), "a": pa.array(counts, pa.int64())})
 
     dealt = by_block(None, deal, "range int, part binary")
-    return tables.write(dealt.groupBy("range").applyInArrow(merge, "key binary, a long"))
+    return tables.write(dealt.groupBy("range").applyInArrow(merge, "key binary, a long"), small=True)
 
 
 #: Of a phrase: the first k words and the rest for every cut, and its words, as (kind, place, key).
