@@ -6,12 +6,13 @@ follows from its number, so the SQL states the outcome case by case.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.batch import LEDGER, READER_DOC, canonical, reconcile
-from ..operators.fourway import RECEIPT_LINE, coverage_counts, four_way, item_match, vouch
+from ..operators.fourway import RECEIPT_LINE, consolidated, coverage_counts, four_way, item_match, postings, vouch
 from ..operators.guards import order_gate, outcome_rows, public_documents, public_ledger, receipt_gate
+from ..operators.linesheet import full_line_sheet
 from ..operators.matching import covered_once
 from ..operators.sinks import augmented_register, chain_bands, line_sheet
 from ..operators.twoway import INVOICE, LINE, ORDER
@@ -263,6 +264,59 @@ def vouching(spark, d):
     return vouch(rows, policy).select("order_id", "ladder.rung", "po_approved", "buyer_stamp", "result")
 
 
+# -- line sheet and consolidated bookings ------------------------------------------
+
+#: On top of the chains' cases: an order line that nobody bills if the number divides by 3, sand beside the receipt if it divides
+#: by 5, and a receipt in words of its own if it divides by 7 (which the line left alone on either side still gets).
+_SHEET = f"""{_CHAIN}, e AS (SELECT *, k NOT IN (4, 5) AS got, order_id % 7 = 0 AS odd, order_id % 5 = 0 AS sand, order_id % 3 = 0 AS unbilled FROM s WHERE k <> 2),
+g AS (SELECT *, got AND NOT (odd AND sand) AS attached, qty + CASE k WHEN 6 THEN 1 ELSE 0 END AS received FROM e)"""
+
+
+@query("four_way_full_sheet", f"""WITH {_SHEET}
+SELECT CAST(order_id AS INTEGER) AS register_row, 'billed' AS part, 'Item ' || order_id AS description, CAST(qty AS BIGINT) AS qty, CASE WHEN k <> 4 THEN 'Item ' || order_id END AS po_description, CASE WHEN k <> 4 THEN CAST(qty AS BIGINT) END AS qty_ordered,
+CASE WHEN attached THEN CAST(received AS BIGINT) END AS qty_received, CASE WHEN NOT attached THEN '—' WHEN k = 6 THEN '✗' ELSE '✓' END AS over_receipt, CASE WHEN attached THEN '✓' ELSE '—' END AS over_billing, CASE WHEN k = 4 THEN '—' ELSE '✓' END AS line_match, CASE WHEN attached THEN '✓' ELSE '—' END AS item_match FROM g
+UNION ALL SELECT CAST(order_id AS INTEGER), 'grn_only', NULL, NULL, NULL, NULL, CAST(received AS BIGINT), '—', '—', '—', '—' FROM g WHERE got AND odd AND sand
+UNION ALL SELECT CAST(order_id AS INTEGER), 'grn_only', NULL, NULL, NULL, NULL, CAST(3 AS BIGINT), '—', '—', '—', '—' FROM g WHERE got AND sand
+UNION ALL SELECT CAST(order_id AS INTEGER), 'po_only', NULL, NULL, 'Spare of ' || order_id, CAST(1 AS BIGINT), NULL, '—', '—', '—', '—' FROM g WHERE unbilled AND k <> 4""")
+def four_way_full_sheet(spark, d):
+    """Every line of invoices, orders and receipts once, with what is on one side alone."""
+    register, invoices, orders, grns = chain_tables(spark, d)
+    n = F.col("n").cast("long")
+    empty = F.lit(None)
+    spare = F.struct(F.lit(2), F.concat(F.lit("Spare of "), F.col("n")), empty, F.lit(1.0), empty, empty, empty, empty, empty).cast(LINE)
+    orders = orders.withColumn("n", F.substring("po_id", 2, 20)).withColumn("order", F.when(n % 3 == 0, F.col("order").withField("lines", F.concat("order.lines", F.array(spare)))).otherwise(F.col("order"))).drop("n")
+    sand = F.struct(F.lit("Sand"), empty, F.lit(3.0), empty, empty).cast(RECEIPT_LINE)
+    worded = F.transform("lines", lambda x: F.when(n % 7 == 0, x.withField("description", F.lit("Goods as agreed"))).otherwise(x))
+    grns = grns.withColumn("n", F.substring("grn_number", 2, 20)).withColumn("lines", F.concat(worded, F.when(n % 5 == 0, F.array(sand)).otherwise(F.array().cast(f"array<{RECEIPT_LINE}>")))).drop("n")
+    found = four_way(register, invoices, orders, grns, MatchPolicy(profile="F", rate_by_heading=True, fy_start=_YEARS[0], fy_end=_YEARS[1]))
+    whole = lambda c: F.col(c).cast("bigint").alias(c)
+    return full_line_sheet(found).select("register_row", "part", "description", whole("qty"), "po_description", whole("qty_ordered"), whole("qty_received"), "over_receipt", "over_billing", "line_match", "item_match")
+
+
+@query("consolidated_bookings", f"""WITH {_WHOLE}, i AS (SELECT vendor, strftime(bill_date, '%Y-%m') AS month, order_id, cents / 100.0::DOUBLE AS total, row_number() OVER (PARTITION BY vendor, strftime(bill_date, '%Y-%m') ORDER BY order_id) AS nth FROM b),
+r AS (SELECT vendor, month, sum(total) AS total FROM i WHERE nth <= 2 GROUP BY ALL HAVING count(*) = 2),
+lone AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.vendor = r.vendor AND abs(i.total - r.total) <= greatest(1.0, 0.01 * abs(r.total))))
+SELECT CAST(z.vendor * 10000 + CAST(replace(substr(z.month, 3), '-', '') AS BIGINT) AS INTEGER) AS register_row, a.order_id AS first_order, b.order_id AS second_order
+FROM lone z JOIN i a ON a.vendor = z.vendor AND a.month = z.month JOIN i b ON b.vendor = z.vendor AND b.month = z.month AND a.order_id < b.order_id
+WHERE a.total < z.total AND abs(a.total + b.total - z.total) <= greatest(1.0, 0.01 * abs(z.total))""")
+def consolidated_bookings(spark, d):
+    """Postings that two bills of a supplier and month add up to, of postings that no single bill of the supplier explains."""
+    month = F.date_format("bill_date", "yyyy-MM")
+    rows = bills(spark, d).select("vendor", "order_id", month.alias("month"), F.col("bill_date").cast("string").alias("day"), (F.col("cents") / 100).alias("total"))
+    tax = F.concat(F.lit("27AAAAA"), F.lpad(F.col("vendor").cast("string"), 8, "0"))
+    first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("vendor", "month").orderBy("order_id"))).where("nth <= 2")
+    booked = first.groupBy("vendor", "month").agg(F.sum("total").alias("total"), F.count("*").alias("n")).where("n = 2")
+    none = F.lit(None).cast("string")
+    row = (F.col("vendor") * 10000 + F.replace(F.substring("month", 3, 5), F.lit("-"), F.lit("")).cast("int")).cast("int")
+    register = booked.select(row.alias("register_row"), none.alias("vendor_name"), tax.alias("vendor_gstin"), none.alias("invoice_no"), F.concat("month", F.lit("-28")).alias("booking_date"), none.alias("po_no"), none.alias("site_name"), F.lit(None).cast("double").alias("taxable"), F.lit(None).cast("double").alias("gst_total"), "total")
+    empty = F.lit(None)
+    invoice = F.struct(none, F.col("day"), none, tax, none, empty, empty, empty, F.col("total"), empty).cast(INVOICE)
+    invoices = rows.select(F.lpad(F.col("order_id").cast("string"), 12, "0").alias("inv_id"), invoice.alias("invoice"))
+    wide = MatchPolicy(profile="F", fy_start="1900-01-01", fy_end="2100-01-01")
+    pairs = consolidated(register, invoices, postings(register, invoices, wide), wide)
+    return pairs.select("register_row", F.col("inv_a").cast("bigint").alias("first_order"), F.col("inv_b").cast("bigint").alias("second_order"))
+
+
 # -- guards and views ----------------------------------------------------------------
 
 
