@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import DASH
@@ -12,12 +12,34 @@ from .tables import Stored, numbered
 
 
 def json_documents(decided: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, value): one JSON object a document, pretty-printed when written with ``write_json``."""
+    """(id, value): one JSON object a document, pretty-printed."""
     return decided.select(id_col, F.to_json(F.struct(*[c for c in decided.columns if not c.startswith("_")]), {"pretty": "true"}).alias("value"))
 
 
-def write_json(decided: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    json_documents(decided, id_col).write.mode("overwrite").partitionBy(id_col).text(path)
+def write_json(decided: DataFrame, path: str, id_col: str = "doc_id", a_file: int = 10_000) -> None:
+    """Documents as JSON lines, about ``a_file`` of them a file in order of their ids, and beside them an index: the ids that each file reaches from and to.
+
+    The number of files follows the number of documents; a document is found by its file alone (``read_json``).
+    """
+    rows = decided.select(id_col, F.struct(*[c for c in decided.columns if not c.startswith("_")]).alias("document"))
+    files = max(1, -(-rows.count() // a_file))
+    rows.repartitionByRange(files, id_col).sortWithinPartitions(id_col).write.mode("overwrite").json(path)
+    kind = decided.schema[id_col].dataType.simpleString()
+    written = decided.sparkSession.read.schema(f"{id_col} {kind}").json(path).select(F.col(id_col).alias("id"), F.col("_metadata.file_name").alias("file"))
+    index = written.groupBy("file").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("documents"))
+    index.coalesce(1).write.mode("overwrite").parquet(f"{path}/_index")  # a row a file; readers pass over names like this
+
+
+def read_json(spark: SparkSession, path: str, schema: str, ids: list, id_col: str = "doc_id") -> DataFrame:
+    """The documents of some ids, from those files that the index names."""
+    index = spark.read.parquet(f"{path}/_index")
+    wanted = spark.createDataFrame([(i,) for i in ids], f"id {index.schema['least'].dataType.simpleString()}")
+    files = [r["file"] for r in index.join(F.broadcast(wanted), F.col("id").between(F.col("least"), F.col("most"))).select("file").distinct().collect()]
+    if not files:
+        return spark.createDataFrame([], schema)
+    kind = index.schema["least"].dataType.simpleString()
+    rows = spark.read.schema(f"{id_col} {kind}, document struct<{schema}>").json([f"{path}/{f}" for f in files])
+    return rows.where(F.col(id_col).isin(ids)).select("document.*")
 
 
 def run_summary(decided: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave.operators.findings import decide, finding, listed, stage_summary
-from ledgerweave.operators.sinks import run_summary, write_json
+from ledgerweave.operators.sinks import json_documents, read_json, rendered, run_summary, write_json
 from ledgerweave.sources import readers
 
 
@@ -59,12 +59,48 @@ def test_json_and_summary(spark, tmp_path):
     assert [tuple(r) for r in run_summary(rows).collect()] == [("d1", "AUTO_APPROVE"), ("d2", "NEEDS_REVIEW")]
     assert [r[0] for r in rows.select(stage_summary(F.col("findings"), "rule")).collect()] == ["All rule checks passed (1 run).", "1 rule issue(s); worst = REVIEW (B)."]
     write_json(rows, str(tmp_path / "out"))
-    back = json.loads("\n".join(r[0] for r in spark.read.text(str(tmp_path / "out" / "doc_id=d2")).collect()))
+    (back,) = read_json(spark, str(tmp_path / "out"), "doc_id string, decision struct<outcome:string>, findings array<struct<code:string>>", ["d2", "d9"]).collect()
     assert back["decision"]["outcome"] == "NEEDS_REVIEW" and back["findings"][1]["code"] == "B"
     empty = spark.range(1).select(decide(F.array().cast(found_type())).alias("d")).first()["d"]
     assert (empty["outcome"], empty["confidence"]) == ("NEEDS_REVIEW", 0.0)
 
 
+def test_files_follow_the_number_of_documents(spark, tmp_path):
+    out = str(tmp_path / "many")
+    rows = spark.range(2500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("said")).repartition(7)
+    write_json(rows, out, a_file=1000)
+    index = spark.read.parquet(f"{out}/_index").orderBy("least").collect()
+    assert len(index) == 3 and sum(r["documents"] for r in index) == 2500 and all(a["most"] < b["least"] for a, b in zip(index, index[1:]))
+    assert sorted(tuple(r) for r in read_json(spark, out, "doc_id long, said string", [7, 2400, 9999]).collect()) == [(7, "text 7"), (2400, "text 2400")]
+    assert read_json(spark, out, "doc_id long, said string", [-1]).collect() == []
+    write_json(rows.where("doc_id = 3"), out)  # again: replaced as a whole
+    assert spark.read.schema("doc_id long").json(out).count() == 1 and json.loads(json_documents(rows.where("doc_id = 3")).first()["value"]) == {"doc_id": 3, "said": "text 3"}
+
+
+def test_reports_payloads_and_findings(spark, tmp_path):
+    none = F.array().cast(found_type())
+    one = spark.createDataFrame([(5,)], "doc_id int").withColumns({"validate_findings": listed(finding("MATH_RECONCILES", 0, "fine")), "match_findings": none, "rule_findings": listed(finding("NO_DUPLICATE", 0, "none"))})
+    text = rendered(one.withColumn("decision", decide(F.concat("validate_findings", "match_findings", "rule_findings")))).first()["report"]
+    assert text.startswith("== 5\nvalidate\n  [MATH_RECONCILES] fine\nmatch\n") and "decision: AUTO_APPROVE" in text
+    (tmp_path / "f.json").write_text(json.dumps({"invoices": [{"n": "I1"}, {"n": "I2"}], "pos": []}))
+    assert [r["n"] for r in readers.findings(spark, str(tmp_path / "f.json"), "struct<n:string>", "invoices").collect()] == ["I1", "I2"]
+    assert readers.findings(spark, str(tmp_path / "f.json"), "struct<n:string>", "pos").count() == 0 == readers.findings(spark, str(tmp_path / "f.json"), "struct<n:string>", "grns").count()
+    rows = spark.createDataFrame([(1, '{"a": {"b": 3}}'), (2, "no json")], "k int, j string")
+    assert [r["j"]["a"]["b"] if r["j"] and r["j"]["a"] else None for r in readers.json_payload(rows, "j", "a struct<b:int>").orderBy("k").collect()] == [3, None]
+    with pytest.raises(Exception, match="expected a JSON object"):
+        readers.json_payload(spark.createDataFrame([(3, None)], "k int, j string"), "j", "a struct<b:int>").collect()
+
+
+def test_main_buyer_and_site(spark):
+    from ledgerweave.functions.text import same_site
+    from ledgerweave.operators.fourway import main_buyer
+
+    orders = spark.createDataFrame([(f"p{k}", (b,)) for k, b in enumerate(["27aaaaa1111a1z1", "27AAAAA1111A1Z1 ", "29BBBBB2222B1Z2", None])], "po_id string, order struct<buyer_gstin:string>")
+    assert [r["buyer_gstin"] for r in main_buyer(orders).collect()] == ["27AAAAA1111A1Z1"]
+    sites = spark.createDataFrame([("North Yard", "north yard"), ("North Yard", "South"), (None, "South"), ("", "x")], "a string, b string")
+    assert [r[0] for r in sites.select(same_site(F.col("a"), F.col("b"))).collect()][0] is True
+
+
 def found_type():
     from ledgerweave.operators.findings import NONE
 
