@@ -305,11 +305,12 @@ def reconcile(docs: DataFrame, ledger: DataFrame | None = None, policy: BatchPol
     """The report of all batches as tables: matched, po_missing, invoice_missing, unreadable, duplicates, cross_run_duplicates,
     cumulative_flags, ledger_additions and summary.  Without a ledger, or with an empty one, the memory tables are empty and nothing else changes.
     keep: what several tables share is persisted (to memory and disk; a lost part is worked out again) until the report is
-    released; for readers of several tables.  The matches' edges are written to the shared folder, so calling this runs them.
+    released; for readers of several tables.  The documents and the matches' edges are written to the shared folder, so calling this runs them.
     """
     spark = docs.sparkSession
     report = Report(Stored(spark))
     kept = report.keep if keep else lambda rows: rows
+    docs = report.stored.write(docs)  # every step reads the documents, and making them clean is the dear part
     ledger = ledger if ledger is not None else spark.createDataFrame([], "seq long, " + LEDGER)
     readable = docs.where("readable")
     invoices, orders = readable.where("doc_type = 'invoice'"), readable.where("doc_type = 'po'")
