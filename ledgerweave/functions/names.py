@@ -18,9 +18,11 @@ def _words(c: Column) -> Column:
 def vendor_name(name: Column) -> Column:
     """Profiles P and B: punctuation becomes a blank after trimming, so a name that ends in one keeps its legal form."""
     s = F.replace(F.translate(F.lower(F.trim(name)), ",.", "  "), F.lit("  "), F.lit(" "))
+    bare = s
     for suffix in SUFFIXES:
-        s = F.regexp_replace(s, suffix + "$", "")
-    return _words(s)
+        bare = F.regexp_replace(bare, suffix + "$", "")
+    # most names end in none of them, which one look tells
+    return _words(F.when(s.rlike(f"(?:{'|'.join(SUFFIXES)})$"), bare).otherwise(s))
 
 
 def company_name(name: Column) -> Column:

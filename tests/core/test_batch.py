@@ -2,9 +2,11 @@
 
 import json
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerweave.functions import fuzzy
 from ledgerweave.operators.batch import LEDGER, READER_DOC, canonical, reconcile
 from ledgerweave.operators.tables import Stored
 
@@ -113,3 +115,26 @@ def test_memory(plain, remembered):
     assert f["over"] == 1000000 and f["prior_count"] == 1
     assert [r["status"] for r in of(remembered, "matched", "memory")] == [r["status"] for r in of(plain, "matched", "memory")]
     assert len(of(plain, "ledger_additions", "memory")) == 2 and not plain["cumulative_flags"]
+
+
+def test_tables_are_made_when_asked_for(docs):
+    with reconcile(docs) as report:
+        report["unreadable"]
+        assert report.stored.many == 0  # made of the documents as they are
+        report["duplicates"]
+        report["cross_run_duplicates"]
+        assert report.stored.many == 1  # the documents; nothing is matched for them
+        assert set(report) == {"matched", "po_missing", "invoice_missing", "unreadable", "duplicates", "cross_run_duplicates", "cumulative_flags", "ledger_additions", "summary"}
+
+
+def test_vendor_keys_are_columns_of_the_joins_sides(spark, docs):
+    """A join whose keys are expressions works them out for each comparison of its sorts."""
+    with reconcile(docs, spark.createDataFrame(PRIOR, "seq long, " + LEDGER)) as report:
+        for name in ("duplicates", "cross_run_duplicates"):
+            plan = report[name]._jdf.queryExecution().optimizedPlan().toString()
+            assert not [line for line in plan.splitlines() if "Join" in line and "regexp_replace" in line]
+
+
+def test_equal_names_are_alike_without_a_comparison(monkeypatch):
+    monkeypatch.setattr(fuzzy, "SequenceMatcher", None)
+    assert fuzzy.ratio_plain.func(pd.Series(["x", None, ""]), pd.Series(["x", "x", ""])).fillna(-1).tolist() == [1.0, -1.0, 1.0]
