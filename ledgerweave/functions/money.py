@@ -45,17 +45,17 @@ def to_cents(text: Column) -> Column:
 
 def to_number(value: Column) -> Column:
     """Profile T: a plain number without symbols, commas, blanks and parentheses; a percent sign makes it null."""
-    return F.nullif(F.regexp_replace(value.cast("string"), r"[$€£₹,\s()]", ""), F.lit("")).try_cast("double")
+    return F.regexp_replace(value.cast("string"), r"[$€£₹,\s()]", "").try_cast("double")  # an empty text is no number either
 
 
 def first_number(text: Column) -> Column:
     """The first number in a text, commas dropped."""
-    return F.nullif(F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"-?\d+(?:\.\d+)?", 0), F.lit("")).try_cast("double")
+    return F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"-?\d+(?:\.\d+)?", 0).try_cast("double")
 
 
 def clean_number(text: Column) -> Column:
     """As to_number, and a percent sign is dropped too."""
-    return F.nullif(F.regexp_replace(text.cast("string"), r"[$€£₹,%\s()]", ""), F.lit("")).try_cast("double")
+    return F.regexp_replace(text.cast("string"), r"[$€£₹,%\s()]", "").try_cast("double")
 
 
 def number_or_zero(x: Column) -> Column:
