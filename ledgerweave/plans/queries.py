@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import parse_date
 from ..functions.money import parse_money, to_cents
 from ..functions.names import clean_order, order_key, reference_key, vendor_name
-from ..functions.text import code_valid, currency_of, page_kind, set_jaccard
+from ..functions.text import code_valid, currency_of, page_kind
 from ..operators.bands import band_join
 from ..operators.batch import cross_run_duplicates as repeats_of_earlier_runs
 from ..operators.batch import prior_by_order
@@ -260,8 +260,11 @@ SELECT a, b, round(i / (s - i), 6)::DOUBLE AS jaccard FROM u""")
 def token_jaccard(spark, d):
     """Words of all parts of one brand and size, by pairs."""
     t = _read(spark, d, "part").select(F.col("p_partkey").alias("a"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
-    u = t.select(F.col("a").alias("b"), "brand", "size", F.col("w").alias("v"))
-    return t.join(u, ["brand", "size"]).where("a < b").select("a", "b", F.round(set_jaccard(F.col("w"), F.col("v")), 6).alias("jaccard"))
+    # few bytes give many pairs: a number of partitions that is named is not cut down by the size of the parts
+    t = t.withColumn("n", F.size("w")).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "brand", "size")
+    u = t.select(F.col("a").alias("b"), "brand", "size", F.col("w").alias("v"), F.col("n").alias("m"))
+    pairs = t.join(u, ["brand", "size"]).where("a < b").select("a", "b", "n", "m", F.size(F.array_intersect("w", "v")).alias("both"))
+    return pairs.select("a", "b", F.round(F.try_divide("both", F.col("n") + F.col("m") - F.col("both")), 6).alias("jaccard"))
 
 
 @query("ratio_vendor_match")
