@@ -20,7 +20,7 @@ from ..operators.batch import prior_by_order
 from ..operators.extraction import extract, ingest, ingest_quality, labelled_id, non_empty_lines
 from ..operators.findings import decide, finding, listed
 from ..operators.invoices import amount_finding, cumulative_finding, decide_invoices, open_balance, plausible, replay_history, resolve_vendors
-from ..operators.matching import count_phrase, coverage, duplicate_pairs, fan_out, first_by, flow_phrase, ladder, only_unique, pivot_cells, row_type, segments
+from ..operators.matching import count_phrase, coverage, duplicate_pairs, fan_out, first_by, flow_phrase, ladder, pivot_cells, row_type, segments
 from ..operators.similarity import similar_names
 from ..operators.twoway import INVOICE, ORDER, all_agree, rate_of, state_text, two_way
 from ..policy import HOLD, OK, REJECT, REVIEW, MatchPolicy
@@ -163,9 +163,13 @@ def _rungs(spark, d) -> DataFrame:
     po = o.select(F.col("order_id").alias("po"), "po_cents", "po_date", "cust")
     cited = k.where("vendor % 3 = 0").join(po, F.col("order_id") == F.col("po")).select("bill", "po")
     tie = band_join(k, po, [("bill_date", "po_date")], ("cents", "po_cents"), 0.005, 100.0).where(F.abs(F.col("cents") - F.col("po_cents")) <= F.greatest(F.lit(100.0), F.abs("po_cents") * 0.005)).select("bill", "po")
-    same = (F.col("bill_date") == F.col("po_date")) & (F.col("vendor") % 97 == F.col("cust") % 97)
-    loose = k.join(po, same).select("bill", "po")
-    return ladder("bill", ("PO number", "high", cited), ("date + total", "medium", tie), ("date + group", "low", loose))
+    settled = ladder("bill", ("PO number", "high", cited), ("date + total", "medium", tie))
+    # the last rung's candidates are whole groups: their number is the group's size, so the pairs need no count of their own
+    free = k.join(settled.select("bill").distinct(), "bill", "left_anti").select("bill", F.col("bill_date").alias("day"), (F.col("vendor") % 97).alias("g"))
+    grouped = po.select("po", F.col("po_date").alias("day"), (F.col("cust") % 97).alias("g"))
+    counted = free.join(grouped.groupBy("day", "g").agg(F.count("*").alias("n_candidates")), ["day", "g"])
+    loose = counted.join(grouped, ["day", "g"]).select("bill", "po", F.lit(3).alias("rung"), F.lit("date + group").alias("basis"), F.lit("low").alias("confidence"), "n_candidates")
+    return settled.unionByName(loose)
 
 
 @query("match_ladder_first_rung", f"WITH {_LADDER} SELECT bill, po, CAST(rung AS INTEGER) AS rung, CAST(count(*) OVER (PARTITION BY bill) AS BIGINT) AS n_candidates FROM r WHERE rung = first")
@@ -175,7 +179,7 @@ def match_ladder_first_rung(spark, d):
 
 @query("unique_candidate_inference", f"WITH {_LADDER}, z AS (SELECT bill, po, rung, count(*) OVER (PARTITION BY bill) AS n FROM r WHERE rung = first) SELECT bill, po, CAST(rung AS INTEGER) AS rung FROM z WHERE n = 1")
 def unique_candidate_inference(spark, d):
-    return only_unique(_rungs(spark, d), "bill").select("bill", "po", "rung")
+    return _rungs(spark, d).where("n_candidates = 1").select("bill", "po", "rung")
 
 
 @query("plausible_amounts", f"WITH {_WHOLE} SELECT order_id, CASE WHEN partial THEN cents > 0 AND cents <= po_cents // 2 + {_BAND} ELSE abs(cents - po_cents) <= {_BAND} END AS plausible FROM w")

@@ -21,3 +21,10 @@ def test_invoice_texts_are_read_once(spark):
     one, many = rows.select(F.size("invoice.lines").alias("n")), rows.select(*(lines[c].alias(c) for c in ("description", "gst_rate", "quantity")), F.size("invoice.lines").alias("n"))
     assert looks(many) == looks(one)
     assert many.first().n == 0
+
+
+def test_pairs_of_a_group_are_not_counted_one_by_one(spark):
+    """The last rung's pairs are not dealt out once more: no window lies above the join with the groups' orders."""
+    for name in ("match_ladder_first_rung", "unique_candidate_inference"):
+        plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Union") < plan.index("Window")
