@@ -62,8 +62,10 @@ def _parse_date_text(s: Column) -> Column:
     ymd, dmy, mdy, num = r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})$", r"^(\d{1,2})[ -]([A-Za-z]{3,})[ -,]+(\d{4})$", r"^([A-Za-z]{3,})[ ]+(\d{1,2}),?[ ]+(\d{4})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$"
     a, b = _int(_part(s, num, 1)), _int(_part(s, num, 2))
     swap = (b > 12) & (a <= 12)
+    plain = r"^\d{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])\z"  # ISO text already, as most is: one look instead of taking it apart
     return (
-        F.when(s.rlike(ymd), _iso(_part(s, ymd, 1), _int(_part(s, ymd, 2)), _int(_part(s, ymd, 3))))
+        F.when(s.rlike(plain), s)
+        .when(s.rlike(ymd), _iso(_part(s, ymd, 1), _int(_part(s, ymd, 2)), _int(_part(s, ymd, 3))))
         .when(s.rlike(dmy) & _month(_part(s, dmy, 2)).isNotNull(), _iso(_part(s, dmy, 3), _month(_part(s, dmy, 2)), _int(_part(s, dmy, 1))))
         .when(s.rlike(mdy) & _month(_part(s, mdy, 1)).isNotNull(), _iso(_part(s, mdy, 3), _month(_part(s, mdy, 1)), _int(_part(s, mdy, 2))))
         .when(s.rlike(num), F.when(swap, _iso(_part(s, num, 3), a, b)).otherwise(_iso(_part(s, num, 3), b, a)))

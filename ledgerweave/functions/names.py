@@ -22,7 +22,7 @@ def vendor_name(name: Column) -> Column:
     for suffix in SUFFIXES:
         bare = F.regexp_replace(bare, suffix + "$", "")
     # most names end in none of them, which one look tells
-    return _words(F.when(s.rlike(f"(?:{'|'.join(SUFFIXES)})$"), bare).otherwise(s))
+    return _words(F.when(s.rlike(f" (?:{'|'.join(x.strip() for x in SUFFIXES)})$"), bare).otherwise(s))
 
 
 def company_name(name: Column) -> Column:

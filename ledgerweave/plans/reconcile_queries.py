@@ -24,7 +24,7 @@ from .queries import _WHOLE, bills, lines, orders, query
 #: Cases by order number modulo 10: 0 no order document, 1 no invoice, 2 two invoices of a third and the rest, 3 unreadable,
 #: 4 the invoice twice, 5 no citation but tax id and total, 6 no citation, tax id alone, 7 two orders of one half each, else plain.
 _CASE = "order_id % 10"
-_DOC = "struct<doc_type:string,doc_number:string,po_reference:string,po_references:array<string>,vendor_name:string,seller_gstin:string,total:string,date:string,confidence:double>"
+_DOC = "struct<doc_type:string,doc_number:string,po_reference:string,po_references:array<string>,total:string,confidence:double>"
 
 
 def batch_documents(spark, d) -> DataFrame:
@@ -37,7 +37,7 @@ def batch_documents(spark, d) -> DataFrame:
     none = F.lit(None)
 
     def doc(kind, number, ref, refs, total, sure=0.9):
-        fields = (F.lit(kind), number, ref, refs, vendor, tax, total, F.col("day").cast("string"), F.lit(sure) if isinstance(sure, float) else sure)
+        fields = (F.lit(kind), number, ref, refs, total, F.lit(sure) if isinstance(sure, float) else sure)
         return F.struct(*fields).cast(_DOC)
 
     number, po, third = F.concat(F.lit("INV-"), n), F.concat(F.lit("PO-"), n), F.floor(F.col("cents") / 3)
@@ -52,13 +52,15 @@ def batch_documents(spark, d) -> DataFrame:
         F.when(case != 0, doc("purchase_order", po, none, none, money(ordered))),
         F.when(case == 7, doc("Purchase Order", F.concat(po, F.lit("9")), none, none, money(F.col("po_cents") - ordered))),
     )
-    rows = rows.select("cust", "order_id", F.posexplode(docs).alias("k", "x")).where("x is not null")
+    # what all documents of an order share stays beside them
+    shared = rows.withColumns({"vendor": vendor, "tax": tax, "date": F.col("day").cast("string")})
+    rows = shared.select("cust", "order_id", "vendor", "tax", "date", F.posexplode(docs).alias("k", "x")).where("x is not null")
     sure = F.struct(*(F.col("x.confidence").alias(c) for c in ("doc_number", "vendor", "total")))
-    x = {c: F.col(f"x.{c}") for c in ("doc_type", "doc_number", "po_reference", "po_references", "vendor_name", "seller_gstin", "total", "date")}
+    x = {c: F.col(f"x.{c}") for c in ("doc_type", "doc_number", "po_reference", "po_references", "total")}
     answer = F.struct(
         x["doc_type"].alias("doc_type"), x["doc_number"].alias("doc_number"), x["po_reference"].alias("po_reference"), x["po_references"].alias("po_references"),
-        x["vendor_name"].alias("vendor_name"), x["seller_gstin"].alias("seller_gstin"), none.cast("string").alias("buyer_gstin"), x["total"].alias("total"),
-        none.cast("string").alias("taxable_total"), none.cast("string").alias("tax_total"), none.cast("string").alias("currency"), x["date"].alias("date"),
+        F.col("vendor").alias("vendor_name"), F.col("tax").alias("seller_gstin"), none.cast("string").alias("buyer_gstin"), x["total"].alias("total"),
+        none.cast("string").alias("taxable_total"), none.cast("string").alias("tax_total"), none.cast("string").alias("currency"), F.col("date"),
         F.array().cast("array<struct<description:string,hsn_sac:string,quantity:string,unit_price:string,gst_rate:string,amount:string>>").alias("line_items"),
         sure.alias("field_confidence"), F.lit(True).alias("text_layer_present"),
     ).cast(READER_DOC)

@@ -138,3 +138,33 @@ def test_vendor_keys_are_columns_of_the_joins_sides(spark, docs):
 def test_equal_names_are_alike_without_a_comparison(monkeypatch):
     monkeypatch.setattr(fuzzy, "SequenceMatcher", None)
     assert fuzzy.ratio_plain.func(pd.Series(["x", None, ""]), pd.Series(["x", "x", ""])).fillna(-1).tolist() == [1.0, -1.0, 1.0]
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_work_out_what_they_need(docs):
+    """Vendors' keys are written with the documents; a table that shows no verdict or duplicate makes none for its join."""
+    with reconcile(docs) as report:
+        for name in ("matched", "duplicates"):
+            assert "incorporated" not in plan_of(report[name])
+        assert "ratio_plain" in plan_of(report["matched"])
+        for rows in (report["ledger_additions"], report["po_missing"].select("batch_id", "invoice_number", "cited_po", "reason"), report["invoice_missing"]):
+            assert not [w for w in ("ratio_plain", "Window", "total_cents_2") if w in plan_of(rows)]
+
+
+def test_split_billing_reads_the_matches_once(docs):
+    """Sums of an order's invoices lie beside them: the joins of invoices and orders are not made a second time for the sums."""
+    with reconcile(docs) as report:
+        assert plan_of(report["matched"].select("inv", "status")).count("collect_list") == 1
+
+
+def test_one_number_twice_is_no_split_billing(spark):
+    """An order billed twice under one number, or under none, is not billed in parts, whatever lies beside it."""
+    batches = {"twice": [inv("R-1", "60", "PO-5"), inv("r-1", "60", "PO-5"), po("PO-5", "60")], "none": [inv(None, "60", "PO-5"), inv(None, "60", "PO-5"), po("PO-5", "60")], "many": [inv("A", "60", ["PO-1", "PO-2"]), inv("B", "60", ["PO-1", "PO-2"]), po("PO-1", "30"), po("PO-2", "30")]}
+    rows = [(b, k, f"{b}-{k}", json.dumps(d)) for b, ds in batches.items() for k, d in enumerate(ds)]
+    files = spark.createDataFrame(rows, "batch_id string, index int, filename string, j string").withColumn("doc", F.from_json("j", READER_DOC))
+    with reconcile(canonical(files)) as report:
+        got = {(r["batch_id"], r["inv"]): (r["relationship"], r["split_invoices"], r["split_cumulative"]) for r in report["matched"].collect()}
+    assert got == {(b, k): ("invoice-spans-POs" if b == "many" else "one-to-one", None, None) for b in batches for k in (0, 1)}
