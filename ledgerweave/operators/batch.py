@@ -278,9 +278,12 @@ def cross_run_duplicates(invoices: DataFrame, ledger: DataFrame, policy: BatchPo
     led = ledger.where("vendor is not null").select(F.col("seq").alias("prior_seq"), _vendor_key(ledger).alias("vendor_2"), F.upper("invoice_number").alias("_n"), F.col("amount_cents").alias("_c"), F.col("invoice_date").alias("_d"))
     inv = invoices.where("vendor is not null").select("batch_id", "index", _vendor_key(invoices).alias("vendor"), F.upper("invoice_number").alias("n"), "total_cents", "date")
     same = F.coalesce(F.col("n") == F.col("_n"), F.lit(False))
-    exact = inv.join(led, F.col("n") == F.col("_n")).withColumn("kind", F.lit("EXACT"))
+    # of a number's records under one vendor key only the first can be the answer, so an invoice does not meet the others
+    numbered = led.where("_n is not null").groupBy("_n", "vendor_2").agg(F.min("prior_seq").alias("prior_seq"))
+    exact = inv.join(numbered, F.col("n") == F.col("_n")).withColumn("kind", F.lit("EXACT"))
     near = band_join(inv, led, [("date", "_d")], ("total_cents", "_c"), floor=policy.near_amount).where(~same & (F.abs(F.col("total_cents") - F.col("_c")) <= policy.near_amount)).withColumn("kind", F.lit("NEAR"))
-    hits = _alike(exact.unionByName(near), "vendor", "vendor_2", policy)
+    pair = ("batch_id", "index", "vendor", "vendor_2", "prior_seq", "kind")
+    hits = _alike(exact.select(*pair).unionByName(near.select(*pair)), "vendor", "vendor_2", policy)
     return hits.groupBy("batch_id", "index").agg(F.min(F.struct("prior_seq", "kind")).alias("h")).select("batch_id", "index", "h.kind", "h.prior_seq")
 
 

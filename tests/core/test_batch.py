@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import fuzzy
-from ledgerweave.operators.batch import LEDGER, READER_DOC, canonical, reconcile
+from ledgerweave.operators.batch import LEDGER, READER_DOC, canonical, cross_run_duplicates, reconcile
 from ledgerweave.operators.tables import Stored
 
 SURE = {"doc_number": 0.95, "vendor": 0.95, "total": 0.95}
@@ -168,3 +168,13 @@ def test_one_number_twice_is_no_split_billing(spark):
     with reconcile(canonical(files)) as report:
         got = {(r["batch_id"], r["inv"]): (r["relationship"], r["split_invoices"], r["split_cumulative"]) for r in report["matched"].collect()}
     assert got == {(b, k): ("invoice-spans-POs" if b == "many" else "one-to-one", None, None) for b in batches for k in (0, 1)}
+
+
+def test_an_invoice_meets_each_vendor_of_its_number_once(spark):
+    """Records that repeat one number are brought down to the first of each vendor before the join; the first alike one is found."""
+    old = [(k, ("Other House", "Acme Corp")[k % 2], "I-1", "2025-12-01", 100, "USD", None, None, None, "f", "old", None) for k in range(100)]
+    ledger = spark.createDataFrame(old, "seq long, " + LEDGER)
+    bills = spark.createDataFrame([("b", 0, "ACME corp", "i-1", 100, None), ("b", 1, "Nobody", "I-1", 100, None)], "batch_id string, index int, vendor string, invoice_number string, total_cents long, date string")
+    found = cross_run_duplicates(bills, ledger)
+    assert [tuple(r) for r in found.collect()] == [("b", 0, "EXACT", 1)]
+    assert "Aggregate [_n" in plan_of(found)
