@@ -15,9 +15,10 @@ from ..operators.guards import order_gate, outcome_rows, public_documents, publi
 from ..operators.linesheet import full_line_sheet
 from ..operators.matching import covered_once
 from ..operators.sinks import augmented_register, chain_bands, line_sheet
+from ..operators.tables import Stored
 from ..operators.twoway import INVOICE, LINE, ORDER
 from ..policy import MatchPolicy
-from .queries import _WHOLE, bills, lines, orders, query
+from .queries import _WHOLE, bills, orders, query
 
 # -- batches -------------------------------------------------------------------
 
@@ -161,16 +162,20 @@ def batch_ledger_additions(spark, d):
 #: Cases by order number modulo 8: 1 the register names another vendor without a tax id, 2 no invoice, 3 the register's total is
 #: doubled, 4 no order document, 5 no receipt, 6 one unit more received than ordered, 7 received before ordered, else plain.
 _YEARS = ("1994-01-01", "1996-12-31")
+_CHAIN_POLICY = MatchPolicy(profile="F", rate_by_heading=True, fy_start=_YEARS[0], fy_end=_YEARS[1])
 _CHAIN = f"""{_WHOLE}, l AS (SELECT order_id, max(bill_date) AS day FROM b GROUP BY ALL), q AS (SELECT order_id, CAST(sum(qty) AS BIGINT) AS qty FROM x GROUP BY ALL),
 z AS (SELECT w.*, day, qty, order_id % 8 AS k, abs(cents - po_cents) <= greatest(100, 0.005 * po_cents) AS tie, day BETWEEN DATE '{_YEARS[0]}' AND DATE '{_YEARS[1]}' AS bill_in, po_date BETWEEN DATE '{_YEARS[0]}' AND DATE '{_YEARS[1]}' AS po_in FROM w JOIN l USING (order_id) JOIN q USING (order_id)),
 s AS (SELECT *, CASE WHEN k NOT IN (2, 4) THEN tie END AS total_match, CASE WHEN k <> 2 THEN bill_in AND (k = 4 OR po_in) END AS dates_fy, CASE WHEN k <> 2 THEN k <> 3 END AS register_total FROM z)"""
 
 
-def chain_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """register, invoices, orders and receipts: one of each an order, but for the cases."""
-    day = bills(spark, d).groupBy("order_id").agg(F.sum("cents").alias("cents"), F.max("bill_date").cast("string").alias("day"))
-    qty = lines(spark, d).groupBy("order_id").agg(F.sum("qty").cast("double").alias("qty"))
-    rows = orders(spark, d).join(day, "order_id").join(qty, "order_id").withColumn("k", F.expr("order_id % 8"))
+def chain_tables(spark, d, tables: Stored | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """register, invoices, orders and receipts: one of each an order, but for the cases.
+
+    All are made of the same rows (an order and the sums of its lines), which are written once.
+    """
+    day = bills(spark, d, qty=F.sum("qty")).groupBy("order_id").agg(F.sum("cents").alias("cents"), F.max("bill_date").cast("string").alias("day"), F.sum("qty").cast("double").alias("qty"))
+    rows = orders(spark, d).select("order_id", "po_cents", "po_date").join(day, "order_id").withColumn("k", F.expr("order_id % 8"))
+    rows = (tables or Stored(spark)).write(rows)
     n, k, none = F.col("order_id").cast("string"), F.col("k"), F.lit(None).cast("string")
     firm, tax = F.concat(F.lit("Firm "), n), F.concat(F.lit("27AAAAA"), F.lpad(n, 8, "0"))
     amount = lambda c: (c / 100).cast("double")
@@ -194,7 +199,8 @@ def chain_tables(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
 
 
 def _chains(spark, d) -> DataFrame:
-    return four_way(*chain_tables(spark, d), MatchPolicy(profile="F", rate_by_heading=True, fy_start=_YEARS[0], fy_end=_YEARS[1]))
+    tables = Stored(spark)
+    return four_way(*chain_tables(spark, d, tables), _CHAIN_POLICY, tables)
 
 
 _HOP1 = "CASE k WHEN 1 THEN 'Inv No only' ELSE 'Inv No + vendor' END"
@@ -232,7 +238,9 @@ def four_way_line_sheet(spark, d):
 @query("augmented_register_bands", f"""WITH {_CHAIN} SELECT CAST(order_id AS INTEGER) AS register_row, CASE WHEN k <> 2 THEN 'INV-00' || order_id END AS inv_no, CASE WHEN k NOT IN (2, 4) THEN 'PO' || order_id WHEN k = 4 THEN '' END AS po_no,
 CASE WHEN k = 2 THEN NULL WHEN k IN (4, 5) THEN '—' ELSE 'G' || order_id END AS grn_no, CASE WHEN k = 2 THEN NULL WHEN k = 4 THEN '—' ELSE 'Itemized' END AS po_type, CASE WHEN k = 2 THEN NULL WHEN k = 3 THEN '✗' ELSE '✓' END AS register_total FROM s""")
 def augmented_register_bands(spark, d):
-    wide = augmented_register(chain_tables(spark, d)[0], _chains(spark, d), chain_bands())
+    tables = Stored(spark)
+    made = chain_tables(spark, d, tables)
+    wide = augmented_register(made[0], four_way(*made, _CHAIN_POLICY, tables), chain_bands())
     names = {"INVOICE Inv No": "inv_no", "PO No": "po_no", "GRN No": "grn_no", "PO Type": "po_type", "CHECKS register_total": "register_total"}
     return wide.select("register_row", *(F.col(f"`{a}`").alias(b) for a, b in names.items()))
 
@@ -282,7 +290,8 @@ UNION ALL SELECT CAST(order_id AS INTEGER), 'grn_only', NULL, NULL, NULL, NULL,
 UNION ALL SELECT CAST(order_id AS INTEGER), 'po_only', NULL, NULL, 'Spare of ' || order_id, CAST(1 AS BIGINT), NULL, '—', '—', '—', '—' FROM g WHERE unbilled AND k <> 4""")
 def four_way_full_sheet(spark, d):
     """Every line of invoices, orders and receipts once, with what is on one side alone."""
-    register, invoices, orders, grns = chain_tables(spark, d)
+    tables = Stored(spark)
+    register, invoices, orders, grns = chain_tables(spark, d, tables)
     n = F.col("n").cast("long")
     empty = F.lit(None)
     spare = F.struct(F.lit(2), F.concat(F.lit("Spare of "), F.col("n")), empty, F.lit(1.0), empty, empty, empty, empty, empty).cast(LINE)
@@ -290,9 +299,9 @@ def four_way_full_sheet(spark, d):
     sand = F.struct(F.lit("Sand"), empty, F.lit(3.0), empty, empty).cast(RECEIPT_LINE)
     worded = F.transform("lines", lambda x: F.when(n % 7 == 0, x.withField("description", F.lit("Goods as agreed"))).otherwise(x))
     grns = grns.withColumn("n", F.substring("grn_number", 2, 20)).withColumn("lines", F.concat(worded, F.when(n % 5 == 0, F.array(sand)).otherwise(F.array().cast(f"array<{RECEIPT_LINE}>")))).drop("n")
-    found = four_way(register, invoices, orders, grns, MatchPolicy(profile="F", rate_by_heading=True, fy_start=_YEARS[0], fy_end=_YEARS[1]))
+    found = four_way(register, invoices, orders, grns, _CHAIN_POLICY, tables)
     whole = lambda c: F.col(c).cast("bigint").alias(c)
-    return full_line_sheet(found).select("register_row", "part", "description", whole("qty"), "po_description", whole("qty_ordered"), whole("qty_received"), "over_receipt", "over_billing", "line_match", "item_match")
+    return full_line_sheet(found, tables=tables).select("register_row", "part", "description", whole("qty"), "po_description", whole("qty_ordered"), whole("qty_received"), "over_receipt", "over_billing", "line_match", "item_match")
 
 
 @query("consolidated_bookings", f"""WITH {_WHOLE}, i AS (SELECT vendor, strftime(bill_date, '%Y-%m') AS month, order_id, cents / 100.0::DOUBLE AS total, row_number() OVER (PARTITION BY vendor, strftime(bill_date, '%Y-%m') ORDER BY order_id) AS nth FROM b),

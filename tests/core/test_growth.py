@@ -28,3 +28,27 @@ def test_pairs_of_a_group_are_not_counted_one_by_one(spark):
     for name in ("match_ladder_first_rung", "unique_candidate_inference"):
         plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Union") < plan.index("Window")
+
+
+def test_chains_read_what_they_are_made_of_once(spark):
+    """The hops of the four-way match start from written rows and keys, not each from the lines of all orders."""
+    for name in ("four_way_findings", "four_way_coverage"):
+        assert not [f for f in QUERIES[name](spark, SMALL).inputFiles() if "lineitem" in f or "orders" in f]
+
+
+def test_postings_without_an_invoice_do_not_meet_in_one_task(spark):
+    """A posting that has no invoice joins by a key of its own, not by null."""
+    plan = QUERIES["four_way_findings"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "coalesce(inv_id" in plan and "row " in plan
+
+
+def test_receipts_of_one_product_add_up(spark):
+    """Quantities of one product add up over receipts and their lines; unknown ones count for nothing, all unknown stay unknown."""
+    from ledgerweave.operators.fourway import receipts_by_order
+
+    line = "array<struct<description:string,material_code:string,qty_received:double,qty_ordered:double,unit:string>>"
+    rows = [("G1", [("Sand", 2.0), ("Cement", None)]), ("G2", [("sand", None), ("Gravel", 1.0), ("SAND", 3.0)]), ("G3", [])]
+    grns = spark.createDataFrame([(g, "PO-1", "Acme", None, "2025-08-05", [(d, None, q, None, None) for d, q in x]) for g, x in rows], f"grn_number string, po_number string, vendor_name string, vendor_gstin string, receipt_date string, lines {line}")
+    orders = spark.sql("SELECT 'p1' AS po_id, named_struct('po_number', 'PO-1', 'vendor_name', 'Acme', 'vendor_gstin', CAST(NULL AS STRING), 'requisition_date', '2025-08-01') AS `order`")
+    one = receipts_by_order(grns, orders).first()
+    assert one["received"] == {"sand": 5.0, "cement": None, "gravel": 1.0} and [g["grn_number"] for g in one["grns"]] == ["G1", "G2", "G3"]
