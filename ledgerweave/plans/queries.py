@@ -63,10 +63,20 @@ def lines(spark, d) -> DataFrame:
     return x.select(F.col("l_orderkey").alias("order_id"), F.col("l_suppkey").alias("vendor"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line_no"), F.col("l_quantity").cast("bigint").alias("qty"), _cents("l_extendedprice").alias("ext"), pct("l_discount").alias("disc"), pct("l_tax").alias("tax"), F.col("l_returnflag").alias("flag"), F.col("l_shipdate").cast("date").alias("ship"))
 
 
+#: Rows of a task, at most on average: a task's memory then does not grow with the tables.
+TASK_ROWS = 500_000
+
+
+def dealt_out(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows by keys: over as many partitions as the session has, or more where tasks would get more rows than a task should."""
+    needed = -(-rows.count() // TASK_ROWS)  # of files, which know their counts
+    return rows.repartition(needed, *keys) if needed > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+
+
 def bills(spark, d, **more) -> DataFrame:
     """order_id, vendor, bill_date, cents: lines of one order and supplier with discount and tax; more: further sums of a bill's lines."""
     value = F.sum(F.col("ext") * (100 - F.col("disc")) * (100 + F.col("tax")))
-    dealt = lines(spark, d).repartition("order_id")  # what is grouped or joined by order later needs no further exchange
+    dealt = dealt_out(lines(spark, d), "order_id")  # what is grouped or joined by order later needs no further exchange
     return dealt.groupBy("order_id", "vendor").agg(F.max("ship").alias("bill_date"), value.alias("v"), *(c.alias(k) for k, c in more.items())).select("order_id", "vendor", "bill_date", F.expr("(v + 5000) div 10000").alias("cents"), *more)
 
 

@@ -52,3 +52,14 @@ def test_receipts_of_one_product_add_up(spark):
     orders = spark.sql("SELECT 'p1' AS po_id, named_struct('po_number', 'PO-1', 'vendor_name', 'Acme', 'vendor_gstin', CAST(NULL AS STRING), 'requisition_date', '2025-08-01') AS `order`")
     one = receipts_by_order(grns, orders).first()
     assert one["received"] == {"sand": 5.0, "cement": None, "gravel": 1.0} and [g["grn_number"] for g in one["grns"]] == ["G1", "G2", "G3"]
+
+
+def test_more_lines_are_dealt_over_more_tasks(spark, monkeypatch):
+    """A task's share of the lines does not grow with the tables: beyond it there are more partitions, and the same rows."""
+    from ledgerweave.plans import queries
+
+    few = QUERIES["coverage_invoice_without_open_po"](spark, SMALL)
+    n = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    monkeypatch.setattr(queries, "TASK_ROWS", n // 20)
+    many = QUERIES["coverage_invoice_without_open_po"](spark, SMALL)
+    assert many.rdd.getNumPartitions() >= 20 and many.exceptAll(few).count() == few.exceptAll(many).count() == 0
