@@ -6,11 +6,12 @@ follows from its number, so the SQL states the outcome case by case.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.batch import LEDGER, READER_DOC, canonical, reconcile
-from ..operators.fourway import RECEIPT_LINE, consolidated, coverage_counts, four_way, item_match, postings, vouch
+from ..operators.fourway import RECEIPT_LINE, consolidated, coverage_counts, four_way, invoice_keys, item_match, postings, vouch
 from ..operators.guards import order_gate, outcome_rows, public_documents, public_ledger, receipt_gate
 from ..operators.linesheet import full_line_sheet
 from ..operators.matching import covered_once
@@ -168,6 +169,12 @@ z AS (SELECT w.*, day, qty, order_id % 8 AS k, abs(cents - po_cents) <= greatest
 s AS (SELECT *, CASE WHEN k NOT IN (2, 4) THEN tie END AS total_match, CASE WHEN k <> 2 THEN bill_in AND (k = 4 OR po_in) END AS dates_fy, CASE WHEN k <> 2 THEN k <> 3 END AS register_total FROM z)"""
 
 
+def _made(kind: str, *fields) -> Column:
+    """A struct of a kind, field by field: a plan sees through it to the few fields that a step uses, through a cast of the whole it does not."""
+    named = zip(fields, StructType.fromDDL(kind).fields, strict=True)
+    return F.struct(*(c.cast(f.dataType).alias(f.name) for c, f in named))
+
+
 def chain_tables(spark, d, tables: Stored | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """register, invoices, orders and receipts: one of each an order, but for the cases.
 
@@ -188,8 +195,8 @@ def chain_tables(spark, d, tables: Stored | None = None) -> tuple[DataFrame, Dat
         F.concat(F.lit("inv 00"), n).alias("invoice_no"), F.col("day").alias("booking_date"), none.alias("po_no"), none.alias("site_name"),
         amount(cents).alias("taxable"), F.lit(0.0).alias("gst_total"), amount(F.when(k == 3, cents * 2).otherwise(cents)).alias("total"),
     )
-    invoice = F.struct(F.concat(F.lit("INV-00"), n), F.col("day"), firm, tax, none, cited, amount(cents), F.lit(0.0), amount(cents), line(F.col("qty"))).cast(INVOICE)
-    order = F.struct(F.concat(F.lit("PO"), n), none, firm, tax, none, F.col("po_date").cast("string"), none, amount(F.col("po_cents")), F.lit(True), line(F.col("qty"))).cast(ORDER)
+    invoice = _made(INVOICE, F.concat(F.lit("INV-00"), n), F.col("day"), firm, tax, none, cited, amount(cents), F.lit(0.0), amount(cents), line(F.col("qty")))
+    order = _made(ORDER, F.concat(F.lit("PO"), n), none, firm, tax, none, F.col("po_date").cast("string"), none, amount(F.col("po_cents")), F.lit(True), line(F.col("qty")))
     place = (none.alias("bundle_id"), none.alias("site"))
     got = F.array(F.struct(item, none, F.when(k == 6, F.col("qty") + 1).otherwise(F.col("qty")), empty, none).cast(RECEIPT_LINE))
     when = F.date_add("po_date", F.when(k == 7, -1).otherwise(1)).cast("string")
@@ -313,18 +320,19 @@ WHERE a.total < z.total AND abs(a.total + b.total - z.total) <= greatest(1.0, 0.
 def consolidated_bookings(spark, d):
     """Postings that two bills of a supplier and month add up to, of postings that no single bill of the supplier explains."""
     month = F.date_format("bill_date", "yyyy-MM")
-    rows = bills(spark, d).select("vendor", "order_id", month.alias("month"), F.col("bill_date").cast("string").alias("day"), (F.col("cents") / 100).alias("total"))
+    tables = Stored(spark)
+    rows = tables.write(bills(spark, d).select("vendor", "order_id", month.alias("month"), F.col("bill_date").cast("string").alias("day"), (F.col("cents") / 100).alias("total")))
     tax = F.concat(F.lit("27AAAAA"), F.lpad(F.col("vendor").cast("string"), 8, "0"))
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("vendor", "month").orderBy("order_id"))).where("nth <= 2")
     booked = first.groupBy("vendor", "month").agg(F.sum("total").alias("total"), F.count("*").alias("n")).where("n = 2")
     none = F.lit(None).cast("string")
     row = (F.col("vendor") * 10000 + F.replace(F.substring("month", 3, 5), F.lit("-"), F.lit("")).cast("int")).cast("int")
-    register = booked.select(row.alias("register_row"), none.alias("vendor_name"), tax.alias("vendor_gstin"), none.alias("invoice_no"), F.concat("month", F.lit("-28")).alias("booking_date"), none.alias("po_no"), none.alias("site_name"), F.lit(None).cast("double").alias("taxable"), F.lit(None).cast("double").alias("gst_total"), "total")
+    register = tables.write(booked.select(row.alias("register_row"), none.alias("vendor_name"), tax.alias("vendor_gstin"), none.alias("invoice_no"), F.concat("month", F.lit("-28")).alias("booking_date"), none.alias("po_no"), none.alias("site_name"), F.lit(None).cast("double").alias("taxable"), F.lit(None).cast("double").alias("gst_total"), "total"))
     empty = F.lit(None)
-    invoice = F.struct(none, F.col("day"), none, tax, none, empty, empty, empty, F.col("total"), empty).cast(INVOICE)
-    invoices = rows.select(F.lpad(F.col("order_id").cast("string"), 12, "0").alias("inv_id"), invoice.alias("invoice"))
+    invoice = _made(INVOICE, none, F.col("day"), none, tax, none, empty, empty, empty, F.col("total"), empty)
+    keyed = tables.write(invoice_keys(rows.select(F.lpad(F.col("order_id").cast("string"), 12, "0").alias("inv_id"), invoice.alias("invoice"))))
     wide = MatchPolicy(profile="F", fy_start="1900-01-01", fy_end="2100-01-01")
-    pairs = consolidated(register, invoices, postings(register, invoices, wide), wide)
+    pairs = consolidated(register, keyed, tables.write(postings(register, keyed, wide, tables)), wide)
     return pairs.select("register_row", F.col("inv_a").cast("bigint").alias("first_order"), F.col("inv_b").cast("bigint").alias("second_order"))
 
 

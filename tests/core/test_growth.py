@@ -32,7 +32,7 @@ def test_pairs_of_a_group_are_not_counted_one_by_one(spark):
 
 def test_chains_read_what_they_are_made_of_once(spark):
     """The hops of the four-way match start from written rows and keys, not each from the lines of all orders."""
-    for name in ("four_way_findings", "four_way_coverage"):
+    for name in ("four_way_findings", "four_way_coverage", "consolidated_bookings"):
         assert not [f for f in QUERIES[name](spark, SMALL).inputFiles() if "lineitem" in f or "orders" in f]
 
 
