@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import let
 from ..functions.dates import parse_date
 from ..functions.money import MONEY, parse_money
 from ..functions.names import cited_order
@@ -38,7 +39,7 @@ def non_empty_lines(text: Column) -> Column:
 
 
 def _field(value: Column, confidence: float, source: str) -> Column:
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source")))
+    return let(value, lambda v: F.when(v.isNotNull(), F.struct(v.alias("value"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"))))
 
 
 def _first_of(fields: list[Column], kind: str) -> Column:
@@ -78,12 +79,14 @@ def last_money(line: Column) -> Column:
 
 def labelled_money(lines: Column, labels, without: tuple[str, ...] = ()) -> Column:
     """The last amount of the first line that has the label and none of the excluded words."""
-    allowed = F.filter(lines, lambda x: ~F.lower(x).rlike("|".join(without))) if without else lines
-    out = []
-    for confidence, pattern in labels:
-        found = F.filter(F.transform(F.filter(allowed, _has(pattern)), last_money), lambda v: v.isNotNull())
-        out.append(_field(F.get(found, F.lit(0)), confidence, "label"))
-    return _first_of(out, MONEY)
+    def read(allowed):
+        out = []
+        for confidence, pattern in labels:
+            found = F.filter(F.transform(F.filter(allowed, _has(pattern)), last_money), lambda v: v.isNotNull())
+            out.append(_field(F.get(found, F.lit(0)), confidence, "label"))
+        return _first_of(out, MONEY)
+
+    return let(F.filter(lines, lambda x: ~F.lower(x).rlike("|".join(without))), read) if without else read(lines)
 
 
 def _dates_in(tokens: Column) -> Column:
@@ -92,16 +95,18 @@ def _dates_in(tokens: Column) -> Column:
 
 def labelled_date(lines: Column) -> Column:
     """What stands after a label's last place on a line that is not about a due date; then a bare "Date" line."""
-    allowed = F.filter(lines, lambda x: ~F.lower(x).contains("due"))
-    out = []
-    for confidence, pattern in DATE_LABELS:
-        tails = F.transform(F.filter(allowed, _has(pattern)), _after(pattern))
-        found = _dates_in(F.flatten(F.transform(tails, lambda t: F.split(t, r"[:#]|\s{2,}"))))
-        out.append(_field(F.get(found, F.lit(0)), confidence, "label"))
-    bare = F.filter(allowed, lambda x: x.rlike(r"(?i)^date\b"))
-    found = _dates_in(F.flatten(F.transform(bare, lambda x: F.slice(F.split(x, "[:#]"), 2, 64))))
-    out.append(_field(F.get(found, F.lit(0)), 0.65, "label"))
-    return _first_of(out, "date")
+    def read(allowed):
+        out = []
+        for confidence, pattern in DATE_LABELS:
+            tails = F.transform(F.filter(allowed, _has(pattern)), _after(pattern))
+            found = _dates_in(F.flatten(F.transform(tails, lambda t: F.split(t, r"[:#]|\s{2,}"))))
+            out.append(_field(F.get(found, F.lit(0)), confidence, "label"))
+        bare = F.filter(allowed, lambda x: x.rlike(r"(?i)^date\b"))
+        found = _dates_in(F.flatten(F.transform(bare, lambda x: F.slice(F.split(x, "[:#]"), 2, 64))))
+        out.append(_field(F.get(found, F.lit(0)), 0.65, "label"))
+        return _first_of(out, "date")
+
+    return let(F.filter(lines, lambda x: ~F.lower(x).contains("due")), read)
 
 
 def vendor_field(lines: Column) -> Column:
@@ -115,11 +120,11 @@ def vendor_field(lines: Column) -> Column:
 
 def line_items(lines: Column) -> Column:
     """Rows between the first line with two table words and the first line with a closing word."""
-    hits = lambda x: sum(F.lower(x).contains(w).cast("int") for w in TABLE_WORDS)
-    head = F.array_position(F.transform(lines, lambda x: hits(x) >= 2), True)
-    rest = F.when(head > 0, F.slice(lines, F.greatest(head, F.lit(1)).cast("int") + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
-    end = F.array_position(F.transform(rest, lambda x: x.rlike(TABLE_END)), True)
-    body = F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(rest)
+    hits = lambda x: let(F.lower(x), lambda low: sum(low.contains(w).cast("int") for w in TABLE_WORDS))
+    after = lambda head: F.when(head > 0, F.slice(lines, F.greatest(head, F.lit(1)).cast("int") + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+    until = lambda rest, end: F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(rest)
+    closed = lambda rest: let(F.array_position(F.transform(rest, lambda x: x.rlike(TABLE_END)), True), lambda end: until(rest, end))
+    body = let(F.array_position(F.transform(lines, lambda x: hits(x) >= 2), True), lambda head: let(after(head), closed))
 
     def item(x):
         strip = lambda s: F.regexp_replace(s, r"^[ .\-\t]+|[ .\-\t]+$", "")

@@ -12,6 +12,7 @@ from ..policy import HOLD, OK, REJECT, REVIEW, WARN, InvoicePolicy
 from .bands import band_join
 from .findings import NONE, decide, finding, listed
 from .similarity import similar_names
+from .tables import Stored
 
 P = InvoicePolicy()
 
@@ -59,7 +60,8 @@ def match_orders(invoices: DataFrame, orders: DataFrame, policy: InvoicePolicy =
     first = orders.withColumn("_key", order_key(F.col("po_number"))).groupBy("_key").agg(F.min_by(F.struct(*fields), "seq").alias("cited"))
     out = invoices.withColumn("_key", order_key(F.col("po_reference"))).join(first, "_key", "left").drop("_key")
     open_ones = orders.where("status = 'open'").select(F.col("vendor_id").alias("_v"), F.struct(*fields).alias("_po"), F.col("seq").alias("_seq"))
-    free = out.where("po_reference is null and vendor_id is not null").select("doc_id", "vendor_id", "total").join(open_ones, F.col("vendor_id") == F.col("_v"))
+    # from the invoices themselves: those that cite nothing need not meet the cited orders first
+    free = invoices.where("po_reference is null and vendor_id is not null").select("doc_id", "vendor_id", "total").join(open_ones, F.col("vendor_id") == F.col("_v"))
     fits = free.where(plausible(F.col("total"), F.col("_po.total_amount"), F.col("_po.allow_partial"), F.col("_po.remaining"), policy))
     fits = fits.groupBy("doc_id").agg(F.count("*").alias("n_plausible"), F.min_by("_po", "_seq").alias("_fit"))
     out = out.join(fits, "doc_id", "left").withColumn("n_plausible", F.coalesce("n_plausible", F.lit(0)))
@@ -169,16 +171,17 @@ def rule_findings(policy: InvoicePolicy = P) -> Column:
     )
 
 
-def decide_invoices(invoices: DataFrame, vendors: DataFrame, orders: DataFrame, ledger: DataFrame, policy: InvoicePolicy = P) -> DataFrame:
+def decide_invoices(invoices: DataFrame, vendors: DataFrame, orders: DataFrame, ledger: DataFrame, policy: InvoicePolicy = P, tables: Stored | None = None) -> DataFrame:
     """invoices: what extraction gives, with doc_id.  Adds vendor, order, the stages' findings and the decision.
 
     The rows are read once per join, so invoices that come straight from text should be persisted or written first.
+    tables: where to write the resolved names, a row a name, which are otherwise worked out once per join, too.
     """
     resolved = resolve_vendors(invoices, vendors, policy)
-    rows = invoices.join(resolved, "vendor_raw", "left")
-    rows = match_orders(rows, open_balance(orders, ledger), policy)
+    known = invoices.join(tables.write(resolved) if tables else resolved, "vendor_raw", "left")
+    rows = match_orders(known, open_balance(orders, ledger), policy)
     prior = ledger.where("po_number is not null").groupBy(F.col("po_number").alias("_p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.concat(F.lit("#"), F.coalesce("invoice_number", F.lit("")), F.lit(" "), money_text(F.col("total"))).alias("s")))), lambda x: x["s"]), ", ").alias("prior_invoices"))
-    rows = rows.join(prior, F.col("po.po_number") == F.col("_p"), "left").drop("_p").join(ledger_duplicates(rows, ledger, policy), "doc_id", "left")
+    rows = rows.join(prior, F.col("po.po_number") == F.col("_p"), "left").drop("_p").join(ledger_duplicates(known, ledger, policy), "doc_id", "left")
     readable = ~F.col("ocr_needed") & (F.col("total").isNotNull() | F.col("vendor_raw").isNotNull() | F.col("invoice_number").isNotNull())
     unread = listed(finding("DOCUMENT_UNREADABLE", REVIEW, "The document has no usable text.", source_kind=F.col("source_kind"), extraction_confidence=F.col("extraction_confidence")))
     rows = rows.withColumns(

@@ -22,6 +22,7 @@ from ..operators.findings import decide, finding, listed
 from ..operators.invoices import amount_finding, cumulative_finding, decide_invoices, open_balance, plausible, replay_history, resolve_vendors
 from ..operators.matching import count_phrase, coverage, duplicate_pairs, fan_out, first_by, flow_phrase, ladder, pivot_cells, row_type, segments
 from ..operators.similarity import similar_names
+from ..operators.tables import Stored
 from ..operators.twoway import INVOICE, ORDER, all_agree, rate_of, state_text, two_way
 from ..policy import HOLD, OK, REJECT, REVIEW, MatchPolicy
 from ..sources.readers import ledger_defaults, order_defaults, vendor_defaults
@@ -438,17 +439,18 @@ z AS (SELECT *, greatest(closed, amount) AS worst FROM v)
 SELECT 'INV-' || order_id AS invoice_number, cents AS total_cents, {_OUTCOME} AS outcome, CASE worst WHEN 5 THEN 0.95 WHEN 3 THEN 0.75 ELSE 0.93 END::DOUBLE AS confidence, 'explicit-reference' AS basis FROM z""")
 def invoice_decisions_from_text(spark, d):
     """Invoice texts made of orders and bills, read, matched, checked and decided."""
-    w, firms = _whole(spark, d), _read(spark, d, "supplier").count()
-    last = bills(spark, d).groupBy("order_id").agg(F.max("bill_date").alias("bill_date"))
+    firms, tables = _read(spark, d, "supplier").count(), Stored(spark)
+    billed = bills(spark, d).groupBy("order_id").agg(F.sum("cents").alias("cents"), F.max("bill_date").alias("bill_date"))
+    w = orders(spark, d).select("order_id", "cust").join(billed, "order_id")
     firm = lambda n: F.concat(F.lit("Firm "), n.cast("string"), F.lit(" Trading"))
     number = F.col("order_id").cast("string")
     text = F.concat_ws("\n", firm(F.col("cust") % firms), F.concat(F.lit("Invoice Number: INV-"), number), F.concat(F.lit("Invoice Date: "), F.date_format("bill_date", "yyyy-MM-dd")), F.concat(F.lit("PO Number: PO-"), number), F.concat(F.lit("Total Due: $"), F.format_number(_money("cents"), 2)))
-    docs = w.join(last, "order_id").select(F.col("order_id").alias("doc_id"), text.alias("raw_text"))
+    docs = w.select(F.col("order_id").alias("doc_id"), text.alias("raw_text"))
     vendors = _read(spark, d, "supplier").select(F.col("s_suppkey").alias("seq"), F.col("s_suppkey").cast("string").alias("vendor_id"), firm(F.col("s_suppkey")).alias("name"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(True).alias("approved"), F.lit(None).cast("string").alias("payment_terms"))
     none = F.lit(None).cast("string")
     po = orders(spark, d).select(F.col("order_id").alias("seq"), F.concat(F.lit("PO-"), number).alias("po_number"), (F.col("cust") % firms).cast("string").alias("vendor_id"), _money("po_cents").alias("total_amount"), none.alias("currency"), "status", F.col("partial").alias("allow_partial"), none.alias("description"))
-    ledger = spark.createDataFrame([], "seq int, invoice_number string, vendor_id string, po_number string, total string, invoice_date string, amount_applied string, decision string")
-    out = decide_invoices(extract(ingest(docs)).persist(), vendor_defaults(vendors), order_defaults(po), ledger_defaults(ledger))
+    ledger = spark.createDataFrame([], "seq int, invoice_number string, vendor_id string, po_number string, total string, invoice_date string, amount_applied string, decision string").where("false")  # a plan knows it to be empty
+    out = decide_invoices(tables.write(extract(ingest(docs))), vendor_defaults(vendors), order_defaults(po), ledger_defaults(ledger), tables=tables)
     return out.select("invoice_number", (F.col("total") * 100).cast("bigint").alias("total_cents"), "decision.outcome", "decision.confidence", F.col("match_basis").alias("basis"))
 
 

@@ -63,3 +63,10 @@ def test_more_lines_are_dealt_over_more_tasks(spark, monkeypatch):
     monkeypatch.setattr(queries, "TASK_ROWS", n // 20)
     many = QUERIES["coverage_invoice_without_open_po"](spark, SMALL)
     assert many.rdd.getNumPartitions() >= 20 and many.exceptAll(few).count() == few.exceptAll(many).count() == 0
+
+
+def test_decisions_read_texts_and_names_once(spark):
+    """Texts and resolved names are written once, and an empty ledger costs no joins: the plan has two of names and cited orders, and what fits."""
+    rows = QUERIES["invoice_decisions_from_text"](spark, SMALL)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert not [f for f in rows.inputFiles() if "lineitem" in f] and "Invoice Number" not in plan and plan.count("Join ") <= 5
