@@ -15,6 +15,11 @@ def _words(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
+def _spaced(c: Column) -> Column:
+    """As _words, of a text whose only white space is the blank: single blanks stay as they are."""
+    return F.trim(F.regexp_replace(c, " {2,}", " "))
+
+
 def vendor_name(name: Column) -> Column:
     """Profiles P and B: punctuation becomes a blank after trimming, so a name that ends in one keeps its legal form."""
     s = F.replace(F.translate(F.lower(F.trim(name)), ",.", "  "), F.lit("  "), F.lit(" "))
@@ -28,12 +33,13 @@ def vendor_name(name: Column) -> Column:
 def company_name(name: Column) -> Column:
     """Profile T: letters and digits; words of legal form, "and" and "the" go."""
     s = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9 ]+", " ")
-    return _words(F.regexp_replace(s, r"\b(private|pvt|limited|ltd|llp|inc|co|company|and|the)\b", " "))
+    # the look-ahead passes over most characters before a word's bound is looked for
+    return _spaced(F.regexp_replace(s, r"(?=[acilpt])\b(private|pvt|limited|ltd|llp|inc|co|company|and|the)\b", " "))
 
 
 def party_name(name: Column) -> Column:
     """Profiles V and F: as company_name, with "m s" and "corporation" gone too."""
-    return _words(F.regexp_replace(company_name(name), r"\b(m s|corp|corporation|llc)\b", " "))
+    return _spaced(F.regexp_replace(company_name(name), r"(?=[mcl])\b(m s|corp|corporation|llc)\b", " "))
 
 
 def order_key(number: Column) -> Column:
@@ -74,10 +80,14 @@ def tax_id(value: Column) -> Column:
     return F.nullif(F.regexp_replace(F.upper(value), "[^A-Z0-9]", ""), F.lit(""))
 
 
+def bare_tax_id(value: Column) -> Column:
+    """Upper case without blanks; null when nothing is left."""
+    return F.nullif(F.regexp_replace(F.upper(value), r"\s+", ""), F.lit(""))
+
+
 def tax_ids_equal(a: Column, b: Column) -> Column:
     """Null when either is missing."""
-    strip = lambda c: F.nullif(F.regexp_replace(F.upper(c), r"\s+", ""), F.lit(""))
-    return strip(a) == strip(b)
+    return bare_tax_id(a) == bare_tax_id(b)
 
 
 TAX_ID_PATTERN = r"\b\d{2}[A-Z]{5}\d{4}[A-Z][A-Z0-9]Z[A-Z0-9]\b"
