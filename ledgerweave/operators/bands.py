@@ -33,6 +33,22 @@ def band_join(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], a
     return probes.join(index, on).drop("_band", "_at")
 
 
+#: Bands that stand in one slot, as a power of two.
+SLOT = 2
+
+
+def met_once(left: DataFrame, right: DataFrame, equal: list[tuple[str, str]], amounts: tuple[str, str], agree: Column, pct: float = 0.0, floor: float = 1.0, how: str = "inner", parts: int = 0) -> DataFrame:
+    """Rows of both sides with equal columns and amounts that agree, without a copy of left rows: a right row stands in each slot
+    (of four bands) that one of its neighbours can lie in, so a left row finds all that agree in one slot, named ``_slot``, and in one
+    task.  What is counted for each left row there needs no further exchange.  parts: tasks to deal both sides over."""
+    deal = lambda rows, *keys: rows.repartition(parts, *keys) if parts else rows
+    at = band(F.col(amounts[1]), pct, floor)
+    probes = left.withColumn("_slot", F.shiftright(band(F.col(amounts[0]), pct, floor), SLOT))
+    index = right.withColumn("_in", F.explode(F.array_distinct(F.array(F.shiftright(at - 1, SLOT), F.shiftright(at + 1, SLOT)))))
+    on = reduce(lambda a, b: a & b, (F.col(x) == F.col(y) for x, y in [*equal, ("_slot", "_in")]))
+    return deal(probes, *(x for x, _ in equal), "_slot").join(deal(index, *(y for _, y in equal), "_in"), on & agree, how).drop("_in")
+
+
 def two_sum(targets: DataFrame, parts: DataFrame, keys: list[str], target: str, part: str, part_id: str, pct: float, floor: float) -> DataFrame:
     """Targets with two parts (``a`` before ``b`` by id) whose sum is up to two bands from the target; both have the keys.
 

@@ -22,6 +22,10 @@ def shared_folder(spark: SparkSession) -> str:
     return shared_folder.own
 
 
+#: Whether what tasks have sent each other is deleted as soon as a query ends, and not when the driver next collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stored:
     """Tables of one run: written, read again, and deleted by ``release`` (or at the end of a ``with`` block)."""
 
@@ -32,7 +36,12 @@ class Stored:
         """The rows from files, which outlive any executor; their plan is cut off."""
         self.many += 1
         path = f"{self.root}/{self.many}"
-        rows.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            rows.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(rows.schema).parquet(path)
 
     def release(self) -> None:

@@ -7,20 +7,20 @@ whole cents, so that results do not depend on the order of additions.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_date
 from ..functions.money import parse_money, to_cents
 from ..functions.names import clean_order, order_key, reference_key, vendor_name
 from ..functions.text import code_valid, currency_of, page_kind
-from ..operators.bands import band_join
+from ..operators.bands import band_join, met_once
 from ..operators.batch import cross_run_duplicates as repeats_of_earlier_runs
 from ..operators.batch import prior_by_order
 from ..operators.extraction import extract, ingest, ingest_quality, labelled_id, non_empty_lines
 from ..operators.findings import decide, finding, listed
 from ..operators.invoices import amount_finding, cumulative_finding, decide_invoices, open_balance, plausible, replay_history, resolve_vendors
-from ..operators.matching import count_phrase, coverage, duplicate_pairs, fan_out, first_by, flow_phrase, ladder, pivot_cells, row_type, segments
+from ..operators.matching import count_phrase, coverage, duplicate_pairs, fan_out, first_by, flow_phrase, pivot_cells, row_type, segments
 from ..operators.similarity import similar_names
 from ..operators.tables import Stored
 from ..operators.twoway import INVOICE, ORDER, all_agree, rate_of, state_text, two_way
@@ -68,10 +68,16 @@ def lines(spark, d) -> DataFrame:
 TASK_ROWS = 500_000
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """As many tasks as the rows need where these are more than the session's partitions, else 0."""
+    needed = -(-rows.count() // TASK_ROWS)  # of files, which know their counts
+    return needed if needed > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+
+
 def dealt_out(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows by keys: over as many partitions as the session has, or more where tasks would get more rows than a task should."""
-    needed = -(-rows.count() // TASK_ROWS)  # of files, which know their counts
-    return rows.repartition(needed, *keys) if needed > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(*keys)
+    needed = tasks_for(rows)
+    return rows.repartition(needed, *keys) if needed else rows.repartition(*keys)
 
 
 def bills(spark, d, **more) -> DataFrame:
@@ -168,29 +174,57 @@ c AS (SELECT bill, o.order_id AS po, 1 AS rung FROM k JOIN o USING (order_id) WH
 r AS (SELECT *, min(rung) OVER (PARTITION BY bill) AS first FROM c)"""
 
 
-def _rungs(spark, d) -> DataFrame:
-    o = orders(spark, d)
-    k = bills(spark, d).withColumn("bill", F.col("order_id") * 100000 + F.col("vendor"))
-    po = o.select(F.col("order_id").alias("po"), "po_cents", "po_date", "cust")
-    cited = k.where("vendor % 3 = 0").join(po, F.col("order_id") == F.col("po")).select("bill", "po")
-    tie = band_join(k, po, [("bill_date", "po_date")], ("cents", "po_cents"), 0.005, 100.0).where(F.abs(F.col("cents") - F.col("po_cents")) <= F.greatest(F.lit(100.0), F.abs("po_cents") * 0.005)).select("bill", "po")
-    settled = ladder("bill", ("PO number", "high", cited), ("date + total", "medium", tie))
-    # the last rung's candidates are whole groups: their number is the group's size, so the pairs need no count of their own
-    free = k.join(settled.select("bill").distinct(), "bill", "left_anti").select("bill", F.col("bill_date").alias("day"), (F.col("vendor") % 97).alias("g"))
-    grouped = po.select("po", F.col("po_date").alias("day"), (F.col("cust") % 97).alias("g"))
-    counted = free.join(grouped.groupBy("day", "g").agg(F.count("*").alias("n_candidates")), ["day", "g"])
-    loose = counted.join(grouped, ["day", "g"]).select("bill", "po", F.lit(3).alias("rung"), F.lit("date + group").alias("basis"), F.lit("low").alias("confidence"), "n_candidates")
-    return settled.unionByName(loose)
+def _orders_of_a_day(spark, d) -> DataFrame:
+    return orders(spark, d).select(F.col("order_id").alias("po"), "po_cents", "po_date", (F.col("cust") % 97).alias("po_g"))
+
+
+def _tied(rows: DataFrame, po: DataFrame, how: str, parts: int) -> DataFrame:
+    """Bills with the orders of their day and about their amount."""
+    tie = F.abs(F.col("cents") - F.col("po_cents")) <= F.greatest(F.lit(100.0), F.abs("po_cents") * 0.005)
+    return met_once(rows, po.drop("po_g"), [("bill_date", "po_date")], ("cents", "po_cents"), tie, 0.005, 100.0, how, parts)
+
+
+def _first_rungs(spark, d) -> DataFrame:
+    """A row per bill that has a candidate: its first rung, n_candidates, and the candidate (po) if there is but one.
+
+    Candidates are counted where they meet their bill, so what is sent between tasks and written is bills and orders, never pairs.
+    """
+    tables, po = Stored(spark), _orders_of_a_day(spark, d)
+    with Stored(spark) as passing:
+        own = orders(spark, d).groupBy("order_id").agg(F.count("*").alias("n"))
+        cites = F.when(F.col("vendor") % 3 == 0, F.col("n"))
+        k = passing.write(bills(spark, d).join(own, "order_id", "left").select("order_id", "vendor", "bill_date", "cents", F.coalesce(cites, F.lit(0)).alias("n")))
+        cited = k.where("n > 0").select("order_id", "vendor", "bill_date", "cents", F.lit(1).alias("rung"), F.col("n").alias("n"), F.when(F.col("n") == 1, F.col("order_id")).alias("po"))
+        seen = _tied(k.where("n = 0").drop("n"), po, "left", tasks_for(k)).groupBy("bill_date", "_slot", "order_id", "vendor", "cents").agg(F.count("po_cents").alias("n"), F.min("po").alias("po"))
+        seen = seen.select("order_id", "vendor", "bill_date", "cents", F.when(F.col("n") > 0, 2).otherwise(3).alias("rung"), "n", F.when(F.col("n") == 1, F.col("po")).alias("po"))
+        settled = tables.write(cited.unionByName(seen))
+    # the last rung's candidates are whole groups: their number is the group's size
+    sizes = po.groupBy(F.col("po_date").alias("bill_date"), F.col("po_g").alias("g")).agg(F.count("*").alias("n"), F.min("po").alias("po"))
+    loose = settled.where("rung = 3").drop("n", "po").withColumn("g", F.col("vendor") % 97).join(sizes, ["bill_date", "g"])
+    loose = loose.select("order_id", "vendor", "bill_date", "cents", "rung", "n", F.when(F.col("n") == 1, F.col("po")).alias("po"), "g")
+    every = settled.where("rung < 3").withColumn("g", F.col("vendor") % 97).unionByName(loose).withColumn("bill", F.col("order_id") * 100000 + F.col("vendor"))
+    # a vendor's number of six digits can give a bill the number of another one: these two count as one bill
+    k = settled.select((F.col("order_id") * 100000 + F.col("vendor")).alias("twin"))
+    twins = tables.write(k.groupBy("twin").agg(F.count("*").alias("n")).where("n > 1").select("twin"))
+    of = F.col("bill").eqNullSafe(F.col("twin"))
+    w = Window.partitionBy("bill")
+    joint = every.join(twins, of, "left_semi").withColumn("first", F.min("rung").over(w)).where("rung = first").drop("first").withColumn("n_candidates", F.sum("n").over(w))
+    return every.join(twins, of, "left_anti").withColumn("n_candidates", F.col("n")).unionByName(joint.select(*every.columns, "n_candidates"))
 
 
 @query("match_ladder_first_rung", f"WITH {_LADDER} SELECT bill, po, CAST(rung AS INTEGER) AS rung, CAST(count(*) OVER (PARTITION BY bill) AS BIGINT) AS n_candidates FROM r WHERE rung = first")
 def match_ladder_first_rung(spark, d):
-    return _rungs(spark, d).select("bill", "po", "rung", "n_candidates")
+    first, po = _first_rungs(spark, d), _orders_of_a_day(spark, d)
+    out = lambda rows: rows.select("bill", "po", "rung", "n_candidates")
+    cited = first.where("rung = 1").select("bill", F.explode(F.array_repeat("order_id", F.col("n").cast("int"))).alias("po"), "rung", "n_candidates")
+    tied = _tied(first.where("rung = 2").drop("po", "n"), po, "inner", tasks_for(lines(spark, d)))
+    loose = first.where("rung = 3").drop("po", "n").join(po, (F.col("bill_date") == F.col("po_date")) & (F.col("g") == F.col("po_g")))
+    return cited.unionByName(out(tied)).unionByName(out(loose))
 
 
 @query("unique_candidate_inference", f"WITH {_LADDER}, z AS (SELECT bill, po, rung, count(*) OVER (PARTITION BY bill) AS n FROM r WHERE rung = first) SELECT bill, po, CAST(rung AS INTEGER) AS rung FROM z WHERE n = 1")
 def unique_candidate_inference(spark, d):
-    return _rungs(spark, d).where("n_candidates = 1").select("bill", "po", "rung")
+    return _first_rungs(spark, d).where("n_candidates = 1").select("bill", "po", "rung")
 
 
 @query("plausible_amounts", f"WITH {_WHOLE} SELECT order_id, CASE WHEN partial THEN cents > 0 AND cents <= po_cents // 2 + {_BAND} ELSE abs(cents - po_cents) <= {_BAND} END AS plausible FROM w")
