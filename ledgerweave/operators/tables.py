@@ -39,7 +39,7 @@ class Stored:
         before = self.spark.conf.get(CLEANUP)
         self.spark.conf.set(CLEANUP, "true")
         try:
-            rows.write.parquet(path)
+            rows.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(rows.schema).parquet(path)
