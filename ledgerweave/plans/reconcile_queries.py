@@ -326,14 +326,17 @@ def consolidated_bookings(spark, d):
     first = rows.withColumn("nth", F.row_number().over(Window.partitionBy("vendor", "month").orderBy("order_id"))).where("nth <= 2")
     booked = first.groupBy("vendor", "month").agg(F.sum("total").alias("total"), F.count("*").alias("n")).where("n = 2")
     none = F.lit(None).cast("string")
-    row = (F.col("vendor") * 10000 + F.replace(F.substring("month", 3, 5), F.lit("-"), F.lit("")).cast("int")).cast("int")
+    row = F.col("vendor") * 10000 + F.replace(F.substring("month", 3, 5), F.lit("-"), F.lit("")).cast("int")
     register = tables.write(booked.select(row.alias("register_row"), none.alias("vendor_name"), tax.alias("vendor_gstin"), none.alias("invoice_no"), F.concat("month", F.lit("-28")).alias("booking_date"), none.alias("po_no"), none.alias("site_name"), F.lit(None).cast("double").alias("taxable"), F.lit(None).cast("double").alias("gst_total"), "total"))
     empty = F.lit(None)
     invoice = _made(INVOICE, none, F.col("day"), none, tax, none, empty, empty, empty, F.col("total"), empty)
     keyed = tables.write(invoice_keys(rows.select(F.lpad(F.col("order_id").cast("string"), 12, "0").alias("inv_id"), invoice.alias("invoice"))))
     wide = MatchPolicy(profile="F", fy_start="1900-01-01", fy_end="2100-01-01")
     pairs = consolidated(register, keyed, tables.write(postings(register, keyed, wide, tables)), wide)
-    return pairs.select("register_row", F.col("inv_a").cast("bigint").alias("first_order"), F.col("inv_b").cast("bigint").alias("second_order"))
+    found = tables.write(pairs.select("register_row", F.col("inv_a").cast("bigint").alias("first_order"), F.col("inv_b").cast("bigint").alias("second_order")))
+    # a row number is an integer while all fit; from vendor 214,748 on, where the SQL fails, it stays what it is, a long
+    widest = found.agg(F.max(F.abs("register_row"))).first()[0] or 0
+    return found.withColumn("register_row", F.col("register_row").cast("int")) if widest < 1 << 31 else found
 
 
 # -- guards and views ----------------------------------------------------------------
